@@ -195,3 +195,207 @@ select risk_level, count(*) as n_points,
   cast(max(recommended_inspection_frequency_months) as integer) as max_months
 from fa group by risk_level
 """)
+
+
+# ------------------------------------------------------- bands and portfolio
+AN = """,
+an0 as (
+  select *, (thickness_mm - 3.0::double)
+      / case when average_corrosion_rate is null then null else greatest(average_corrosion_rate, 0.01::double) end
+      as raw_life
+  from points),
+an1 as (
+  select *, case when raw_life is null then null
+                 else least(greatest(raw_life, 0.0::double), 50.0::double) end as life
+  from an0),
+an as (
+  select *,
+    case when life > 0 and life <= 2 then 'CRITICAL' when life > 2 and life <= 5 then 'HIGH'
+         when life > 5 and life <= 10 then 'MEDIUM' when life > 10 then 'LOW' end as band4,
+    case when life > 0 then least(life / 1.5::double, 6.0::double) else 0.5::double end * 12.0::double
+      as imonths
+  from an1)
+"""
+
+_q("risk_bands", AN + """
+select id_number, life as remaining_life_years, band4 as risk_band_4,
+  case when life > 0 and life <= 2 then 'CRITICAL' when life > 2 and life <= 5 then 'HIGH'
+       when life > 5 and life <= 10 then 'MEDIUM' when life > 10 and life <= 20 then 'LOW'
+       when life > 20 then 'MINIMAL' end as risk_band_5,
+  case when average_corrosion_rate > 0 and average_corrosion_rate <= 0.05::double then '<0.05'
+       when average_corrosion_rate > 0.05::double and average_corrosion_rate <= 0.10::double then '0.05-0.10'
+       when average_corrosion_rate > 0.10::double and average_corrosion_rate <= 0.15::double then '0.10-0.15'
+       when average_corrosion_rate > 0.15::double and average_corrosion_rate <= 0.20::double then '0.15-0.20'
+       when average_corrosion_rate > 0.20::double then '>0.20' end as corrosion_bin,
+  case when thickness_mm > 0 and thickness_mm <= 5 then '<5mm' when thickness_mm > 5 and thickness_mm <= 7 then '5-7mm'
+       when thickness_mm > 7 and thickness_mm <= 9 then '7-9mm' when thickness_mm > 9 and thickness_mm <= 11 then '9-11mm'
+       when thickness_mm > 11 then '>11mm' end as thickness_bin,
+  imonths as inspection_months,
+  case when imonths > 0 and imonths <= 6 then '0-6mo' when imonths > 6 and imonths <= 12 then '6-12mo'
+       when imonths > 12 and imonths <= 24 then '1-2yr' when imonths > 24 and imonths <= 36 then '2-3yr'
+       when imonths > 36 and imonths <= 72 then '3-6yr' when imonths > 72 then '>6yr' end as inspection_time_bucket
+from an
+""")
+
+_RM = """,
+tb(thickness_order, thickness_bin) as (values (1, '<5mm'), (2, '5-7mm'), (3, '7-9mm'), (4, '9-11mm'), (5, '>11mm')),
+cb(corrosion_order, corrosion_bin) as (values (1, '<0.05'), (2, '0.05-0.10'), (3, '0.10-0.15'), (4, '0.15-0.20'),
+                                              (5, '>0.20')),
+binned as (
+  select
+    case when thickness_mm > 0 and thickness_mm <= 5 then '<5mm' when thickness_mm > 5 and thickness_mm <= 7 then '5-7mm'
+         when thickness_mm > 7 and thickness_mm <= 9 then '7-9mm' when thickness_mm > 9 and thickness_mm <= 11 then '9-11mm'
+         when thickness_mm > 11 then '>11mm' end as tbin,
+    case when average_corrosion_rate > 0 and average_corrosion_rate <= 0.05::double then '<0.05'
+         when average_corrosion_rate > 0.05::double and average_corrosion_rate <= 0.10::double then '0.05-0.10'
+         when average_corrosion_rate > 0.10::double and average_corrosion_rate <= 0.15::double then '0.10-0.15'
+         when average_corrosion_rate > 0.15::double and average_corrosion_rate <= 0.20::double then '0.15-0.20'
+         when average_corrosion_rate > 0.20::double then '>0.20' end as cbin
+  from points),
+cells as (
+  select tb.thickness_order, tb.thickness_bin, cb.corrosion_order, cb.corrosion_bin,
+    (select count(*) from binned b where b.tbin = tb.thickness_bin and b.cbin = cb.corrosion_bin) as n_points
+  from tb, cb)
+"""
+
+_q("risk_matrix", _RM + """
+select * from cells
+""")
+
+_q("risk_matrix_wide", _RM + """
+select thickness_order, thickness_bin,
+  sum(n_points) filter (where corrosion_bin = '<0.05') as "<0.05",
+  sum(n_points) filter (where corrosion_bin = '0.05-0.10') as "0.05-0.10",
+  sum(n_points) filter (where corrosion_bin = '0.10-0.15') as "0.10-0.15",
+  sum(n_points) filter (where corrosion_bin = '0.15-0.20') as "0.15-0.20",
+  sum(n_points) filter (where corrosion_bin = '>0.20') as ">0.20"
+from cells group by thickness_order, thickness_bin
+""")
+
+_q("life_histogram", AN + """,
+vals as (select least(raw_life, 50.0::double) as x from an where raw_life is not null),
+dim as (
+  select -1 as bin_index, cast(null as double) as bin_lo, 0.0::double as bin_hi
+  union all
+  select cast(i as integer), i * 2.5::double, (i + 1) * 2.5::double from range(0, 20) t(i)),
+cnt as (
+  select case when x < 0 then -1 else cast(least(floor(x / 2.5::double), 19) as integer) end as bin_index,
+    count(*) as n
+  from vals group by 1)
+select dim.bin_index, bin_lo, bin_hi, coalesce(n, 0) as n_points,
+  R6[(select avg(x) from vals)] as mean_life
+from dim left join cnt on dim.bin_index = cnt.bin_index
+""")
+
+_q("corrosion_by_commodity", """,
+g as (
+  select commodity, count(average_corrosion_rate) as n_points,
+    min(average_corrosion_rate) as min_rate, max(average_corrosion_rate) as max_rate,
+    quantile_cont(average_corrosion_rate, 0.25) as q1, quantile_cont(average_corrosion_rate, 0.5) as med,
+    quantile_cont(average_corrosion_rate, 0.75) as q3, avg(average_corrosion_rate) as mean_rate
+  from points where commodity is not null and average_corrosion_rate is not null
+  group by commodity)
+select commodity, n_points, min_rate, max_rate, R6[q1] as q1, R6[med] as median_rate, R6[q3] as q3,
+  R6[mean_rate] as mean_rate, R6[q1 - 1.5::double * (q3 - q1)] as lower_fence,
+  R6[q3 + 1.5::double * (q3 - q1)] as upper_fence,
+  row_number() over (order by med desc, commodity) as median_rank
+from g
+""")
+
+_q("inspection_priority_points", AN + """
+select id_number, commodity, feature_type, average_corrosion_rate, thickness_mm, life as remaining_life_years,
+  band4 as risk_category, thickness_mm < 3.0::double as below_min_thickness
+from an
+""")
+
+_q("feature_commodity_hierarchy", """
+select * from (
+  select feature_type, commodity, cast(grouping(feature_type, commodity) as integer) as level, count(*) as n_points
+  from points group by rollup (feature_type, commodity)) q
+where level < 3
+""")
+
+_q("portfolio_health", AN + """,
+one as (
+  select avg(life) as avg_life,
+    count(*) filter (where life < 2) * 100.0::double / count(*) as critical_pct,
+    avg(average_corrosion_rate) as avg_rate
+  from an)
+select R6[avg_life] as avg_remaining_life_years, R6[critical_pct] as critical_pct,
+  R6[avg_rate] as avg_corrosion_rate,
+  case when avg_life is null then null when avg_life < 5 then 0 when avg_life < 15 then 1
+       when avg_life < 30 then 2 else 3 end as life_band,
+  case when critical_pct is null then null when critical_pct < 5 then 0 when critical_pct < 15 then 1
+       else 2 end as critical_band,
+  case when avg_rate is null then null when avg_rate < 0.1::double then 0 when avg_rate < 0.2::double then 1
+       else 2 end as rate_band,
+  critical_pct > 10 as critical_alert
+from one
+""")
+
+_q("life_statistics", AN + """
+select R6[avg(life)] as life_mean, R6[median(life)] as life_median, R6[stddev_samp(life)] as life_std,
+  R6[min(life)] as life_min, R6[max(life)] as life_max,
+  R6[quantile_cont(life, 0.1)] as life_p10, R6[quantile_cont(life, 0.25)] as life_p25,
+  R6[quantile_cont(life, 0.75)] as life_p75, R6[quantile_cont(life, 0.9)] as life_p90
+from an
+""")
+
+_q("corrosion_statistics", """
+select R6[avg(average_corrosion_rate)] as rate_mean, R6[median(average_corrosion_rate)] as rate_median,
+  R6[stddev_samp(average_corrosion_rate)] as rate_std, max(average_corrosion_rate) as rate_max,
+  count(*) filter (where average_corrosion_rate > 0.15::double) as high_corrosion_count
+from points
+""")
+
+_q("thickness_statistics", """
+select R6[avg(thickness_mm)] as thickness_mean, min(thickness_mm) as thickness_min,
+  count(*) filter (where thickness_mm < 3.0::double) as below_min_count,
+  count(*) filter (where thickness_mm < 5.0::double) as thin_wall_count
+from points
+""")
+
+_q("risk_distribution", AN + """
+select count(*) filter (where band4 = 'CRITICAL') as critical, count(*) filter (where band4 = 'HIGH') as high,
+  count(*) filter (where band4 = 'MEDIUM') as medium, count(*) filter (where band4 = 'LOW') as low
+from an
+""")
+
+_q("inspection_scheduling", AN + """
+select count(*) filter (where life < 1) as immediate_attention, count(*) filter (where life < 2) as next_6_months,
+  count(*) filter (where life < 3) as next_12_months, R6[avg(imonths)] as avg_interval_months
+from an
+""")
+
+_q("commodity_risk", AN + """
+select commodity, count(*) as n_points, R6[avg(average_corrosion_rate)] as avg_corrosion,
+  count(*) filter (where raw_life < 2) as critical_count
+from an where commodity is not null group by commodity
+""")
+
+_q("inspection_timeline", AN + """,
+dim(bucket_order, bucket) as (values (1, '0-6mo'), (2, '6-12mo'), (3, '1-2yr'), (4, '2-3yr'), (5, '3-6yr'),
+                                     (6, '>6yr')),
+b as (
+  select case when imonths > 0 and imonths <= 6 then '0-6mo' when imonths > 6 and imonths <= 12 then '6-12mo'
+       when imonths > 12 and imonths <= 24 then '1-2yr' when imonths > 24 and imonths <= 36 then '2-3yr'
+       when imonths > 36 and imonths <= 72 then '3-6yr' when imonths > 72 then '>6yr' end as bucket
+  from an)
+select dim.bucket_order, dim.bucket, count(b.bucket) as n_points
+from dim left join b on dim.bucket = b.bucket group by dim.bucket_order, dim.bucket
+""")
+
+_q("report_metrics", AN + """
+select count(*) as total_assets, R6[avg(life)] as avg_remaining_life_years,
+  count(*) filter (where average_corrosion_rate > 0.2::double) as high_corrosion_cmls,
+  count(*) filter (where thickness_mm < 5.0::double) as thin_wall_cmls
+from an
+""")
+
+_q("corrosion_vs_thickness", """
+select id_number, average_corrosion_rate, thickness_mm, commodity,
+  case when average_corrosion_rate is null or thickness_mm is null then null
+       else least(greatest(average_corrosion_rate * 20.0::double + (10.0::double - thickness_mm) * 5.0::double,
+                           0.0::double), 100.0::double) end as marker_size
+from points
+""")

@@ -92,3 +92,38 @@ def q_risk_distribution_a(spark, sf_dir):
             F.max("recommended_inspection_frequency_months").alias("max_months"),
         )
     )
+
+
+# ------------------------------------------------------- bands and portfolio
+from ..operators import portfolio as PF  # noqa: E402
+
+
+def _pts(spark, sf_dir):
+    return load_points(spark, sf_dir)
+
+
+for _name, _fn in {
+    "risk_bands": PF.risk_bands,
+    "risk_matrix": PF.risk_matrix,
+    "life_histogram": PF.life_histogram,
+    "corrosion_by_commodity": PF.corrosion_by_commodity,
+    "inspection_priority_points": PF.inspection_priority_points,
+    "feature_commodity_hierarchy": PF.feature_commodity_hierarchy,
+    "portfolio_health": PF.portfolio_health,
+    "life_statistics": PF.life_statistics,
+    "corrosion_statistics": PF.corrosion_statistics,
+    "thickness_statistics": PF.thickness_statistics,
+    "risk_distribution": PF.risk_distribution,
+    "inspection_scheduling": PF.inspection_scheduling,
+    "commodity_risk": PF.commodity_risk,
+    "inspection_timeline": PF.inspection_timeline,
+    "report_metrics": PF.report_metrics,
+    "advanced_statistics": PF.advanced_statistics,
+    "corrosion_vs_thickness": PF.corrosion_vs_thickness,
+}.items():
+    QUERIES[_name] = (lambda f: (lambda spark, sf_dir: f(_pts(spark, sf_dir))))(_fn)
+
+
+@query("risk_matrix_wide")
+def q_risk_matrix_wide(spark, sf_dir):
+    return PF.risk_matrix_wide(_pts(spark, sf_dir))
