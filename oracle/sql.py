@@ -399,3 +399,197 @@ select id_number, average_corrosion_rate, thickness_mm, commodity,
                            0.0::double), 100.0::double) end as marker_size
 from points
 """)
+
+
+# ---------------------------------------------------------------- validation
+def _examples_sql(src: str, k: int) -> str:
+    return (f"(select string_agg(id_number, ', ' order by id_number) from "
+            f"(select id_number from {src} where id_number is not null order by id_number limit {k}) e)")
+
+
+_q("duplicate_ids", """,
+c as (select id_number, count(*) as c from raw group by id_number),
+d as (select id_number from c where c > 1)
+select cast(coalesce(sum(c - 1), 0) as bigint) as n_duplicates,
+  case when coalesce(sum(c - 1), 0) > 0 then """ + _examples_sql("d", 5) + """ end as examples
+from c
+""")
+
+_q("null_counts", """,
+u as (
+  select 'id_number' as column_name, count(*) filter (where id_number is null) as null_count from raw
+  union all select 'average_corrosion_rate', count(*) filter (where average_corrosion_rate is null) from raw
+  union all select 'thickness_mm', count(*) filter (where thickness_mm is null) from raw
+  union all select 'commodity', count(*) filter (where commodity is null) from raw
+  union all select 'feature_type', count(*) filter (where feature_type is null) from raw
+  union all select 'cml_shape', count(*) filter (where cml_shape is null) from raw)
+select column_name, null_count from u where null_count > 0
+""")
+
+
+def _range_sql(cond: str) -> str:
+    return f""",
+hits as (select id_number from raw where {cond})
+select (select count(*) from hits) as n_violations,
+  case when (select count(*) from hits) > 0 then {_examples_sql('hits', 3)} end as examples
+"""
+
+
+_q("corrosion_range_violations",
+   _range_sql("average_corrosion_rate < 0.0::double or average_corrosion_rate > 5.0::double"))
+_q("corrosion_range_violations_narrow",
+   _range_sql("average_corrosion_rate < 0.0::double or average_corrosion_rate > 0.30::double"))
+_q("thickness_range_violations", _range_sql("thickness_mm <= 0.0::double or thickness_mm > 50.0::double"))
+_q("thickness_range_violations_narrow", _range_sql("thickness_mm <= 3.0::double or thickness_mm > 10.0::double"))
+
+_q("dataset_profile", """
+select count(*) as total_records, count(distinct id_number) as unique_cmls,
+  R6[avg(average_corrosion_rate)] as avg_corrosion_rate, R6[avg(thickness_mm)] as avg_thickness,
+  min(average_corrosion_rate) as min_corrosion_rate, max(average_corrosion_rate) as max_corrosion_rate,
+  min(thickness_mm) as min_thickness, max(thickness_mm) as max_thickness
+from raw
+""")
+
+_q("commodity_distribution", """
+select commodity, count(*) as n_points from raw where commodity is not null group by commodity
+""")
+
+_q("feature_type_distribution", """
+select feature_type, count(*) as n_points from raw where feature_type is not null group by feature_type
+""")
+
+_POINT_REASONS = """
+  concat_ws('; ',
+    case when id_number is null then 'id_number missing' end,
+    case when average_corrosion_rate is null then 'average_corrosion_rate missing' end,
+    case when average_corrosion_rate < 0.0::double or average_corrosion_rate > 5.0::double
+         then 'average_corrosion_rate out of range' end,
+    case when thickness_mm is null then 'thickness_mm missing' end,
+    case when thickness_mm <= 0.0::double or thickness_mm > 50.0::double then 'thickness_mm out of range' end,
+    case when commodity is null or length(commodity) < 1 then 'commodity empty' end,
+    case when feature_type is null then 'feature_type missing' end,
+    case when cml_shape is null then 'cml_shape missing' end)
+"""
+
+_q("row_contract_split", """,
+r as (select id_number, case when id_number is null or average_corrosion_rate is null
+        or average_corrosion_rate < 0.0::double or average_corrosion_rate > 5.0::double or thickness_mm is null
+        or thickness_mm <= 0.0::double or thickness_mm > 50.0::double or commodity is null or length(commodity) < 1
+        or feature_type is null or cml_shape is null then """ + _POINT_REASONS + """ end as reasons
+      from points)
+select id_number, reasons is null as is_valid, reasons from r
+""")
+
+
+def _override_split(min_len: int) -> str:
+    bad = f"""(id_number is null or coalesce(not regexp_full_match(sme_decision, '(KEEP|ELIMINATE)'), true)
+        or coalesce(length(reason) < {min_len}, true) or sme_name is null
+        or original_probability < 0.0::double or original_probability > 1.0::double)"""
+    return f""",
+r as (select id_number, sme_decision, override_date,
+  case when {bad} then concat_ws('; ',
+    case when id_number is null then 'id_number missing' end,
+    case when coalesce(not regexp_full_match(sme_decision, '(KEEP|ELIMINATE)'), true) then 'sme_decision invalid' end,
+    case when coalesce(length(reason) < {min_len}, true) then 'reason too short' end,
+    case when sme_name is null then 'sme_name missing' end,
+    case when original_probability < 0.0::double or original_probability > 1.0::double
+         then 'original_probability out of range' end) end as reasons
+  from override_log)
+select id_number, sme_decision, override_date, reasons is null as is_valid, reasons from r
+"""
+
+
+_q("override_contract_split", _override_split(10))
+_q("override_contract_split_len9", _override_split(9))
+
+_q("domain_check", """,
+u as (
+  select 'feature_type' as column_name, feature_type as value from raw
+  where feature_type not in ('Pipe', 'Elbow', 'Tee', 'Reducer', 'Flange', 'Nozzle', 'Header', 'Bend', 'Weld')
+  union all
+  select 'cml_shape', cml_shape from raw where cml_shape not in ('Internal', 'External', 'Both'))
+select column_name, value, count(*) as n_points from u group by column_name, value
+""")
+
+
+def _report_sql(rate_cond: str, thick_cond: str) -> str:
+    return """,
+c as (select id_number, count(*) as c from raw group by id_number),
+d as (select id_number from c where c > 1),
+rh as (select id_number from raw where """ + rate_cond + """),
+th as (select id_number from raw where """ + thick_cond + """),
+w as (
+  select 'warning' as severity, 'duplicate_ids' as check_name, cast(coalesce(sum(c - 1), 0) as bigint) as n,
+    """ + _examples_sql("d", 5) + """ as detail from c
+  union all select 'warning', 'nulls:id_number', count(*) filter (where id_number is null), null from raw
+  union all select 'warning', 'nulls:average_corrosion_rate', count(*) filter (where average_corrosion_rate is null),
+    null from raw
+  union all select 'warning', 'nulls:thickness_mm', count(*) filter (where thickness_mm is null), null from raw
+  union all select 'warning', 'nulls:commodity', count(*) filter (where commodity is null), null from raw
+  union all select 'warning', 'nulls:feature_type', count(*) filter (where feature_type is null), null from raw
+  union all select 'warning', 'nulls:cml_shape', count(*) filter (where cml_shape is null), null from raw
+  union all select 'warning', 'corrosion_range', (select count(*) from rh), """ + _examples_sql("rh", 3) + """
+  union all select 'warning', 'thickness_range', (select count(*) from th), """ + _examples_sql("th", 3) + """)
+select * from w where n > 0
+union all select 'info', 'valid', 1, null
+"""
+
+
+_q("validation_report", _report_sql(
+    "average_corrosion_rate < 0.0::double or average_corrosion_rate > 5.0::double",
+    "thickness_mm <= 0.0::double or thickness_mm > 50.0::double"))
+_q("validation_report_narrow", _report_sql(
+    "average_corrosion_rate < 0.0::double or average_corrosion_rate > 0.30::double",
+    "thickness_mm <= 3.0::double or thickness_mm > 10.0::double"))
+
+_q("forecast_contract_split", FB_DEFAULT + """,
+r as (select id_number,
+  case when corrosion_rate_mm_per_year is null or corrosion_rate_mm_per_year < 0
+         or current_thickness_mm is null or current_thickness_mm <= 0
+         or remaining_life_years is null or remaining_life_years < 0
+         or recommended_inspection_frequency_months is null or recommended_inspection_frequency_months < 1
+  then concat_ws('; ',
+    case when corrosion_rate_mm_per_year is null or corrosion_rate_mm_per_year < 0
+         then 'corrosion rate must be >= 0' end,
+    case when current_thickness_mm is null or current_thickness_mm <= 0 then 'thickness must be > 0' end,
+    case when remaining_life_years is null or remaining_life_years < 0 then 'remaining life must be >= 0' end,
+    case when recommended_inspection_frequency_months is null or recommended_inspection_frequency_months < 1
+         then 'frequency must be >= 1' end) end as reasons
+  from fb)
+select id_number, reasons is null as is_valid, reasons from r
+""")
+
+# ------------------------------------------------------------------ features
+_q("training_features", """
+select id_number,
+  case when thickness_mm = 0 then null else average_corrosion_rate / thickness_mm end as corrosion_thickness_ratio,
+  case when average_corrosion_rate > 0.15::double then 1 else 0 end as high_corrosion,
+  case when thickness_mm < 8.0::double then 1 else 0 end as thin_wall,
+  (case when average_corrosion_rate > 0.15::double then 1 else 0 end)
+    * (case when thickness_mm < 8.0::double then 1 else 0 end) as risk_interaction,
+  cast(datediff('day', last_inspection_date, DATE '2002-01-01') as integer) as days_since_inspection
+from points
+""")
+
+_SCORING = """
+  average_corrosion_rate, thickness_mm, commodity, feature_type, cml_shape,
+  case when average_corrosion_rate = 0 or average_corrosion_rate is null or thickness_mm is null then null
+       else greatest((thickness_mm - 3.0::double) / average_corrosion_rate, 0.0::double) end as remaining_life_years,
+  case when thickness_mm = 0 then null else average_corrosion_rate / thickness_mm end as corrosion_thickness_ratio,
+  case when average_corrosion_rate is null or thickness_mm is null then null
+       else least(greatest(average_corrosion_rate * 20.0::double + (10.0::double - thickness_mm) * 5.0::double,
+                           0.0::double), 100.0::double) end as risk_score,
+"""
+
+_q("scoring_features", """
+select id_number, """ + _SCORING + """
+  coalesce(cast(datediff('day', last_inspection_date, DATE '2002-01-01') as integer), 365) as days_since_inspection
+from points
+""")
+
+_q("scoring_features_median_fill", """,
+dd as (select *, cast(datediff('day', last_inspection_date, DATE '2002-01-01') as integer) as d from points)
+select id_number, """ + _SCORING + """
+  coalesce(cast(d as double), (select median(d) from dd)) as days_since_inspection
+from dd
+""")

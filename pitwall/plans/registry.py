@@ -127,3 +127,113 @@ for _name, _fn in {
 @query("risk_matrix_wide")
 def q_risk_matrix_wide(spark, sf_dir):
     return PF.risk_matrix_wide(_pts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- validation
+from ..operators import features as FT  # noqa: E402
+from ..operators import validate as V  # noqa: E402
+from ..schema import Validation  # noqa: E402
+from ..sources.mapping import load_override_log, load_raw  # noqa: E402
+
+
+@query("duplicate_ids")
+def q_duplicate_ids(spark, sf_dir):
+    return V.duplicate_ids(load_raw(spark, sf_dir))
+
+
+@query("null_counts")
+def q_null_counts(spark, sf_dir):
+    return V.null_counts(load_raw(spark, sf_dir))
+
+
+@query("corrosion_range_violations")
+def q_corrosion_range(spark, sf_dir):
+    return V.corrosion_range_violations(load_raw(spark, sf_dir))
+
+
+@query("corrosion_range_violations_narrow")
+def q_corrosion_range_narrow(spark, sf_dir):
+    return V.corrosion_range_violations(load_raw(spark, sf_dir), 0.0, 0.30)
+
+
+@query("thickness_range_violations")
+def q_thickness_range(spark, sf_dir):
+    return V.thickness_range_violations(load_raw(spark, sf_dir))
+
+
+@query("thickness_range_violations_narrow")
+def q_thickness_range_narrow(spark, sf_dir):
+    return V.thickness_range_violations(load_raw(spark, sf_dir), 3.0, 10.0)
+
+
+@query("dataset_profile")
+def q_dataset_profile(spark, sf_dir):
+    return V.dataset_profile(load_raw(spark, sf_dir))
+
+
+@query("commodity_distribution")
+def q_commodity_distribution(spark, sf_dir):
+    return V.value_distribution(load_raw(spark, sf_dir), "commodity")
+
+
+@query("feature_type_distribution")
+def q_feature_type_distribution(spark, sf_dir):
+    return V.value_distribution(load_raw(spark, sf_dir), "feature_type")
+
+
+@query("row_contract_split")
+def q_row_contract_split(spark, sf_dir):
+    return V.row_contract_split(load_points(spark, sf_dir)).select("id_number", "is_valid", "reasons")
+
+
+@query("override_contract_split")
+def q_override_contract_split(spark, sf_dir):
+    return V.override_contract_split(load_override_log(spark, sf_dir)).select(
+        "id_number", "sme_decision", "override_date", "is_valid", "reasons")
+
+
+@query("override_contract_split_len9")
+def q_override_contract_split_len9(spark, sf_dir):
+    return V.override_contract_split(load_override_log(spark, sf_dir), Validation(min_reason_len=9)).select(
+        "id_number", "sme_decision", "override_date", "is_valid", "reasons")
+
+
+@query("domain_check")
+def q_domain_check(spark, sf_dir):
+    return V.domain_check(load_raw(spark, sf_dir))
+
+
+@query("validation_report")
+def q_validation_report(spark, sf_dir):
+    return V.validation_report(load_raw(spark, sf_dir))
+
+
+@query("validation_report_narrow")
+def q_validation_report_narrow(spark, sf_dir):
+    return V.validation_report(load_raw(spark, sf_dir), rate_range=(0.0, 0.30), thickness_range=(3.0, 10.0))
+
+
+@query("forecast_contract_split")
+def q_forecast_contract_split(spark, sf_dir):
+    fc = FC.forecast_b(load_points(spark, sf_dir))
+    return V.forecast_contract_split(fc).select("id_number", "is_valid", "reasons")
+
+
+# ------------------------------------------------------------------ features
+
+
+@query("training_features")
+def q_training_features(spark, sf_dir):
+    return FT.training_features(load_points(spark, sf_dir)).select(
+        "id_number", "corrosion_thickness_ratio", "high_corrosion", "thin_wall", "risk_interaction",
+        "days_since_inspection")
+
+
+@query("scoring_features")
+def q_scoring_features(spark, sf_dir):
+    return FT.scoring_features(load_points(spark, sf_dir))
+
+
+@query("scoring_features_median_fill")
+def q_scoring_features_median(spark, sf_dir):
+    return FT.scoring_features(load_points(spark, sf_dir), fill="median")
