@@ -593,3 +593,201 @@ select id_number, """ + _SCORING + """
   coalesce(cast(d as double), (select median(d) from dd)) as days_since_inspection
 from dd
 """)
+
+
+# ------------------------------------------------- decisions, overrides, report
+DEC = """,
+dec as (
+  select *,
+    case when elimination_probability > 0.5::double then 1 else 0 end as predicted_elimination_flag,
+    case when elimination_probability > 0.5::double then 1 else 0 end as predicted_elimination,
+    case when elimination_probability > 0.5::double then 'ELIMINATE' else 'KEEP' end as recommendation,
+    case when abs(elimination_probability - 0.5::double) > 0.3::double then 'HIGH' else 'MODERATE' end
+      as confidence,
+    1.0::double - elimination_probability as keep_probability,
+    greatest(elimination_probability, 1.0::double - elimination_probability) as confidence_score,
+    case when greatest(elimination_probability, 1.0::double - elimination_probability) > 0.8::double then 'HIGH'
+         when greatest(elimination_probability, 1.0::double - elimination_probability) > 0.6::double then 'MEDIUM'
+         else 'LOW' end as confidence_level
+  from points)
+"""
+
+CUR = """,
+cur as (
+  select id_number, sme_decision, reason, sme_name, override_date, original_prediction, original_probability
+  from (select *, row_number() over (partition by id_number
+          order by override_date desc nulls last, sme_name nulls first, sme_decision nulls first,
+                   reason nulls first, original_prediction nulls last) as rn
+        from override_log) q
+  where rn = 1)
+"""
+
+_q("decisions_basic", DEC + """
+select id_number, elimination_probability, predicted_elimination_flag, recommendation, confidence from dec
+""")
+
+_q("decisions_enhanced", DEC + """
+select id_number, elimination_probability, predicted_elimination, keep_probability, recommendation,
+  confidence_score as confidence, confidence_level
+from dec
+""")
+
+_q("score_summary", DEC + """
+select count(*) as total_cmls,
+  count(*) filter (where predicted_elimination = 1) as recommended_eliminations,
+  count(*) filter (where predicted_elimination = 0) as recommended_keep,
+  R6[(count(*) filter (where predicted_elimination = 1)) / count(*)] as elimination_rate,
+  count(*) filter (where predicted_elimination = 1 and confidence_level = 'HIGH') as high_confidence_eliminations
+from dec
+""")
+
+_q("limited_results", DEC + """
+select id_number, elimination_probability, predicted_elimination_flag, recommendation, confidence,
+  (select count(*) from dec) as total_results
+from dec order by id_number limit 100
+""")
+
+_q("decision_breakdown", DEC + """,
+u as (
+  select 'recommendation' as dimension, recommendation as value, count(*) as n from dec group by recommendation
+  union all
+  select 'confidence', confidence, count(*) from dec group by confidence)
+select dimension, value, n, R6[n * 100.0::double / (select count(*) from dec)] as pct from u
+""")
+
+_q("probability_stats", """
+select R6[avg(elimination_probability)] as mean_probability,
+  R6[median(elimination_probability)] as median_probability,
+  R6[stddev_samp(elimination_probability)] as std_probability,
+  count(*) filter (where elimination_probability > 0.8::double) as n_above_0_8,
+  count(*) filter (where elimination_probability < 0.2::double) as n_below_0_2
+from points
+""")
+
+_q("top_candidates", DEC + """
+(select 'eliminate' as side, id_number, elimination_probability, confidence from dec
+ where elimination_probability is not null
+ order by elimination_probability desc, id_number limit 10)
+union all
+(select 'keep' as side, id_number, elimination_probability, confidence from dec
+ where elimination_probability is not null
+ order by elimination_probability asc, id_number limit 10)
+""")
+
+_q("cost_savings", DEC + """
+select count(*) filter (where predicted_elimination_flag = 1) as eliminated_cmls,
+  count(*) filter (where predicted_elimination_flag = 1) * 1000 as annual_savings,
+  count(*) filter (where predicted_elimination_flag = 1) * 1000 * 5 as savings_5_years,
+  count(*) filter (where predicted_elimination_flag = 1) * 1000 * 10 as savings_10_years
+from dec
+""")
+
+_q("dashboard_decision_counts", DEC + """
+select count(*) filter (where predicted_elimination_flag = 1) as elimination_candidates,
+  count(*) filter (where predicted_elimination_flag = 0) as monitoring_points
+from dec
+""")
+
+_q("current_overrides", CUR + """
+select * from cur
+""")
+
+_q("get_overrides", CUR + """
+select * from cur where id_number in (select id_number from points where feature_type = 'Weld')
+""")
+
+_q("remove_overrides", CUR + """
+select * from cur where id_number not in (select id_number from points where commodity = 'Steam')
+""")
+
+_q("apply_overrides", DEC + CUR + """
+select d.id_number, d.recommendation, c.sme_decision is not null as has_sme_override, c.sme_decision,
+  c.reason as sme_reason, c.sme_name, c.override_date as sme_override_date,
+  c.sme_decision as overridden_decision, coalesce(c.sme_decision, d.recommendation) as final_decision
+from dec d left join cur c on d.id_number = c.id_number
+""")
+
+_q("override_statistics", CUR + """
+select count(*) as total_overrides,
+  count(*) filter (where sme_decision = 'KEEP') as keep_overrides,
+  count(*) filter (where sme_decision = 'ELIMINATE') as eliminate_overrides,
+  count(*) filter (where sme_decision is distinct from original_prediction) as disagreements_with_ml,
+  case when count(*) > 0 then """ + rnd("(count(*) - count(*) filter (where sme_decision is distinct from "
+                                      "original_prediction)) * 100.0::double / count(*)", 1) + """ end as agreement_rate
+from cur
+""")
+
+_q("recent_overrides", CUR + """
+select id_number, sme_decision, sme_name, override_date from cur
+order by override_date desc nulls last, id_number limit 10
+""")
+
+_q("overrides_by_sme", CUR + """
+select sme_name, count(*) as n_overrides from cur group by sme_name
+""")
+
+SCORED = DEC + CUR + """,
+sc as (
+  select d.*, coalesce(c.sme_decision, d.recommendation) as final_decision
+  from dec d left join cur c on d.id_number = c.id_number)
+"""
+
+_q("report_summary", SCORED + """
+select count(*) as total_cmls,
+  count(*) filter (where predicted_elimination = 1) as recommended_eliminations,
+  count(*) filter (where predicted_elimination = 0) as recommended_keep,
+  """ + rnd("(count(*) filter (where predicted_elimination = 1)) * 100.0::double / count(*)", 1) + """
+    as elimination_rate
+from sc
+""")
+
+_q("report_summary_final", SCORED + """
+select count(*) as total_cmls,
+  count(*) filter (where final_decision = 'ELIMINATE') as recommended_eliminations,
+  count(*) filter (where final_decision = 'KEEP') as recommended_keep,
+  """ + rnd("(count(*) filter (where final_decision = 'ELIMINATE')) * 100.0::double / count(*)", 1) + """
+    as elimination_rate
+from sc
+""")
+
+_q("confidence_distribution", SCORED + """
+select confidence_level, count(*) as n_points from sc where confidence_level is not null group by confidence_level
+""")
+
+_q("eliminations_by_commodity", SCORED + """
+select commodity, count(*) as n_eliminations from sc
+where predicted_elimination = 1 and commodity is not null group by commodity
+""")
+
+_q("eliminations_by_feature", SCORED + """
+select feature_type, count(*) as n_eliminations from sc
+where predicted_elimination = 1 and feature_type is not null group by feature_type
+""")
+
+_q("top_elimination_candidates", SCORED + """
+select id_number, elimination_probability, average_corrosion_rate, thickness_mm from sc
+where predicted_elimination = 1 order by elimination_probability desc, id_number limit 20
+""")
+
+_q("marginal_cases", SCORED + """
+select id_number, elimination_probability, recommendation from sc
+where elimination_probability > 0.4::double and elimination_probability < 0.6::double
+""")
+
+_q("full_report", SCORED + """
+select 'summary' as section, 'total_cmls' as key, cast(count(*) as double) as value from sc
+union all select 'summary', 'recommended_eliminations', cast(count(*) filter (where predicted_elimination = 1)
+  as double) from sc
+union all select 'summary', 'recommended_keep', cast(count(*) filter (where predicted_elimination = 0) as double)
+  from sc
+union all select 'summary', 'elimination_rate',
+  """ + rnd("(count(*) filter (where predicted_elimination = 1)) * 100.0::double / count(*)", 1) + """ from sc
+union all select 'confidence_distribution', confidence_level, cast(count(*) as double) from sc
+  where confidence_level is not null group by confidence_level
+union all select 'elimination_by_commodity', commodity, cast(count(*) as double) from sc
+  where predicted_elimination = 1 and commodity is not null group by commodity
+union all select 'elimination_by_feature', feature_type, cast(count(*) as double) from sc
+  where predicted_elimination = 1 and feature_type is not null group by feature_type
+union all select 'sizes', 'marginal_cases', cast(count(*) filter (where elimination_probability > 0.4::double
+  and elimination_probability < 0.6::double) as double) from sc
+""")

@@ -237,3 +237,153 @@ def q_scoring_features(spark, sf_dir):
 @query("scoring_features_median_fill")
 def q_scoring_features_median(spark, sf_dir):
     return FT.scoring_features(load_points(spark, sf_dir), fill="median")
+
+
+# ------------------------------------------------- decisions, overrides, report
+from ..operators import decide as D  # noqa: E402
+from ..operators import overrides as O  # noqa: E402
+from ..operators import portfolio as _PF  # noqa: E402
+from ..operators import report as P  # noqa: E402
+
+_BASIC = ("id_number", "elimination_probability", "predicted_elimination_flag", "recommendation", "confidence")
+
+
+def _basic(spark, sf_dir):
+    return D.decide_basic(load_points(spark, sf_dir))
+
+
+def _enhanced(spark, sf_dir):
+    return D.decide_enhanced(load_points(spark, sf_dir))
+
+
+def _state(spark, sf_dir):
+    return O.current_overrides(load_override_log(spark, sf_dir))
+
+
+@query("decisions_basic")
+def q_decisions_basic(spark, sf_dir):
+    return _basic(spark, sf_dir).select(*_BASIC)
+
+
+@query("decisions_enhanced")
+def q_decisions_enhanced(spark, sf_dir):
+    return _enhanced(spark, sf_dir).select("id_number", "elimination_probability", "predicted_elimination",
+                                           "keep_probability", "recommendation", "confidence", "confidence_level")
+
+
+@query("score_summary")
+def q_score_summary(spark, sf_dir):
+    return D.score_summary(_enhanced(spark, sf_dir))
+
+
+@query("limited_results")
+def q_limited_results(spark, sf_dir):
+    return D.limited_results(_basic(spark, sf_dir).select(*_BASIC), 100)
+
+
+@query("decision_breakdown")
+def q_decision_breakdown(spark, sf_dir):
+    return D.decision_breakdown(_basic(spark, sf_dir))
+
+
+@query("probability_stats")
+def q_probability_stats(spark, sf_dir):
+    return D.probability_stats(load_points(spark, sf_dir))
+
+
+@query("top_candidates")
+def q_top_candidates(spark, sf_dir):
+    return D.top_candidates(_basic(spark, sf_dir), 10)
+
+
+@query("cost_savings")
+def q_cost_savings(spark, sf_dir):
+    return D.cost_savings(_basic(spark, sf_dir))
+
+
+@query("dashboard_decision_counts")
+def q_dashboard_decision_counts(spark, sf_dir):
+    return _PF.dashboard_decision_counts(_basic(spark, sf_dir))
+
+
+@query("current_overrides")
+def q_current_overrides(spark, sf_dir):
+    return _state(spark, sf_dir)
+
+
+@query("get_overrides")
+def q_get_overrides(spark, sf_dir):
+    weld = load_points(spark, sf_dir).where(F.col("feature_type") == "Weld")
+    return O.get_overrides(_state(spark, sf_dir), weld)
+
+
+@query("remove_overrides")
+def q_remove_overrides(spark, sf_dir):
+    steam = load_points(spark, sf_dir).where(F.col("commodity") == "Steam")
+    return O.remove_overrides(_state(spark, sf_dir), steam)
+
+
+@query("apply_overrides")
+def q_apply_overrides(spark, sf_dir):
+    return O.apply_overrides(_basic(spark, sf_dir), _state(spark, sf_dir)).select(
+        "id_number", "recommendation", "has_sme_override", "sme_decision", "sme_reason", "sme_name",
+        "sme_override_date", "overridden_decision", "final_decision")
+
+
+@query("override_statistics")
+def q_override_statistics(spark, sf_dir):
+    return O.override_statistics(_state(spark, sf_dir))
+
+
+@query("recent_overrides")
+def q_recent_overrides(spark, sf_dir):
+    return O.recent_overrides(_state(spark, sf_dir), 10)
+
+
+@query("overrides_by_sme")
+def q_overrides_by_sme(spark, sf_dir):
+    return O.overrides_by_sme(_state(spark, sf_dir))
+
+
+def _scored(spark, sf_dir):
+    return P.scored_frame(load_points(spark, sf_dir), _state(spark, sf_dir))
+
+
+@query("report_summary")
+def q_report_summary(spark, sf_dir):
+    return P.report_summary(_scored(spark, sf_dir))
+
+
+@query("report_summary_final")
+def q_report_summary_final(spark, sf_dir):
+    return P.report_summary(_scored(spark, sf_dir), "final_decision")
+
+
+@query("confidence_distribution")
+def q_confidence_distribution(spark, sf_dir):
+    return P.confidence_distribution(_scored(spark, sf_dir))
+
+
+@query("eliminations_by_commodity")
+def q_elim_by_commodity(spark, sf_dir):
+    return P.eliminations_by(_scored(spark, sf_dir), "commodity")
+
+
+@query("eliminations_by_feature")
+def q_elim_by_feature(spark, sf_dir):
+    return P.eliminations_by(_scored(spark, sf_dir), "feature_type")
+
+
+@query("top_elimination_candidates")
+def q_top_elimination_candidates(spark, sf_dir):
+    return P.top_elimination_candidates(_scored(spark, sf_dir), 20)
+
+
+@query("marginal_cases")
+def q_marginal_cases(spark, sf_dir):
+    return P.marginal_cases(_scored(spark, sf_dir))
+
+
+@query("full_report")
+def q_full_report(spark, sf_dir):
+    return P.report_counts(_scored(spark, sf_dir))
