@@ -791,3 +791,78 @@ union all select 'elimination_by_feature', feature_type, cast(count(*) as double
 union all select 'sizes', 'marginal_cases', cast(count(*) filter (where elimination_probability > 0.4::double
   and elimination_probability < 0.6::double) as double) from sc
 """)
+
+
+# ------------------------------------------------------------ synthetic data
+def _u(tag: str) -> str:
+    return (f"cast(('0x' || substr(md5(concat_ws(':', '42', cast(l_orderkey as varchar) || '-' || "
+            f"cast(l_linenumber as varchar), '{tag}')), 1, 8)) as bigint) / 4294967296.0::double")
+
+
+SYN = """,
+g0 as (
+  select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as k,
+    """ + _u("c") + """ as uc, """ + _u("f") + """ as uf, """ + _u("s") + """ as us,
+    """ + _u("r") + """ as ur, """ + _u("t") + """ as ut, """ + _u("d") + """ as ud,
+    """ + _u("i") + """ as ui, """ + _u("l") + """ as ul
+  from lineitem),
+g1 as (
+  select k, ul,
+    ['Crude Oil', 'Natural Gas', 'Steam', 'Fuel Gas', 'Potable Water', 'Process Water', 'Condensate',
+     'Refined Product', 'Gas'][cast(floor(uc * 9.0::double) as integer) + 1] as commodity,
+    ['Pipe', 'Elbow', 'Tee', 'Reducer', 'Flange', 'Nozzle', 'Header', 'Bend', 'Weld']
+      [cast(floor(uf * 9.0::double) as integer) + 1] as feature_type,
+    ['Internal', 'External', 'Both'][cast(floor(us * 3.0::double) as integer) + 1] as cml_shape,
+    ur, ut,
+    365 + cast(floor(ud * 1096.0::double) as integer) as days_ago,
+    365 + cast(floor(ui * 731.0::double) as integer) as intv
+  from g0),
+g2 as (
+  select *,
+    case when commodity in ('Crude Oil', 'Condensate') then 0.05::double + ur * (0.20::double - 0.05::double)
+         when commodity in ('Natural Gas', 'Fuel Gas', 'Gas') then 0.03::double + ur * (0.15::double - 0.03::double)
+         when commodity = 'Steam' then 0.08::double + ur * (0.25::double - 0.08::double)
+         else 0.02::double + ur * (0.12::double - 0.02::double) end as rate,
+    case when feature_type in ('Header', 'Pipe') then 8.0::double + ut * (12.0::double - 8.0::double)
+         when feature_type in ('Flange', 'Reducer') then 9.0::double + ut * (11.5::double - 9.0::double)
+         else 6.0::double + ut * (10.5::double - 6.0::double) end as thick
+  from g1),
+g3 as (
+  select *, case when rate > 0 then least((thick - 3.0::double) / rate, 300.0::double) else 300.0::double end
+    as life
+  from g2),
+g4 as (
+  select *, least(
+      (case when rate > 0.15::double then 40 when rate > 0.10::double then 25 else 10 end)
+    + (case when thick < 8.0::double then 30 when thick < 9.5::double then 15 else 0 end)
+    + (case when life < 20.0::double then 30 when life < 50.0::double then 15 else 0 end), 100) as risk
+  from g3),
+syn as (
+  select 'CML-' || k as id_number, commodity, feature_type, cml_shape,
+    """ + rnd("rate", 2) + """ as average_corrosion_rate,
+    """ + rnd("thick", 1) + """ as thickness_mm,
+    cast(DATE '2002-01-01' - days_ago as date) as last_inspection_date,
+    cast(DATE '2002-01-01' - days_ago + intv as date) as next_inspection_date,
+    """ + rnd("life", 1) + """ as remaining_life_years,
+    cast(intv - days_ago as integer) as days_to_next_inspection,
+    cast(risk as integer) as risk_score,
+    case when rate < 0.08::double and thick > 9.5::double then case when ul > 0.3::double then 1 else 0 end
+         when rate < 0.05::double then case when ul > 0.2::double then 1 else 0 end
+         when risk > 70 then 0
+         when risk > 50 then case when ul > 0.8::double then 1 else 0 end
+         else case when ul > 0.7::double then 1 else 0 end end as elimination_flag
+  from g4)
+"""
+
+_q("synthetic_points", SYN + """
+select * from syn
+""")
+
+_q("synthetic_summary", SYN + """
+select count(*) as total_records, R6[avg(elimination_flag)] as elimination_rate,
+  count(distinct commodity) as unique_commodities, count(distinct feature_type) as unique_feature_types,
+  min(average_corrosion_rate) as min_rate, max(average_corrosion_rate) as max_rate,
+  min(thickness_mm) as min_thickness, max(thickness_mm) as max_thickness,
+  min(risk_score) as min_risk_score, max(risk_score) as max_risk_score
+from syn
+""")

@@ -387,3 +387,22 @@ def q_marginal_cases(spark, sf_dir):
 @query("full_report")
 def q_full_report(spark, sf_dir):
     return P.report_counts(_scored(spark, sf_dir))
+
+
+# ------------------------------------------------------------ synthetic data
+from ..operators import synth as G  # noqa: E402
+from ..sources.mapping import read_table  # noqa: E402
+
+
+def _synthetic(spark, sf_dir):
+    return G.generate_points(read_table(spark, sf_dir, "lineitem"))
+
+
+@query("synthetic_points")
+def q_synthetic_points(spark, sf_dir):
+    return _synthetic(spark, sf_dir)
+
+
+@query("synthetic_summary")
+def q_synthetic_summary(spark, sf_dir):
+    return G.dataset_summary(_synthetic(spark, sf_dir))
