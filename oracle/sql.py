@@ -866,3 +866,66 @@ select count(*) as total_records, R6[avg(elimination_flag)] as elimination_rate,
   min(risk_score) as min_risk_score, max(risk_score) as max_risk_score
 from syn
 """)
+
+
+# -------------------------------------------------------------------- model
+def _uid(tag: str) -> str:
+    return (f"cast(('0x' || substr(md5(concat_ws(':', '42', id_number, '{tag}')), 1, 8)) as bigint)"
+            f" / 4294967296.0::double")
+
+
+_q("train_test_split", SYN + """
+select id_number, elimination_flag, """ + _uid("split") + """ >= 0.2::double as is_train from syn
+""")
+
+_q("stratified_folds", SYN + """
+select id_number, elimination_flag, cast(floor(""" + _uid("fold") + """ * 5.0::double) as integer) as fold from syn
+""")
+
+_q("class_weights", SYN + """,
+c as (select elimination_flag, count(*) as n_class from syn group by elimination_flag)
+select elimination_flag, n_class,
+  R6[(select sum(n_class) from c) / ((select count(*) from c) * n_class)] as class_weight
+from c
+""")
+
+PAIRS = DEC + CUR + """,
+pairs as (
+  select case when c.sme_decision = 'ELIMINATE' then 1 else 0 end as l, d.predicted_elimination_flag as p
+  from dec d join cur c on d.id_number = c.id_number),
+per as (
+  select cls, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(support) as support from (
+    select l as cls, case when l = p then 1 else 0 end as tp, 0 as fp, case when l <> p then 1 else 0 end as fn,
+      1 as support from pairs
+    union all
+    select p, 0, case when l <> p then 1 else 0 end, 0, 0 from pairs) x
+  group by cls),
+per2 as (
+  select cast(cls as varchar) as class_name, tp, support,
+    case when tp + fp > 0 then tp / (tp + fp) else 0.0::double end as precision,
+    case when tp + fn > 0 then tp / (tp + fn) else 0.0::double end as recall
+  from per),
+per3 as (
+  select *, case when precision + recall > 0 then 2.0::double * precision * recall / (precision + recall)
+                 else 0.0::double end as f1
+  from per2)
+"""
+
+_q("classification_report", PAIRS + """
+select class_name, R6[precision] as precision, R6[recall] as recall, R6[f1] as f1, cast(support as bigint) as support
+from per3
+union all
+select 'macro avg', R6[avg(precision)], R6[avg(recall)], R6[avg(f1)], cast(sum(support) as bigint) from per3
+union all
+select 'weighted avg', R6[sum(precision * support) / sum(support)], R6[sum(recall * support) / sum(support)],
+  R6[sum(f1 * support) / sum(support)], cast(sum(support) as bigint) from per3
+union all
+select 'accuracy', null, null, R6[sum(tp) / sum(support)], cast(sum(support) as bigint) from per3
+""")
+
+_q("confusion_matrix", PAIRS + """,
+dim(label, prediction) as (values (0, 0), (0, 1), (1, 0), (1, 1))
+select dim.label, dim.prediction, count(pairs.l) as n
+from dim left join pairs on pairs.l = dim.label and pairs.p = dim.prediction
+group by dim.label, dim.prediction
+""")

@@ -406,3 +406,73 @@ def q_synthetic_points(spark, sf_dir):
 @query("synthetic_summary")
 def q_synthetic_summary(spark, sf_dir):
     return G.dataset_summary(_synthetic(spark, sf_dir))
+
+
+# -------------------------------------------------------------------- model
+from ..operators import model as M  # noqa: E402
+
+# Forest settings of the registered training queries: from the original's
+# grid (trees 100/200/300, depth 10/20/None, leaf 1/2); depth 10 and leaf 2
+# were its recorded best.
+FOREST = dict(num_trees=100, max_depth=10, min_instances=2)
+
+
+def _training_table(spark, sf_dir):
+    return FT.scoring_features(_synthetic(spark, sf_dir), keep=("id_number", "elimination_flag"))
+
+
+@query("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    return M.split_flag(_synthetic(spark, sf_dir)).select("id_number", "elimination_flag", "is_train")
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    return M.fold_column(_synthetic(spark, sf_dir)).select("id_number", "elimination_flag", "fold")
+
+
+@query("class_weights")
+def q_class_weights(spark, sf_dir):
+    return M.class_weights(_synthetic(spark, sf_dir)).withColumn("class_weight", F.round("class_weight", 6))
+
+
+def _expert_pairs(spark, sf_dir):
+    """(label, prediction): expert decision vs the model's decision per overridden point."""
+    state = _state(spark, sf_dir).select("id_number", "sme_decision")
+    return _basic(spark, sf_dir).join(state, "id_number").select(
+        F.when(F.col("sme_decision") == "ELIMINATE", 1).otherwise(0).alias("elimination_flag"),
+        F.col("predicted_elimination_flag").alias("prediction"))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return M.classification_report(_expert_pairs(spark, sf_dir))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(_expert_pairs(spark, sf_dir))
+
+
+@query("model_train_evaluate")
+def q_model_train_evaluate(spark, sf_dir):
+    _model, _scored, metrics = M.train_and_evaluate(_training_table(spark, sf_dir), **FOREST)
+    return metrics
+
+
+@query("model_scores")
+def q_model_scores(spark, sf_dir):
+    model, _s, _m = M.train_and_evaluate(_training_table(spark, sf_dir), **FOREST)
+    pts = FT.scoring_features(load_points(spark, sf_dir))
+    return M.score_points(model, pts).select("id_number", "predicted_elimination_flag", "elimination_probability")
+
+
+@query("model_feature_importance")
+def q_model_feature_importance(spark, sf_dir):
+    model, scored, _m = M.train_and_evaluate(_training_table(spark, sf_dir), **FOREST)
+    return M.feature_importance(model, scored)
+
+
+@query("cross_validated_f1")
+def q_cross_validated_f1(spark, sf_dir):
+    return M.cross_validated_f1(_training_table(spark, sf_dir), **FOREST)
