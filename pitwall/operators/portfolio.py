@@ -38,6 +38,20 @@ def analytics_life(df: DataFrame, lo: float | None = 0.0, hi: float | None = 50.
     return R.life_analytics(F.col(T_COL), F.col(R_COL), p, lo=lo, hi=hi)
 
 
+def staged(df: DataFrame, p: Analytics = Analytics(), lo: float | None = 0.0, hi: float | None = 50.0) -> DataFrame:
+    """Add ``_life`` (clipped to [lo, hi]), ``_months`` and ``_band4`` as columns.
+
+    Staging them as columns (instead of nesting helper expressions) lets
+    Catalyst compute each once per row: the optimizer does not inline a
+    non-trivial expression that is referenced several times.
+    """
+    out = df.withColumn("_life", analytics_life(df, lo, hi, p))
+    return out.withColumns({
+        "_months": R.analytics_interval_months(F.col("_life"), p),
+        "_band4": band(F.col("_life"), RISK_BAND_4),
+    })
+
+
 def _spark(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -53,17 +67,16 @@ def bin_dim(spark: SparkSession, bins, name: str) -> DataFrame:
 
 def risk_bands(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """R1-R5 per point: 4- and 5-level risk bands, rate / thickness bins, time bucket."""
-    life = analytics_life(df, 0.0, p.life_cap, p)
-    months = R.analytics_interval_months(life, p)
-    return df.select(
+    st = staged(df, p, 0.0, p.life_cap)
+    return st.select(
         "id_number",
-        life.alias("remaining_life_years"),
-        band(life, RISK_BAND_4).alias("risk_band_4"),
-        band(life, RISK_BAND_5).alias("risk_band_5"),
+        F.col("_life").alias("remaining_life_years"),
+        F.col("_band4").alias("risk_band_4"),
+        band(F.col("_life"), RISK_BAND_5).alias("risk_band_5"),
         band(F.col(R_COL), CORROSION_BINS).alias("corrosion_bin"),
         band(F.col(T_COL), THICKNESS_BINS).alias("thickness_bin"),
-        months.alias("inspection_months"),
-        band(months, INSPECTION_TIME_BINS).alias("inspection_time_bucket"),
+        F.col("_months").alias("inspection_months"),
+        band(F.col("_months"), INSPECTION_TIME_BINS).alias("inspection_time_bucket"),
     )
 
 
@@ -110,8 +123,7 @@ def life_histogram(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     spark = _spark(df)
     n = p.histogram_bins
     width = p.life_cap / n
-    life = analytics_life(df, None, p.life_cap, p)
-    vals = df.select(life.alias("x")).where(F.col("x").isNotNull())
+    vals = df.select(analytics_life(df, None, p.life_cap, p).alias("x")).where(F.col("x").isNotNull())
     counts = vals.groupBy(_bin_index(F.col("x"), width, n).alias("bin_index")).agg(
         F.count(F.lit(1)).alias("n_points"))
     rows = [(-1, None, 0.0)] + [(i, i * width, (i + 1) * width) for i in range(n)]
@@ -157,12 +169,12 @@ def corrosion_by_commodity(df: DataFrame) -> DataFrame:
 
 def inspection_priority_points(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """A4: per point rate, thickness, life (clip 0..50), 4-level band, flag t < 3."""
-    life = analytics_life(df, 0.0, p.life_cap, p)
-    return df.select(
+    st = staged(df, p, 0.0, p.life_cap)
+    return st.select(
         "id_number", "commodity", "feature_type",
         F.col(R_COL).alias("average_corrosion_rate"), F.col(T_COL).alias("thickness_mm"),
-        life.alias("remaining_life_years"),
-        band(life, RISK_BAND_4).alias("risk_category"),
+        F.col("_life").alias("remaining_life_years"),
+        F.col("_band4").alias("risk_category"),
         (F.col(T_COL) < dbl(p.below_min_thickness)).alias("below_min_thickness"),
     )
 
@@ -179,8 +191,8 @@ def feature_commodity_hierarchy(df: DataFrame) -> DataFrame:
 
 def portfolio_health(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Avg life (clip 0..50), % of points with life < 2, avg rate, gauge bands."""
-    life = analytics_life(df, 0.0, p.life_cap, p)
-    one = df.agg(
+    life = F.col("_life")
+    one = staged(df, p, 0.0, p.life_cap).agg(
         F.avg(life).alias("avg_life"),
         (count_if(life < dbl(p.critical_life)) * dbl(100.0) / F.count(F.lit(1))).alias("critical_pct"),
         F.avg(R_COL).alias("avg_rate"),
@@ -209,7 +221,7 @@ def _life_stats_cols(life):
 
 def life_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Mean, median, std, min, max, p10/25/75/90 of life clipped to [0, 50]."""
-    return df.agg(*_life_stats_cols(analytics_life(df, 0.0, p.life_cap, p)))
+    return staged(df, p, 0.0, p.life_cap).agg(*_life_stats_cols(F.col("_life")))
 
 
 def _corrosion_cols(p: Analytics):
@@ -240,35 +252,35 @@ def thickness_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame
     return df.agg(*_thickness_cols(p))
 
 
-def _risk_dist_cols(life):
-    b = band(life, RISK_BAND_4)
+def _risk_dist_cols(b):
     return [count_if(b == lbl).alias(lbl.lower()) for _lo, _hi, lbl in RISK_BAND_4]
 
 
 def risk_distribution(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """A10: 4-band counts with fixed keys (life 0 falls out of every band)."""
-    return df.agg(*_risk_dist_cols(analytics_life(df, 0.0, p.life_cap, p)))
+    return staged(df, p, 0.0, p.life_cap).agg(*_risk_dist_cols(F.col("_band4")))
 
 
-def _scheduling_cols(life, p: Analytics):
+def _scheduling_cols(life, months):
     return [
         count_if(life < dbl(1.0)).alias("immediate_attention"),
         count_if(life < dbl(2.0)).alias("next_6_months"),
         count_if(life < dbl(3.0)).alias("next_12_months"),
-        r6(F.avg(R.analytics_interval_months(life, p))).alias("avg_interval_months"),
+        r6(F.avg(months)).alias("avg_interval_months"),
     ]
 
 
 def inspection_scheduling(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Cumulative counts life < 1 / 2 / 3 and the mean interval in months."""
-    return df.agg(*_scheduling_cols(analytics_life(df, 0.0, p.life_cap, p), p))
+    return staged(df, p, 0.0, p.life_cap).agg(*_scheduling_cols(F.col("_life"), F.col("_months")))
 
 
 def commodity_risk(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Per commodity count, mean rate, count of raw life (no clip) < 2."""
-    raw_life = R.life_analytics(F.col(T_COL), F.col(R_COL), p, lo=None, hi=None)
+    raw_life = F.col("_raw_life")
     return (
-        df.where(F.col("commodity").isNotNull())
+        df.withColumn("_raw_life", R.life_analytics(F.col(T_COL), F.col(R_COL), p, lo=None, hi=None))
+        .where(F.col("commodity").isNotNull())
         .groupBy("commodity")
         .agg(F.count(F.lit(1)).alias("n_points"), r6(F.avg(R_COL)).alias("avg_corrosion"),
              count_if(raw_life < dbl(p.critical_life)).alias("critical_count"))
@@ -278,9 +290,8 @@ def commodity_risk(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
 def inspection_timeline(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Interval-month buckets in bin order, zero-filled."""
     spark = _spark(df)
-    months = R.analytics_interval_months(analytics_life(df, 0.0, p.life_cap, p), p)
     counts = (
-        df.select(band(months, INSPECTION_TIME_BINS).alias("bucket"))
+        staged(df, p, 0.0, p.life_cap).select(band(F.col("_months"), INSPECTION_TIME_BINS).alias("bucket"))
         .where(F.col("bucket").isNotNull())
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_points"))
     )
@@ -292,10 +303,9 @@ def inspection_timeline(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
 
 def report_metrics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Dashboard tiles: rows, mean life (clip 0..50), rate > 0.2, t < 5."""
-    life = analytics_life(df, 0.0, p.life_cap, p)
-    return df.agg(
+    return staged(df, p, 0.0, p.life_cap).agg(
         F.count(F.lit(1)).alias("total_assets"),
-        r6(F.avg(life)).alias("avg_remaining_life_years"),
+        r6(F.avg("_life")).alias("avg_remaining_life_years"),
         count_if(F.col(R_COL) > dbl(p.dashboard_high_corrosion)).alias("high_corrosion_cmls"),
         count_if(F.col(T_COL) < dbl(p.thin_wall)).alias("thin_wall_cmls"),
     )
@@ -312,14 +322,14 @@ def dashboard_decision_counts(scored: DataFrame, flag_col: str = "predicted_elim
 def advanced_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """A7-A11 plus the total in one row of nested structs (one pass),
     with A12 as an array of per-commodity structs (one entry per commodity)."""
-    life = analytics_life(df, 0.0, p.life_cap, p)
-    one = df.agg(
+    life = F.col("_life")
+    one = staged(df, p, 0.0, p.life_cap).agg(
         F.count(F.lit(1)).alias("total_cmls"),
         F.struct(*_life_stats_cols(life)).alias("remaining_life"),
         F.struct(*_corrosion_cols(p)).alias("corrosion_rate"),
         F.struct(*_thickness_cols(p)).alias("thickness"),
-        F.struct(*_risk_dist_cols(life)).alias("risk_distribution"),
-        F.struct(*_scheduling_cols(life, p)).alias("inspection_scheduling"),
+        F.struct(*_risk_dist_cols(F.col("_band4"))).alias("risk_distribution"),
+        F.struct(*_scheduling_cols(life, F.col("_months"))).alias("inspection_scheduling"),
     )
     cr = commodity_risk(df, p).agg(
         F.sort_array(F.collect_list(F.struct("commodity", "n_points", "avg_corrosion", "critical_count")))

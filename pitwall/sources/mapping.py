@@ -8,7 +8,7 @@ All three are lazy DataFrames: their work grows with ``lineitem``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import dbl
@@ -55,6 +55,8 @@ def raw_points(lineitem: DataFrame) -> DataFrame:
         F.concat(
             F.lit("PT-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")
         ).alias("id_number"),
+        "l_orderkey",
+        "l_linenumber",
         "l_partkey",
         "l_suppkey",
         "l_extendedprice",
@@ -95,20 +97,24 @@ POINT_COLUMNS = (
 )
 
 
+DEDUP_ORDER = ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax",
+               "l_returnflag", "l_linestatus")
+
+
 def dedup_points(raw: DataFrame) -> DataFrame:
     """Keep the first reading per id by (partkey, suppkey, price, shipdate, ...).
 
-    Expressed as ``min(struct(order keys..., payload...))`` per id instead of a
-    ``row_number`` window: the aggregate runs partially on the map side, so an
-    id holding a large share of all rows is reduced before the shuffle rather
-    than landing whole in one window task.
+    ``row_number() = 1`` over the id's numeric parts (order key, line number;
+    the id is an injective function of them).  Spark plans this as a partial
+    per-partition group limit *before* the shuffle, so an id holding a large
+    share of all rows is cut to one row per map task -- a map-side combine --
+    and columns a query does not use are pruned from the scan and the shuffle.
     """
-    order_keys = ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax",
-                  "l_returnflag", "l_linestatus")
-    payload = [c for c in POINT_COLUMNS if c != "id_number" and c not in order_keys]
-    first = F.min(F.struct(*[F.col(c) for c in order_keys], *[F.col(c) for c in payload])).alias("_first")
-    return raw.groupBy("id_number").agg(first).select(
-        "id_number", *[F.col(f"_first.{c}").alias(c) for c in POINT_COLUMNS if c != "id_number"]
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c).asc_nulls_first() for c in DEDUP_ORDER])
+    return (
+        raw.withColumn("_rn", F.row_number().over(w))
+        .where(F.col("_rn") == 1)
+        .select(*POINT_COLUMNS)
     )
 
 
