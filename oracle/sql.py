@@ -929,3 +929,11 @@ select dim.label, dim.prediction, count(pairs.l) as n
 from dim left join pairs on pairs.l = dim.label and pairs.p = dim.prediction
 group by dim.label, dim.prediction
 """)
+
+
+# ---------------------------------------------------------------- sources
+_q("dataset_preview", """
+select id_number, average_corrosion_rate, thickness_mm, commodity, feature_type, cml_shape, last_inspection_date,
+  (select count(*) from points) as total_rows
+from points order by id_number limit 5
+""")

@@ -476,3 +476,14 @@ def q_model_feature_importance(spark, sf_dir):
 @query("cross_validated_f1")
 def q_cross_validated_f1(spark, sf_dir):
     return M.cross_validated_f1(_training_table(spark, sf_dir), **FOREST)
+
+
+# ---------------------------------------------------------------- sources
+from ..sources import io as IO  # noqa: E402
+
+
+@query("dataset_preview")
+def q_dataset_preview(spark, sf_dir):
+    return IO.dataset_preview(load_points(spark, sf_dir).select(
+        "id_number", "average_corrosion_rate", "thickness_mm", "commodity", "feature_type", "cml_shape",
+        "last_inspection_date"), 5)
