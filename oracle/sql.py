@@ -9,6 +9,24 @@ def rnd(expr: str, d: int) -> str:
     return f"cast(round(cast(cast(({expr}) as varchar) as decimal(38,20)), {d}) as double)"
 
 
+def pyrnd(expr: str, d: int) -> str:
+    """Python's round(x, d) on doubles: half-even on the exact binary value.
+
+    p = x * 10^d and its exact error e (Dekker split of x; 10^d splits
+    exactly) decide the rare .5 ties; everything else rounds to nearest.
+    """
+    s = f"{float(10 ** d)}::double"
+    x = f"({expr})"
+    p = f"({x} * {s})"
+    big = f"({x} * 134217729.0::double)"
+    hi = f"({big} - ({big} - {x}))"
+    err = f"((({hi} * {s}) - {p}) + (({x} - {hi}) * {s}))"
+    k = f"floor({p})"
+    return (f"(case when {x} is null then null else ({k} + case when {p} - {k} > 0.5::double then 1 "
+            f"when {p} - {k} < 0.5::double then 0 when {err} > 0 then 1 when {err} < 0 then 0 "
+            f"else cast(cast({k} as bigint) % 2 as integer) end) / {s} end)")
+
+
 # The canonical lineitem -> points mapping (CTEs raw, points, override_log).
 MAPPING_SQL = """
 with raw as (
@@ -84,8 +102,8 @@ fb as (
 """
 
 _FB_R = dict(
-    r_life=rnd("life", 1),
-    r_thick=rnd("case when t - r * (months / 12.0::double) < 0 then 0.0::double "
+    r_life=pyrnd("life", 1),
+    r_thick=pyrnd("case when t - r * (months / 12.0::double) < 0 then 0.0::double "
                 "else t - r * (months / 12.0::double) end", 2),
 )
 FB_DEFAULT = _FB.format(minimum=3.0, sf=1.5, lo=12, hi=72, **_FB_R)
@@ -114,7 +132,7 @@ fa as (
     case when life < 2 then 'CRITICAL' when life < 5 then 'HIGH' when life < 10 then 'MEDIUM'
          else 'LOW' end as risk_level
   from fa1)
-""").replace("{r_life}", rnd("life", 1)).replace("{r_thick_a}", rnd("t - r * years", 2))
+""").replace("{r_life}", pyrnd("life", 1)).replace("{r_thick_a}", pyrnd("t - r * years", 2))
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -712,7 +730,7 @@ select count(*) as total_overrides,
   count(*) filter (where sme_decision = 'KEEP') as keep_overrides,
   count(*) filter (where sme_decision = 'ELIMINATE') as eliminate_overrides,
   count(*) filter (where sme_decision is distinct from original_prediction) as disagreements_with_ml,
-  case when count(*) > 0 then """ + rnd("(count(*) - count(*) filter (where sme_decision is distinct from "
+  case when count(*) > 0 then """ + pyrnd("(count(*) - count(*) filter (where sme_decision is distinct from "
                                       "original_prediction)) * 100.0::double / count(*)", 1) + """ end as agreement_rate
 from cur
 """)
@@ -736,7 +754,7 @@ _q("report_summary", SCORED + """
 select count(*) as total_cmls,
   count(*) filter (where predicted_elimination = 1) as recommended_eliminations,
   count(*) filter (where predicted_elimination = 0) as recommended_keep,
-  """ + rnd("(count(*) filter (where predicted_elimination = 1)) * 100.0::double / count(*)", 1) + """
+  """ + pyrnd("(count(*) filter (where predicted_elimination = 1)) * 100.0::double / count(*)", 1) + """
     as elimination_rate
 from sc
 """)
@@ -745,7 +763,7 @@ _q("report_summary_final", SCORED + """
 select count(*) as total_cmls,
   count(*) filter (where final_decision = 'ELIMINATE') as recommended_eliminations,
   count(*) filter (where final_decision = 'KEEP') as recommended_keep,
-  """ + rnd("(count(*) filter (where final_decision = 'ELIMINATE')) * 100.0::double / count(*)", 1) + """
+  """ + pyrnd("(count(*) filter (where final_decision = 'ELIMINATE')) * 100.0::double / count(*)", 1) + """
     as elimination_rate
 from sc
 """)
@@ -781,7 +799,7 @@ union all select 'summary', 'recommended_eliminations', cast(count(*) filter (wh
 union all select 'summary', 'recommended_keep', cast(count(*) filter (where predicted_elimination = 0) as double)
   from sc
 union all select 'summary', 'elimination_rate',
-  """ + rnd("(count(*) filter (where predicted_elimination = 1)) * 100.0::double / count(*)", 1) + """ from sc
+  """ + pyrnd("(count(*) filter (where predicted_elimination = 1)) * 100.0::double / count(*)", 1) + """ from sc
 union all select 'confidence_distribution', confidence_level, cast(count(*) as double) from sc
   where confidence_level is not null group by confidence_level
 union all select 'elimination_by_commodity', commodity, cast(count(*) as double) from sc
@@ -839,11 +857,11 @@ g4 as (
   from g3),
 syn as (
   select 'CML-' || k as id_number, commodity, feature_type, cml_shape,
-    """ + rnd("rate", 2) + """ as average_corrosion_rate,
-    """ + rnd("thick", 1) + """ as thickness_mm,
+    """ + pyrnd("rate", 2) + """ as average_corrosion_rate,
+    """ + pyrnd("thick", 1) + """ as thickness_mm,
     cast(DATE '2002-01-01' - days_ago as date) as last_inspection_date,
     cast(DATE '2002-01-01' - days_ago + intv as date) as next_inspection_date,
-    """ + rnd("life", 1) + """ as remaining_life_years,
+    """ + pyrnd("life", 1) + """ as remaining_life_years,
     cast(intv - days_ago as integer) as days_to_next_inspection,
     cast(risk as integer) as risk_score,
     case when rate < 0.08::double and thick > 9.5::double then case when ul > 0.3::double then 1 else 0 end

@@ -49,7 +49,7 @@ def flag(cond: Column) -> Column:
 
 def count_if(cond: Column) -> Column:
     """Rows where cond is true (NULL counts as false), as bigint."""
-    return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
+    return F.count(F.when(cond, F.lit(1)))
 
 
 def r6(c: Column) -> Column:
@@ -100,3 +100,37 @@ def step_index(c: Column, upper_edges) -> Column:
     for i, edge in enumerate(upper_edges):
         expr = F.when(c < dbl(edge), F.lit(i)) if expr is None else expr.when(c < dbl(edge), F.lit(i))
     return F.when(c.isNull(), F.lit(None).cast("int")).otherwise(expr.otherwise(F.lit(len(upper_edges))))
+
+
+_SPLIT = 134217729.0  # 2**27 + 1, Veltkamp splitting constant for doubles
+
+
+def py_round(c: str | Column, digits: int) -> Column:
+    """Python's ``round(x, digits)`` on doubles, exactly, with built-in expressions.
+
+    Python rounds the exact binary value half-to-even (``round(3.045, 2)`` is
+    3.04 because 3.045 is stored as 3.04499...), while Spark's ``round``
+    rounds the shortest decimal form half-up (3.05).  Here ``p = x * 10^d``
+    is computed together with its exact rounding error ``e`` (Dekker's
+    error-free product; ``10^d`` splits exactly).  ``p`` can only sit on a
+    .5 tie when the exact product is at or next to it, so the sign of ``e``
+    decides ties and half-even is used only for exact ties.  Pass a column
+    reference (or stage the value first): the input is referenced many times.
+    """
+    x = col(c)
+    scale = float(10 ** digits)
+    p = x * dbl(scale)
+    big = x * dbl(_SPLIT)
+    hi = big - (big - x)
+    lo = x - hi
+    err = (hi * dbl(scale) - p) + lo * dbl(scale)
+    k = F.floor(p)
+    frac = p - k
+    up = (
+        F.when(frac > dbl(0.5), F.lit(1))
+        .when(frac < dbl(0.5), F.lit(0))
+        .when(err > dbl(0.0), F.lit(1))
+        .when(err < dbl(0.0), F.lit(0))
+        .otherwise(F.pmod(k, F.lit(2)).cast("int"))
+    )
+    return F.when(x.isNull() | F.isnan(x), x).otherwise((k + up).cast("double") / dbl(scale))

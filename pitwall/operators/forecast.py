@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.core import count_if, dbl, r6
+from ..functions.core import count_if, dbl, py_round, r6
 from ..schema import DEFAULT_AS_OF, RISK_LEVELS, ForecastA, ForecastB
 
 B_OUTPUT = (
@@ -44,19 +44,20 @@ def forecast_b(df: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, profile: Forec
     life = R.life_capped(t, r, minimum, profile.life_cap)
     months = R.interval_months_b(F.col("_life"), r, profile)
     values = {
-        "remaining_life_years": F.round(F.col("_life"), 1),
+        "remaining_life_years": py_round("_life", 1),
         "next_inspection_date": R.next_date_b(last, F.col("_months"), as_of, profile),
         "recommended_inspection_frequency_months": F.col("_months"),
-        "estimated_thickness_at_next_inspection": F.round(R.future_thickness_b(t, r, F.col("_months")), 2),
+        "estimated_thickness_at_next_inspection": py_round("_thick", 2),
         "risk_level": R.risk_level_b(F.col("_life"), r, t, profile),
         "current_thickness_mm": t,
         "corrosion_rate_mm_per_year": r,
     }
     out = df.withColumn("_life", life).withColumn("_months", months)
+    out = out.withColumn("_thick", R.future_thickness_b(t, r, F.col("_months")))
     named = {}
     for name, expr in values.items():
         named[f"{name}_forecast" if name in df.columns else name] = expr
-    return out.withColumns(named).drop("_life", "_months")
+    return out.withColumns(named).drop("_life", "_months", "_thick")
 
 
 def risk_summary(fc: DataFrame) -> DataFrame:
@@ -131,11 +132,12 @@ def forecast_a(df: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, profile: Forec
     acc = df.where(_a_accepted(t, r, profile))
     life = R.life_capped(t, r, profile.minimum_thickness, profile.life_cap)
     out = acc.withColumn("_life", life).withColumn("_years", R.interval_years_a(F.col("_life"), profile))
+    out = out.withColumn("_thick", R.estimated_thickness_a(t, r, F.col("_years")))
     return out.select(
         "id_number",
-        F.round(F.col("_life"), 1).alias("remaining_life_years"),
+        py_round("_life", 1).alias("remaining_life_years"),
         R.next_date_a(F.col("_years"), as_of, profile).alias("next_inspection_date"),
-        F.round(R.estimated_thickness_a(t, r, F.col("_years")), 2).alias("estimated_thickness_at_next_inspection"),
+        py_round("_thick", 2).alias("estimated_thickness_at_next_inspection"),
         F.floor(F.col("_years") * dbl(12.0)).cast("int").alias("recommended_inspection_frequency_months"),
         R.risk_level_a(F.col("_life"), profile).alias("risk_level"),
     )

@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, dbl
+from ..functions.core import count_if, dbl, py_round
 from ..schema import DECISIONS, OVERRIDE_SCHEMA
 
 OVERRIDE_COLUMNS = [f.name for f in OVERRIDE_SCHEMA.fields]
@@ -128,14 +128,17 @@ def override_statistics(state: DataFrame) -> DataFrame:
     original.  An empty state gives zeros and a NULL agreement rate.
     """
     dis = count_if(~F.col("sme_decision").eqNullSafe(F.col("original_prediction")))
-    total = F.count(F.lit(1))
-    return state.agg(
-        total.alias("total_overrides"),
+    agg = state.agg(
+        F.count(F.lit(1)).alias("total_overrides"),
         count_if(F.col("sme_decision") == "KEEP").alias("keep_overrides"),
         count_if(F.col("sme_decision") == "ELIMINATE").alias("eliminate_overrides"),
-        F.coalesce(dis, F.lit(0).cast("bigint")).alias("disagreements_with_ml"),
-        F.when(total > 0, F.round((total - dis) * dbl(100.0) / total, 1)).alias("agreement_rate"),
+        dis.alias("disagreements_with_ml"),
     )
+    n = F.col("total_overrides")
+    pct = (n - F.col("disagreements_with_ml")) * dbl(100.0) / n
+    return agg.withColumn("_pct", F.when(n > 0, pct)).select(
+        "total_overrides", "keep_overrides", "eliminate_overrides", "disagreements_with_ml",
+        py_round("_pct", 1).alias("agreement_rate"))
 
 
 def recent_overrides(state: DataFrame, n: int = 10) -> DataFrame:

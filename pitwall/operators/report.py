@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, dbl
+from ..functions.core import count_if, dbl, py_round
 from ..schema import Decisions
 from . import decide as D
 from . import overrides as O
@@ -42,13 +42,15 @@ def report_summary(scored: DataFrame, decision_col: str = "predicted_elimination
     is_elim = (c == F.lit("ELIMINATE")) if dict(scored.dtypes)[decision_col] == "string" else (c == 1)
     is_keep = (c == F.lit("KEEP")) if dict(scored.dtypes)[decision_col] == "string" else (c == 0)
     total = F.count(F.lit(1))
-    return scored.agg(
+    agg = scored.agg(
         total.alias("total_cmls"),
         count_if(is_elim).alias("recommended_eliminations"),
         count_if(is_keep).alias("recommended_keep"),
-        F.when(total > 0, F.round(count_if(is_elim) * dbl(100.0) / total, 1)).otherwise(dbl(0.0))
-        .alias("elimination_rate"),
     )
+    pct = F.col("recommended_eliminations") * dbl(100.0) / F.col("total_cmls")
+    return agg.withColumn("_pct", pct).select(
+        "total_cmls", "recommended_eliminations", "recommended_keep",
+        F.when(F.col("total_cmls") > 0, py_round("_pct", 1)).otherwise(dbl(0.0)).alias("elimination_rate"))
 
 
 def confidence_distribution(scored: DataFrame) -> DataFrame:
