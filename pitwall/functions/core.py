@@ -134,3 +134,41 @@ def py_round(c: str | Column, digits: int) -> Column:
         .otherwise(F.pmod(k, F.lit(2)).cast("int"))
     )
     return F.when(x.isNull() | F.isnan(x), x).otherwise((k + up).cast("double") / dbl(scale))
+
+
+def literal_rows(spark, rows, ddl: str):
+    """A small fixed table built JVM-side (inline of literal structs).
+
+    Used for bin dimensions and other fixed-size lookup rows; unlike
+    ``createDataFrame`` on a Python list it needs no Python worker and plans
+    as a local relation.  ``ddl`` is "name type, name type, ...".
+    """
+    fields = [f.strip().split() for f in ddl.split(",")]
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def zero_filled_counts(keyed, dim, keys, attrs=(), count_name: str = "n_points"):
+    """Counts of ``keyed`` rows per key, for exactly the keys listed in ``dim``.
+
+    ``keyed`` holds one row per data row with the key column(s); ``dim`` holds
+    the fixed key list plus display attributes.  Both are unioned (dimension
+    rows count 0) and aggregated once, with partial aggregation before the
+    shuffle.  Keys absent from the data get 0; data keys outside the
+    dimension (e.g. NULL = out of every bin) are dropped by a condition on an
+    aggregate.  No join is used: an equi-join would make the optimizer infer
+    ``key IS NOT NULL`` and push it below the projection that computes the
+    key, re-evaluating the whole key expression inside the filter.
+    """
+    data = keyed.select(*keys, *[F.lit(None).cast(dict(dim.dtypes)[a]).alias(a) for a in attrs],
+                        F.lit(1).alias("_n"), F.lit(0).alias("_dim"))
+    fixed = dim.select(*keys, *attrs, F.lit(0).alias("_n"), F.lit(1).alias("_dim"))
+    agg = data.unionByName(fixed).groupBy(*keys).agg(
+        *[F.max(a).alias(a) for a in attrs],
+        F.sum("_n").cast("bigint").alias(count_name),
+        F.max("_dim").alias("_in_dim"),
+    )
+    return agg.where(F.col("_in_dim") == 1).drop("_in_dim")

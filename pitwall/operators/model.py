@@ -25,7 +25,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import dbl
+from ..functions.core import dbl, literal_rows, zero_filled_counts
 from .synth import uniform
 
 LABEL = "elimination_flag"
@@ -185,11 +185,9 @@ def confusion_matrix(pairs: DataFrame, label: str = LABEL, prediction: str = "pr
                      classes=(0, 1)) -> DataFrame:
     """M9: label x prediction counts, zero-filled over the fixed class list."""
     spark = pairs.sparkSession
-    cells = pairs.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")
-                          ).agg(F.count(F.lit(1)).alias("n"))
-    dim = spark.createDataFrame([(a, b) for a in classes for b in classes], "label int, prediction int")
-    return dim.join(cells, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("n"))
+    keyed = pairs.select(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction"))
+    dim = literal_rows(spark, [(a, b) for a in classes for b in classes], "label int, prediction int")
+    return zero_filled_counts(keyed, dim, ["label", "prediction"], count_name="n")
 
 
 def cross_validated_f1(data: DataFrame, k: int = 5, seed: int = 42, parallelism: int = 5,

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.core import band, band_order, clip, count_if, dbl, r6, step_index
+from ..functions.core import band, band_order, clip, count_if, dbl, literal_rows, r6, step_index, zero_filled_counts
 from ..schema import (
     CORROSION_BINS,
     CRITICAL_PCT_ALERT,
@@ -59,7 +59,7 @@ def _spark(df: DataFrame) -> SparkSession:
 def bin_dim(spark: SparkSession, bins, name: str) -> DataFrame:
     """Fixed-size dimension (order, label) of a bin definition."""
     rows = [(i, label) for i, (_lo, _hi, label) in enumerate(bins, start=1)]
-    return spark.createDataFrame(rows, f"{name}_order int, {name} string")
+    return literal_rows(spark, rows, f"{name}_order int, {name} string")
 
 
 # ------------------------------------------------------------------- bands
@@ -91,19 +91,13 @@ def risk_matrix(df: DataFrame) -> DataFrame:
         for ti, (_a, _b, tl) in enumerate(THICKNESS_BINS, start=1)
         for ci, (_c, _d, cl) in enumerate(CORROSION_BINS, start=1)
     ]
-    dim = spark.createDataFrame(cells, "thickness_order int, thickness_bin string, corrosion_order int, "
-                                       "corrosion_bin string")
-    counts = (
-        df.select(band(F.col(T_COL), THICKNESS_BINS).alias("thickness_bin"),
-                  band(F.col(R_COL), CORROSION_BINS).alias("corrosion_bin"))
-        .where(F.col("thickness_bin").isNotNull() & F.col("corrosion_bin").isNotNull())
-        .groupBy("thickness_bin", "corrosion_bin")
-        .agg(F.count(F.lit(1)).alias("n_points"))
-    )
-    return dim.join(counts, ["thickness_bin", "corrosion_bin"], "left").select(
-        "thickness_order", "thickness_bin", "corrosion_order", "corrosion_bin",
-        F.coalesce(F.col("n_points"), F.lit(0).cast("bigint")).alias("n_points"),
-    )
+    dim = literal_rows(spark, cells, "thickness_order int, thickness_bin string, corrosion_order int, "
+                                     "corrosion_bin string")
+    keyed = df.select(band(F.col(T_COL), THICKNESS_BINS).alias("thickness_bin"),
+                      band(F.col(R_COL), CORROSION_BINS).alias("corrosion_bin"))
+    return zero_filled_counts(keyed, dim, ["thickness_bin", "corrosion_bin"],
+                              ["thickness_order", "corrosion_order"]).select(
+        "thickness_order", "thickness_bin", "corrosion_order", "corrosion_bin", "n_points")
 
 
 def risk_matrix_wide(df: DataFrame) -> DataFrame:
@@ -123,22 +117,20 @@ def life_histogram(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     spark = _spark(df)
     n = p.histogram_bins
     width = p.life_cap / n
-    vals = df.select(analytics_life(df, None, p.life_cap, p).alias("x")).where(F.col("x").isNotNull())
-    counts = vals.groupBy(_bin_index(F.col("x"), width, n).alias("bin_index")).agg(
-        F.count(F.lit(1)).alias("n_points"))
+    vals = df.select(analytics_life(df, None, p.life_cap, p).alias("x"))
     rows = [(-1, None, 0.0)] + [(i, i * width, (i + 1) * width) for i in range(n)]
-    dim = spark.createDataFrame(rows, "bin_index int, bin_lo double, bin_hi double")
+    dim = literal_rows(spark, rows, "bin_index int, bin_lo double, bin_hi double")
     mean = vals.agg(F.avg("x")).scalar()
-    return dim.join(counts, "bin_index", "left").select(
-        "bin_index", "bin_lo", "bin_hi",
-        F.coalesce(F.col("n_points"), F.lit(0).cast("bigint")).alias("n_points"),
-        r6(mean).alias("mean_life"),
-    )
+    # NULL lives fall in no bin (dropped); avg skips them.
+    keyed = vals.select(_bin_index(F.col("x"), width, n).alias("bin_index"))
+    return zero_filled_counts(keyed, dim, ["bin_index"], ["bin_lo", "bin_hi"]).select(
+        "bin_index", "bin_lo", "bin_hi", "n_points", r6(mean).alias("mean_life"))
 
 
 def _bin_index(x, width: float, n: int):
     """Bin of x in [0, n*width]: the top edge joins the last bin; x < 0 -> -1."""
-    return F.when(x < 0, F.lit(-1)).otherwise(F.least(F.floor(x / dbl(width)), F.lit(n - 1)).cast("int"))
+    return (F.when(x.isNull(), F.lit(None).cast("int")).when(x < 0, F.lit(-1))
+            .otherwise(F.least(F.floor(x / dbl(width)), F.lit(n - 1)).cast("int")))
 
 
 def corrosion_by_commodity(df: DataFrame) -> DataFrame:
@@ -290,15 +282,9 @@ def commodity_risk(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
 def inspection_timeline(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Interval-month buckets in bin order, zero-filled."""
     spark = _spark(df)
-    counts = (
-        staged(df, p, 0.0, p.life_cap).select(band(F.col("_months"), INSPECTION_TIME_BINS).alias("bucket"))
-        .where(F.col("bucket").isNotNull())
-        .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_points"))
-    )
+    keyed = staged(df, p, 0.0, p.life_cap).select(band(F.col("_months"), INSPECTION_TIME_BINS).alias("bucket"))
     dim = bin_dim(spark, INSPECTION_TIME_BINS, "bucket")
-    return dim.join(counts, "bucket", "left").select(
-        "bucket_order", "bucket", F.coalesce(F.col("n_points"), F.lit(0).cast("bigint")).alias("n_points")
-    )
+    return zero_filled_counts(keyed, dim, ["bucket"], ["bucket_order"]).select("bucket_order", "bucket", "n_points")
 
 
 def report_metrics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:

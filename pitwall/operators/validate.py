@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import count_if, dbl
+from ..functions.core import count_if, dbl, literal_rows
 from ..schema import CML_SHAPES, FEATURE_TYPES, REQUIRED_POINT_COLUMNS, Validation
 
 
@@ -170,11 +170,11 @@ def validation_report(df: DataFrame, p: Validation = Validation(), rate_range=(0
     schema = "severity string, check_name string, n bigint, detail string"
     missing = missing_columns(df, required)
     if missing:
-        return spark.createDataFrame(
-            [("error", "missing_columns", len(missing), ", ".join(missing)), ("info", "valid", 0, None)], schema)
+        return literal_rows(
+            spark, [("error", "missing_columns", len(missing), ", ".join(missing)), ("info", "valid", 0, None)], schema)
     if not check_not_empty(df):
-        return spark.createDataFrame([("error", "empty", 0, "DataFrame is empty"), ("info", "valid", 0, None)],
-                                     schema)
+        return literal_rows(spark, [("error", "empty", 0, "DataFrame is empty"), ("info", "valid", 0, None)],
+                            schema)
     dup = duplicate_ids(df, p).select(F.lit("warning").alias("severity"), F.lit("duplicate_ids").alias("check_name"),
                                       F.col("n_duplicates").alias("n"), F.col("examples").alias("detail"))
     nulls = null_counts(df, required).select(F.lit("warning").alias("severity"),
@@ -187,7 +187,7 @@ def validation_report(df: DataFrame, p: Validation = Validation(), rate_range=(0
         F.lit("warning").alias("severity"), F.lit("thickness_range").alias("check_name"),
         F.col("n_violations").alias("n"), F.col("examples").alias("detail"))
     warnings = dup.unionByName(nulls).unionByName(rate).unionByName(thick).where(F.col("n") > 0)
-    valid = spark.createDataFrame([("info", "valid", 1, None)], schema)
+    valid = literal_rows(spark, [("info", "valid", 1, None)], schema)
     return warnings.unionByName(valid)
 
 

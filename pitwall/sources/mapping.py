@@ -34,6 +34,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split an under-partitioned scan (e.g. one parquet row group) across the cores.
+
+    Only when the scan has fewer partitions than the default parallelism --
+    never on a cluster-sized input, where files already give thousands of
+    splits.  Round-robin repartitioning sorts rows first, so a retried task
+    reproduces the same split after an executor loss.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _pick(key, values):
     expr = None
     for i, v in enumerate(values[:-1]):
@@ -135,7 +147,7 @@ def override_log(raw: DataFrame) -> DataFrame:
 
 
 def load_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_points(read_table(spark, sf_dir, "lineitem"))
+    return raw_points(spread(read_table(spark, sf_dir, "lineitem")))
 
 
 def load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
