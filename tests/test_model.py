@@ -66,3 +66,11 @@ def test_reports_from_pairs(spark):
 def test_cross_validated_f1(table):
     cv = M.cross_validated_f1(table, k=3, **SMALL).collect()
     assert len(cv) == 3 and all(0 <= r.f1 <= 1 for r in cv)
+
+
+def test_grid_search_small(table):
+    cv = M.grid_search(table, k=2, parallelism=2, trees=(5,), depths=(3, 4), leaves=(1,),
+                       weightings=("class_weight", ""))
+    assert len(cv.avgMetrics) == 4 and all(0 <= m <= 1 for m in cv.avgMetrics)
+    out = cv.bestModel.transform(M.with_class_weights(table)).select("prediction").distinct().count()
+    assert out >= 1
