@@ -110,7 +110,7 @@ def grid_search(train: DataFrame, k: int = 5, parallelism: int = 2, seed: int =
     grid = (ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths))
             .addGrid(rf.minInstancesPerNode, list(leaves)).addGrid(rf.weightCol, list(weightings)).build())
     ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
                         parallelism=parallelism, seed=seed)
     return cv.fit(data)
 
