@@ -391,11 +391,11 @@ def q_full_report(spark, sf_dir):
 
 # ------------------------------------------------------------ synthetic data
 from ..operators import synth as G  # noqa: E402
-from ..sources.mapping import read_table  # noqa: E402
+from ..sources.mapping import read_table, spread  # noqa: E402
 
 
 def _synthetic(spark, sf_dir):
-    return G.generate_points(read_table(spark, sf_dir, "lineitem"))
+    return G.generate_points(spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")))
 
 
 @query("synthetic_points")
