@@ -172,3 +172,23 @@ def zero_filled_counts(keyed, dim, keys, attrs=(), count_name: str = "n_points")
         F.max("_dim").alias("_in_dim"),
     )
     return agg.where(F.col("_in_dim") == 1).drop("_in_dim")
+
+
+def quantiles(c: str | Column, probs, approx_accuracy: int | None = None) -> Column:
+    """Array of quantiles of ``c``.
+
+    Exact (linear interpolation, like pandas) by default: the aggregation
+    buffer is a value -> count map per group, bounded by the number of
+    distinct values.  For high-cardinality doubles pass ``approx_accuracy``
+    (e.g. 10000): ``percentile_approx`` keeps a fixed-size, mergeable sketch
+    per group, so no task ever holds more than O(accuracy) entries.
+    """
+    if approx_accuracy:
+        return F.percentile_approx(col(c), list(probs), approx_accuracy)
+    return F.percentile(col(c), list(probs))
+
+
+def median_of(c: str | Column, approx_accuracy: int | None = None) -> Column:
+    if approx_accuracy:
+        return F.percentile_approx(col(c), 0.5, approx_accuracy)
+    return F.median(col(c))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.core import count_if, dbl, r6
+from ..functions.core import count_if, dbl, median_of, r6
 from ..schema import Decisions
 
 P = "elimination_probability"
@@ -71,11 +71,11 @@ def decision_breakdown(scored: DataFrame) -> DataFrame:
     return both.withColumn("pct", r6(F.col("n") * dbl(100.0) / total))
 
 
-def probability_stats(scored: DataFrame, prob: str = P) -> DataFrame:
+def probability_stats(scored: DataFrame, prob: str = P, approx_accuracy: int | None = None) -> DataFrame:
     """Mean, median, std of p; counts p > 0.8 and p < 0.2."""
     p = F.col(prob)
     return scored.agg(
-        r6(F.avg(p)).alias("mean_probability"), r6(F.median(p)).alias("median_probability"),
+        r6(F.avg(p)).alias("mean_probability"), r6(median_of(p, approx_accuracy)).alias("median_probability"),
         r6(F.stddev_samp(p)).alias("std_probability"),
         count_if(p > dbl(0.8)).alias("n_above_0_8"), count_if(p < dbl(0.2)).alias("n_below_0_2"),
     )

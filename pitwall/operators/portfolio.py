@@ -13,7 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.core import band, band_order, clip, count_if, dbl, literal_rows, r6, step_index, zero_filled_counts
+from ..functions.core import (
+    band,
+    clip,
+    count_if,
+    dbl,
+    literal_rows,
+    median_of,
+    quantiles,
+    r6,
+    step_index,
+    zero_filled_counts,
+)
 from ..schema import (
     CORROSION_BINS,
     CRITICAL_PCT_ALERT,
@@ -133,11 +144,11 @@ def _bin_index(x, width: float, n: int):
             .otherwise(F.least(F.floor(x / dbl(width)), F.lit(n - 1)).cast("int")))
 
 
-def corrosion_by_commodity(df: DataFrame) -> DataFrame:
+def corrosion_by_commodity(df: DataFrame, approx_accuracy: int | None = None) -> DataFrame:
     """A3: per commodity quartiles (exact, linear interpolation), min / max,
     Tukey fences, and the rank by median (descending, ties by name)."""
     r = F.col(R_COL)
-    q = F.percentile(r, [0.25, 0.5, 0.75])
+    q = quantiles(r, [0.25, 0.5, 0.75], approx_accuracy)
     agg = (
         df.where(F.col("commodity").isNotNull() & r.isNotNull())
         .groupBy("commodity")
@@ -200,10 +211,10 @@ def portfolio_health(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     )
 
 
-def _life_stats_cols(life):
-    q = F.percentile(life, [0.1, 0.25, 0.75, 0.9])
+def _life_stats_cols(life, approx_accuracy: int | None = None):
+    q = quantiles(life, [0.1, 0.25, 0.75, 0.9], approx_accuracy)
     return [
-        r6(F.avg(life)).alias("life_mean"), r6(F.median(life)).alias("life_median"),
+        r6(F.avg(life)).alias("life_mean"), r6(median_of(life, approx_accuracy)).alias("life_median"),
         r6(F.stddev_samp(life)).alias("life_std"), r6(F.min(life)).alias("life_min"),
         r6(F.max(life)).alias("life_max"),
         r6(q[0]).alias("life_p10"), r6(q[1]).alias("life_p25"), r6(q[2]).alias("life_p75"),
@@ -211,23 +222,23 @@ def _life_stats_cols(life):
     ]
 
 
-def life_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
+def life_statistics(df: DataFrame, p: Analytics = Analytics(), approx_accuracy: int | None = None) -> DataFrame:
     """Mean, median, std, min, max, p10/25/75/90 of life clipped to [0, 50]."""
-    return staged(df, p, 0.0, p.life_cap).agg(*_life_stats_cols(F.col("_life")))
+    return staged(df, p, 0.0, p.life_cap).agg(*_life_stats_cols(F.col("_life"), approx_accuracy))
 
 
-def _corrosion_cols(p: Analytics):
+def _corrosion_cols(p: Analytics, approx_accuracy: int | None = None):
     r = F.col(R_COL)
     return [
-        r6(F.avg(r)).alias("rate_mean"), r6(F.median(r)).alias("rate_median"),
+        r6(F.avg(r)).alias("rate_mean"), r6(median_of(r, approx_accuracy)).alias("rate_median"),
         r6(F.stddev_samp(r)).alias("rate_std"), F.max(r).alias("rate_max"),
         count_if(r > dbl(p.high_corrosion)).alias("high_corrosion_count"),
     ]
 
 
-def corrosion_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
+def corrosion_statistics(df: DataFrame, p: Analytics = Analytics(), approx_accuracy: int | None = None) -> DataFrame:
     """Mean, median, std, max of rate and the count above 0.15."""
-    return df.agg(*_corrosion_cols(p))
+    return df.agg(*_corrosion_cols(p, approx_accuracy))
 
 
 def _thickness_cols(p: Analytics):
@@ -305,14 +316,14 @@ def dashboard_decision_counts(scored: DataFrame, flag_col: str = "predicted_elim
     )
 
 
-def advanced_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
+def advanced_statistics(df: DataFrame, p: Analytics = Analytics(), approx_accuracy: int | None = None) -> DataFrame:
     """A7-A11 plus the total in one row of nested structs (one pass),
     with A12 as an array of per-commodity structs (one entry per commodity)."""
     life = F.col("_life")
     one = staged(df, p, 0.0, p.life_cap).agg(
         F.count(F.lit(1)).alias("total_cmls"),
-        F.struct(*_life_stats_cols(life)).alias("remaining_life"),
-        F.struct(*_corrosion_cols(p)).alias("corrosion_rate"),
+        F.struct(*_life_stats_cols(life, approx_accuracy)).alias("remaining_life"),
+        F.struct(*_corrosion_cols(p, approx_accuracy)).alias("corrosion_rate"),
         F.struct(*_thickness_cols(p)).alias("thickness"),
         F.struct(*_risk_dist_cols(F.col("_band4"))).alias("risk_distribution"),
         F.struct(*_scheduling_cols(life, F.col("_months"))).alias("inspection_scheduling"),

@@ -88,3 +88,11 @@ def test_advanced_statistics_one_row(five):
     assert r.total_cmls == 5
     assert r.remaining_life.life_mean == pytest.approx(37.4)
     assert len(r.commodity_risk) == 4
+
+
+def test_approx_quantiles_close(five):
+    exact = PF.life_statistics(five).first()
+    approx = PF.life_statistics(five, approx_accuracy=10000).first()
+    assert approx.life_median == exact.life_median and approx.life_p25 == exact.life_p25
+    c = PF.corrosion_by_commodity(five, approx_accuracy=10000).collect()
+    assert len(c) == 4
