@@ -27,6 +27,18 @@ B_OUTPUT = (
 )
 
 
+def ensure_ids(df: DataFrame, prefix: str = "CML-", id_col: str = "id_number") -> DataFrame:
+    """Give a table without ids one id per row (quirk: the original used row positions).
+
+    Spark rows have no position, and consecutive numbering would need a global
+    sort into one task; ``monotonically_increasing_id`` is unique, computed
+    per partition without a shuffle, and repeatable for the same input files.
+    """
+    if id_col in df.columns:
+        return df
+    return df.withColumn(id_col, F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string")))
+
+
 def forecast_b(df: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, profile: ForecastB = ForecastB(),
                minimum_thickness: float | None = None, thickness: str = "thickness_mm",
                rate: str = "average_corrosion_rate", last_date: str = "last_inspection_date") -> DataFrame:

@@ -50,6 +50,7 @@ REQUIRED_TRAINING_COLUMNS = (
     "cml_shape",
     "elimination_flag",
 )
+REQUIRED_POINT_COLUMNS_WITH_DATES = REQUIRED_POINT_COLUMNS + ("last_inspection_date", "next_inspection_date")
 REQUIRED_SCORING_COLUMNS = ("average_corrosion_rate", "thickness_mm", "commodity", "feature_type", "cml_shape")
 REQUIRED_FORECAST_COLUMNS = ("average_corrosion_rate", "thickness_mm")
 

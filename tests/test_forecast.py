@@ -134,3 +134,15 @@ def test_as_of_is_explicit(spark):
     d = dt.date(2020, 1, 1)
     r = FC.forecast_b(df, as_of=d).first()
     assert r.next_inspection_date == d + dt.timedelta(days=2191)
+
+
+def test_ensure_ids(spark):
+    df = spark.createDataFrame([(10.0, 0.1), (8.0, 0.2), (5.0, 0.9)],
+                               "thickness_mm double, average_corrosion_rate double").repartition(2)
+    out = FC.forecast_b(FC.ensure_ids(df))
+    ids = [r.id_number for r in out.collect()]
+    assert len(set(ids)) == 3 and all(i.startswith("CML-") for i in ids)
+    assert FC.top_priority_inspections(out, 1).count() == 1
+    with_ids = spark.createDataFrame([("x", 1.0, 0.1)], "id_number string, thickness_mm double, "
+                                                        "average_corrosion_rate double")
+    assert FC.ensure_ids(with_ids).columns == with_ids.columns
