@@ -177,16 +177,24 @@ def validation_report(df: DataFrame, p: Validation = Validation(), rate_range=(0
                             schema)
     dup = duplicate_ids(df, p).select(F.lit("warning").alias("severity"), F.lit("duplicate_ids").alias("check_name"),
                                       F.col("n_duplicates").alias("n"), F.col("examples").alias("detail"))
-    nulls = null_counts(df, required).select(F.lit("warning").alias("severity"),
-                                             F.concat(F.lit("nulls:"), F.col("column_name")).alias("check_name"),
-                                             F.col("null_count").alias("n"), F.lit(None).cast("string").alias("detail"))
-    rate = corrosion_range_violations(df, *rate_range, p=p).select(
-        F.lit("warning").alias("severity"), F.lit("corrosion_range").alias("check_name"),
-        F.col("n_violations").alias("n"), F.col("examples").alias("detail"))
-    thick = thickness_range_violations(df, *thickness_range, p=p).select(
-        F.lit("warning").alias("severity"), F.lit("thickness_range").alias("check_name"),
-        F.col("n_violations").alias("n"), F.col("examples").alias("detail"))
-    warnings = dup.unionByName(nulls).unionByName(rate).unionByName(thick).where(F.col("n") > 0)
+    # Every null count and both range counts in one aggregation pass.
+    r, t = F.col("average_corrosion_rate"), F.col("thickness_mm")
+    rate_bad = (r < dbl(rate_range[0])) | (r > dbl(rate_range[1]))
+    thick_bad = (t <= dbl(thickness_range[0])) | (t > dbl(thickness_range[1]))
+    cols = [c for c in required if c in df.columns]
+    names = [f"nulls:{c}" for c in cols] + ["corrosion_range", "thickness_range"]
+    wide = df.agg(*[count_if(F.col(c).isNull()).alias(f"nulls:{c}") for c in cols],
+                  count_if(rate_bad).alias("corrosion_range"), count_if(thick_bad).alias("thickness_range"))
+    tidy = wide.unpivot([], [F.col(f"`{n}`") for n in names], "check_name", "n")
+    rate_ex = _examples(df.where(rate_bad).select("id_number"), p.range_examples).scalar()
+    thick_ex = _examples(df.where(thick_bad).select("id_number"), p.range_examples).scalar()
+    counts = tidy.select(
+        F.lit("warning").alias("severity"), "check_name", "n",
+        F.when(F.col("check_name") == "corrosion_range", rate_ex)
+        .when(F.col("check_name") == "thickness_range", thick_ex)
+        .otherwise(F.lit(None).cast("string")).alias("detail"),
+    )
+    warnings = dup.unionByName(counts).where(F.col("n") > 0)
     valid = literal_rows(spark, [("info", "valid", 1, None)], schema)
     return warnings.unionByName(valid)
 
