@@ -78,3 +78,12 @@ def test_oracle_match_smoke(spark, duck, name):
     dcols = [d[0] for d in res.description]
     assert sorted(sdf.columns) == sorted(dcols)
     assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, res.fetchall())
+
+
+def test_override_state_partition_invariance(spark):
+    q = E.queries()["current_overrides"]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    a = sorted(tuple(r) for r in q(spark, SF).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    b = sorted(tuple(r) for r in q(spark, SF).collect())
+    assert a == b
