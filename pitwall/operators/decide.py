@@ -8,7 +8,7 @@ three-level confidence).  Both are offered; summaries never run after the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -59,16 +59,21 @@ def limited_results(scored: DataFrame, n: int = 100, order_by: str = "id_number"
 
 
 def decision_breakdown(scored: DataFrame) -> DataFrame:
-    """Count and share (%) per recommendation and per confidence."""
-    total = scored.agg(F.count(F.lit(1))).scalar()
-    parts = []
-    for dim in ("recommendation", "confidence"):
-        parts.append(
-            scored.groupBy(F.col(dim).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-            .select(F.lit(dim).alias("dimension"), "value", "n")
-        )
-    both = parts[0].unionByName(parts[1])
-    return both.withColumn("pct", r6(F.col("n") * dbl(100.0) / total))
+    """Count and share (%) per recommendation and per confidence.
+
+    One pass: grouping sets (recommendation), (confidence); the share is
+    computed on the grouped rows (a handful), where each grouping set's
+    counts sum to the total.
+    """
+    g = scored.groupingSets([["recommendation"], ["confidence"]], "recommendation", "confidence").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"))
+    tidy = g.select(
+        F.when(F.col("_gid") == 1, F.lit("recommendation")).otherwise(F.lit("confidence")).alias("dimension"),
+        F.when(F.col("_gid") == 1, F.col("recommendation")).otherwise(F.col("confidence")).alias("value"),
+        "n",
+    )
+    per_dim = Window.partitionBy("dimension")  # over the grouped rows only
+    return tidy.withColumn("pct", r6(F.col("n") * dbl(100.0) / F.sum("n").over(per_dim)))
 
 
 def probability_stats(scored: DataFrame, prob: str = P, approx_accuracy: int | None = None) -> DataFrame:

@@ -104,24 +104,42 @@ def elimination_report(scored: DataFrame, decision_col: str = "predicted_elimina
     }
 
 
-def report_counts(scored: DataFrame, decision_col: str = "predicted_elimination") -> DataFrame:
-    """P7 as one tidy frame (section, key, value) of all count sections."""
-    secs = elimination_report(scored, decision_col)
-    s = secs["summary"]
-    summary = s.select(F.explode(F.array(
-        *[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value"))
-          for k in ("total_cmls", "recommended_eliminations", "recommended_keep", "elimination_rate")]
-    )).alias("kv")).select(F.lit("summary").alias("section"), "kv.key", "kv.value")
-
-    def tidy(name, df, key, val):
-        return df.select(F.lit(name).alias("section"), F.col(key).alias("key"), F.col(val).cast("double").alias("value"))
-
-    conf = tidy("confidence_distribution", secs["confidence_distribution"], "confidence_level", "n_points")
-    com = tidy("elimination_by_commodity", secs["elimination_by_commodity"], "commodity", "n_eliminations")
-    feat = tidy("elimination_by_feature", secs["elimination_by_feature"], "feature_type", "n_eliminations")
-    sizes = scored.agg(
-        F.lit(None).cast("string").alias("_"),
-        count_if((F.col(D.P) > dbl(0.4)) & (F.col(D.P) < dbl(0.6))).cast("double").alias("marginal_cases"),
-    ).select(F.lit("sizes").alias("section"), F.lit("marginal_cases").alias("key"),
-             F.col("marginal_cases").alias("value"))
-    return summary.unionByName(conf).unionByName(com).unionByName(feat).unionByName(sizes)
+def report_counts(scored: DataFrame, decision_col: str = "predicted_elimination", prob: str = D.P,
+                  d: Decisions = Decisions()) -> DataFrame:
+    """P7 as one tidy frame (section, key, value) of all count sections.
+
+    One aggregation with grouping sets (), (confidence), (commodity),
+    (feature type) over the scored frame; the tidy rows are derived from the
+    grouped result (a few dozen rows).
+    """
+    _require(scored, decision_col)
+    c, p = F.col(decision_col), F.col(prob)
+    keys = ["confidence_level", "commodity", "feature_type"]
+    g = scored.groupingSets([[], ["confidence_level"], ["commodity"], ["feature_type"]], *keys).agg(
+        F.count(F.lit(1)).alias("n_all"),
+        count_if(c == 1).alias("n_elim"),
+        count_if(c == 0).alias("n_keep"),
+        count_if((p > dbl(d.marginal_low)) & (p < dbl(d.marginal_high))).alias("n_marg"),
+        F.grouping_id().alias("_gid"),
+    ).withColumn("_pct", F.col("n_elim") * dbl(100.0) / F.col("n_all"))
+
+    def row(section, key, value):
+        return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"),
+                        value.cast("double").alias("value"))
+
+    entries = (
+        F.when(F.col("_gid") == 7, F.array(
+            row("summary", F.lit("total_cmls"), F.col("n_all")),
+            row("summary", F.lit("recommended_eliminations"), F.col("n_elim")),
+            row("summary", F.lit("recommended_keep"), F.col("n_keep")),
+            row("summary", F.lit("elimination_rate"), py_round("_pct", 1)),
+            row("sizes", F.lit("marginal_cases"), F.col("n_marg")),
+        ))
+        .when((F.col("_gid") == 3) & F.col("confidence_level").isNotNull(),
+              F.array(row("confidence_distribution", F.col("confidence_level"), F.col("n_all"))))
+        .when((F.col("_gid") == 5) & F.col("commodity").isNotNull() & (F.col("n_elim") > 0),
+              F.array(row("elimination_by_commodity", F.col("commodity"), F.col("n_elim"))))
+        .when((F.col("_gid") == 6) & F.col("feature_type").isNotNull() & (F.col("n_elim") > 0),
+              F.array(row("elimination_by_feature", F.col("feature_type"), F.col("n_elim"))))
+    )
+    return g.select(F.explode(entries).alias("e")).select("e.section", "e.key", "e.value")
