@@ -151,7 +151,7 @@ def literal_rows(spark, rows, ddl: str):
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def zero_filled_counts(keyed, dim, keys, attrs=(), count_name: str = "n_points"):
+def zero_filled_counts(keyed, dim, keys, attrs=(), count_name: str = "n_points", sums=()):
     """Counts of ``keyed`` rows per key, for exactly the keys listed in ``dim``.
 
     ``keyed`` holds one row per data row with the key column(s); ``dim`` holds
@@ -161,13 +161,16 @@ def zero_filled_counts(keyed, dim, keys, attrs=(), count_name: str = "n_points")
     dimension (e.g. NULL = out of every bin) are dropped by a condition on an
     aggregate.  No join is used: an equi-join would make the optimizer infer
     ``key IS NOT NULL`` and push it below the projection that computes the
-    key, re-evaluating the whole key expression inside the filter.
+    key, re-evaluating the whole key expression inside the filter.  ``sums``
+    names numeric columns of ``keyed`` to total per key as ``sum_<name>``.
     """
     data = keyed.select(*keys, *[F.lit(None).cast(dict(dim.dtypes)[a]).alias(a) for a in attrs],
-                        F.lit(1).alias("_n"), F.lit(0).alias("_dim"))
-    fixed = dim.select(*keys, *attrs, F.lit(0).alias("_n"), F.lit(1).alias("_dim"))
+                        *[F.col(c) for c in sums], F.lit(1).alias("_n"), F.lit(0).alias("_dim"))
+    fixed = dim.select(*keys, *attrs, *[F.lit(None).cast("double").alias(c) for c in sums],
+                       F.lit(0).alias("_n"), F.lit(1).alias("_dim"))
     agg = data.unionByName(fixed).groupBy(*keys).agg(
         *[F.max(a).alias(a) for a in attrs],
+        *[F.sum(c).alias(f"sum_{c}") for c in sums],
         F.sum("_n").cast("bigint").alias(count_name),
         F.max("_dim").alias("_in_dim"),
     )

@@ -131,11 +131,14 @@ def life_histogram(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     vals = df.select(analytics_life(df, None, p.life_cap, p).alias("x"))
     rows = [(-1, None, 0.0)] + [(i, i * width, (i + 1) * width) for i in range(n)]
     dim = literal_rows(spark, rows, "bin_index int, bin_lo double, bin_hi double")
-    mean = vals.agg(F.avg("x")).scalar()
-    # NULL lives fall in no bin (dropped); avg skips them.
-    keyed = vals.select(_bin_index(F.col("x"), width, n).alias("bin_index"))
-    return zero_filled_counts(keyed, dim, ["bin_index"], ["bin_lo", "bin_hi"]).select(
-        "bin_index", "bin_lo", "bin_hi", "n_points", r6(mean).alias("mean_life"))
+    # NULL lives fall in no bin (dropped); every other life lands in exactly
+    # one bin, so the mean is total / count over the bins -- computed on the
+    # 21 grouped rows, in the same pass as the counts.
+    keyed = vals.select(_bin_index(F.col("x"), width, n).alias("bin_index"), "x")
+    bins = zero_filled_counts(keyed, dim, ["bin_index"], ["bin_lo", "bin_hi"], sums=("x",))
+    everything = Window.partitionBy()  # over the 21 bin rows only
+    mean = F.sum("sum_x").over(everything) / F.sum("n_points").over(everything)
+    return bins.select("bin_index", "bin_lo", "bin_hi", "n_points", r6(mean).alias("mean_life"))
 
 
 def _bin_index(x, width: float, n: int):
