@@ -19,6 +19,23 @@ BASE_CONF = {
 }
 
 
+# Starting points for a large cluster (set by the deployment, not by this
+# library): AQE sizes shuffle partitions from measured map output, splits
+# skewed join partitions, and broadcasts a join side only when its measured
+# size is under the threshold.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",  # upper bound; AQE coalesces down
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "pitwall",
                   extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark; clusters bring their own."""

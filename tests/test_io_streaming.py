@@ -111,3 +111,17 @@ def test_streaming_override_state(spark, scratch):
     q.stop()
     cur = {r.id_number: r.sme_decision for r in S.latest_state(spark, state_dir).collect()}
     assert cur == {"A": "ELIMINATE", "B": "KEEP"}
+
+
+def test_streaming_file_sink_exactly_once(spark, scratch):
+    src = f"{scratch}/in"
+    _write(f"{src}/a.csv", CSV)
+    out, ckpt = f"{scratch}/out", f"{scratch}/ckpt"
+    q = S.start_forecast_sink(S.forecast_files(spark, src), out, ckpt, trigger_once=True)
+    q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 3
+    # a restart with no new files writes nothing more; a new file is processed once
+    _write(f"{src}/b.csv", CSV.replace("CML-00", "CML-20"))
+    q = S.start_forecast_sink(S.forecast_files(spark, src), out, ckpt, trigger_once=True)
+    q.awaitTermination(120)
+    assert spark.read.parquet(out).count() == 6
