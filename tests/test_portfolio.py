@@ -96,3 +96,24 @@ def test_approx_quantiles_close(five):
     assert approx.life_median == exact.life_median and approx.life_p25 == exact.life_p25
     c = PF.corrosion_by_commodity(five, approx_accuracy=10000).collect()
     assert len(c) == 4
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.floats(0, 0.5)), st.one_of(st.none(), st.floats(0, 15))),
+                min_size=1, max_size=40))
+def test_bins_plus_fallouts_equal_total(spark, rows):
+    df = spark.createDataFrame([(f"p{i}", r, t) for i, (r, t) in enumerate(rows)],
+                               "id_number string, average_corrosion_rate double, thickness_mm double")
+    in_cells = sum(r.n_points for r in PF.risk_matrix(df).collect())
+    fallouts = sum(1 for r, t in rows if r is None or t is None or r <= 0 or t <= 0)
+    assert in_cells + fallouts == len(rows)
+    rd = PF.risk_distribution(df).first()
+    banded = rd.critical + rd.high + rd.medium + rd.low
+    bands = {r.id_number: r.risk_band_4 for r in PF.risk_bands(df).collect()}
+    assert banded == sum(1 for b in bands.values() if b is not None)
+    tl = sum(r.n_points for r in PF.inspection_timeline(df).collect())
+    assert tl == len(rows)  # a NULL or zero life counts as the 0.5-year interval
