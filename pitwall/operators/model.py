@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import dbl, literal_rows, zero_filled_counts
+from ..session import ensure_checkpoint_dir
 from .synth import uniform
 
 LABEL = "elimination_flag"
@@ -194,6 +195,7 @@ def cross_validated_f1(data: DataFrame, k: int = 5, seed: int = 42, parallelism:
                        **forest_args) -> DataFrame:
     """Positive-class F1 per fold (fit on the other folds), plus mean and population std."""
     spark = data.sparkSession
+    ensure_checkpoint_dir(spark)
     folded = fold_column(data, k, seed).persist()
     ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
 
@@ -261,6 +263,7 @@ def train_and_evaluate(points: DataFrame, test_fraction: float = 0.2, seed: int
     Returns (model, scored_test, metrics_df).  The feature table is persisted
     once because the forest makes several passes over it.
     """
+    ensure_checkpoint_dir(points.sparkSession)  # node-id checkpoints of the forest
     data = split_flag(points, test_fraction, seed)
     if balanced:
         data = with_class_weights(data)

@@ -60,7 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="pitwall-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
+        d = tempfile.mkdtemp(prefix="pitwall-ckpt-")  # local runs and tests only
         try:
             spark.conf.set("spark.checkpoint.dir", d)
         except Exception:  # core confs may be read-only at runtime
