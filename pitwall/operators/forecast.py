@@ -102,11 +102,16 @@ def forecast_summary(fc: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, within_d
 
 
 def top_priority_inspections(fc: DataFrame, n: int = 10) -> DataFrame:
-    """C14: the n smallest lives (NULL life excluded), ties by id."""
+    """C14: the n smallest lives (NULL life excluded), ties by id.
+
+    NULLs sort last and are dropped after the per-partition top-k, which
+    gives the same rows as filtering first but filters at most n rows (a
+    filter on the computed life would be pushed below its projection).
+    """
     return (
-        fc.where(F.col("remaining_life_years").isNotNull())
-        .orderBy(F.col("remaining_life_years").asc(), F.col("id_number").asc())
+        fc.orderBy(F.col("remaining_life_years").asc_nulls_last(), F.col("id_number").asc())
         .limit(n)
+        .where(F.col("remaining_life_years").isNotNull())
         .select("id_number", "remaining_life_years", "next_inspection_date", "risk_level")
     )
 
