@@ -955,3 +955,22 @@ select id_number, average_corrosion_rate, thickness_mm, commodity, feature_type,
   (select count(*) from points) as total_rows
 from points order by id_number limit 5
 """)
+
+_q("advanced_statistics_flat", AN + """
+select count(*) as total_cmls,
+  R6[avg(life)] as life_mean, R6[median(life)] as life_median, R6[stddev_samp(life)] as life_std,
+  R6[min(life)] as life_min, R6[max(life)] as life_max,
+  R6[quantile_cont(life, 0.1)] as life_p10, R6[quantile_cont(life, 0.25)] as life_p25,
+  R6[quantile_cont(life, 0.75)] as life_p75, R6[quantile_cont(life, 0.9)] as life_p90,
+  R6[avg(average_corrosion_rate)] as rate_mean, R6[median(average_corrosion_rate)] as rate_median,
+  R6[stddev_samp(average_corrosion_rate)] as rate_std, max(average_corrosion_rate) as rate_max,
+  count(*) filter (where average_corrosion_rate > 0.15::double) as high_corrosion_count,
+  R6[avg(thickness_mm)] as thickness_mean, min(thickness_mm) as thickness_min,
+  count(*) filter (where thickness_mm < 3.0::double) as below_min_count,
+  count(*) filter (where thickness_mm < 5.0::double) as thin_wall_count,
+  count(*) filter (where band4 = 'CRITICAL') as critical, count(*) filter (where band4 = 'HIGH') as high,
+  count(*) filter (where band4 = 'MEDIUM') as medium, count(*) filter (where band4 = 'LOW') as low,
+  count(*) filter (where life < 1) as immediate_attention, count(*) filter (where life < 2) as next_6_months,
+  count(*) filter (where life < 3) as next_12_months, R6[avg(imonths)] as avg_interval_months
+from an
+""")

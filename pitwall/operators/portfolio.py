@@ -337,6 +337,14 @@ def advanced_statistics(df: DataFrame, p: Analytics = Analytics(), approx_accura
     return one.withColumn("commodity_risk", cr.scalar())
 
 
+def advanced_statistics_flat(df: DataFrame, p: Analytics = Analytics(),
+                             approx_accuracy: int | None = None) -> DataFrame:
+    """A16 as flat columns (same single aggregation, without the per-commodity list)."""
+    one = advanced_statistics(df, p, approx_accuracy).drop("commodity_risk")
+    return one.select("total_cmls", "remaining_life.*", "corrosion_rate.*", "thickness.*", "risk_distribution.*",
+                      "inspection_scheduling.*")
+
+
 def corrosion_vs_thickness(df: DataFrame) -> DataFrame:
     """Scatter table; marker size is the risk score (fallback formula if absent)."""
     size = F.col("risk_score") if "risk_score" in df.columns else R.risk_score_fallback(F.col(T_COL), F.col(R_COL))

@@ -119,6 +119,7 @@ for _name, _fn in {
     "inspection_timeline": PF.inspection_timeline,
     "report_metrics": PF.report_metrics,
     "advanced_statistics": PF.advanced_statistics,
+    "advanced_statistics_flat": PF.advanced_statistics_flat,
     "corrosion_vs_thickness": PF.corrosion_vs_thickness,
 }.items():
     QUERIES[_name] = (lambda f: (lambda spark, sf_dir: f(_pts(spark, sf_dir))))(_fn)
