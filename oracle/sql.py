@@ -812,18 +812,22 @@ union all select 'sizes', 'marginal_cases', cast(count(*) filter (where eliminat
 
 
 # ------------------------------------------------------------ synthetic data
-def _u(tag: str) -> str:
-    return (f"cast(('0x' || substr(md5(concat_ws(':', '42', cast(l_orderkey as varchar) || '-' || "
-            f"cast(l_linenumber as varchar), '{tag}')), 1, 8)) as bigint) / 4294967296.0::double")
+def _slice(i: int) -> str:
+    """Draw i of a point: 8 hex digits of md5('42:key:g<i // 4>') as a uniform in [0, 1)."""
+    return (f"cast(('0x' || substr(h{i // 4}, {1 + 8 * (i % 4)}, 8)) as bigint) / 4294967296.0::double")
 
 
 SYN = """,
+gk as (
+  select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as k from lineitem),
+gh as (
+  select k, md5(concat_ws(':', '42', k, 'g0')) as h0, md5(concat_ws(':', '42', k, 'g1')) as h1 from gk),
 g0 as (
-  select cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as k,
-    """ + _u("c") + """ as uc, """ + _u("f") + """ as uf, """ + _u("s") + """ as us,
-    """ + _u("r") + """ as ur, """ + _u("t") + """ as ut, """ + _u("d") + """ as ud,
-    """ + _u("i") + """ as ui, """ + _u("l") + """ as ul
-  from lineitem),
+  select k,
+    """ + _slice(0) + """ as uc, """ + _slice(1) + """ as uf, """ + _slice(2) + """ as us,
+    """ + _slice(3) + """ as ur, """ + _slice(4) + """ as ut, """ + _slice(5) + """ as ud,
+    """ + _slice(6) + """ as ui, """ + _slice(7) + """ as ul
+  from gh),
 g1 as (
   select k, ul,
     ['Crude Oil', 'Natural Gas', 'Steam', 'Fuel Gas', 'Potable Water', 'Process Water', 'Condensate',
