@@ -282,11 +282,11 @@ select * from cells
 
 _q("risk_matrix_wide", _RM + """
 select thickness_order, thickness_bin,
-  sum(n_points) filter (where corrosion_bin = '<0.05') as "<0.05",
-  sum(n_points) filter (where corrosion_bin = '0.05-0.10') as "0.05-0.10",
-  sum(n_points) filter (where corrosion_bin = '0.10-0.15') as "0.10-0.15",
-  sum(n_points) filter (where corrosion_bin = '0.15-0.20') as "0.15-0.20",
-  sum(n_points) filter (where corrosion_bin = '>0.20') as ">0.20"
+  cast(sum(n_points) filter (where corrosion_bin = '<0.05') as bigint) as "<0.05",
+  cast(sum(n_points) filter (where corrosion_bin = '0.05-0.10') as bigint) as "0.05-0.10",
+  cast(sum(n_points) filter (where corrosion_bin = '0.10-0.15') as bigint) as "0.10-0.15",
+  cast(sum(n_points) filter (where corrosion_bin = '0.15-0.20') as bigint) as "0.15-0.20",
+  cast(sum(n_points) filter (where corrosion_bin = '>0.20') as bigint) as ">0.20"
 from cells group by thickness_order, thickness_bin
 """)
 
@@ -316,7 +316,7 @@ g as (
 select commodity, n_points, min_rate, max_rate, R6[q1] as q1, R6[med] as median_rate, R6[q3] as q3,
   R6[mean_rate] as mean_rate, R6[q1 - 1.5::double * (q3 - q1)] as lower_fence,
   R6[q3 + 1.5::double * (q3 - q1)] as upper_fence,
-  row_number() over (order by med desc, commodity) as median_rank
+  cast(row_number() over (order by med desc, commodity) as integer) as median_rank
 from g
 """)
 

@@ -71,13 +71,19 @@ def duck():
     return con
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_oracle_match_smoke(spark, duck, name):
     sdf = E.queries()[name](spark, SF)
-    res = duck.execute(E.oracle_sql()[name])
-    dcols = [d[0] for d in res.description]
+    rel = duck.sql(E.oracle_sql()[name])
+    dcols, dtypes = rel.columns, [str(t) for t in rel.types]
     assert sorted(sdf.columns) == sorted(dcols)
-    assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, res.fetchall())
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString()) for f in sdf.schema.fields}
+    assert spark_types == dict(zip(dcols, dtypes))
+    assert _rows(sdf.columns, [tuple(r) for r in sdf.collect()]) == _rows(dcols, rel.fetchall())
 
 
 def test_override_state_partition_invariance(spark):
