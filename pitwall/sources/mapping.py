@@ -156,3 +156,15 @@ def load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return override_log(load_raw(spark, sf_dir))
+
+
+def save_bucketed(df: DataFrame, table: str, buckets: int, key: str = "id_number") -> None:
+    """Materialize a derived table once, bucketed and sorted by ``key``.
+
+    Two tables bucketed on the same key with the same bucket count join
+    without a shuffle (e.g. points and the current override state), so the
+    reports read the materialized tables instead of recomputing the dedup.
+    The table lives in the session's warehouse (shared storage on a cluster).
+    Both inputs here are unique per id, so buckets stay balanced.
+    """
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -46,3 +46,22 @@ def test_hot_id_override_state(spark):
     assert state.count() == log.select("id_number").distinct().count()
     plan = state._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan  # reduced on the map side before the shuffle
+
+
+def test_bucketed_tables_join_without_shuffle(spark, scratch):
+    from pitwall.operators import decide as D
+
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS pw_test LOCATION '{scratch}/warehouse'")
+    raw = MP.raw_points(_lineitem(spark))
+    MP.save_bucketed(MP.dedup_points(raw), "pw_test.points", 4)
+    MP.save_bucketed(O.current_overrides(MP.override_log(raw)), "pw_test.override_state", 4)
+    pts, state = spark.table("pw_test.points"), spark.table("pw_test.override_state")
+    joined = O.apply_overrides(D.decide_basic(pts), state)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # force the sort-merge path
+    try:
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == pts.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
