@@ -11,9 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import decide as D
+from ..operators import features as FT
 from ..operators import forecast as FC
-from ..schema import ForecastB
-from ..sources.mapping import load_points
+from ..operators import model as M
+from ..operators import overrides as O
+from ..operators import portfolio as PF
+from ..operators import report as P
+from ..operators import synth as G
+from ..operators import validate as V
+from ..schema import ForecastB, Validation
+from ..sources import io as IO
+from ..sources.mapping import load_override_log, load_points, load_raw, read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -95,7 +104,6 @@ def q_risk_distribution_a(spark, sf_dir):
 
 
 # ------------------------------------------------------- bands and portfolio
-from ..operators import portfolio as PF  # noqa: E402
 
 
 def _pts(spark, sf_dir):
@@ -131,10 +139,6 @@ def q_risk_matrix_wide(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- validation
-from ..operators import features as FT  # noqa: E402
-from ..operators import validate as V  # noqa: E402
-from ..schema import Validation  # noqa: E402
-from ..sources.mapping import load_override_log, load_raw  # noqa: E402
 
 
 @query("duplicate_ids")
@@ -241,10 +245,6 @@ def q_scoring_features_median(spark, sf_dir):
 
 
 # ------------------------------------------------- decisions, overrides, report
-from ..operators import decide as D  # noqa: E402
-from ..operators import overrides as O  # noqa: E402
-from ..operators import portfolio as _PF  # noqa: E402
-from ..operators import report as P  # noqa: E402
 
 _BASIC = ("id_number", "elimination_probability", "predicted_elimination_flag", "recommendation", "confidence")
 
@@ -304,7 +304,7 @@ def q_cost_savings(spark, sf_dir):
 
 @query("dashboard_decision_counts")
 def q_dashboard_decision_counts(spark, sf_dir):
-    return _PF.dashboard_decision_counts(_basic(spark, sf_dir))
+    return PF.dashboard_decision_counts(_basic(spark, sf_dir))
 
 
 @query("current_overrides")
@@ -391,8 +391,6 @@ def q_full_report(spark, sf_dir):
 
 
 # ------------------------------------------------------------ synthetic data
-from ..operators import synth as G  # noqa: E402
-from ..sources.mapping import read_table, spread  # noqa: E402
 
 
 def _synthetic(spark, sf_dir):
@@ -410,7 +408,6 @@ def q_synthetic_summary(spark, sf_dir):
 
 
 # -------------------------------------------------------------------- model
-from ..operators import model as M  # noqa: E402
 
 # Forest settings of the registered training queries: from the original's
 # grid (trees 100/200/300, depth 10/20/None, leaf 1/2); depth 10 and leaf 2
@@ -480,7 +477,6 @@ def q_cross_validated_f1(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sources
-from ..sources import io as IO  # noqa: E402
 
 
 @query("dataset_preview")
