@@ -146,3 +146,21 @@ def test_ensure_ids(spark):
     with_ids = spark.createDataFrame([("x", 1.0, 0.1)], "id_number string, thickness_mm double, "
                                                         "average_corrosion_rate double")
     assert FC.ensure_ids(with_ids).columns == with_ids.columns
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.01, 50), st.floats(0, 5)), min_size=1, max_size=20))
+def test_property_a_ranges(spark, rows):
+    df = spark.createDataFrame([(f"p{i}", t, r) for i, (t, r) in enumerate(rows)],
+                               "id_number string, thickness_mm double, average_corrosion_rate double")
+    got = FC.forecast_a(df).collect()
+    assert len(got) == len(rows)  # every row is accepted (t > 0, rate >= 0)
+    for r in got:
+        m = r.recommended_inspection_frequency_months
+        assert m == 6 or 12 <= m <= 72
+        assert (m == 6) == (r.remaining_life_years == 0.0)
+        assert (r.next_inspection_date - AS_OF).days in range(182, 2191)
+        if r.remaining_life_years >= 10.0:
+            assert r.risk_level == "LOW"
+        if r.remaining_life_years == 0.0:
+            assert r.risk_level == "CRITICAL"
