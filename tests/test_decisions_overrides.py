@@ -107,3 +107,17 @@ def test_report(spark):
         P.report_summary(points.drop("elimination_probability"))
     counts = {(r.section, r.key): r.value for r in P.report_counts(scored).collect()}
     assert counts[("summary", "total_cmls")] == 3 and counts[("sizes", "marginal_cases")] == 1
+
+
+def test_approx_median_options(spark):
+    import datetime as _d
+
+    from pitwall.operators import features as FT
+
+    df = _probs(spark, [0.1, 0.2, 0.3, 0.9, 0.95])
+    assert D.probability_stats(df, approx_accuracy=10000).first().median_probability == 0.3
+    pts = spark.createDataFrame([("a", _d.date(2001, 12, 31)), ("b", _d.date(2001, 12, 21)), ("c", None)],
+                                "id_number string, last_inspection_date date")
+    out = {r.id_number: r.days_since_inspection
+           for r in FT.days_since_inspection(pts, fill="median", approx_accuracy=10000).collect()}
+    assert out["c"] in (1.0, 11.0)  # an observed value: the sketch returns an element, not an interpolation
