@@ -1 +1,8 @@
 """Training-data operators; nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the functions themselves, so the package needn't be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
