@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import decontam, orc_tokens, packing, rules, simhash, suffix
 
 QUERIES = {
     "op3_quality_rules": rules.op3_quality_rules,
+    "op4_packing": packing.op4_packing,
+    "op6_decontamination": decontam.op6_decontamination,
+    "op7_orc_tokens": orc_tokens.op7_orc_tokens,
+    "op8_simhash_dedup": simhash.op8_simhash_dedup,
+    "op9_suffix_dedup": suffix.op9_suffix_dedup,
 }
 
 ORACLE_SQL = {
     "op3_quality_rules": rules.OP3_SQL,
+    "op6_decontamination": decontam.OP6_SQL,
 }
