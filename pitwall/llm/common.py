@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+_stage: list[str] | None = None  # scratch tables of the pipeline stage that is being planned
+_done: list[str] = []  # of the stage before
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a table of this job in the shared folder."""
     path = f"{shared_dir(spark).rstrip('/')}/pitwall-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    if _stage is not None:
+        _stage.append(path)
     return path
 
 
@@ -37,12 +40,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this process' scratch tables; call it when results that read them are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def stage(fn):
+    """A pipeline stage: when it is called, the result of the stage before is written, so its scratch tables go."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _stage
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while _done:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_done.pop())
+            path.getFileSystem(conf).delete(path, True)
+        _stage = _done
+        try:
+            return fn(spark, docs, sf_dir)
+        finally:
+            _stage = None
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
