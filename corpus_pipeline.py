@@ -1,29 +1,67 @@
 """Corpus pipeline: documents through five of the training-data operators.
 
 Each stage takes ``(spark, docs, sf_dir)``; ``run`` writes every stage's result
-to the shared folder and reads it back as the next one's ``docs``.
+to the shared folder and reads it back as the next one's ``docs``.  All stages
+but the last return the columns of documents.  When a stage begins, the scratch
+tables of the stage before go (its result is written by then).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitwall.llm import common, rules
+from pitwall.llm import common, decontam, packing, rules, simhash, suffix
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # hashing, suffix sorting and token ids are beyond SQL; tests compare with brute force
 
 
+@common.stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules reject go."""
-    common.release(spark)
     return rules.filter_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+@common.stage
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays: that of the least id."""
+    return simhash.one_of_each(docs)
+
+
+@common.stage
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated byte strings are cut out; ``n_chars`` is counted anew where the text has changed."""
+    cut = suffix.without_repeats(docs.withColumn("_p_size", F.length("text")))
+    if "n_chars" in docs.columns:
+        same = F.length("text").eqNullSafe(F.col("_p_size"))
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return cut.select(*docs.columns)
+
+
+@common.stage
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontam.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+@common.stage
+def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and offset."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_dedup", simhash_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("token_packing", token_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, sf_dir), f"after-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
