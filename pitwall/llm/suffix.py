@@ -41,8 +41,8 @@ from .common import saved, table
 LENGTH = 100
 K = 32
 SPAN = LENGTH - K  # places of an anchor in a string: SPAN + 1
-HOT = 20_000
-BLOCK = 4 << 20  # bytes that are looked at or sorted at a time
+HOT = 4_000
+BLOCK = 1 << 20  # bytes that are looked at or sorted at a time
 MARK = -(1 << 63)  # sign bit of a packed (from, to): a mark, not a context
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 PAD = 256
@@ -376,17 +376,21 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with _x_rid and _x_marks (packed spans to cut out, not yet united)."""
+    """(rid, bytes, marks, and the columns of ``docs`` but text): marks are packed spans to cut out, not yet united.
+
+    All joins with the texts are by rid on the same (rid, bytes), so the texts are shuffled once.
+    """
     docs = numbered(docs)
     plain = docs.select(F.col("_x_rid").alias("rid"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     found = saved(repeats(anchor_rows(plain)), "repeats")
     open_ = found.filter("packed >= 0")
-    hot = open_.groupBy("h").count().filter(F.col("count") > HOT).select("h")
+    hot = saved(open_.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "hot-anchors")
     marks = found.filter("packed < 0").select("rid", "packed").union(sorted_marks(contexts(plain, open_.join(hot, "h", "left_anti"))))
     if not hot.isEmpty():
         marks = marks.union(hot_marks(contexts(plain, open_.join(hot, "h", "left_semi"))))
-    cut = marks.groupBy(F.col("rid").alias("_x_rid")).agg(F.collect_list("packed").alias("_x_marks"))
-    return docs.join(cut, "_x_rid", "left")
+    cut = marks.groupBy("rid").agg(F.collect_list("packed").alias("_x_marks"))
+    others = docs.withColumn("_x_null", F.col("text").isNull()).drop("text").withColumnRenamed("_x_rid", "rid")
+    return plain.join(cut, "rid", "left").join(others, "rid")
 
 
 def _spans(marks: list[int] | None) -> list[tuple[int, int]]:
@@ -405,7 +409,7 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def removed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs`` (doc_id, text)."""
-    rows = marked(docs.select("doc_id", "text")).select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"), "_x_marks")
+    rows = marked(docs.select("doc_id", "text")).select("doc_id", "bytes", "_x_marks")
 
     def run(batches):
         import pyarrow as pa
@@ -427,20 +431,22 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; what is left of a cut character goes too."""
-    rows = marked(docs)
     columns = docs.columns
+    taken = docs.select("doc_id", "text", F.struct(*[docs[c] for c in columns if c != "text"]).alias("_x_row"))
+    rows = marked(taken).select("_x_row", "bytes", "_x_marks", "_x_null")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             texts = [
-                t if not m or t is None else _kept(t.encode(), _spans(m)).decode(errors="ignore")
-                for t, m in zip(b.column("text").to_pylist(), b.column("_x_marks").to_pylist())
+                None if none else _kept(raw, _spans(marks)).decode(errors="ignore") if marks else raw.decode()
+                for raw, marks, none in zip(*[b.column(c).to_pylist() for c in ("bytes", "_x_marks", "_x_null")])
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], columns)
+            yield pa.RecordBatch.from_arrays([b.column("_x_row"), pa.array(texts, pa.string())], ["_x_row", "text"])
 
-    return rows.mapInArrow(run, docs.schema)
+    made = rows.mapInArrow(run, taken.select("_x_row", "text").schema)
+    return made.select("_x_row.*", "text").select(*columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
