@@ -132,8 +132,8 @@ def _encoded(docs: DataFrame, path: str, size: int) -> DataFrame:
         seen, windows = np.zeros(size, dtype=np.int64), 0
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for text in b.column("text").to_pylist():
-                ids = np.r_[enc.encode(text), np.uint32(END_ID)].astype("<u4")
+            for ids in enc.encode(b.column("text")):
+                ids = np.append(ids, np.uint32(END_ID))
                 full, n = divmod(len(ids), size)
                 row = (len(ids), windows, [zlib.crc32(ids[k * size : (k + 1) * size]) for k in range(full)], n, int(seen[n]), ids[full * size :].tobytes())
                 windows += full
