@@ -41,7 +41,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
 
         part, enc, before = TaskContext.get().partitionId(), Encoder(tokenizer), 0
         for b in batches:
-            got = [np.r_[enc.encode(t), np.uint32(END_ID)].astype(np.int32) for t in b.column("text").to_pylist()]
+            got = [np.append(x, np.uint32(END_ID)).view(np.int32) for x in enc.encode(b.column("text"))]
             n = np.array([len(x) for x in got], dtype=np.int64)
             at = before + np.r_[0, np.cumsum(n)]
             before = int(at[-1])
@@ -59,7 +59,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
         .option("orc.row.index.stride", ROW_INDEX)
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", BLOOM_FPP)
-        .option("compression", "zstd")
+        .option("compression", "lz4")
         .orc(path)
     )
 
