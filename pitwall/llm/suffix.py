@@ -19,8 +19,10 @@ same document, earlier start) goes.
    the others are induced by one scan over the buckets of first bytes; then the
    common prefixes of neighbours are computed, and runs of at least 100 bytes are
    equal strings, of which all but the first are marked.
-   Anchors with more than ``HOT`` contexts aren't sorted in one task: their
-   strings are grouped by hash, with minima combined map-side.
+   Equal strings begin equally far before their anchor, so an anchor with more
+   text than a block is sorted in slices of a few such distances.  Anchors with
+   more than ``HOT`` contexts aren't sorted in one task: their strings are
+   grouped by hash, with minima combined map-side.
 4. The marks of each document are united and cut out of its text.
 
 Null texts count as empty ones.  Documents with equal ids are ordered by the
@@ -41,7 +43,8 @@ from .common import saved, table
 LENGTH = 100
 K = 32
 SPAN = LENGTH - K  # places of an anchor in a string: SPAN + 1
-HOT = 4_000
+HOT = 100_000
+SLICE = 8  # distances of an anchor that are sorted together, if it has much text
 BLOCK = 1 << 20  # bytes that are looked at or sorted at a time
 MARK = -(1 << 63)  # sign bit of a packed (from, to): a mark, not a context
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -122,6 +125,16 @@ def _pack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) << 32 | b.astype(np.int64)
 
 
+def _pack_context(a: np.ndarray, e: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Begin, length and place of the anchor within it, of a context."""
+    return _pack(a, (e - a) << 8 | at - a)
+
+
+def _as_mark(packed: np.ndarray) -> np.ndarray:
+    a = packed >> 32
+    return _pack(a, a + (packed >> 8 & 0xFF)) | MARK
+
+
 def _blocks(col, rid: np.ndarray):
     """(bytes, starts, ends, ids) of consecutive documents of about BLOCK bytes, from an Arrow column."""
     offsets = np.frombuffer(col.buffers()[1], np.int64 if str(col.type).startswith("large") else np.int32)
@@ -144,7 +157,7 @@ def _anchor_rows(data, starts, ends, ids):
     doc = np.searchsorted(starts, at, side="right") - 1
     a, e = np.maximum(at - SPAN, starts[doc]), np.minimum(at + LENGTH, ends[doc])
     c = _context_hash(_words(data), a, e, at).view(np.int64)
-    a, e, rid, h = a - starts[doc], e - starts[doc], ids[doc], h.view(np.int64)
+    a, e, at, rid, h = a - starts[doc], e - starts[doc], at - starts[doc], ids[doc], h.view(np.int64)
     o = np.lexsort((a, rid, c, h))
     later = np.zeros(len(o), dtype=bool)
     later[1:] = (h[o][1:] == h[o][:-1]) & (c[o][1:] == c[o][:-1])
@@ -154,7 +167,7 @@ def _anchor_rows(data, starts, ends, ids):
         np.r_[h[first], mr],
         np.r_[c[first], np.zeros(len(mr), np.int64)],
         np.r_[rid[first], mr],
-        np.r_[_pack(a[first], e[first]), _pack(ma, mb) | MARK],
+        np.r_[_pack_context(a[first], e[first], at[first]), _pack(ma, mb) | MARK],
     )
 
 
@@ -188,7 +201,7 @@ def repeats(rows: DataFrame) -> DataFrame:
                 if last is not None:
                     h, c, rid, packed = (np.r_[x, y] for x, y in zip(last[:4], (h, c, rid, packed)))
                 new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-                out.append((h[~new], rid[~new], packed[~new] | MARK))
+                out.append((h[~new], rid[~new], _as_mark(packed[~new])))
                 h, c, rid, packed = (x[new] for x in (h, c, rid, packed))
                 same = h[1:] == h[:-1]
                 more = np.r_[same, False] | np.r_[last is not None and last[4], same]
@@ -306,8 +319,16 @@ def repeated_strings(contexts: list[bytes], rid: np.ndarray, a: np.ndarray) -> t
     return merged(doc[later], start[later], start[later] + LENGTH)
 
 
+def slices(texts: list[bytes], off: list[int]):
+    """(texts, begins) that hold the strings SLICE distances from their anchor at a time."""
+    for d in range(0, SPAN + 1, SLICE):
+        lo = [max(0, o - d - SLICE + 1) for o in off]  # the first and the last place of a string
+        hi = [min(o - d, len(t) - LENGTH) for t, o in zip(texts, off)]
+        yield [t[i : j + LENGTH] if j >= i else b"" for t, i, j in zip(texts, lo, hi)], np.array(lo, np.int64)
+
+
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, rid, a, bytes) of ``wanted`` (h, rid, packed), cut from ``docs`` (rid, bytes)."""
+    """(h, rid, a, off, bytes) of ``wanted`` (h, rid, packed), cut from ``docs`` (rid, bytes); off is the anchor's place."""
     asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "packed")).alias("asked"))
     joined = docs.select("rid", "bytes").join(asked, "rid")
 
@@ -315,41 +336,54 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            h, rid, at, got = [], [], [], []
+            h, rid, at, off, got = [], [], [], [], []
             for r, text, asked in zip(b.column("rid").to_pylist(), b.column("bytes"), b.column("asked").to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 for x in asked:
-                    s, e = x["packed"] >> 32, x["packed"] & 0xFFFFFFFF
-                    h.append(x["h"]), rid.append(r), at.append(s), got.append(raw[s:e])
+                    s, n = x["packed"] >> 32, x["packed"] >> 8 & 0xFF
+                    h.append(x["h"]), rid.append(r), at.append(s), off.append(x["packed"] & 0xFF), got.append(raw[s : s + n])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(rid, pa.int64()), pa.array(at, pa.int64()), pa.array(got, pa.binary())], ["h", "rid", "a", "bytes"]
+                [*[pa.array(c, pa.int64()) for c in (h, rid, at, off)], pa.array(got, pa.binary())], ["h", "rid", "a", "off", "bytes"]
             )
 
-    return joined.mapInArrow(run, "h long, rid long, a long, bytes binary")
+    return joined.mapInArrow(run, "h long, rid long, a long, off long, bytes binary")
 
 
 def sorted_marks(found: DataFrame) -> DataFrame:
-    """(rid, packed) marks of repeated strings in ``found`` (h, rid, a, bytes), anchors kept whole."""
+    """(rid, packed) marks of repeated strings in ``found`` (h, rid, a, off, bytes), anchors kept whole."""
     ordered = found.repartition("h").sortWithinPartitions("h")
 
     def run(batches):
         import pyarrow as pa
 
-        def result(rows):
-            rid, a, b = repeated_strings(rows[3], np.array(rows[1], np.int64), np.array(rows[2], np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(_pack(a, b) | MARK)], ["rid", "packed"])
+        empty = lambda: [[], [], [], [], []]
+
+        def result(rows, sliced):
+            _, rid, at, off, texts = rows
+            rid, at = np.array(rid, np.int64), np.array(at, np.int64)
+            for part, inner in slices(texts, off) if sliced else [(texts, 0)]:
+                r, a, b = repeated_strings(part, rid, at + inner)
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(_pack(a, b) | MARK)], ["rid", "packed"])
 
-        rows, size = [[], [], [], []], 0
+        block, group = empty(), empty()  # whole anchors, and the anchor that is open
         for b in batches:
             for r in zip(*[c.to_pylist() for c in b.columns]):
-                if size >= BLOCK and r[0] != rows[0][-1]:
-                    yield result(rows)
-                    rows, size = [[], [], [], []], 0
-                for col, v in zip(rows, r):
+                if group[0] and r[0] != group[0][-1]:
+                    if sum(map(len, group[4])) > BLOCK:
+                        yield from result(group, True)
+                    else:
+                        for x, y in zip(block, group):
+                            x.extend(y)
+                    group = empty()
+                    if len(block[0]) * LENGTH >= BLOCK:
+                        yield from result(block, False)
+                        block = empty()
+                for col, v in zip(group, r):
                     col.append(v)
-                size += len(r[3])
-        if size:
-            yield result(rows)
+        if group[0]:
+            yield from result(group, sum(map(len, group[4])) > BLOCK)
+        if block[0]:
+            yield from result(block, False)
 
     return ordered.mapInArrow(run, "rid long, packed long")
 

@@ -25,7 +25,7 @@ def check(spark, docs, expected_order=None):
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("hot,block", [(4_000, 1 << 20), (1, 1000)])
+@pytest.mark.parametrize("hot,block", [(100_000, 1 << 20), (1, 1000), (100_000, 1000)])
 def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot, block):
     monkeypatch.setattr(X, "HOT", hot)
     monkeypatch.setattr(X, "BLOCK", block)
