@@ -26,6 +26,7 @@ from .tokens import Encoder, byte_bpe_path
 END_ID = 0
 STRIPE_BYTES = 16 << 20
 ROW_INDEX = 1000
+WRITE_IDS = 1 << 20  # ids that a task hands over at a time
 BLOOM_FPP = 0.01
 
 
@@ -40,17 +41,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
         from pyspark import TaskContext
 
         part, enc, before = TaskContext.get().partitionId(), Encoder(tokenizer), 0
-        for b in batches:
-            got = [np.append(x, np.uint32(END_ID)).view(np.int32) for x in enc.encode(b.column("text"))]
+        def result(ids, got):
+            nonlocal before
             n = np.array([len(x) for x in got], dtype=np.int64)
             at = before + np.r_[0, np.cumsum(n)]
             before = int(at[-1])
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(got)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at[:-1]), pa.array(n), ids],
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(got)))
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.array(np.full(len(n), part, np.int32)), pa.array(at[:-1]), pa.array(n), lists],
                 ["doc_id", "part", "before", "n_tokens", "ids"],
             )
 
+        for b in batches:
+            got, size, first = [], 0, 0
+            for x in enc.encode(b.column("text")):
+                got.append(np.append(x, np.uint32(END_ID)).view(np.int32))
+                size += len(x)
+                if size >= WRITE_IDS:
+                    yield result(b.column("doc_id")[first : first + len(got)], got)
+                    got, size, first = [], 0, first + len(got)
+            if got:
+                yield result(b.column("doc_id")[first:], got)
+
     schema = docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (
         ("part", "int"), ("before", "long"), ("n_tokens", "long"), ("ids", "array<int>"))]).schema
     (
