@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table
-from .tokens import Encoder, byte_bpe_path
+from .tokens import byte_bpe_path, encoder
 
 END_ID = 0
 STRIPE_BYTES = 16 << 20
@@ -40,7 +40,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, enc, before = TaskContext.get().partitionId(), Encoder(tokenizer), 0
+        part, enc, before = TaskContext.get().partitionId(), encoder(tokenizer), 0
         def result(ids, got):
             nonlocal before
             n = np.array([len(x) for x in got], dtype=np.int64)

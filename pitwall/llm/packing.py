@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .tokens import Encoder, byte_bpe_path
+from .tokens import byte_bpe_path, encoder
 
 SIZE = 1024
 END_ID = 0
@@ -128,7 +128,7 @@ def _encoded(docs: DataFrame, path: str, size: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        task, enc = TaskContext.get().partitionId(), Encoder(path)
+        task, enc = TaskContext.get().partitionId(), encoder(path)
         seen, windows = np.zeros(size, dtype=np.int64), 0
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import types
 
 import numpy as np
 
@@ -103,3 +105,11 @@ class Encoder:
             for x, k in enumerate(kind.tolist()):
                 yield next(got[k - 1]) if k else self._ids(part[x].as_py())
             i = j
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process for ``path``: its cache is kept from task to task."""
+    kept = sys.modules.setdefault("_pitwall_encoders", types.ModuleType("_pitwall_encoders"))
+    if path not in vars(kept):
+        setattr(kept, path, Encoder(path))
+    return getattr(kept, path)
