@@ -11,9 +11,9 @@ import numpy as np
 _STOP = r"[^\p{L}\p{N}][.,][ \n]"  # then full stops and commas aren't cut off
 _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 MARK = "\x01"  # begins a cut that has no space before it
-MAX_CACHED = 1_200_000  # cuts in a worker's cache, some 180 MB
-MAX_CUT = 48  # longer cuts aren't cached
-BLOCK = 4 << 20  # bytes of text that are cut at a time
+MAX_CACHED = 1_000_000  # cuts that a worker keeps with their ids, some 30 MB
+BLOCK = 12 << 20  # bytes of text that are cut at a time
+LEARN = 8192  # new cuts that are encoded at a time
 
 
 def byte_bpe_path() -> str:
@@ -35,27 +35,37 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for a task
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.line_feed = int(self._ids("\n")[0])
+        line_feed = self._ids("\n")
+        # the cuts that can't be encoded among others: a space, nothing, a line feed
+        parts = [self._ids(" "), line_feed[:0], line_feed]
+        self.line_feed = int(line_feed[0])
+        self.first = pa.array(["", MARK, f"{MARK}\n"]), np.concatenate(parts), np.array([len(p) for p in parts], np.int32)
+        self.words, self.flat, self.size = self.first
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _cuts(self, cuts: list[str]) -> dict[str, bytes]:
-        texts = {c: c[1:] if c[:1] == MARK else f" {c}" for c in cuts}
-        plain = [c for c, t in texts.items() if c != "" and t != "" and t != "\n"]
-        out = {c: self._ids(t).tobytes() for c, t in texts.items() if c == "" or t == "" or t == "\n"}
-        if plain:
-            ids = self._ids("\n".join([texts[c] for c in plain]))
-            ends = [*(4 * np.flatnonzero(ids == self.line_feed)).tolist(), 4 * len(ids)]
-            raw, at = ids.tobytes(), 0
-            for c, end in zip(plain, ends):
-                out[c], at = raw[at:end], end + 4
-        return out
+    def _learn(self, cuts) -> None:
+        """Encode new cuts (an Arrow array), with line feeds between them, and keep them."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.if_else(pc.starts_with(cuts, MARK), pc.utf8_slice_codeunits(cuts, 1), pc.binary_join_element_wise("", cuts, " "))
+        flat, size = [self.flat], [self.size]
+        for k in range(0, len(texts), LEARN):  # the library needs much memory for a long text
+            part = texts[k : k + LEARN]
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), "\n")
+            ids = self._ids(joined[0].as_py())
+            feeds = np.flatnonzero(np.r_[ids, np.uint32(self.line_feed)] == self.line_feed)
+            flat.append(ids[ids != self.line_feed])
+            size.append(np.diff(feeds, prepend=-1).astype(np.int32) - 1)
+        self.words = pa.concat_arrays([self.words, cuts])
+        self.flat, self.size = np.concatenate(flat), np.concatenate(size)
 
     def _block(self, texts, stops: bool) -> list[np.ndarray]:
         """Ids of texts (an Arrow array) that can be cut, with ``stops`` also at full stops and commas."""
@@ -64,27 +74,19 @@ class Encoder:
         marked = pc.replace_substring(texts, "\n", f" {MARK}\n {MARK}")
         for c in ".," if stops else "":
             marked = pc.replace_substring(marked, f"{c} ", f" {MARK}{c} ")
-        marked = pc.binary_join_element_wise(MARK, marked, "")
-        lists = pc.split_pattern(marked, " ")
+        lists = pc.split_pattern(pc.binary_join_element_wise(MARK, marked, ""), " ")
         coded = lists.flatten().dictionary_encode()
-        which = coded.indices.to_numpy()
-        cuts = coded.dictionary.to_pylist()
-        parts = list(map(self.cache.get, cuts))
-        gaps = [i for i, p in enumerate(parts) if p is None]
-        if gaps:
-            new = [cuts[i] for i in gaps]
-            if len(self.cache) + len(new) > MAX_CACHED:
-                self.cache.clear()
-            got = self._cuts(new)
-            self.cache.update((c, p) for c, p in got.items() if len(c) <= MAX_CUT)
-            for i in gaps:
-                parts[i] = got[cuts[i]]
-        flat = np.frombuffer(b"".join(parts), dtype="<u4")
-        size = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
-        begin = (np.cumsum(size) - size).astype(np.int32)
-        n = size[which]
+        if len(self.words) > MAX_CACHED:
+            self.words, self.flat, self.size = self.first
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        if known.null_count:
+            self._learn(coded.dictionary.filter(known.is_null()))
+            known = pc.index_in(coded.dictionary, value_set=self.words)
+        begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        which = known.to_numpy()[coded.indices.to_numpy()]
+        n = self.size[which]
         ends = np.cumsum(n, dtype=np.int32)  # a block's ids, or a single text's, are below 2^31
-        ids = flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(begin[which] - ends + n, n)]
+        ids = self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(begin[which] - ends + n, n)]
         at = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
@@ -105,6 +107,7 @@ class Encoder:
             for x, k in enumerate(kind.tolist()):
                 yield next(got[k - 1]) if k else self._ids(part[x].as_py())
             i = j
+            pa.default_memory_pool().release_unused()  # else a worker keeps what the largest block took
 
 
 def encoder(path: str) -> Encoder:
