@@ -550,6 +550,17 @@ w as (
   union all select 'warning', 'thickness_range', (select count(*) from th), """ + _examples_sql("th", 3) + """)
 select * from w where n > 0
 union all select 'info', 'valid', 1, null
+union all select 'info', 'total_records', count(*), null from raw
+union all select 'info', 'unique_cmls', count(distinct id_number), null from raw
+union all select 'info', 'avg_corrosion_rate', null, printf('%.6f', R6[avg(average_corrosion_rate)]) from raw
+union all select 'info', 'avg_thickness', null, printf('%.6f', R6[avg(thickness_mm)]) from raw
+union all select 'info', 'min_corrosion_rate', null, printf('%.6f', R6[min(average_corrosion_rate)]) from raw
+union all select 'info', 'max_corrosion_rate', null, printf('%.6f', R6[max(average_corrosion_rate)]) from raw
+union all select 'info', 'min_thickness', null, printf('%.6f', R6[min(thickness_mm)]) from raw
+union all select 'info', 'max_thickness', null, printf('%.6f', R6[max(thickness_mm)]) from raw
+union all select 'info', 'commodity:' || commodity, count(*), null from raw where commodity is not null group by commodity
+union all select 'info', 'feature_type:' || feature_type, count(*), null from raw where feature_type is not null
+  group by feature_type
 """
 
 
@@ -755,7 +766,7 @@ select count(*) as total_cmls,
   count(*) filter (where predicted_elimination = 1) as recommended_eliminations,
   count(*) filter (where predicted_elimination = 0) as recommended_keep,
   """ + pyrnd("(count(*) filter (where predicted_elimination = 1)) * 100.0::double / count(*)", 1) + """
-    as elimination_rate
+    as elimination_rate, cast(null as varchar) as error
 from sc
 """)
 
@@ -764,7 +775,7 @@ select count(*) as total_cmls,
   count(*) filter (where final_decision = 'ELIMINATE') as recommended_eliminations,
   count(*) filter (where final_decision = 'KEEP') as recommended_keep,
   """ + pyrnd("(count(*) filter (where final_decision = 'ELIMINATE')) * 100.0::double / count(*)", 1) + """
-    as elimination_rate
+    as elimination_rate, cast(null as varchar) as error
 from sc
 """)
 
@@ -810,6 +821,39 @@ union all select 'sizes', 'marginal_cases', cast(count(*) filter (where eliminat
   and elimination_probability < 0.6::double) as double) from sc
 """)
 
+_q("eliminations_by_commodity_final", SCORED + """
+select commodity, count(*) as n_eliminations from sc
+where final_decision = 'ELIMINATE' and commodity is not null group by commodity
+""")
+
+_q("eliminations_by_feature_final", SCORED + """
+select feature_type, count(*) as n_eliminations from sc
+where final_decision = 'ELIMINATE' and feature_type is not null group by feature_type
+""")
+
+_q("top_candidates_final", SCORED + """
+select id_number, elimination_probability, average_corrosion_rate, thickness_mm from sc
+where final_decision = 'ELIMINATE' order by elimination_probability desc, id_number limit 20
+""")
+
+_q("full_report_final", SCORED + """
+select 'summary' as section, 'total_cmls' as key, cast(count(*) as double) as value from sc
+union all select 'summary', 'recommended_eliminations', cast(count(*) filter (where final_decision = 'ELIMINATE')
+  as double) from sc
+union all select 'summary', 'recommended_keep', cast(count(*) filter (where final_decision = 'KEEP') as double)
+  from sc
+union all select 'summary', 'elimination_rate',
+  """ + pyrnd("(count(*) filter (where final_decision = 'ELIMINATE')) * 100.0::double / count(*)", 1) + """ from sc
+union all select 'confidence_distribution', confidence_level, cast(count(*) as double) from sc
+  where confidence_level is not null group by confidence_level
+union all select 'elimination_by_commodity', commodity, cast(count(*) as double) from sc
+  where final_decision = 'ELIMINATE' and commodity is not null group by commodity
+union all select 'elimination_by_feature', feature_type, cast(count(*) as double) from sc
+  where final_decision = 'ELIMINATE' and feature_type is not null group by feature_type
+union all select 'sizes', 'marginal_cases', cast(count(*) filter (where elimination_probability > 0.4::double
+  and elimination_probability < 0.6::double) as double) from sc
+""")
+
 
 # ------------------------------------------------------------ synthetic data
 def _slice(i: int) -> str:
@@ -896,21 +940,6 @@ def _uid(tag: str) -> str:
             f" / 4294967296.0::double")
 
 
-_q("train_test_split", SYN + """
-select id_number, elimination_flag, """ + _uid("split") + """ >= 0.2::double as is_train from syn
-""")
-
-_q("stratified_folds", SYN + """
-select id_number, elimination_flag, cast(floor(""" + _uid("fold") + """ * 5.0::double) as integer) as fold from syn
-""")
-
-_q("class_weights", SYN + """,
-c as (select elimination_flag, count(*) as n_class from syn group by elimination_flag)
-select elimination_flag, n_class,
-  R6[(select sum(n_class) from c) / ((select count(*) from c) * n_class)] as class_weight
-from c
-""")
-
 PAIRS = DEC + CUR + """,
 pairs as (
   select case when c.sme_decision = 'ELIMINATE' then 1 else 0 end as l, d.predicted_elimination_flag as p
@@ -953,6 +982,172 @@ group by dim.label, dim.prediction
 """)
 
 
+# ------------------------------------------------- labelled points (ML)
+LAB = CUR + """,
+lab as (
+  select p.*, case when c.sme_decision = 'ELIMINATE' then 1 else 0 end as elimination_flag
+  from points p join cur c on p.id_number = c.id_number)
+"""
+
+
+def _ranked(tag: str) -> str:
+    return LAB + """,
+u as (select id_number, elimination_flag, """ + _uid(tag) + """ as u from lab),
+rk as (select *, row_number() over (partition by elimination_flag order by u, id_number) - 1 as r,
+         count(*) over (partition by elimination_flag) as n from u)
+"""
+
+
+_q("train_test_split", _ranked("split") + """
+select id_number, elimination_flag, r >= round(n * 0.2::double) as is_train from rk
+""")
+
+_q("stratified_folds", _ranked("fold") + """
+select id_number, elimination_flag, cast(r % 5 as integer) as fold from rk
+""")
+
+_q("class_weights", LAB + """,
+c as (select elimination_flag, count(*) as n_class from lab group by elimination_flag)
+select elimination_flag, n_class,
+  R6[(select sum(n_class) from c) / ((select count(*) from c) * n_class)] as class_weight
+from c
+""")
+
+_q("additive_risk_labels", """,
+g1 as (select id_number, average_corrosion_rate as rate, thickness_mm as thick,
+    coalesce(case when average_corrosion_rate <> 0 then (thickness_mm - 3.0::double) / average_corrosion_rate end,
+             300.0::double) as life, """ + _uid("label") + """ as ul
+  from points where average_corrosion_rate is not null and thickness_mm is not null),
+g2 as (select *, least(
+      (case when rate > 0.15::double then 40 when rate > 0.10::double then 25 else 10 end)
+    + (case when thick < 8.0::double then 30 when thick < 9.5::double then 15 else 0 end)
+    + (case when life < 20.0::double then 30 when life < 50.0::double then 15 else 0 end), 100) as risk from g1)
+select id_number, cast(risk as integer) as risk_score,
+  case when rate < 0.08::double and thick > 9.5::double then case when ul > 0.3::double then 1 else 0 end
+       when rate < 0.05::double then case when ul > 0.2::double then 1 else 0 end
+       when risk > 70 then 0
+       when risk > 50 then case when ul > 0.8::double then 1 else 0 end
+       else case when ul > 0.7::double then 1 else 0 end end as elimination_flag
+from g2
+""")
+
+
+# --------------------------------------- missing values, own columns, contracts
+# Points with some measurements missing (NaN on the Spark side), in place of ``points``.
+_NAN = """,
+pn as (
+  select * replace (
+    case when l_partkey % 7 = 0 then null else average_corrosion_rate end as average_corrosion_rate,
+    case when l_suppkey % 11 = 0 then null else thickness_mm end as thickness_mm)
+  from points)
+"""
+
+_q("forecast_points_nan", _NAN + FB_DEFAULT.replace("from points)", "from pn)") + """
+select id_number, remaining_life_years, next_inspection_date, recommended_inspection_frequency_months,
+  estimated_thickness_at_next_inspection, risk_level, current_thickness_mm, corrosion_rate_mm_per_year
+from fb
+""")
+
+_q("null_counts_nan", _NAN + """,
+u as (
+  select 'average_corrosion_rate' as column_name, count(*) filter (where average_corrosion_rate is null) as null_count from pn
+  union all select 'thickness_mm', count(*) filter (where thickness_mm is null) from pn)
+select column_name, null_count from u where null_count > 0
+""")
+
+_OWN = FB_DEFAULT + """,
+own as (
+  select p.id_number, p.average_corrosion_rate, p.thickness_mm,
+    case when l_partkey % 31 <> 0 then cast(l_partkey % 400 as double) / 10.0::double end as i_life,
+    case when l_partkey % 13 = 0 then null
+         else cast(l_shipdate as date) + cast(l_suppkey % 3000 as integer) end as i_date,
+    case when cast(l_partkey % 400 as double) / 10.0::double < 5 then 'HIGH' else 'LOW' end as i_risk,
+    cast(l_suppkey % 72 as integer) as i_months,
+    fb.remaining_life_years as f_life, fb.next_inspection_date as f_date, fb.risk_level as f_risk,
+    fb.recommended_inspection_frequency_months as f_months
+  from points p join fb on p.id_number = fb.id_number)
+"""
+
+for _source, _x in (("forecast", "f"), ("input", "i")):
+    _q(f"forecast_summary_own_{_source}", _OWN + f"""
+select count(*) as total_cmls,
+  count(*) filter (where {_x}_risk = 'CRITICAL') as n_critical, count(*) filter (where {_x}_risk = 'HIGH') as n_high,
+  count(*) filter (where {_x}_risk = 'MEDIUM') as n_medium, count(*) filter (where {_x}_risk = 'LOW') as n_low,
+  R6[avg({_x}_life)] as avg_remaining_life_years, min({_x}_life) as min_remaining_life_years,
+  count(*) filter (where {_x}_risk = 'CRITICAL') as critical_cmls, count(*) filter (where {_x}_risk = 'HIGH') as high_risk_cmls,
+  count(*) filter (where {_x}_date <= DATE '2002-01-01' + 365) as inspections_needed_next_12_months
+from own
+""")
+    _q(f"inspections_due_own_{_source}", _OWN + f"""
+select id_number, cast({_x}_date as date) as next_inspection_date, {_x}_risk as risk_level, {_x}_life as remaining_life_years
+from own where {_x}_date <= DATE '2002-01-01' + 365
+""")
+    _q(f"top_priority_own_{_source}", _OWN + f"""
+select id_number, {_x}_life as remaining_life_years, cast({_x}_date as date) as next_inspection_date, {_x}_risk as risk_level
+from own where {_x}_life is not null order by {_x}_life, id_number limit 10
+""")
+    _q(f"forecast_contract_own_{_source}", _OWN + f""",
+r as (select id_number, nullif(concat_ws('; ',
+    case when average_corrosion_rate is null or average_corrosion_rate < 0 then 'corrosion rate must be >= 0' end,
+    case when thickness_mm is null or thickness_mm <= 0 then 'thickness must be > 0' end,
+    case when {_x}_life is null or {_x}_life < 0 then 'remaining life must be >= 0' end,
+    case when {_x}_months is null or {_x}_months < 1 then 'frequency must be >= 1' end), '') as reasons from own)
+select id_number, reasons is null as is_valid, reasons from r
+""")
+
+_q("override_contract_split_varied", """,
+v as (
+  select case when l_orderkey % 37 <> 0 then id_number end as id_number,
+    case when l_orderkey % 41 = 0 then 'MAYBE' when l_orderkey % 43 = 0 then null
+         when l_linestatus = 'F' then 'KEEP' else 'ELIMINATE' end as sme_decision,
+    'reason' || repeat('!', cast(l_partkey % 9 as integer)) as reason,
+    case when l_suppkey % 17 <> 0 then 'sme-' || cast(l_suppkey % 7 as varchar) end as sme_name,
+    l_shipdate as override_date,
+    case when l_partkey % 5 <> 0 then cast(l_orderkey % 130 - 10 as double) / 100.0::double end as original_probability
+  from (select r.*, li.l_orderkey from raw r join (select distinct l_orderkey,
+          'PT-' || cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as k from lineitem) li on li.k = r.id_number)
+  where l_returnflag = 'R'),
+r as (select *, nullif(concat_ws('; ',
+    case when id_number is null then 'id_number missing' end,
+    case when coalesce(not regexp_full_match(sme_decision, '(KEEP|ELIMINATE)'), true) then 'sme_decision invalid' end,
+    case when length(reason) < 10 then 'reason too short' end,
+    case when sme_name is null then 'sme_name missing' end,
+    case when original_probability < 0.0::double or original_probability > 1.0::double
+         then 'original_probability out of range' end), '') as reasons from v)
+select id_number, sme_decision, override_date, reasons is null as is_valid, reasons from r
+""")
+
+_q("row_contract_split_narrow", """,
+r as (select id_number, nullif(""" + _POINT_REASONS.replace("> 5.0", "> 0.2").replace("> 50.0", "> 9.0") + """, '') as reasons
+      from points)
+select id_number, reasons is null as is_valid, reasons from r
+""")
+
+_q("domain_check_narrow", """,
+u as (
+  select 'feature_type' as column_name, feature_type as value from raw where feature_type not in ('Pipe', 'Elbow', 'Tee')
+  union all select 'cml_shape', cml_shape from raw where cml_shape not in ('Internal', 'External'))
+select column_name, value, count(*) as n_points from u group by column_name, value
+""")
+
+_q("low_remaining_life", """,
+l as (select id_number, case when average_corrosion_rate = 0 or average_corrosion_rate is null or thickness_mm is null then null
+       else greatest((thickness_mm - 3.0::double) / average_corrosion_rate, 0.0::double) end as remaining_life_years from points)
+select id_number, remaining_life_years, case when remaining_life_years < 10.0::double then 1 else 0 end as low_remaining_life
+from l
+""")
+
+_q("remove_overrides_logged", CUR + """
+select * from cur where id_number not in (select id_number from points where commodity = 'Steam')
+""")
+
+_q("advanced_statistics_commodity_risk", AN + """
+select commodity, count(*) as n_points, R6[avg(average_corrosion_rate)] as avg_corrosion,
+  count(*) filter (where raw_life < 2) as critical_count
+from an where commodity is not null group by commodity
+""")
+
+
 # ---------------------------------------------------------------- sources
 _q("dataset_preview", """
 select id_number, average_corrosion_rate, thickness_mm, commodity, feature_type, cml_shape, last_inspection_date,

@@ -1,14 +1,19 @@
 """Null-safe scalar helpers shared by every rule.
 
-Spark's ``least``/``greatest`` skip NULL (``least(NULL, 50) = 50``), while the
-original pandas ``clip`` keeps a missing value missing.  Every cap or floor in
-this package goes through :func:`clip` so a NULL input stays NULL.
+Spark's ``least``/``greatest`` skip NULL (``least(NULL, 50) = 50``) and order
+NaN above every number, while the original pandas ``clip`` keeps a missing value
+missing.  NaN and NULL both mean "not measured": :func:`normalise` turns NaN into
+NULL where data enter, and every cap, floor and band here treats a NaN that got
+past it as missing, so a missing measurement never becomes the safest answer.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..scratch import saved
 
 
 def col(c: str | Column) -> Column:
@@ -24,15 +29,29 @@ def null_double() -> Column:
     return F.lit(None).cast("double")
 
 
+def missing(c: str | Column) -> Column:
+    """NULL or NaN."""
+    c = col(c)
+    return c.isNull() | F.isnan(c)
+
+
+def normalise(df: DataFrame) -> DataFrame:
+    """NaN to NULL in every double and float column (a narrow projection; other columns untouched)."""
+    kinds = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not kinds:
+        return df
+    return df.withColumns({n: F.nanvl(df[n], F.lit(None).cast(t)) for n, t in kinds.items()})
+
+
 def clip(c: str | Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """Clamp to [lo, hi]; NULL stays NULL."""
+    """Clamp to [lo, hi]; NULL and NaN give NULL."""
     c = col(c)
     out = c
     if lo is not None:
         out = F.greatest(out, dbl(lo))
     if hi is not None:
         out = F.least(out, dbl(hi))
-    return F.when(c.isNull(), null_double()).otherwise(out)
+    return F.when(missing(c), null_double()).otherwise(out)
 
 
 def trunc_int(c: Column) -> Column:
@@ -57,49 +76,28 @@ def r6(c: Column) -> Column:
     return F.round(c, 6)
 
 
-def band(c: Column, bins, closed: str = "right") -> Column:
+def band(c: Column, bins) -> Column:
     """Label of the bin holding ``c``.
 
-    ``bins`` is a sequence of (lo, hi, label) with hi None meaning +inf.
-    ``closed="right"`` gives pandas ``cut`` semantics (lo, hi]; values at or
-    below the first edge and NULL fall out (NULL label).
+    ``bins`` is a sequence of (lo, hi, label) with hi None meaning +inf, and
+    pandas ``cut`` semantics (lo, hi]; values at or below the first edge, NULL
+    and NaN fall out (NULL label).
     """
-    expr = None
+    expr = F.when(F.isnan(c), F.lit(None).cast("string"))
     for lo, hi, label in bins:
-        if closed == "right":
-            cond = c > dbl(lo)
-            if hi is not None:
-                cond = cond & (c <= dbl(hi))
-        else:
-            cond = c >= dbl(lo)
-            if hi is not None:
-                cond = cond & (c < dbl(hi))
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+        cond = c > dbl(lo)
+        if hi is not None:
+            cond = cond & (c <= dbl(hi))
+        expr = expr.when(cond, F.lit(label))
     return expr.otherwise(F.lit(None).cast("string"))
 
 
-def band_order(c: Column, bins, closed: str = "right") -> Column:
-    """1-based index of the bin holding ``c`` (NULL when out of all bins)."""
-    expr = None
-    for i, (lo, hi, _label) in enumerate(bins, start=1):
-        if closed == "right":
-            cond = c > dbl(lo)
-            if hi is not None:
-                cond = cond & (c <= dbl(hi))
-        else:
-            cond = c >= dbl(lo)
-            if hi is not None:
-                cond = cond & (c < dbl(hi))
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr.otherwise(F.lit(None).cast("int"))
-
-
 def step_index(c: Column, upper_edges) -> Column:
     """Index of a half-open step [edge_{i-1}, edge_i): 0 below the first edge."""
     expr = None
     for i, edge in enumerate(upper_edges):
         expr = F.when(c < dbl(edge), F.lit(i)) if expr is None else expr.when(c < dbl(edge), F.lit(i))
-    return F.when(c.isNull(), F.lit(None).cast("int")).otherwise(expr.otherwise(F.lit(len(upper_edges))))
+    return F.when(missing(c), F.lit(None).cast("int")).otherwise(expr.otherwise(F.lit(len(upper_edges))))
 
 
 _SPLIT = 134217729.0  # 2**27 + 1, Veltkamp splitting constant for doubles
@@ -177,21 +175,44 @@ def zero_filled_counts(keyed, dim, keys, attrs=(), count_name: str = "n_points",
     return agg.where(F.col("_in_dim") == 1).drop("_in_dim")
 
 
-def quantiles(c: str | Column, probs, approx_accuracy: int | None = None) -> Column:
-    """Array of quantiles of ``c``.
+def exact_quantiles(df: DataFrame, columns: dict[str, Column], probs: dict[str, list[float]],
+                    by: str | None = None) -> DataFrame:
+    """Exact quantiles (linear interpolation, like pandas): one row per value of ``by`` (or one row).
 
-    Exact (linear interpolation, like pandas) by default: the aggregation
-    buffer is a value -> count map per group, bounded by the number of
-    distinct values.  For high-cardinality doubles pass ``approx_accuracy``
-    (e.g. 10000): ``percentile_approx`` keeps a fixed-size, mergeable sketch
-    per group, so no task ever holds more than O(accuracy) entries.
+    The row holds an array of doubles per name in ``columns``.  No task holds
+    a group's values: they are counted per distinct value (combined map-side),
+    range-partitioned by (name, group, value) and written; each part's total
+    per group is a small table, whose running sums number the values; then only
+    the wanted ranks are read.  NULL and NaN are left out; a group without
+    values is absent.
     """
-    if approx_accuracy:
-        return F.percentile_approx(col(c), list(probs), approx_accuracy)
-    return F.percentile(col(c), list(probs))
-
-
-def median_of(c: str | Column, approx_accuracy: int | None = None) -> Column:
-    if approx_accuracy:
-        return F.percentile_approx(col(c), 0.5, approx_accuracy)
-    return F.median(col(c))
+    entries = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()]))
+    keyed = df.select((F.col(by) if by else F.lit(None).cast("string")).alias("g"), entries.alias("e"))
+    counts = (keyed.select("g", "e.name", "e.v").where(~missing("v"))
+              .groupBy("name", "g", "v").agg(F.count(F.lit(1)).alias("n")))
+    order = ["name", "g", "v"]
+    parts = saved(counts.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "quantile-counts")
+    totals = parts.groupBy("name", "g", "part").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy("name", "g")
+    before = totals.select(  # a row per part and group
+        F.col("name").alias("t_name"), F.col("g").alias("t_g"), F.col("part").alias("t_part"),
+        F.coalesce(F.sum("n").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.sum("n").over(group).alias("total"))
+    same = ((F.col("name") == F.col("t_name")) & F.col("g").eqNullSafe(F.col("t_g")) & (F.col("part") == F.col("t_part")))
+    upto = F.sum("n").over(Window.partitionBy("part", "name", "g").orderBy("v"))
+    ranked = parts.withColumn("upto", upto).join(before, same).withColumn("upto", F.col("upto") + F.col("before"))
+
+    def value(p: float) -> Column:
+        at = (F.col("total") - 1) * dbl(p)
+        lo = F.min(F.when(F.col("upto") > F.floor(at), F.col("v")))
+        hi = F.min(F.when(F.col("upto") > F.ceil(at), F.col("v")))
+        f = F.first(at - F.floor(at))
+        return F.when(lo == hi, lo).otherwise((dbl(1.0) - f) * lo + f * hi)
+
+    every = sorted({p for ps in probs.values() for p in ps})
+    found = ranked.groupBy("name", "g").agg(*[value(p).alias(f"q{i}") for i, p in enumerate(every)])
+    lists = [
+        F.first(F.when(F.col("name") == n, F.array(*[F.col(f"q{every.index(p)}") for p in probs[n]])), ignorenulls=True).alias(n)
+        for n in columns
+    ]
+    return found.groupBy("g").agg(*lists).withColumnRenamed("g", by) if by else found.agg(*lists)

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import Analytics, Decisions, Features, ForecastA, ForecastB
-from .core import clip, dbl, null_double, trunc_int
+from .core import clip, dbl, missing, null_double, trunc_int
 
 # ---------------------------------------------------------------- life rules
 
@@ -21,12 +21,12 @@ def life_capped(t: Column, rate: Column, minimum: float | Column, cap: float = 5
     """T-min <= 0 -> 0; rate <= 0 -> cap; else min((t-min)/rate, cap).
 
     Test order matters and is kept: a thin wall gives 0 even at rate 0.
-    Any NULL input gives NULL (safer than the original, see README).
+    Any NULL or NaN input gives NULL (safer than the original, see README).
     """
     minimum = minimum if isinstance(minimum, Column) else dbl(minimum)
     avail = t - minimum
     return (
-        F.when(t.isNull() | rate.isNull(), null_double())
+        F.when(missing(t) | missing(rate), null_double())
         .when(avail <= 0, dbl(0.0))
         .when(rate <= 0, dbl(cap))
         .otherwise(F.least(avail / rate, dbl(cap)))
@@ -59,7 +59,7 @@ def interval_months_b(life: Column, rate: Column, p: ForecastB = ForecastB()) ->
     )
     clamped = F.least(F.greatest(m1, F.lit(p.min_interval_months).cast("bigint")),
                       F.lit(p.max_interval_months).cast("bigint"))
-    return F.when(life.isNull() | rate.isNull(), F.lit(None).cast("bigint")).otherwise(clamped).cast("int")
+    return F.when(missing(life) | missing(rate), F.lit(None).cast("bigint")).otherwise(clamped).cast("int")
 
 
 def next_date_b(last: Column, months: Column, as_of: _dt.date, p: ForecastB = ForecastB()) -> Column:
@@ -78,7 +78,7 @@ def future_thickness_b(t: Column, rate: Column, months: Column) -> Column:
 def risk_level_b(life: Column, rate: Column, t: Column, p: ForecastB = ForecastB()) -> Column:
     """C5 on the unrounded life."""
     return (
-        F.when(life.isNull() | rate.isNull() | t.isNull(), F.lit(None).cast("string"))
+        F.when(missing(life) | missing(rate) | missing(t), F.lit(None).cast("string"))
         .when((life < dbl(p.critical_life)) | (t < dbl(p.critical_thickness)), F.lit("CRITICAL"))
         .when((life < dbl(p.high_life)) | (rate > dbl(p.high_rate)), F.lit("HIGH"))
         .when((life < dbl(p.medium_life)) | (rate > dbl(p.medium_rate)), F.lit("MEDIUM"))
@@ -91,7 +91,7 @@ def risk_level_b(life: Column, rate: Column, t: Column, p: ForecastB = ForecastB
 
 def interval_years_a(life: Column, p: ForecastA = ForecastA()) -> Column:
     """Life 0 -> 0.5 year, else clamp(life / sf, 1, 6)."""
-    return F.when(life.isNull(), null_double()).when(life == 0, dbl(p.zero_life_interval_years)).otherwise(
+    return F.when(missing(life), null_double()).when(life == 0, dbl(p.zero_life_interval_years)).otherwise(
         F.greatest(dbl(p.min_interval_years), F.least(life / dbl(p.safety_factor), dbl(p.max_interval_years)))
     )
 
@@ -104,7 +104,7 @@ def next_date_a(years: Column, as_of: _dt.date, p: ForecastA = ForecastA()) -> C
 def risk_level_a(life: Column, p: ForecastA = ForecastA()) -> Column:
     """Life-only thresholds 2 / 5 / 10."""
     return (
-        F.when(life.isNull(), F.lit(None).cast("string"))
+        F.when(missing(life), F.lit(None).cast("string"))
         .when(life < dbl(p.critical_life), F.lit("CRITICAL"))
         .when(life < dbl(p.high_life), F.lit("HIGH"))
         .when(life < dbl(p.medium_life), F.lit("MEDIUM"))
@@ -121,8 +121,8 @@ def estimated_thickness_a(t: Column, rate: Column, years: Column) -> Column:
 
 
 def analytics_interval_months(life: Column, p: Analytics = Analytics()) -> Column:
-    """x > 0 ? min(x / 1.5, 6) : 0.5, in months.  NULL life counts as 0.5 year."""
-    years = F.when(life > 0, F.least(life / dbl(p.interval_factor), dbl(p.max_interval_years))).otherwise(
+    """x > 0 ? min(x / 1.5, 6) : 0.5, in months.  A missing life counts as 0.5 year."""
+    years = F.when(~missing(life) & (life > 0), F.least(life / dbl(p.interval_factor), dbl(p.max_interval_years))).otherwise(
         dbl(p.zero_life_interval_years)
     )
     return years * dbl(12.0)
@@ -142,7 +142,7 @@ def risk_score_fallback(t: Column, rate: Column, p: Features = Features()) -> Co
 
 def decision_flag(prob: Column, p: Decisions = Decisions()) -> Column:
     """1 when p > 0.5 (0.5 itself keeps)."""
-    return F.when(prob.isNull(), F.lit(None).cast("int")).when(prob > dbl(p.threshold), F.lit(1)).otherwise(F.lit(0))
+    return F.when(missing(prob), F.lit(None).cast("int")).when(prob > dbl(p.threshold), F.lit(1)).otherwise(F.lit(0))
 
 
 def recommendation(flag: Column) -> Column:
@@ -151,14 +151,14 @@ def recommendation(flag: Column) -> Column:
 
 def confidence_two_level(prob: Column, p: Decisions = Decisions()) -> Column:
     """D3: abs(p - 0.5) > 0.3 -> HIGH else MODERATE."""
-    return F.when(prob.isNull(), F.lit(None).cast("string")).when(
+    return F.when(missing(prob), F.lit(None).cast("string")).when(
         F.abs(prob - dbl(0.5)) > dbl(p.two_level_margin), F.lit("HIGH")
     ).otherwise(F.lit("MODERATE"))
 
 
 def confidence_score(prob: Column) -> Column:
     """D4 numeric confidence: max(p, 1 - p)."""
-    return F.when(prob.isNull(), null_double()).otherwise(F.greatest(prob, dbl(1.0) - prob))
+    return F.when(missing(prob), null_double()).otherwise(F.greatest(prob, dbl(1.0) - prob))
 
 
 def confidence_three_level(prob: Column, p: Decisions = Decisions()) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.core import count_if, dbl, median_of, r6
+from ..functions.core import count_if, dbl, exact_quantiles, missing, r6
 from ..schema import Decisions
 
 P = "elimination_probability"
@@ -41,13 +41,13 @@ def decide_enhanced(df: DataFrame, prob: str = P, d: Decisions = Decisions()) ->
 
 
 def score_summary(scored: DataFrame, flag: str = "predicted_elimination") -> DataFrame:
-    """Total, eliminate, keep, elimination rate (fraction), high-confidence eliminations."""
+    """Total, eliminate, keep, elimination rate (fraction; NULL if empty), high-confidence eliminations."""
     f = F.col(flag)
     return scored.agg(
         F.count(F.lit(1)).alias("total_cmls"),
         count_if(f == 1).alias("recommended_eliminations"),
         count_if(f == 0).alias("recommended_keep"),
-        r6(count_if(f == 1) / F.count(F.lit(1))).alias("elimination_rate"),
+        r6(F.try_divide(count_if(f == 1), F.count(F.lit(1)))).alias("elimination_rate"),
         count_if((f == 1) & (F.col("confidence_level") == "HIGH")).alias("high_confidence_eliminations"),
     )
 
@@ -76,11 +76,12 @@ def decision_breakdown(scored: DataFrame) -> DataFrame:
     return tidy.withColumn("pct", r6(F.col("n") * dbl(100.0) / F.sum("n").over(per_dim)))
 
 
-def probability_stats(scored: DataFrame, prob: str = P, approx_accuracy: int | None = None) -> DataFrame:
-    """Mean, median, std of p; counts p > 0.8 and p < 0.2."""
-    p = F.col(prob)
+def probability_stats(scored: DataFrame, prob: str = P) -> DataFrame:
+    """Mean, exact median, std of p; counts p > 0.8 and p < 0.2 (missing p left out)."""
+    p = F.when(~missing(prob), F.col(prob))
+    median = exact_quantiles(scored, {"m": p}, {"m": [0.5]}).select(F.col("m")[0]).scalar()
     return scored.agg(
-        r6(F.avg(p)).alias("mean_probability"), r6(median_of(p, approx_accuracy)).alias("median_probability"),
+        r6(F.avg(p)).alias("mean_probability"), r6(median).alias("median_probability"),
         r6(F.stddev_samp(p)).alias("std_probability"),
         count_if(p > dbl(0.8)).alias("n_above_0_8"), count_if(p < dbl(0.2)).alias("n_below_0_2"),
     )

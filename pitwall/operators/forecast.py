@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.core import count_if, dbl, py_round, r6
-from ..schema import DEFAULT_AS_OF, RISK_LEVELS, ForecastA, ForecastB
+from ..functions.core import count_if, dbl, missing, normalise, py_round, r6
+from ..schema import RISK_LEVELS, ForecastA, ForecastB
 
 B_OUTPUT = (
     "remaining_life_years",
@@ -39,15 +39,33 @@ def ensure_ids(df: DataFrame, prefix: str = "CML-", id_col: str = "id_number") -
     return df.withColumn(id_col, F.concat(F.lit(prefix), F.monotonically_increasing_id().cast("string")))
 
 
-def forecast_b(df: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, profile: ForecastB = ForecastB(),
+def output_column(df: DataFrame, name: str, source: str = "forecast"):
+    """The forecast's column ``name``, or with ``source="input"`` the one the input brought.
+
+    A forecast of a table that already had the column carries both: the input's
+    under its name, the forecast's with the suffix ``_forecast``.  Dates that
+    came as text are parsed, and malformed ones (``2028-00-08``) are NULL.
+    """
+    if source not in ("forecast", "input"):
+        raise ValueError("source must be 'forecast' or 'input'")
+    both = f"{name}_forecast" in df.columns
+    chosen = f"{name}_forecast" if both and source == "forecast" else name
+    if name.endswith("_date") and dict(df.dtypes)[chosen] == "string":
+        return F.try_to_date(F.col(chosen))
+    return F.col(chosen)
+
+
+def forecast_b(df: DataFrame, *, as_of: _dt.date, profile: ForecastB = ForecastB(),
                minimum_thickness: float | None = None, thickness: str = "thickness_mm",
                rate: str = "average_corrosion_rate", last_date: str = "last_inspection_date") -> DataFrame:
     """Profile-B forecast columns added to every input row.
 
     Rows are preserved one for one (the original's join back on id multiplied
     duplicate ids).  Output names that already exist in the input keep the
-    input values; the new values get the suffix ``_forecast``.
+    input values; the new values get the suffix ``_forecast``
+    (:func:`output_column` picks one).  NaN inputs count as NULL.
     """
+    df = normalise(df)
     t, r = F.col(thickness), F.col(rate)
     last = F.col(last_date) if last_date in df.columns else F.lit(None).cast("date")
     if last_date in df.columns and dict(df.dtypes)[last_date] == "string":
@@ -72,53 +90,59 @@ def forecast_b(df: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, profile: Forec
     return out.withColumns(named).drop("_life", "_months", "_thick")
 
 
-def risk_summary(fc: DataFrame) -> DataFrame:
+def risk_summary(fc: DataFrame, source: str = "forecast") -> DataFrame:
     """Points, mean / min life per risk level (the flagship query)."""
-    return fc.groupBy("risk_level").agg(
+    life = output_column(fc, "remaining_life_years", source)
+    return fc.groupBy(output_column(fc, "risk_level", source).alias("risk_level")).agg(
         F.count(F.lit(1)).alias("n_points"),
-        r6(F.avg("remaining_life_years")).alias("avg_remaining_life_years"),
-        F.min("remaining_life_years").alias("min_remaining_life_years"),
-        F.max("recommended_inspection_frequency_months").alias("max_interval_months"),
+        r6(F.avg(life)).alias("avg_remaining_life_years"),
+        F.min(life).alias("min_remaining_life_years"),
+        F.max(output_column(fc, "recommended_inspection_frequency_months", source)).alias("max_interval_months"),
     )
 
 
-def forecast_summary(fc: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, within_days: int = 365,
-                     life_col: str = "remaining_life_years") -> DataFrame:
+def forecast_summary(fc: DataFrame, *, as_of: _dt.date, within_days: int = 365, source: str = "forecast") -> DataFrame:
     """One-row summary of a profile-B forecast.
 
-    ``life_col`` chooses which life is averaged: the forecast (default) or,
-    as the original did when the input carried its own column, the input's.
+    ``source`` says whose life and dates are summarised where the input had
+    columns of the same names: the forecast's (default) or the input's.
     """
-    due = F.col("next_inspection_date") <= F.date_add(F.lit(as_of), within_days)
+    life, risk = output_column(fc, "remaining_life_years", source), output_column(fc, "risk_level", source)
+    due = output_column(fc, "next_inspection_date", source) <= F.date_add(F.lit(as_of), within_days)
     return fc.agg(
         F.count(F.lit(1)).alias("total_cmls"),
-        *[count_if(F.col("risk_level") == lvl).alias(f"n_{lvl.lower()}") for lvl in RISK_LEVELS],
-        r6(F.avg(life_col)).alias("avg_remaining_life_years"),
-        F.min(life_col).alias("min_remaining_life_years"),
-        count_if(F.col("risk_level") == "CRITICAL").alias("critical_cmls"),
-        count_if(F.col("risk_level") == "HIGH").alias("high_risk_cmls"),
+        *[count_if(risk == lvl).alias(f"n_{lvl.lower()}") for lvl in RISK_LEVELS],
+        r6(F.avg(life)).alias("avg_remaining_life_years"),
+        F.min(life).alias("min_remaining_life_years"),
+        count_if(risk == "CRITICAL").alias("critical_cmls"),
+        count_if(risk == "HIGH").alias("high_risk_cmls"),
         count_if(due).alias("inspections_needed_next_12_months"),
     )
 
 
-def top_priority_inspections(fc: DataFrame, n: int = 10) -> DataFrame:
-    """C14: the n smallest lives (NULL life excluded), ties by id.
+def _picked(fc: DataFrame, source: str) -> list:
+    return [output_column(fc, c, source).alias(c) for c in ("remaining_life_years", "next_inspection_date", "risk_level")]
+
+
+def top_priority_inspections(fc: DataFrame, n: int = 10, source: str = "forecast") -> DataFrame:
+    """C14: the n smallest lives (missing life excluded), ties by id.
 
     NULLs sort last and are dropped after the per-partition top-k, which
     gives the same rows as filtering first but filters at most n rows (a
     filter on the computed life would be pushed below its projection).
     """
     return (
-        fc.orderBy(F.col("remaining_life_years").asc_nulls_last(), F.col("id_number").asc())
+        fc.select("id_number", *_picked(fc, source))
+        .orderBy(F.col("remaining_life_years").asc_nulls_last(), F.col("id_number").asc())
         .limit(n)
         .where(F.col("remaining_life_years").isNotNull())
-        .select("id_number", "remaining_life_years", "next_inspection_date", "risk_level")
     )
 
 
-def inspections_due(fc: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, within_days: int = 365) -> DataFrame:
+def inspections_due(fc: DataFrame, *, as_of: _dt.date, within_days: int = 365, source: str = "forecast") -> DataFrame:
     """Points whose next inspection falls within ``within_days`` (last day included)."""
-    return fc.where(F.col("next_inspection_date") <= F.date_add(F.lit(as_of), within_days)).select(
+    picked = fc.select("id_number", *_picked(fc, source))
+    return picked.where(F.col("next_inspection_date") <= F.date_add(F.lit(as_of), within_days)).select(
         "id_number", "next_inspection_date", "risk_level", "remaining_life_years"
     )
 
@@ -134,11 +158,11 @@ A_OUTPUT = (
 
 
 def _a_accepted(t, r, profile: ForecastA):
-    ok = t.isNotNull() & r.isNotNull() & (t > dbl(0.0)) & (r >= dbl(0.0))
+    ok = ~missing(t) & ~missing(r) & (t > dbl(0.0)) & (r >= dbl(0.0))
     return ok & F.lit(profile.safety_factor >= 1.0)
 
 
-def forecast_a(df: DataFrame, *, as_of: _dt.date = DEFAULT_AS_OF, profile: ForecastA = ForecastA(),
+def forecast_a(df: DataFrame, *, as_of: _dt.date, profile: ForecastA = ForecastA(),
                thickness: str = "thickness_mm", rate: str = "average_corrosion_rate") -> DataFrame:
     """Profile-A schedule for accepted rows (t > 0, rate >= 0, sf >= 1).
 
@@ -165,8 +189,8 @@ def forecast_a_rejects(df: DataFrame, *, profile: ForecastA = ForecastA(), thick
     """Rows profile A refuses, with the first failing rule."""
     t, r = F.col(thickness), F.col(rate)
     reason = (
-        F.when(t.isNull(), F.lit("thickness missing"))
-        .when(r.isNull(), F.lit("corrosion rate missing"))
+        F.when(missing(t), F.lit("thickness missing"))
+        .when(missing(r), F.lit("corrosion rate missing"))
         .when(t <= dbl(0.0), F.lit("thickness must be positive"))
         .when(r < dbl(0.0), F.lit("corrosion rate must be non-negative"))
         .when(F.lit(profile.safety_factor < 1.0), F.lit("safety factor must be >= 1.0"))

@@ -2,18 +2,19 @@
 
 * Preprocessing (M1): median imputation, standard scaling of the numerics,
   one-hot categories with an "unknown" slot that encodes to a zero vector.
-* Split and folds (M2, M6): per-row md5 uniforms of the id -- stratified in
-  expectation, reproducible, and free of global windows (a rank per label
-  would put half the table in one task).
+* Split and folds (M2, M6): exactly stratified by rank within the label, in the
+  order of md5 uniforms of the id; the rank is counted in 65,536 buckets per
+  label, so no task ranks a whole label.
 * Class weights (M3): per-label counts (one row per class) broadcast back.
-* Forest and grid search (M4, M5): ``RandomForestClassifier`` and
-  ``CrossValidator(foldCol=...)``; every fit is a distributed job.
+* Forest and grid search (M4, M5): every fit is a distributed job; the
+  preprocessing is fitted, and its vectors are cached, once per fold.
 * Reports (M7-M11) are aggregations over (label, prediction) pairs.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import itertools
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,12 +22,11 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import dbl, literal_rows, zero_filled_counts
-from ..session import ensure_checkpoint_dir
+from ..scratch import shared_dir
 from .synth import uniform
 
 LABEL = "elimination_flag"
@@ -73,14 +73,38 @@ def build_pipeline(df: DataFrame, **forest_args) -> Pipeline:
     return Pipeline(stages=[*preprocessor(numeric_features(df)), forest(**forest_args)])
 
 
-def split_flag(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: str = "id_number") -> DataFrame:
-    """M2: ``is_train`` from a per-id uniform (stratified in expectation)."""
-    return df.withColumn("is_train", uniform(F.col(key), seed, "split") >= dbl(test_fraction))
+RANK_BUCKETS = 65_536
 
 
-def fold_column(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id_number") -> DataFrame:
-    """M6: fold index 0..k-1 from a per-id uniform."""
-    return df.withColumn("fold", F.floor(uniform(F.col(key), seed, "fold") * dbl(float(k))).cast("int"))
+def stratified_rank(df: DataFrame, tag: str, seed: int = 42, key: str = "id_number", label: str = LABEL) -> DataFrame:
+    """Add ``_rank`` (0-based, within the label, by md5 uniform then id) and ``_n`` (rows of the label).
+
+    Rows are ranked within (label, leading 16 bits of the uniform); the counts of
+    those buckets (at most 65,536 rows per class) give where each begins.
+    """
+    u = uniform(F.col(key), seed, tag)
+    keyed = df.withColumns({"_u": u, "_bucket": F.floor(u * dbl(float(RANK_BUCKETS))).cast("int")})
+    counts = keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    per = Window.partitionBy("_label")
+    begins = counts.select(F.col(label).alias("_label"), F.col("_bucket").alias("_b"), "_c").select(
+        "_label", "_b", F.sum("_c").over(per).alias("_n"),
+        F.coalesce(F.sum("_c").over(per.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_u", key))
+    ranked = keyed.withColumn("_here", here)
+    joined = ranked.join(F.broadcast(begins),  # at most RANK_BUCKETS rows per class
+                         ranked[label].eqNullSafe(begins["_label"]) & (ranked["_bucket"] == begins["_b"]))
+    return joined.withColumn("_rank", F.col("_before") + F.col("_here") - 1).drop("_u", "_bucket", "_label", "_b", "_before", "_here")
+
+
+def split_flag(df: DataFrame, test_fraction: float = 0.2, seed: int = 42, key: str = "id_number", label: str = LABEL) -> DataFrame:
+    """M2: ``is_train``; the test rows of each label are its first round(n * test_fraction) ranks."""
+    ranked = stratified_rank(df, "split", seed, key, label)
+    return ranked.withColumn("is_train", F.col("_rank") >= F.round(F.col("_n") * dbl(test_fraction))).drop("_rank", "_n")
+
+
+def fold_column(df: DataFrame, k: int = 5, seed: int = 42, key: str = "id_number", label: str = LABEL) -> DataFrame:
+    """M6: fold 0..k-1, in turn by rank, so each label's folds differ by at most one row."""
+    return stratified_rank(df, "fold", seed, key, label).withColumn("fold", (F.col("_rank") % k).cast("int")).drop("_rank", "_n")
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -98,22 +122,44 @@ def with_class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label).select(label, "class_weight")), label, "left")
 
 
-def grid_search(train: DataFrame, k: int = 5, parallelism: int = 2, seed: int = 42,
-                trees=(100, 200, 300), depths=(10, 20, 30), leaves=(1, 2), weightings=("class_weight", "")):
-    """M5: grid over trees x depth x leaf size x weighting, k-fold, positive-class F1.
+def _fold_vectors(train: DataFrame, k: int, seed: int):
+    """For each fold: (fitting vectors, held-out vectors), preprocessed once and cached; unpersisted afterwards."""
+    data = with_class_weights(fold_column(train, k, seed)).persist()
+    stages = preprocessor(numeric_features(train))
+    try:
+        for i in range(k):
+            prep = Pipeline(stages=stages).fit(data.where(F.col("fold") != i))
+            vectors = prep.transform(data).select("fold", LABEL, "class_weight", "features").persist()
+            try:
+                yield i, vectors.where(F.col("fold") != i), vectors.where(F.col("fold") == i)
+            finally:
+                vectors.unpersist()
+    finally:
+        data.unpersist()
+
+
+def positive_f1() -> MulticlassClassificationEvaluator:
+    return MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
+
+
+def grid_search(train: DataFrame, k: int = 5, seed: int = 42, trees=(100, 200, 300), depths=(10, 20, 30), leaves=(1, 2),
+                weightings=("class_weight", "")) -> DataFrame:
+    """M5: mean positive-class F1 over k stratified folds of every setting, best first.
 
     ``min_samples_split`` and ``balanced_subsample`` have no Spark equivalent
     and are not in the grid; depth 30 stands in for unlimited depth.
     """
-    data = with_class_weights(fold_column(train, k, seed))
-    rf = forest(seed=seed)
-    pipe = Pipeline(stages=[*preprocessor(numeric_features(train)), rf])
-    grid = (ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths))
-            .addGrid(rf.minInstancesPerNode, list(leaves)).addGrid(rf.weightCol, list(weightings)).build())
-    ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
-                        parallelism=parallelism, seed=seed)
-    return cv.fit(data)
+    spark = train.sparkSession
+    shared_dir(spark)
+    grid = list(itertools.product(trees, depths, leaves, weightings))
+    scores: dict[tuple, list[float]] = {g: [] for g in grid}
+    for _, fit, held in _fold_vectors(train, k, seed):
+        for g in grid:
+            model = forest(g[0], g[1], g[2], g[3] or None, seed).fit(fit)
+            scores[g].append(float(positive_f1().evaluate(model.transform(held))))
+    rows = [(*g, sum(f) / k) for g, f in scores.items()]
+    return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, weighting string, cv_f1 double").orderBy(
+        F.col("cv_f1").desc(), "num_trees", "max_depth", "min_instances", "weighting")
 
 
 def score_points(model: PipelineModel, df: DataFrame, threshold_col: str = "predicted_elimination_flag") -> DataFrame:
@@ -132,7 +178,7 @@ def test_metrics(scored: DataFrame, label: str = LABEL) -> DataFrame:
     f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel",
                                            metricLabel=1.0).evaluate(scored)
     auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                        metricName="areaUnderROC").evaluate(scored)
+                                        metricName="areaUnderROC", numBins=0).evaluate(scored)  # the whole curve
     return spark.createDataFrame([(float(acc), float(auc), float(f1))], "test_accuracy double, roc_auc double, "
                                                                         "f1_score double")
 
@@ -162,22 +208,26 @@ def classification_report(pairs: DataFrame, label: str = LABEL, prediction: str
                                       dbl(2.0) * F.col("precision") * F.col("recall")
                                       / (F.col("precision") + F.col("recall"))).otherwise(dbl(0.0)))
     tot = F.sum("support")
-    summary = per.agg(
+    # One row per class: collected into one array, and the averages taken over it.
+    one = per.agg(
+        F.collect_list(F.struct("class_name", "precision", "recall", "f1", "support")).alias("rows"),
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
         (F.sum(F.col("precision") * F.col("support")) / tot).alias("wp"),
         (F.sum(F.col("recall") * F.col("support")) / tot).alias("wr"),
         (F.sum(F.col("f1") * F.col("support")) / tot).alias("wf"),
         (F.sum("tp") / tot).alias("acc"), tot.alias("n"),
     )
-    avgs = summary.select(F.explode(F.array(
-        F.struct(F.lit("macro avg").alias("class_name"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("weighted avg").alias("class_name"), F.col("wp").alias("precision"),
-                 F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("accuracy").alias("class_name"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"), F.col("n").alias("support")),
-    )).alias("a")).select("a.*")
-    out = per.select("class_name", "precision", "recall", "f1", "support").unionByName(avgs)
+
+    def line(name, precision, recall, f1):
+        return F.struct(F.lit(name).alias("class_name"), precision.alias("precision"), recall.alias("recall"),
+                        f1.alias("f1"), F.col("n").alias("support"))
+
+    averages = F.array(
+        line("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
+        line("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")),
+        line("accuracy", F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("acc")),
+    )
+    out = one.where(F.col("n") > 0).select(F.explode(F.concat("rows", averages)).alias("r")).select("r.*")
     return out.select("class_name", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
                       F.col("support").cast("bigint").alias("support"))
 
@@ -191,30 +241,29 @@ def confusion_matrix(pairs: DataFrame, label: str = LABEL, prediction: str = "pr
     return zero_filled_counts(keyed, dim, ["label", "prediction"], count_name="n")
 
 
-def cross_validated_f1(data: DataFrame, k: int = 5, seed: int = 42, parallelism: int = 5,
-                       **forest_args) -> DataFrame:
-    """Positive-class F1 per fold (fit on the other folds), plus mean and population std."""
+def cross_validated_f1(data: DataFrame, k: int = 5, seed: int = 42, **forest_args) -> DataFrame:
+    """Positive-class F1 per stratified fold (weighted fit on the other folds), plus mean and population std."""
     spark = data.sparkSession
-    ensure_checkpoint_dir(spark)
-    folded = fold_column(data, k, seed).persist()
-    ev = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
+    shared_dir(spark)
+    forest_args.setdefault("weight_col", "class_weight")
+    rows = [(i, float(positive_f1().evaluate(forest(seed=seed, **forest_args).fit(fit).transform(held))))
+            for i, fit, held in _fold_vectors(data, k, seed)]
+    scores = spark.createDataFrame(rows, "fold int, f1 double")
+    every = Window.partitionBy()  # over the k rows
+    return scores.withColumns({"cv_f1_mean": F.avg("f1").over(every), "cv_f1_std": F.stddev_pop("f1").over(every)})
 
-    def one_fold(i):
-        model = build_pipeline(data, **forest_args).fit(folded.where(F.col("fold") != i))
-        return i, float(ev.evaluate(model.transform(folded.where(F.col("fold") == i))))
 
-    # The k fits are independent distributed jobs; submitting them from a few
-    # driver threads keeps the cluster busy between a fit's narrow stages.
-    from concurrent.futures import ThreadPoolExecutor
+def training_record(metrics: DataFrame, held_out: DataFrame, cv: DataFrame, feature_names: list[str], **settings) -> DataFrame:
+    """One row with test metrics, confusion matrix, cross-validation mean and std, settings and features.
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
-            rows = list(pool.map(one_fold, range(k)))
-    finally:
-        folded.unpersist()
-    scores = spark.createDataFrame(rows, "fold int, f1 double")
-    return scores.withColumns({"cv_f1_mean": F.avg("f1").over(Window.partitionBy()),
-                               "cv_f1_std": F.stddev_pop("f1").over(Window.partitionBy())})
+    ``metrics``, ``cv`` and the confusion matrix have a few rows each.
+    """
+    matrix = confusion_matrix(held_out).agg(F.sort_array(F.collect_list(F.struct("label", "prediction", "n")))).scalar()
+    fold = cv.agg(F.struct(F.max("cv_f1_mean").alias("mean"), F.max("cv_f1_std").alias("std"))).scalar()
+    return metrics.select(
+        "*", matrix.alias("confusion_matrix"), fold["mean"].alias("cv_f1_mean"), fold["std"].alias("cv_f1_std"),
+        F.array(*[F.lit(n) for n in feature_names]).alias("feature_names"),
+        F.lit(json.dumps(settings, sort_keys=True)).alias("settings"))
 
 
 def feature_importance(model: PipelineModel, scored: DataFrame, top: int = 10) -> DataFrame:
@@ -263,7 +312,7 @@ def train_and_evaluate(points: DataFrame, test_fraction: float = 0.2, seed: int
     Returns (model, scored_test, metrics_df).  The feature table is persisted
     once because the forest makes several passes over it.
     """
-    ensure_checkpoint_dir(points.sparkSession)  # node-id checkpoints of the forest
+    shared_dir(points.sparkSession)  # node-id checkpoints of the forest
     data = split_flag(points, test_fraction, seed)
     if balanced:
         data = with_class_weights(data)

@@ -15,20 +15,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import count_if, dbl, py_round
-from ..schema import DECISIONS, OVERRIDE_SCHEMA
+from ..schema import DECISIONS, OVERRIDE_SCHEMA, REMOVED
 
 OVERRIDE_COLUMNS = [f.name for f in OVERRIDE_SCHEMA.fields]
 
 
+def _wall_micros(date):
+    """Microseconds of the date as written (no time zone): day number and time of day."""
+    at = date.cast("timestamp_ntz")
+    day = F.unix_date(at.cast("date")).cast("bigint") * 86_400_000_000
+    seconds = F.hour(at).cast("bigint") * 3600 + F.minute(at) * 60
+    return day + seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("bigint")
+
+
 def current_overrides(log: DataFrame) -> DataFrame:
     """Latest entry per id.
 
     Order: override_date desc (NULL last), then sme_name, sme_decision,
     reason, original_prediction (NULL last) -- a total order, so the result
-    does not depend on partitioning.
+    does not depend on partitioning.  Dates are compared as they were written,
+    whatever the session's time zone.  An id whose latest entry is a removal
+    (:func:`removals`) has no current override.
     """
-    date_key = F.when(F.col("override_date").isNull(), F.lit(2**62)).otherwise(
-        -F.unix_micros(F.col("override_date").cast("timestamp")))
+    date_key = F.when(F.col("override_date").isNull(), F.lit(2**62)).otherwise(-_wall_micros(F.col("override_date")))
     key = F.struct(
         date_key.alias("k0"),
         F.col("sme_name").alias("k1"),
@@ -39,7 +48,7 @@ def current_overrides(log: DataFrame) -> DataFrame:
         F.col("override_date").alias("v_date"),
         F.col("original_probability").alias("v_prob"),
     )
-    best = log.groupBy("id_number").agg(F.min(key).alias("b"))
+    best = log.groupBy("id_number").agg(F.min(key).alias("b")).where(~F.col("b.k2").eqNullSafe(REMOVED))
     return best.select(
         "id_number",
         F.col("b.k2").alias("sme_decision"),
@@ -89,10 +98,22 @@ def get_overrides(state: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def remove_overrides(state: DataFrame, ids: DataFrame) -> DataFrame:
-    """Current state without the given ids (anti join)."""
+    """O5 (logical): current state without the given ids (anti join)."""
     return state.join(ids.select("id_number"), "id_number", "left_anti")
 
 
+def removals(ids: DataFrame, when: _dt.datetime, sme_name: str | None = None) -> DataFrame:
+    """One removal row per id, to be appended to the log like any entry.
+
+    :func:`current_overrides` drops an id whose latest row is a removal, so the
+    removal survives a re-read of the log; a later override brings the id back.
+    """
+    return ids.select("id_number").distinct().select(
+        "id_number", F.lit(REMOVED).alias("sme_decision"), F.lit(None).cast("string").alias("reason"),
+        F.lit(sme_name).cast("string").alias("sme_name"), F.lit(when).cast("timestamp_ntz").alias("override_date"),
+        F.lit(None).cast("string").alias("original_prediction"), F.lit(None).cast("double").alias("original_probability"))
+
+
 def apply_overrides(scored: DataFrame, state: DataFrame, decision_col: str = "recommendation") -> DataFrame:
     """Left join of the scored rows with the current overrides on id.
 

@@ -18,9 +18,9 @@ from ..functions.core import (
     clip,
     count_if,
     dbl,
+    exact_quantiles,
     literal_rows,
-    median_of,
-    quantiles,
+    normalise,
     r6,
     step_index,
     zero_filled_counts,
@@ -56,6 +56,7 @@ def staged(df: DataFrame, p: Analytics = Analytics(), lo: float | None = 0.0, hi
     Catalyst compute each once per row: the optimizer does not inline a
     non-trivial expression that is referenced several times.
     """
+    df = normalise(df)
     out = df.withColumn("_life", analytics_life(df, lo, hi, p))
     return out.withColumns({
         "_months": R.analytics_interval_months(F.col("_life"), p),
@@ -128,7 +129,7 @@ def life_histogram(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     spark = _spark(df)
     n = p.histogram_bins
     width = p.life_cap / n
-    vals = df.select(analytics_life(df, None, p.life_cap, p).alias("x"))
+    vals = normalise(df).select(analytics_life(df, None, p.life_cap, p).alias("x"))
     rows = [(-1, None, 0.0)] + [(i, i * width, (i + 1) * width) for i in range(n)]
     dim = literal_rows(spark, rows, "bin_index int, bin_lo double, bin_hi double")
     # NULL lives fall in no bin (dropped); every other life lands in exactly
@@ -147,19 +148,18 @@ def _bin_index(x, width: float, n: int):
             .otherwise(F.least(F.floor(x / dbl(width)), F.lit(n - 1)).cast("int")))
 
 
-def corrosion_by_commodity(df: DataFrame, approx_accuracy: int | None = None) -> DataFrame:
+def corrosion_by_commodity(df: DataFrame) -> DataFrame:
     """A3: per commodity quartiles (exact, linear interpolation), min / max,
     Tukey fences, and the rank by median (descending, ties by name)."""
+    df = normalise(df)
     r = F.col(R_COL)
-    q = quantiles(r, [0.25, 0.5, 0.75], approx_accuracy)
-    agg = (
-        df.where(F.col("commodity").isNotNull() & r.isNotNull())
-        .groupBy("commodity")
-        .agg(F.count(r).alias("n_points"), F.min(r).alias("min_rate"), F.max(r).alias("max_rate"),
-             q.alias("_q"), F.avg(r).alias("_mean"))
-        .select("commodity", "n_points", "min_rate", "max_rate", F.col("_q")[0].alias("q1"),
-                F.col("_q")[1].alias("median_rate"), F.col("_q")[2].alias("q3"), "_mean")
-    )
+    used = df.where(F.col("commodity").isNotNull() & r.isNotNull())
+    agg = used.groupBy("commodity").agg(F.count(r).alias("n_points"), F.min(r).alias("min_rate"),
+                                        F.max(r).alias("max_rate"), F.avg(r).alias("_mean"))
+    q = exact_quantiles(used, {"_q": r}, {"_q": [0.25, 0.5, 0.75]}, by="commodity")
+    agg = agg.join(q, "commodity").select(
+        "commodity", "n_points", "min_rate", "max_rate", F.col("_q")[0].alias("q1"),
+        F.col("_q")[1].alias("median_rate"), F.col("_q")[2].alias("q3"), "_mean")
     # Window over the aggregated result (one row per commodity), not the data.
     w = Window.orderBy(F.col("median_rate").desc(), F.col("commodity").asc())
     iqr = F.col("q3") - F.col("q1")
@@ -200,7 +200,7 @@ def portfolio_health(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     life = F.col("_life")
     one = staged(df, p, 0.0, p.life_cap).agg(
         F.avg(life).alias("avg_life"),
-        (count_if(life < dbl(p.critical_life)) * dbl(100.0) / F.count(F.lit(1))).alias("critical_pct"),
+        F.try_divide(count_if(life < dbl(p.critical_life)) * dbl(100.0), F.count(F.lit(1))).alias("critical_pct"),
         F.avg(R_COL).alias("avg_rate"),
     )
     return one.select(
@@ -214,34 +214,46 @@ def portfolio_health(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     )
 
 
-def _life_stats_cols(life, approx_accuracy: int | None = None):
-    q = quantiles(life, [0.1, 0.25, 0.75, 0.9], approx_accuracy)
+LIFE_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
+
+
+def _quantile_row(st: DataFrame, columns: dict, probs: dict):
+    """The exact quantiles of the whole table as one struct (a scalar subquery on one row)."""
+    return exact_quantiles(st, columns, probs).select(F.struct(*columns)).scalar()
+
+
+def _life_stats_cols(life, q):
+    """``q``: the array of LIFE_PROBS quantiles."""
     return [
-        r6(F.avg(life)).alias("life_mean"), r6(median_of(life, approx_accuracy)).alias("life_median"),
+        r6(F.avg(life)).alias("life_mean"), r6(q[2]).alias("life_median"),
         r6(F.stddev_samp(life)).alias("life_std"), r6(F.min(life)).alias("life_min"),
         r6(F.max(life)).alias("life_max"),
-        r6(q[0]).alias("life_p10"), r6(q[1]).alias("life_p25"), r6(q[2]).alias("life_p75"),
-        r6(q[3]).alias("life_p90"),
+        r6(q[0]).alias("life_p10"), r6(q[1]).alias("life_p25"), r6(q[3]).alias("life_p75"),
+        r6(q[4]).alias("life_p90"),
     ]
 
 
-def life_statistics(df: DataFrame, p: Analytics = Analytics(), approx_accuracy: int | None = None) -> DataFrame:
+def life_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Mean, median, std, min, max, p10/25/75/90 of life clipped to [0, 50]."""
-    return staged(df, p, 0.0, p.life_cap).agg(*_life_stats_cols(F.col("_life"), approx_accuracy))
+    st, life = staged(df, p, 0.0, p.life_cap), F.col("_life")
+    q = _quantile_row(st, {"life": life}, {"life": LIFE_PROBS})
+    return st.agg(*_life_stats_cols(life, q["life"]))
 
 
-def _corrosion_cols(p: Analytics, approx_accuracy: int | None = None):
+def _corrosion_cols(p: Analytics, median):
     r = F.col(R_COL)
     return [
-        r6(F.avg(r)).alias("rate_mean"), r6(median_of(r, approx_accuracy)).alias("rate_median"),
+        r6(F.avg(r)).alias("rate_mean"), r6(median).alias("rate_median"),
         r6(F.stddev_samp(r)).alias("rate_std"), F.max(r).alias("rate_max"),
         count_if(r > dbl(p.high_corrosion)).alias("high_corrosion_count"),
     ]
 
 
-def corrosion_statistics(df: DataFrame, p: Analytics = Analytics(), approx_accuracy: int | None = None) -> DataFrame:
+def corrosion_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Mean, median, std, max of rate and the count above 0.15."""
-    return df.agg(*_corrosion_cols(p, approx_accuracy))
+    df = normalise(df)
+    q = _quantile_row(df, {"rate": F.col(R_COL)}, {"rate": [0.5]})
+    return df.agg(*_corrosion_cols(p, q["rate"][0]))
 
 
 def _thickness_cols(p: Analytics):
@@ -255,7 +267,7 @@ def _thickness_cols(p: Analytics):
 
 def thickness_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Mean and min thickness, counts below 3.0 and below 5.0."""
-    return df.agg(*_thickness_cols(p))
+    return normalise(df).agg(*_thickness_cols(p))
 
 
 def _risk_dist_cols(b):
@@ -285,7 +297,7 @@ def commodity_risk(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """Per commodity count, mean rate, count of raw life (no clip) < 2."""
     raw_life = F.col("_raw_life")
     return (
-        df.withColumn("_raw_life", R.life_analytics(F.col(T_COL), F.col(R_COL), p, lo=None, hi=None))
+        normalise(df).withColumn("_raw_life", R.life_analytics(F.col(T_COL), F.col(R_COL), p, lo=None, hi=None))
         .where(F.col("commodity").isNotNull())
         .groupBy("commodity")
         .agg(F.count(F.lit(1)).alias("n_points"), r6(F.avg(R_COL)).alias("avg_corrosion"),
@@ -319,28 +331,43 @@ def dashboard_decision_counts(scored: DataFrame, flag_col: str = "predicted_elim
     )
 
 
-def advanced_statistics(df: DataFrame, p: Analytics = Analytics(), approx_accuracy: int | None = None) -> DataFrame:
-    """A7-A11 plus the total in one row of nested structs (one pass),
-    with A12 as an array of per-commodity structs (one entry per commodity)."""
+def advanced_statistics(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
+    """A7-A11 plus the total in one row of nested structs, with A12 as an
+    array of per-commodity structs (one entry per commodity).
+
+    Besides the quantiles' pass, one pass with the grouping sets () and
+    (commodity); the row is put together from those few rows.
+    """
     life = F.col("_life")
-    one = staged(df, p, 0.0, p.life_cap).agg(
+    st = staged(df, p, 0.0, p.life_cap).withColumn(
+        "_raw_life", R.life_analytics(F.col(T_COL), F.col(R_COL), p, lo=None, hi=None))
+    q = _quantile_row(st, {"life": life, "rate": F.col(R_COL)}, {"life": LIFE_PROBS, "rate": [0.5]})
+    sections = {
+        "remaining_life": _life_stats_cols(life, q["life"]),
+        "corrosion_rate": _corrosion_cols(p, q["rate"][0]),
+        "thickness": _thickness_cols(p),
+        "risk_distribution": _risk_dist_cols(F.col("_band4")),
+        "inspection_scheduling": _scheduling_cols(life, F.col("_months")),
+    }
+    g = st.groupingSets([[], ["commodity"]], "commodity").agg(
+        F.grouping("commodity").alias("_all"),
         F.count(F.lit(1)).alias("total_cmls"),
-        F.struct(*_life_stats_cols(life, approx_accuracy)).alias("remaining_life"),
-        F.struct(*_corrosion_cols(p, approx_accuracy)).alias("corrosion_rate"),
-        F.struct(*_thickness_cols(p)).alias("thickness"),
-        F.struct(*_risk_dist_cols(F.col("_band4"))).alias("risk_distribution"),
-        F.struct(*_scheduling_cols(life, F.col("_months"))).alias("inspection_scheduling"),
+        *[F.struct(*cols).alias(name) for name, cols in sections.items()],
+        r6(F.avg(R_COL)).alias("_avg"),
+        count_if(F.col("_raw_life") < dbl(p.critical_life)).alias("_critical"),
     )
-    cr = commodity_risk(df, p).agg(
-        F.sort_array(F.collect_list(F.struct("commodity", "n_points", "avg_corrosion", "critical_count")))
+    every = lambda name: F.max(F.when(F.col("_all") == 1, F.col(name))).alias(name)
+    per = F.struct("commodity", F.col("total_cmls").alias("n_points"), F.col("_avg").alias("avg_corrosion"),
+                   F.col("_critical").alias("critical_count"))
+    return g.agg(
+        F.coalesce(F.max(F.when(F.col("_all") == 1, F.col("total_cmls"))), F.lit(0)).alias("total_cmls"), *[every(name) for name in sections],
+        F.sort_array(F.collect_list(F.when((F.col("_all") == 0) & F.col("commodity").isNotNull(), per))).alias("commodity_risk"),
     )
-    return one.withColumn("commodity_risk", cr.scalar())
 
 
-def advanced_statistics_flat(df: DataFrame, p: Analytics = Analytics(),
-                             approx_accuracy: int | None = None) -> DataFrame:
-    """A16 as flat columns (same single aggregation, without the per-commodity list)."""
-    one = advanced_statistics(df, p, approx_accuracy).drop("commodity_risk")
+def advanced_statistics_flat(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
+    """A16 as flat columns (the same aggregation, without the per-commodity list)."""
+    one = advanced_statistics(df, p).drop("commodity_risk")
     return one.select("total_cmls", "remaining_life.*", "corrosion_rate.*", "thickness.*", "risk_distribution.*",
                       "inspection_scheduling.*")
 
@@ -348,4 +375,4 @@ def advanced_statistics_flat(df: DataFrame, p: Analytics = Analytics(),
 def corrosion_vs_thickness(df: DataFrame) -> DataFrame:
     """Scatter table; marker size is the risk score (fallback formula if absent)."""
     size = F.col("risk_score") if "risk_score" in df.columns else R.risk_score_fallback(F.col(T_COL), F.col(R_COL))
-    return df.select("id_number", R_COL, T_COL, "commodity", size.alias("marker_size"))
+    return normalise(df).select("id_number", R_COL, T_COL, "commodity", size.alias("marker_size"))

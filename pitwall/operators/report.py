@@ -30,27 +30,31 @@ def _require(df: DataFrame, col: str) -> None:
         raise ValueError(f'Column "{col}" not found in DataFrame')
 
 
+def _decided(scored: DataFrame, decision_col: str):
+    """(eliminated, kept) conditions of a 0/1 flag or an ELIMINATE / KEEP column."""
+    _require(scored, decision_col)
+    c = F.col(decision_col)
+    return (c == "ELIMINATE", c == "KEEP") if dict(scored.dtypes)[decision_col] == "string" else (c == 1, c == 0)
+
+
 def report_summary(scored: DataFrame, decision_col: str = "predicted_elimination") -> DataFrame:
     """Total, eliminations, keep, elimination rate in % (1 decimal).
 
     ``decision_col`` may be a 0/1 flag (default, as the original read the
     unchanged model flag) or ``final_decision`` (ELIMINATE / KEEP strings),
-    so that expert overrides count.
+    so that expert overrides count.  For an empty table ``error`` says so.
     """
-    _require(scored, decision_col)
-    c = F.col(decision_col)
-    is_elim = (c == F.lit("ELIMINATE")) if dict(scored.dtypes)[decision_col] == "string" else (c == 1)
-    is_keep = (c == F.lit("KEEP")) if dict(scored.dtypes)[decision_col] == "string" else (c == 0)
-    total = F.count(F.lit(1))
+    is_elim, is_keep = _decided(scored, decision_col)
     agg = scored.agg(
-        total.alias("total_cmls"),
+        F.count(F.lit(1)).alias("total_cmls"),
         count_if(is_elim).alias("recommended_eliminations"),
         count_if(is_keep).alias("recommended_keep"),
     )
-    pct = F.col("recommended_eliminations") * dbl(100.0) / F.col("total_cmls")
+    pct = F.try_divide(F.col("recommended_eliminations") * dbl(100.0), F.col("total_cmls"))
     return agg.withColumn("_pct", pct).select(
         "total_cmls", "recommended_eliminations", "recommended_keep",
-        F.when(F.col("total_cmls") > 0, py_round("_pct", 1)).otherwise(dbl(0.0)).alias("elimination_rate"))
+        F.coalesce(py_round("_pct", 1), dbl(0.0)).alias("elimination_rate"),
+        F.when(F.col("total_cmls") == 0, F.lit("No data to report")).alias("error"))
 
 
 def confidence_distribution(scored: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def confidence_distribution(scored: DataFrame) -> DataFrame:
 def eliminations_by(scored: DataFrame, column: str, decision_col: str = "predicted_elimination") -> DataFrame:
     """Eliminated rows per commodity or feature type."""
     return (
-        scored.where((F.col(decision_col) == 1) & F.col(column).isNotNull())
+        scored.where(_decided(scored, decision_col)[0] & F.col(column).isNotNull())
         .groupBy(column)
         .agg(F.count(F.lit(1)).alias("n_eliminations"))
     )
@@ -74,7 +78,7 @@ def top_elimination_candidates(scored: DataFrame, n: int = 20, decision_col: str
     wanted = ["id_number", prob, "average_corrosion_rate", "thickness_mm"]
     cols = [c for c in wanted if c in scored.columns]
     return (
-        scored.where(F.col(decision_col) == 1)
+        scored.where(_decided(scored, decision_col)[0])
         .orderBy(F.col(prob).desc(), F.col("id_number").asc())
         .limit(n)
         .select(*cols)
@@ -112,16 +116,16 @@ def report_counts(scored: DataFrame, decision_col: str = "predicted_elimination"
     (feature type) over the scored frame; the tidy rows are derived from the
     grouped result (a few dozen rows).
     """
-    _require(scored, decision_col)
-    c, p = F.col(decision_col), F.col(prob)
+    is_elim, is_keep = _decided(scored, decision_col)
+    p = F.col(prob)
     keys = ["confidence_level", "commodity", "feature_type"]
     g = scored.groupingSets([[], ["confidence_level"], ["commodity"], ["feature_type"]], *keys).agg(
         F.count(F.lit(1)).alias("n_all"),
-        count_if(c == 1).alias("n_elim"),
-        count_if(c == 0).alias("n_keep"),
+        count_if(is_elim).alias("n_elim"),
+        count_if(is_keep).alias("n_keep"),
         count_if((p > dbl(d.marginal_low)) & (p < dbl(d.marginal_high))).alias("n_marg"),
         F.grouping_id().alias("_gid"),
-    ).withColumn("_pct", F.col("n_elim") * dbl(100.0) / F.col("n_all"))
+    ).withColumn("_pct", F.try_divide(F.col("n_elim") * dbl(100.0), F.col("n_all")))
 
     def row(section, key, value):
         return F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"),

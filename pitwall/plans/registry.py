@@ -6,6 +6,7 @@ canonical mapping and applies one operator (or a documented composition).
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,19 @@ from ..operators import report as P
 from ..operators import synth as G
 from ..operators import validate as V
 from ..schema import ForecastB, Validation
+from ..scratch import saved
 from ..sources import io as IO
-from ..sources.mapping import load_override_log, load_points, load_raw, read_table, spread
+from ..sources.mapping import (
+    load_override_log,
+    load_points,
+    load_raw,
+    nan_points,
+    own_forecast_points,
+    read_table,
+    varied_override_log,
+)
+
+AS_OF = _dt.date(2002, 1, 1)  # the driver tables' ship dates end in 2001
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,7 +51,7 @@ def query(name: str):
 
 
 def _fb(spark, sf_dir):
-    return FC.forecast_b(load_points(spark, sf_dir))
+    return FC.forecast_b(load_points(spark, sf_dir), as_of=AS_OF)
 
 
 @query("forecast_risk_summary")
@@ -55,7 +67,7 @@ def q_forecast_points_b(spark, sf_dir):
 @query("forecast_points_b_param")
 def q_forecast_points_b_param(spark, sf_dir):
     p = ForecastB(minimum_thickness=2.0, safety_factor=2.0, min_interval_months=6, max_interval_months=60)
-    return FC.forecast_b(load_points(spark, sf_dir), profile=p).select(
+    return FC.forecast_b(load_points(spark, sf_dir), as_of=AS_OF, profile=p).select(
         "id_number",
         "remaining_life_years",
         "next_inspection_date",
@@ -67,7 +79,7 @@ def q_forecast_points_b_param(spark, sf_dir):
 
 @query("forecast_summary")
 def q_forecast_summary(spark, sf_dir):
-    return FC.forecast_summary(_fb(spark, sf_dir))
+    return FC.forecast_summary(_fb(spark, sf_dir), as_of=AS_OF)
 
 
 @query("top_priority_inspections")
@@ -77,12 +89,12 @@ def q_top_priority(spark, sf_dir):
 
 @query("inspections_due")
 def q_inspections_due(spark, sf_dir):
-    return FC.inspections_due(_fb(spark, sf_dir))
+    return FC.inspections_due(_fb(spark, sf_dir), as_of=AS_OF)
 
 
 @query("forecast_points_a")
 def q_forecast_points_a(spark, sf_dir):
-    return FC.forecast_a(load_points(spark, sf_dir))
+    return FC.forecast_a(load_points(spark, sf_dir), as_of=AS_OF)
 
 
 @query("forecast_a_rejects")
@@ -93,7 +105,7 @@ def q_forecast_a_rejects(spark, sf_dir):
 @query("risk_distribution_a")
 def q_risk_distribution_a(spark, sf_dir):
     return (
-        FC.forecast_a(load_points(spark, sf_dir))
+        FC.forecast_a(load_points(spark, sf_dir), as_of=AS_OF)
         .groupBy("risk_level")
         .agg(
             F.count(F.lit(1)).alias("n_points"),
@@ -103,6 +115,34 @@ def q_risk_distribution_a(spark, sf_dir):
     )
 
 
+@query("forecast_points_nan")
+def q_forecast_points_nan(spark, sf_dir):
+    """NaN measurements give missing forecasts, never the safest ones."""
+    return FC.forecast_b(nan_points(load_points(spark, sf_dir)), as_of=AS_OF).select("id_number", *FC.B_OUTPUT)
+
+
+@query("null_counts_nan")
+def q_null_counts_nan(spark, sf_dir):
+    return V.null_counts(nan_points(load_points(spark, sf_dir)))
+
+
+def _own(spark, sf_dir):
+    """A forecast of points that bring their own life, date, risk and interval."""
+    return FC.forecast_b(own_forecast_points(load_points(spark, sf_dir)), as_of=AS_OF)
+
+
+for _source in ("forecast", "input"):
+    QUERIES[f"forecast_summary_own_{_source}"] = (
+        lambda x: lambda spark, sf_dir: FC.forecast_summary(_own(spark, sf_dir), as_of=AS_OF, source=x))(_source)
+    QUERIES[f"inspections_due_own_{_source}"] = (
+        lambda x: lambda spark, sf_dir: FC.inspections_due(_own(spark, sf_dir), as_of=AS_OF, source=x))(_source)
+    QUERIES[f"top_priority_own_{_source}"] = (
+        lambda x: lambda spark, sf_dir: FC.top_priority_inspections(_own(spark, sf_dir), 10, source=x))(_source)
+    QUERIES[f"forecast_contract_own_{_source}"] = (
+        lambda x: lambda spark, sf_dir: V.forecast_contract_split(_own(spark, sf_dir), source=x).select(
+            "id_number", "is_valid", "reasons"))(_source)
+
+
 # ------------------------------------------------------- bands and portfolio
 
 
@@ -138,6 +178,12 @@ def q_risk_matrix_wide(spark, sf_dir):
     return PF.risk_matrix_wide(_pts(spark, sf_dir))
 
 
+@query("advanced_statistics_commodity_risk")
+def q_advanced_statistics_commodity_risk(spark, sf_dir):
+    """The per-commodity list of A16, as rows."""
+    return PF.advanced_statistics(_pts(spark, sf_dir)).select(F.explode("commodity_risk").alias("c")).select("c.*")
+
+
 # ---------------------------------------------------------------- validation
 
 
@@ -203,6 +249,24 @@ def q_override_contract_split_len9(spark, sf_dir):
         "id_number", "sme_decision", "override_date", "is_valid", "reasons")
 
 
+@query("override_contract_split_varied")
+def q_override_contract_split_varied(spark, sf_dir):
+    """Every rule of the contract fails for some entries, and some pass."""
+    return V.override_contract_split(varied_override_log(load_raw(spark, sf_dir))).select(
+        "id_number", "sme_decision", "override_date", "is_valid", "reasons")
+
+
+@query("row_contract_split_narrow")
+def q_row_contract_split_narrow(spark, sf_dir):
+    return V.row_contract_split(load_points(spark, sf_dir), Validation(max_rate=0.2, max_thickness=9.0)).select(
+        "id_number", "is_valid", "reasons")
+
+
+@query("domain_check_narrow")
+def q_domain_check_narrow(spark, sf_dir):
+    return V.domain_check(load_raw(spark, sf_dir), ("Pipe", "Elbow", "Tee"), ("Internal", "External"))
+
+
 @query("domain_check")
 def q_domain_check(spark, sf_dir):
     return V.domain_check(load_raw(spark, sf_dir))
@@ -220,7 +284,7 @@ def q_validation_report_narrow(spark, sf_dir):
 
 @query("forecast_contract_split")
 def q_forecast_contract_split(spark, sf_dir):
-    fc = FC.forecast_b(load_points(spark, sf_dir))
+    fc = _fb(spark, sf_dir)
     return V.forecast_contract_split(fc).select("id_number", "is_valid", "reasons")
 
 
@@ -229,19 +293,25 @@ def q_forecast_contract_split(spark, sf_dir):
 
 @query("training_features")
 def q_training_features(spark, sf_dir):
-    return FT.training_features(load_points(spark, sf_dir)).select(
+    return FT.training_features(load_points(spark, sf_dir), AS_OF).select(
         "id_number", "corrosion_thickness_ratio", "high_corrosion", "thin_wall", "risk_interaction",
         "days_since_inspection")
 
 
+@query("low_remaining_life")
+def q_low_remaining_life(spark, sf_dir):
+    points = FT.remaining_life_uncapped(load_points(spark, sf_dir))
+    return FT.risk_flags(points).select("id_number", "remaining_life_years", "low_remaining_life")
+
+
 @query("scoring_features")
 def q_scoring_features(spark, sf_dir):
-    return FT.scoring_features(load_points(spark, sf_dir))
+    return FT.scoring_features(load_points(spark, sf_dir), AS_OF)
 
 
 @query("scoring_features_median_fill")
 def q_scoring_features_median(spark, sf_dir):
-    return FT.scoring_features(load_points(spark, sf_dir), fill="median")
+    return FT.scoring_features(load_points(spark, sf_dir), AS_OF, fill="median")
 
 
 # ------------------------------------------------- decisions, overrides, report
@@ -324,6 +394,14 @@ def q_remove_overrides(spark, sf_dir):
     return O.remove_overrides(_state(spark, sf_dir), steam)
 
 
+@query("remove_overrides_logged")
+def q_remove_overrides_logged(spark, sf_dir):
+    """Removals appended to the log; the state is read from the log alone."""
+    steam = load_points(spark, sf_dir).where(F.col("commodity") == "Steam")
+    gone = O.removals(steam, _dt.datetime(2002, 1, 1))
+    return O.current_overrides(O.upsert_overrides(load_override_log(spark, sf_dir), gone))
+
+
 @query("apply_overrides")
 def q_apply_overrides(spark, sf_dir):
     return O.apply_overrides(_basic(spark, sf_dir), _state(spark, sf_dir)).select(
@@ -390,11 +468,32 @@ def q_full_report(spark, sf_dir):
     return P.report_counts(_scored(spark, sf_dir))
 
 
+@query("eliminations_by_commodity_final")
+def q_elim_by_commodity_final(spark, sf_dir):
+    return P.eliminations_by(_scored(spark, sf_dir), "commodity", "final_decision")
+
+
+@query("eliminations_by_feature_final")
+def q_elim_by_feature_final(spark, sf_dir):
+    return P.eliminations_by(_scored(spark, sf_dir), "feature_type", "final_decision")
+
+
+@query("top_candidates_final")
+def q_top_candidates_final(spark, sf_dir):
+    return P.top_elimination_candidates(_scored(spark, sf_dir), 20, "final_decision")
+
+
+@query("full_report_final")
+def q_full_report_final(spark, sf_dir):
+    return P.report_counts(_scored(spark, sf_dir), "final_decision")
+
+
 # ------------------------------------------------------------ synthetic data
 
 
 def _synthetic(spark, sf_dir):
-    return G.generate_points(spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")))
+    return G.generate_points(
+        read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), as_of=AS_OF)
 
 
 @query("synthetic_points")
@@ -409,29 +508,70 @@ def q_synthetic_summary(spark, sf_dir):
 
 # -------------------------------------------------------------------- model
 
-# Forest settings of the registered training queries: from the original's
-# grid (trees 100/200/300, depth 10/20/None, leaf 1/2); depth 10 and leaf 2
-# were its recorded best.
-FOREST = dict(num_trees=100, max_depth=10, min_instances=2)
+# Settings of the recorded best model, and of the original's basic recipe.
+FOREST = dict(num_trees=300, max_depth=10, min_instances=2)
+BASIC_FOREST = dict(num_trees=200, max_depth=30, min_instances=1)
+
+
+def labelled_points(spark, sf_dir):
+    """Points that an expert decided on, labelled by the current decision (ELIMINATE is 1)."""
+    state = _state(spark, sf_dir).select("id_number", "sme_decision")
+    label = F.when(F.col("sme_decision") == "ELIMINATE", 1).otherwise(0)
+    return load_points(spark, sf_dir).join(state, "id_number").withColumn(M.LABEL, label).drop("sme_decision")
 
 
 def _training_table(spark, sf_dir):
-    return FT.scoring_features(_synthetic(spark, sf_dir), keep=("id_number", "elimination_flag"))
+    return FT.scoring_features(labelled_points(spark, sf_dir), AS_OF, keep=("id_number", M.LABEL))
+
+
+_TRAINED: dict = {}
+
+
+def _once(kind, spark, sf_dir, make):
+    """A fit's result, kept for the session: several queries report on the same model."""
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = make()
+    return _TRAINED[key]
+
+
+def _trained(spark, sf_dir):
+    """(model, scored held-out rows, metrics); the held-out rows are a written table."""
+    def make():
+        model, scored, metrics = M.train_and_evaluate(_training_table(spark, sf_dir), **FOREST)
+        return model, saved(scored, "held-out"), metrics
+
+    return _once("forest", spark, sf_dir, make)
+
+
+def _cross_validated(spark, sf_dir):
+    return _once("cv", spark, sf_dir, lambda: M.cross_validated_f1(_training_table(spark, sf_dir), **FOREST))
 
 
 @query("train_test_split")
 def q_train_test_split(spark, sf_dir):
-    return M.split_flag(_synthetic(spark, sf_dir)).select("id_number", "elimination_flag", "is_train")
+    return M.split_flag(labelled_points(spark, sf_dir)).select("id_number", "elimination_flag", "is_train")
 
 
 @query("stratified_folds")
 def q_stratified_folds(spark, sf_dir):
-    return M.fold_column(_synthetic(spark, sf_dir)).select("id_number", "elimination_flag", "fold")
+    return M.fold_column(labelled_points(spark, sf_dir)).select("id_number", "elimination_flag", "fold")
 
 
 @query("class_weights")
 def q_class_weights(spark, sf_dir):
-    return M.class_weights(_synthetic(spark, sf_dir)).withColumn("class_weight", F.round("class_weight", 6))
+    return M.class_weights(labelled_points(spark, sf_dir)).withColumn("class_weight", F.round("class_weight", 6))
+
+
+@query("additive_risk_labels")
+def q_additive_risk_labels(spark, sf_dir):
+    """G2 and G3 on given points: additive risk score, and the label rule with a draw from the id."""
+    p = load_points(spark, sf_dir).where("average_corrosion_rate IS NOT NULL AND thickness_mm IS NOT NULL")
+    rate, t = F.col("average_corrosion_rate"), F.col("thickness_mm")
+    scored = p.withColumn("_life", F.coalesce(F.try_divide(t - 3.0, rate), F.lit(300.0))).withColumn(
+        "risk_score", G.additive_risk_score(rate, t, F.col("_life")))
+    u = G.uniform(F.col("id_number"), 42, "label")
+    return scored.select("id_number", "risk_score", G.label_rule(rate, t, F.col("risk_score"), u).alias("elimination_flag"))
 
 
 def _expert_pairs(spark, sf_dir):
@@ -454,26 +594,49 @@ def q_confusion_matrix(spark, sf_dir):
 
 @query("model_train_evaluate")
 def q_model_train_evaluate(spark, sf_dir):
-    _model, _scored, metrics = M.train_and_evaluate(_training_table(spark, sf_dir), **FOREST)
-    return metrics
+    return _trained(spark, sf_dir)[2]
+
+
+@query("model_classification_report")
+def q_model_classification_report(spark, sf_dir):
+    return M.classification_report(_trained(spark, sf_dir)[1])
+
+
+@query("model_confusion_matrix")
+def q_model_confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(_trained(spark, sf_dir)[1])
 
 
 @query("model_scores")
 def q_model_scores(spark, sf_dir):
-    model, _s, _m = M.train_and_evaluate(_training_table(spark, sf_dir), **FOREST)
-    pts = FT.scoring_features(load_points(spark, sf_dir))
-    return M.score_points(model, pts).select("id_number", "predicted_elimination_flag", "elimination_probability")
+    pts = FT.scoring_features(load_points(spark, sf_dir), AS_OF)
+    return M.score_points(_trained(spark, sf_dir)[0], pts).select(
+        "id_number", "predicted_elimination_flag", "elimination_probability")
 
 
 @query("model_feature_importance")
 def q_model_feature_importance(spark, sf_dir):
-    model, scored, _m = M.train_and_evaluate(_training_table(spark, sf_dir), **FOREST)
+    model, scored, _m = _trained(spark, sf_dir)
     return M.feature_importance(model, scored)
 
 
+@query("model_basic_forest")
+def q_model_basic_forest(spark, sf_dir):
+    """M4: the basic recipe, unweighted."""
+    return _once("basic", spark, sf_dir, lambda: M.train_and_evaluate(
+        _training_table(spark, sf_dir), balanced=False, **BASIC_FOREST)[2])
+
+
 @query("cross_validated_f1")
 def q_cross_validated_f1(spark, sf_dir):
-    return M.cross_validated_f1(_training_table(spark, sf_dir), **FOREST)
+    return _cross_validated(spark, sf_dir)
+
+
+@query("model_metadata")
+def q_model_metadata(spark, sf_dir):
+    _model, scored, metrics = _trained(spark, sf_dir)
+    names = M.numeric_features(_training_table(spark, sf_dir)) + list(M.CATEGORICAL)
+    return M.training_record(metrics, scored, _cross_validated(spark, sf_dir), names, **FOREST)
 
 
 # ---------------------------------------------------------------- sources

@@ -8,7 +8,6 @@ so two definitions are never blended inside one computation.
 
 from __future__ import annotations
 
-import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
@@ -32,6 +31,7 @@ FEATURE_TYPES = ("Pipe", "Elbow", "Tee", "Reducer", "Flange", "Nozzle", "Header"
 CML_SHAPES = ("Internal", "External", "Both")
 RISK_LEVELS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 DECISIONS = ("KEEP", "ELIMINATE")
+REMOVED = "REMOVED"  # decision of a tombstone row in the override log
 
 # Required column lists (validation V2 variants).
 REQUIRED_POINT_COLUMNS = (
@@ -42,17 +42,8 @@ REQUIRED_POINT_COLUMNS = (
     "feature_type",
     "cml_shape",
 )
-REQUIRED_TRAINING_COLUMNS = (
-    "average_corrosion_rate",
-    "thickness_mm",
-    "commodity",
-    "feature_type",
-    "cml_shape",
-    "elimination_flag",
-)
+REQUIRED_TRAINING_COLUMNS = REQUIRED_POINT_COLUMNS[1:] + ("elimination_flag",)
 REQUIRED_POINT_COLUMNS_WITH_DATES = REQUIRED_POINT_COLUMNS + ("last_inspection_date", "next_inspection_date")
-REQUIRED_SCORING_COLUMNS = ("average_corrosion_rate", "thickness_mm", "commodity", "feature_type", "cml_shape")
-REQUIRED_FORECAST_COLUMNS = ("average_corrosion_rate", "thickness_mm")
 
 # Right-closed bins (lo, hi]; hi None = +infinity.  Labels are display values.
 RISK_BAND_4 = ((0.0, 2.0, "CRITICAL"), (2.0, 5.0, "HIGH"), (5.0, 10.0, "MEDIUM"), (10.0, None, "LOW"))
@@ -105,9 +96,6 @@ GEN_THICKNESS_RANGES = (
 )
 GEN_THICKNESS_DEFAULT = (6.0, 10.5)
 
-# As-of date used on the driver tables (their ship dates end in 2001).
-DEFAULT_AS_OF = _dt.date(2002, 1, 1)
-
 
 # --------------------------------------------------------------------------
 # Named threshold profiles.
@@ -240,13 +228,3 @@ OVERRIDE_SCHEMA = T.StructType(
         T.StructField("original_probability", T.DoubleType()),
     ]
 )
-
-PREDICTION_SCHEMA = T.StructType(
-    [
-        T.StructField("id_number", T.StringType()),
-        T.StructField("predicted_elimination_flag", T.IntegerType()),
-        T.StructField("elimination_probability", T.DoubleType()),
-        T.StructField("recommendation", T.StringType()),
-        T.StructField("confidence", T.StringType()),
-    ]
-)

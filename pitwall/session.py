@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
+from .scratch import shared_dir
+
 # Settings that make results independent of the machine and keep plans adaptive.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,23 +20,6 @@ BASE_CONF = {
 }
 
 
-# Starting points for a large cluster (set by the deployment, not by this
-# library): AQE sizes shuffle partitions from measured map output, splits
-# skewed join partitions, and broadcasts a join side only when its measured
-# size is under the threshold.
-CLUSTER_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
-    "spark.sql.shuffle.partitions": "20000",  # upper bound; AQE coalesces down
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
-    "spark.sql.session.timeZone": "UTC",
-}
-
-
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "pitwall",
                   extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark; clusters bring their own."""
@@ -48,25 +32,5 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
-        d = tempfile.mkdtemp(prefix="pitwall-ckpt-")  # local runs and tests only
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # core confs may be read-only at runtime
-            pass
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d

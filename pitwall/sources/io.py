@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.core import normalise
 from ..schema import OVERRIDE_SCHEMA, POINT_SCHEMA
 
 _OVERRIDE_JSON_SCHEMA = T.StructType(
@@ -19,26 +20,32 @@ _OVERRIDE_JSON_SCHEMA = T.StructType(
 )
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_points_csv(spark: SparkSession, path: str, schema: T.StructType = POINT_SCHEMA) -> DataFrame:
     """Point table from CSV with a header, read with a fixed schema.
 
     Columns are matched by name against the header, so a file with fewer
     columns (the minimal six) is read too; absent columns come back NULL
-    and are dropped so V2 can report them.
+    and are dropped so V2 can report them.  A row with a cell that does not
+    parse keeps its text in ``_corrupt_record`` (NULL for good rows) besides the
+    cells that do; the text ``NaN`` is a missing measurement, so NULL.
     """
     header = spark.read.option("header", True).csv(path).columns
     wanted = T.StructType([f for f in schema.fields if f.name in header])
     extra = [T.StructField(c, T.StringType()) for c in header if c not in wanted.fieldNames()]
-    full = T.StructType(list(wanted.fields) + extra)
-    df = (spark.read.schema(full).option("header", True).option("enforceSchema", False)
-          .option("mode", "PERMISSIVE").csv(path))
-    return df.select(*header)
+    full = T.StructType([*wanted.fields, *extra])
+    full = T.StructType([full[c] for c in header] + [T.StructField(CORRUPT, T.StringType())])
+    df = (spark.read.schema(full).option("header", True).option("enforceSchema", True)
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    return normalise(df)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """S1 dispatch: parquet directories / files, else CSV."""
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
+        return normalise(spark.read.parquet(path))
     return read_points_csv(spark, path)
 
 
@@ -57,10 +64,12 @@ def read_overrides_json(spark: SparkSession, path: str, strict: bool = True) ->
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], OVERRIDE_SCHEMA)
         raise
-    raw = raw.cache()
-    bad = raw.where(F.col("_corrupt_record").isNotNull()).limit(1).count() > 0
-    if bad:
+    raw.persist()  # the corrupt column alone can't be queried from the file
+    try:
+        bad = not raw.where(F.col("_corrupt_record").isNotNull()).isEmpty()
+    finally:
         raw.unpersist()
+    if bad:
         if strict:
             raise ValueError(f"Invalid JSON in override file {path}")
         return spark.createDataFrame([], OVERRIDE_SCHEMA)

@@ -34,18 +34,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split an under-partitioned scan (e.g. one parquet row group) across the cores.
-
-    Only when the scan has fewer partitions than the default parallelism --
-    never on a cluster-sized input, where files already give thousands of
-    splits.  Round-robin repartitioning sorts rows first, so a retried task
-    reproduces the same split after an executor loss.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def _pick(key, values):
     expr = None
     for i, v in enumerate(values[:-1]):
@@ -116,13 +104,13 @@ DEDUP_ORDER = ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_qua
 def dedup_points(raw: DataFrame) -> DataFrame:
     """Keep the first reading per id by (partkey, suppkey, price, shipdate, ...).
 
-    ``row_number() = 1`` over the id's numeric parts (order key, line number;
-    the id is an injective function of them).  Spark plans this as a partial
-    per-partition group limit *before* the shuffle, so an id holding a large
-    share of all rows is cut to one row per map task -- a map-side combine --
-    and columns a query does not use are pruned from the scan and the shuffle.
+    ``row_number() = 1`` per id.  Spark plans this as a partial per-partition
+    group limit *before* the shuffle, so an id holding a large share of all rows
+    is cut to one row per map task -- a map-side combine -- and columns a query
+    does not use are pruned from the scan and the shuffle.  The result is
+    partitioned by id, so a join with the override state needs no new shuffle.
     """
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*[F.col(c).asc_nulls_first() for c in DEDUP_ORDER])
+    w = Window.partitionBy("id_number").orderBy(*[F.col(c).asc_nulls_first() for c in DEDUP_ORDER])
     return (
         raw.withColumn("_rn", F.row_number().over(w))
         .where(F.col("_rn") == 1)
@@ -146,8 +134,42 @@ def override_log(raw: DataFrame) -> DataFrame:
     )
 
 
+def nan_points(points: DataFrame) -> DataFrame:
+    """``points`` with NaN (not NULL) measurements in some rows, as text files and pandas give them."""
+    nan = F.lit(float("nan"))
+    return points.withColumns({
+        "average_corrosion_rate": F.when(F.col("l_partkey") % 7 == 0, nan).otherwise(F.col("average_corrosion_rate")),
+        "thickness_mm": F.when(F.col("l_suppkey") % 11 == 0, nan).otherwise(F.col("thickness_mm")),
+    })
+
+
+def own_forecast_points(points: DataFrame) -> DataFrame:
+    """``points`` that bring columns named like the forecast's; dates are text, some malformed."""
+    life = (F.col("l_partkey") % 400).cast("double") / dbl(10.0)
+    due = F.date_add(F.col("l_shipdate").cast("date"), (F.col("l_suppkey") % 3000).cast("int")).cast("string")
+    return points.withColumns({
+        "remaining_life_years": F.when(F.col("l_partkey") % 31 != 0, life),
+        "next_inspection_date": F.when(F.col("l_partkey") % 13 == 0, F.lit("2028-00-08")).otherwise(due),
+        "risk_level": F.when(life < 5, F.lit("HIGH")).otherwise(F.lit("LOW")),
+        "recommended_inspection_frequency_months": (F.col("l_suppkey") % 72).cast("int"),
+    })
+
+
+def varied_override_log(raw: DataFrame) -> DataFrame:
+    """The override log with entries that break each rule of the contract, and many that pass."""
+    return raw.where(F.col("l_returnflag") == "R").select(
+        F.when(F.col("l_orderkey") % 37 != 0, F.col("id_number")).alias("id_number"),
+        F.when(F.col("l_orderkey") % 41 == 0, F.lit("MAYBE")).when(F.col("l_orderkey") % 43 == 0, F.lit(None).cast("string"))
+        .when(F.col("l_linestatus") == "F", F.lit("KEEP")).otherwise(F.lit("ELIMINATE")).alias("sme_decision"),
+        F.concat(F.lit("reason"), F.repeat(F.lit("!"), (F.col("l_partkey") % 9).cast("int"))).alias("reason"),
+        F.when(F.col("l_suppkey") % 17 != 0, F.concat(F.lit("sme-"), (F.col("l_suppkey") % 7).cast("string"))).alias("sme_name"),
+        F.col("l_shipdate").alias("override_date"),
+        F.when(F.col("l_partkey") % 5 != 0, (F.col("l_orderkey") % 130 - 10).cast("double") / dbl(100.0)).alias("original_probability"),
+    )
+
+
 def load_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_points(spread(read_table(spark, sf_dir, "lineitem")))
+    return raw_points(read_table(spark, sf_dir, "lineitem"))
 
 
 def load_points(spark: SparkSession, sf_dir: str) -> DataFrame:

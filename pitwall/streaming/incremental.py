@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.core import normalise
 from ..operators.forecast import forecast_b
 from ..operators.overrides import current_overrides
-from ..schema import DEFAULT_AS_OF, OVERRIDE_SCHEMA, ForecastB
-from ..session import ensure_checkpoint_dir
+from ..schema import OVERRIDE_SCHEMA, ForecastB
+from ..scratch import shared_dir
 
 FORECAST_INPUT_SCHEMA = T.StructType(
     [
@@ -41,7 +42,7 @@ FORECAST_INPUT_SCHEMA = T.StructType(
 
 
 def checkpoint_for(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}"
 
 
 def read_point_files(spark: SparkSession, folder: str, fmt: str = "csv",
@@ -50,10 +51,10 @@ def read_point_files(spark: SparkSession, folder: str, fmt: str = "csv",
     r = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
         r = r.option("header", True)
-    return r.format(fmt).load(folder)
+    return normalise(r.format(fmt).load(folder))
 
 
-def forecast_files(spark: SparkSession, folder: str, fmt: str = "csv", as_of: _dt.date = DEFAULT_AS_OF,
+def forecast_files(spark: SparkSession, folder: str, fmt: str = "csv", *, as_of: _dt.date,
                    profile: ForecastB = ForecastB()) -> DataFrame:
     """Streaming DataFrame: the profile-B forecast of every arriving point row."""
     return forecast_b(read_point_files(spark, folder, fmt), as_of=as_of, profile=profile)
@@ -82,27 +83,59 @@ def current_override_state(log_stream: DataFrame) -> DataFrame:
     return current_overrides(log_stream)
 
 
-def apply_state_batch(batch: DataFrame, batch_id: int, target: str) -> None:
+BUCKETS = 64
+
+
+def _folders(spark: SparkSession, target: str, pattern: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{pattern}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [str(f.getPath().toString()) for f in found or []]
+
+
+def _current(spark: SparkSession, target: str, below: int | None = None) -> dict[int, list[tuple[int, str]]]:
+    """bucket -> its committed (version, folder) pairs, newest first; at most a few per bucket."""
+    done = {int(p.rpartition("=")[2]) for p in _folders(spark, target, "_committed/v=*")}
+    out: dict[int, list[tuple[int, str]]] = {}
+    for p in _folders(spark, target, "v=*/bucket=*"):
+        v, b = (int(x.rpartition("=")[2]) for x in p.rsplit("/", 2)[1:])
+        if v in done and (below is None or v < below):
+            out.setdefault(b, []).append((v, p))
+    return {b: sorted(x, reverse=True) for b, x in out.items()}
+
+
+def apply_state_batch(batch: DataFrame, batch_id: int, target: str, buckets: int = BUCKETS) -> None:
     """``foreachBatch`` helper: upsert a micro-batch of state rows into a table at ``target``.
 
-    The new version is the previous one minus the batch's ids, plus the
-    batch (anti join + union), written as ``target/v=<batch_id>``; readers
-    take the highest version, so a failed batch never leaves a half-written
-    current table (the batch is retried from the query checkpoint).
+    The state is kept in buckets of ids.  A batch rewrites only the buckets it
+    touches: their newest version *below* ``batch_id`` minus the batch's ids plus
+    the batch, written under ``v=<batch_id>`` and then marked as committed.
+    Readers see committed versions only, so a failed batch changes nothing and a
+    replayed one writes the same again.  Each bucket keeps its two newest
+    versions (the older one serves a replay); older ones are deleted after the
+    commit.
     """
     spark = batch.sparkSession
-    try:
-        prev = latest_state(spark, target)
-    except Exception as e:  # noqa: BLE001 - first batch: no previous version yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        prev = None
-    merged = batch if prev is None else prev.join(batch.select("id_number"), "id_number", "left_anti").unionByName(
-        batch.select(*prev.columns))
-    merged.write.mode("overwrite").parquet(f"{target.rstrip('/')}/v={batch_id}")
+    batch = batch.withColumn("bucket", F.pmod(F.xxhash64("id_number"), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    before = _current(spark, target, below=batch_id)
+    paths = [before[b][0][1] for b in touched if b in before]
+    merged = batch
+    if paths:
+        prev = spark.read.option("basePath", target).parquet(*paths).select(*batch.columns)
+        merged = prev.join(batch.select("id_number"), "id_number", "left_anti").select(*batch.columns).unionByName(batch)
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target.rstrip('/')}/v={batch_id}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/_committed/v={batch_id}")
+    fs = mark.getFileSystem(conf)
+    fs.create(mark, True).close()
+    for versions in _current(spark, target).values():
+        for _, old in versions[2:]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(old), True)
 
 
 def latest_state(spark: SparkSession, target: str) -> DataFrame:
-    """Read the highest-version state written by :func:`apply_state_batch`."""
-    versions = spark.read.parquet(target).select(F.max("v").alias("v"))
-    return spark.read.parquet(target).join(versions, "v", "left_semi").drop("v")
+    """The newest committed version of every bucket; raises if nothing was committed."""
+    paths = [x[0][1] for x in _current(spark, target).values()]
+    if not paths:
+        raise FileNotFoundError(f"no committed state at {target}")
+    return spark.read.option("basePath", target).parquet(*paths).drop("v", "bucket")

@@ -9,10 +9,11 @@ SF_SMOKE = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pitwall.session import build_session
 
-    s = build_session(master="local[*]", shuffle_partitions=8, app="pitwall-tests")
+    s = build_session(master="local[*]", shuffle_partitions=8, app="pitwall-tests",
+                      extra={"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))})
     yield s
     s.stop()
 

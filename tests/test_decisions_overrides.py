@@ -109,15 +109,43 @@ def test_report(spark):
     assert counts[("summary", "total_cmls")] == 3 and counts[("sizes", "marginal_cases")] == 1
 
 
-def test_approx_median_options(spark):
+def test_exact_medians(spark):
     import datetime as _d
 
     from pitwall.operators import features as FT
 
     df = _probs(spark, [0.1, 0.2, 0.3, 0.9, 0.95])
-    assert D.probability_stats(df, approx_accuracy=10000).first().median_probability == 0.3
+    assert D.probability_stats(df).first().median_probability == 0.3
     pts = spark.createDataFrame([("a", _d.date(2001, 12, 31)), ("b", _d.date(2001, 12, 21)), ("c", None)],
                                 "id_number string, last_inspection_date date")
     out = {r.id_number: r.days_since_inspection
-           for r in FT.days_since_inspection(pts, fill="median", approx_accuracy=10000).collect()}
-    assert out["c"] in (1.0, 11.0)  # an observed value: the sketch returns an element, not an interpolation
+           for r in FT.days_since_inspection(pts, dt.date(2002, 1, 1), fill="median").collect()}
+    assert out["c"] == 6.0
+
+
+def test_empty_and_nan_probabilities(spark):
+    none = spark.createDataFrame([], "id_number string, elimination_probability double, commodity string, feature_type string, "
+                                     "average_corrosion_rate double, thickness_mm double")
+    scored = D.decide_enhanced(none)
+    assert D.score_summary(scored).first().elimination_rate is None
+    s = P.report_summary(scored).first()
+    assert s.total_cmls == 0 and s.elimination_rate == 0.0 and s.error == "No data to report"
+    assert D.probability_stats(none).first().median_probability is None
+    nan = D.decide_enhanced(_probs(spark, [float("nan")])).first()
+    assert nan.predicted_elimination is None and nan.confidence_level is None and nan.recommendation is None
+
+
+def test_elimination_report_on_final_decisions(spark):
+    rows = [("A", 0.9, "Gas"), ("B", 0.9, "Gas"), ("C", 0.1, "Steam")]
+    points = spark.createDataFrame([(i, p, c, "Pipe", 0.1, 9.0) for i, p, c in rows],
+                                   "id_number string, elimination_probability double, commodity string, feature_type string, "
+                                   "average_corrosion_rate double, thickness_mm double")
+    log = O.new_override(spark, "B", "KEEP", "a sufficiently long reason", "x").unionByName(
+        O.new_override(spark, "C", "ELIMINATE", "a sufficiently long reason", "x"))
+    scored = P.scored_frame(points, O.current_overrides(log))
+    rep = P.elimination_report(scored, "final_decision")
+    assert rep["summary"].first().recommended_eliminations == 2
+    assert {r.commodity: r.n_eliminations for r in rep["elimination_by_commodity"].collect()} == {"Gas": 1, "Steam": 1}
+    assert [r.id_number for r in rep["top_elimination_candidates"].collect()] == ["A", "C"]
+    counts = {(r.section, r.key): r.value for r in P.report_counts(scored, "final_decision").collect()}
+    assert counts["elimination_by_commodity", "Steam"] == 1 and counts["summary", "recommended_keep"] == 1

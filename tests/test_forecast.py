@@ -6,9 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pitwall.operators import forecast as FC
-from pitwall.schema import DEFAULT_AS_OF
 
-AS_OF = DEFAULT_AS_OF
+AS_OF = dt.date(2002, 1, 1)
 
 # (t, rate, life, A months, A days, A thickness, A risk, B months, B days, B thickness, B risk)
 EDGE = [
@@ -65,11 +64,11 @@ def test_profile_a_edge_fixture(edge_df):
 def test_nulls_and_rejects(spark):
     rows = [("N1", None, 0.1), ("N2", 8.0, None), ("Z", 0.0, 0.1), ("NEG", 8.0, -0.1), ("OK", 8.0, 0.1)]
     df = spark.createDataFrame(rows, "id_number string, thickness_mm double, average_corrosion_rate double")
-    b = {r.id_number: r for r in FC.forecast_b(df).collect()}
+    b = {r.id_number: r for r in FC.forecast_b(df, as_of=AS_OF).collect()}
     for k in ("N1", "N2"):
         assert b[k].remaining_life_years is None and b[k].risk_level is None
         assert b[k].recommended_inspection_frequency_months is None and b[k].next_inspection_date is None
-    a_ids = {r.id_number for r in FC.forecast_a(df).collect()}
+    a_ids = {r.id_number for r in FC.forecast_a(df, as_of=AS_OF).collect()}
     assert a_ids == {"OK"}
     rej = {r.id_number: r.reject_reason for r in FC.forecast_a_rejects(df).collect()}
     assert set(rej) == {"N1", "N2", "Z", "NEG"}
@@ -80,33 +79,35 @@ def test_nulls_and_rejects(spark):
 def test_reference_unit_cases(spark):
     df = spark.createDataFrame([("a", 10.0, 0.10), ("b", 10.0, 0.0), ("c", 4.0, 0.30)],
                                "id_number string, thickness_mm double, average_corrosion_rate double")
-    r = {x.id_number: x for x in FC.forecast_b(df).collect()}
+    r = {x.id_number: x for x in FC.forecast_b(df, as_of=AS_OF).collect()}
     assert r["a"].remaining_life_years == 50.0  # 70 years capped
     assert r["b"].remaining_life_years == 50.0  # zero corrosion
     assert r["c"].risk_level == "CRITICAL"
-    a = {x.id_number: x for x in FC.forecast_a(df).collect()}
+    a = {x.id_number: x for x in FC.forecast_a(df, as_of=AS_OF).collect()}
     assert a["c"].risk_level in ("HIGH", "CRITICAL") and a["c"].remaining_life_years < 10
 
 
 def test_duplicate_ids_keep_row_count(spark):
     df = spark.createDataFrame([("d", 10.0, 0.12), ("d", 8.5, 0.18), ("e", 9.0, 0.1)],
                                "id_number string, thickness_mm double, average_corrosion_rate double")
-    assert FC.forecast_b(df).count() == 3
+    assert FC.forecast_b(df, as_of=AS_OF).count() == 3
 
 
 def test_input_columns_kept_and_suffixed(spark):
     df = spark.createDataFrame([("x", 10.0, 0.1, 12.3)],
                                "id_number string, thickness_mm double, average_corrosion_rate double, "
                                "remaining_life_years double")
-    r = FC.forecast_b(df).first()
+    r = FC.forecast_b(df, as_of=AS_OF).first()
     assert r.remaining_life_years == 12.3 and r.remaining_life_years_forecast == 50.0
-    s = FC.forecast_summary(FC.forecast_b(df), life_col="remaining_life_years").first()
+    s = FC.forecast_summary(FC.forecast_b(df, as_of=AS_OF), as_of=AS_OF, source="input").first()
     assert s.avg_remaining_life_years == 12.3
+    s = FC.forecast_summary(FC.forecast_b(df, as_of=AS_OF), as_of=AS_OF).first()
+    assert s.avg_remaining_life_years == 50.0
 
 
 def test_summary_and_top_priority(spark, edge_df):
     fc = FC.forecast_b(edge_df, as_of=AS_OF)
-    s = fc.transform(FC.forecast_summary).first()
+    s = FC.forecast_summary(fc, as_of=AS_OF).first()
     assert s.total_cmls == len(EDGE)
     assert s.n_critical + s.n_high + s.n_medium + s.n_low == len(EDGE)
     top = FC.top_priority_inspections(fc, 3).collect()
@@ -121,7 +122,7 @@ def test_summary_and_top_priority(spark, edge_df):
 def test_property_b_ranges(spark, rows):
     df = spark.createDataFrame([(f"p{i}", t, r) for i, (t, r) in enumerate(rows)],
                                "id_number string, thickness_mm double, average_corrosion_rate double")
-    for r in FC.forecast_b(df).collect():
+    for r in FC.forecast_b(df, as_of=AS_OF).collect():
         assert 12 <= r.recommended_inspection_frequency_months <= 72
         assert 0.0 <= r.remaining_life_years <= 50.0
         assert r.estimated_thickness_at_next_inspection >= 0.0
@@ -139,7 +140,7 @@ def test_as_of_is_explicit(spark):
 def test_ensure_ids(spark):
     df = spark.createDataFrame([(10.0, 0.1), (8.0, 0.2), (5.0, 0.9)],
                                "thickness_mm double, average_corrosion_rate double").repartition(2)
-    out = FC.forecast_b(FC.ensure_ids(df))
+    out = FC.forecast_b(FC.ensure_ids(df), as_of=AS_OF)
     ids = [r.id_number for r in out.collect()]
     assert len(set(ids)) == 3 and all(i.startswith("CML-") for i in ids)
     assert FC.top_priority_inspections(out, 1).count() == 1
@@ -153,7 +154,7 @@ def test_ensure_ids(spark):
 def test_property_a_ranges(spark, rows):
     df = spark.createDataFrame([(f"p{i}", t, r) for i, (t, r) in enumerate(rows)],
                                "id_number string, thickness_mm double, average_corrosion_rate double")
-    got = FC.forecast_a(df).collect()
+    got = FC.forecast_a(df, as_of=AS_OF).collect()
     assert len(got) == len(rows)  # every row is accepted (t > 0, rate >= 0)
     thickness = {f"p{i}": t for i, (t, _r) in enumerate(rows)}
     for r in got:
@@ -166,3 +167,26 @@ def test_property_a_ranges(spark, rows):
             assert r.risk_level == "LOW"
         if thickness[r.id_number] <= 3.0:
             assert r.risk_level == "CRITICAL"
+
+
+def test_own_columns_and_malformed_dates(spark):
+    df = spark.createDataFrame([("x", 10.0, 0.1, 1.5, "2028-00-08"), ("y", 4.0, 0.5, 30.0, "2002-05-01")],
+                               "id_number string, thickness_mm double, average_corrosion_rate double, "
+                               "remaining_life_years double, next_inspection_date string")
+    fc = FC.forecast_b(df, as_of=AS_OF)
+    assert FC.forecast_summary(fc, as_of=AS_OF).first().inspections_needed_next_12_months == 1
+    assert FC.forecast_summary(fc, as_of=AS_OF, source="input").first().inspections_needed_next_12_months == 1
+    assert [r.id_number for r in FC.top_priority_inspections(fc, 1).collect()] == ["y"]
+    assert [r.id_number for r in FC.top_priority_inspections(fc, 1, source="input").collect()] == ["x"]
+    assert [r.id_number for r in FC.inspections_due(fc, as_of=AS_OF, source="input").collect()] == ["y"]
+    with pytest.raises(ValueError):
+        FC.output_column(fc, "remaining_life_years", "both")
+
+
+def test_nan_gives_no_forecast(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("t", nan, 0.1), ("r", 9.0, nan)], "id_number string, thickness_mm double, average_corrosion_rate double")
+    for r in FC.forecast_b(df, as_of=AS_OF).collect():
+        assert r.remaining_life_years is None and r.risk_level is None and r.recommended_inspection_frequency_months is None
+    assert FC.forecast_a(df, as_of=AS_OF).count() == 0
+    assert {r.reject_reason for r in FC.forecast_a_rejects(df).collect()} == {"thickness missing", "corrosion rate missing"}

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,31 +7,35 @@ from pitwall.operators import features as FT
 from pitwall.operators import model as M
 from pitwall.operators import synth as G
 
+AS_OF = dt.date(2002, 1, 1)
 SMALL = dict(num_trees=10, max_depth=5, min_instances=1)
 
 
 @pytest.fixture(scope="module")
 def table(spark):
-    pts = G.generate_range(spark, 600, seed=7)
-    return FT.scoring_features(pts, keep=("id_number", "elimination_flag")).cache()
+    pts = G.generate_range(spark, 600, as_of=AS_OF, seed=7)
+    return FT.scoring_features(pts, AS_OF, keep=("id_number", "elimination_flag")).cache()
 
 
 def test_synthetic_generator(spark):
-    pts = G.generate_range(spark, 300, seed=1)
+    pts = G.generate_range(spark, 300, as_of=AS_OF, seed=1)
     s = G.dataset_summary(pts).first()
     assert s.total_records == 300 and s.unique_commodities == 9 and s.unique_feature_types == 9
     assert 0.02 <= s.min_rate and s.max_rate <= 0.25 and 6.0 <= s.min_thickness and s.max_thickness <= 12.0
     assert s.max_risk_score <= 100
-    again = G.generate_range(spark, 300, seed=1).repartition(7)
+    again = G.generate_range(spark, 300, as_of=AS_OF, seed=1).repartition(7)
     assert sorted(map(tuple, pts.collect())) == sorted(map(tuple, again.collect()))  # partition-independent
 
 
 def test_split_folds_weights(table):
     split = M.split_flag(table)
-    n_test = split.where(~F.col("is_train")).count()
-    assert 60 <= n_test <= 180
-    folds = {r.fold for r in M.fold_column(table).select("fold").distinct().collect()}
-    assert folds == {0, 1, 2, 3, 4}
+    for label in (0, 1):
+        own = split.where(F.col("elimination_flag") == label)
+        assert own.where(~F.col("is_train")).count() == round(own.count() * 0.2)
+    folds = M.fold_column(table).groupBy("elimination_flag", "fold").count().collect()
+    for label in (0, 1):
+        sizes = [r["count"] for r in folds if r.elimination_flag == label]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
     w = {r.elimination_flag: (r.n_class, r.class_weight) for r in M.class_weights(table).collect()}
     n = sum(v[0] for v in w.values())
     for n_c, wt in w.values():
@@ -69,8 +75,18 @@ def test_cross_validated_f1(table):
 
 
 def test_grid_search_small(table):
-    cv = M.grid_search(table, k=2, parallelism=2, trees=(5,), depths=(3, 4), leaves=(1,),
-                       weightings=("class_weight", ""))
-    assert len(cv.avgMetrics) == 4 and all(0 <= m <= 1 for m in cv.avgMetrics)
-    out = cv.bestModel.transform(M.with_class_weights(table)).select("prediction").distinct().count()
-    assert out >= 1
+    rows = M.grid_search(table, k=2, trees=(5,), depths=(3, 4), leaves=(1,), weightings=("class_weight", "")).collect()
+    assert len(rows) == 4 and all(0 <= r.cv_f1 <= 1 for r in rows)
+    assert [r.cv_f1 for r in rows] == sorted((r.cv_f1 for r in rows), reverse=True)
+
+
+def test_training_record(table):
+    _model, scored, metrics = M.train_and_evaluate(table, **SMALL)
+    r = M.training_record(metrics, scored, M.cross_validated_f1(table, k=2, **SMALL), M.numeric_features(table), **SMALL).first()
+    assert sum(c.n for c in r.confusion_matrix) == scored.count() and 0 <= r.cv_f1_mean <= 1 and "num_trees" in r.settings
+
+
+def test_reports_of_no_pairs(spark):
+    none = spark.createDataFrame([], "elimination_flag int, prediction int")
+    assert M.classification_report(none).collect() == []
+    assert [r.n for r in M.confusion_matrix(none).collect()] == [0, 0, 0, 0]

@@ -3,12 +3,13 @@ from pyspark.sql import functions as F
 
 from pitwall.operators import portfolio as PF
 
+# Invented rows.
 FIVE = [
-    ("CML-001", 0.12, 9.5, 54.2, "Crude Oil", "Pipe", "Both"),
-    ("CML-002", 0.08, 10.2, 90.0, "Natural Gas", "Elbow", "Internal"),
-    ("CML-003", 0.25, 6.0, 12.0, "Steam", "Reducer", "External"),
-    ("CML-004", 0.05, 12.0, 150.0, "Fuel Gas", "Pipe", "Both"),
-    ("CML-005", 0.18, 7.5, 25.0, "Crude Oil", "Tee", "Internal"),
+    ("PUMP-7", 0.11, 8.8, 33.0, "Steam", "Elbow", "Internal"),
+    ("LINE-2a", 0.07, 11.4, 71.5, "Gas", "Pipe", "Both"),
+    ("TANK-19", 0.31, 5.2, 6.5, "Condensate", "Tee", "External"),
+    ("LINE-2b", 0.02, 9.6, 120.0, "Gas", "Weld", "Both"),
+    ("PUMP-8", 0.16, 6.9, 18.0, "Steam", "Pipe", "Internal"),
 ]
 
 
@@ -21,18 +22,18 @@ def five(spark):
 
 def test_five_point_goldens(five):
     life = PF.life_statistics(five).first()
-    assert life.life_mean == pytest.approx(37.4)
-    assert life.life_median == 50
-    assert life.life_std == pytest.approx(17.854971, abs=1e-6)
-    assert life.life_p10 == pytest.approx(17.2)
-    assert life.life_p25 == 25 and life.life_p75 == 50 and life.life_p90 == 50
+    assert life.life_mean == pytest.approx(31.5)
+    assert life.life_median == 33
+    assert life.life_std == pytest.approx(19.326148, abs=1e-6)
+    assert life.life_p10 == pytest.approx(11.1)
+    assert life.life_p25 == 18 and life.life_p75 == 50 and life.life_p90 == 50
     rate = PF.corrosion_statistics(five).first()
-    assert rate.rate_mean == pytest.approx(0.136) and rate.rate_median == pytest.approx(0.12)
-    assert rate.rate_std == pytest.approx(0.080187, abs=1e-6) and rate.high_corrosion_count == 2
+    assert rate.rate_mean == pytest.approx(0.134) and rate.rate_median == pytest.approx(0.11)
+    assert rate.rate_std == pytest.approx(0.111041, abs=1e-6) and rate.high_corrosion_count == 2
     th = PF.thickness_statistics(five).first()
-    assert th.thickness_mean == pytest.approx(9.04) and th.thickness_min == 6
+    assert th.thickness_mean == pytest.approx(8.38) and th.thickness_min == 5.2
     rd = PF.risk_distribution(five).first()
-    assert (rd.critical, rd.high, rd.medium, rd.low) == (0, 0, 0, 5)
+    assert (rd.critical, rd.high, rd.medium, rd.low) == (0, 0, 1, 4)
 
 
 def test_risk_matrix_zero_filled(five, spark):
@@ -73,29 +74,73 @@ def test_timeline_and_histogram(five):
     assert sum(r.n_points for r in tl) == 5
     h = PF.life_histogram(five).collect()
     assert len(h) == 21 and sum(r.n_points for r in h) == 5
-    assert h[0].mean_life == pytest.approx(37.4)
+    assert h[0].mean_life == pytest.approx(31.5)
 
 
 def test_hierarchy_rollup(five):
     rows = PF.feature_commodity_hierarchy(five).collect()
     parents = {r.feature_type: r.n_points for r in rows if r.level == 1}
-    assert parents == {"Pipe": 2, "Elbow": 1, "Reducer": 1, "Tee": 1}
+    assert parents == {"Pipe": 2, "Elbow": 1, "Tee": 1, "Weld": 1}
     assert sum(r.n_points for r in rows if r.level == 0) == 5
 
 
 def test_advanced_statistics_one_row(five):
     r = PF.advanced_statistics(five).first()
     assert r.total_cmls == 5
-    assert r.remaining_life.life_mean == pytest.approx(37.4)
-    assert len(r.commodity_risk) == 4
+    assert r.remaining_life.life_mean == pytest.approx(31.5)
+    assert [c.commodity for c in r.commodity_risk] == ["Condensate", "Gas", "Steam"]
 
 
-def test_approx_quantiles_close(five):
-    exact = PF.life_statistics(five).first()
-    approx = PF.life_statistics(five, approx_accuracy=10000).first()
-    assert approx.life_median == exact.life_median and approx.life_p25 == exact.life_p25
-    c = PF.corrosion_by_commodity(five, approx_accuracy=10000).collect()
-    assert len(c) == 4
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "id_number string, average_corrosion_rate double, thickness_mm double, commodity string")
+    h = PF.portfolio_health(none).first()
+    assert h.critical_pct is None and h.avg_remaining_life_years is None
+    assert PF.life_statistics(none).first().life_median is None
+    assert PF.advanced_statistics(none).first().total_cmls == 0
+
+
+def test_nan_is_missing_not_safe(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 0.1, nan, "Gas"), ("b", nan, 9.0, "Gas"), ("c", 0.1, 9.0, "Gas")],
+                               "id_number string, average_corrosion_rate double, thickness_mm double, commodity string")
+    b = {r.id_number: r for r in PF.risk_bands(df).collect()}
+    for k in ("a", "b"):
+        assert b[k].remaining_life_years is None and b[k].risk_band_4 is None and b[k].risk_band_5 is None
+        assert b[k].inspection_months == 6.0
+    assert b["a"].thickness_bin is None and b["b"].corrosion_bin is None
+    rd = PF.risk_distribution(df).first()
+    assert (rd.critical, rd.high, rd.medium, rd.low) == (0, 0, 0, 1)
+    assert PF.life_statistics(df).first().life_max == 50.0 and PF.life_statistics(df).first().life_min == 50.0
+    assert sum(r.n_points for r in PF.life_histogram(df).collect()) == 1
+    assert PF.corrosion_statistics(df).first().rate_max == 0.1
+    assert PF.thickness_statistics(df).first().thickness_mean == 9.0
+
+
+def test_exact_quantiles_of_distinct_doubles(spark):
+    import numpy as np
+
+    from pitwall.functions.core import exact_quantiles
+
+    rng = np.random.default_rng(5)
+    rows = [(k, float(v)) for k in ("x", "y", None) for v in rng.normal(size=701 if k == "x" else 500)]
+    rows += [("x", None), ("y", float("nan")), ("z", None), ("w", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["k"]: r["v"] for r in exact_quantiles(df, {"v": F.col("v")}, {"v": probs}, by="k").collect()}
+    assert set(got) == {"x", "y", None, "w"}
+    for k in ("x", "y", None):
+        own = [v for a, v in rows if a == k and v is not None and v == v]
+        assert got[k] == pytest.approx(list(np.quantile(own, probs)))
+    frame = exact_quantiles(df, {"v": F.col("v"), "w": F.col("v") * 2}, {"v": [0.5], "w": [0.25]})
+    every = [v for _, v in rows if v is not None and v == v]
+    one = frame.first()
+    assert one["v"][0] == pytest.approx(np.median(every)) and one["w"][0] == pytest.approx(2 * np.quantile(every, 0.25))
+
+
+def test_no_percentile_over_raw_rows(spark, five):
+    for f in (PF.life_statistics, PF.corrosion_statistics, PF.corrosion_by_commodity, PF.advanced_statistics):
+        plan = f(five)._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in plan and "median(" not in plan
 
 
 from hypothesis import given, settings  # noqa: E402

@@ -65,13 +65,3 @@ def test_bucketed_tables_join_without_shuffle(spark, scratch):
         assert joined.count() == pts.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-
-
-def test_spread_only_when_under_partitioned(spark):
-    want = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, numPartitions=want * 2)
-    assert MP.spread(many) is many  # enough splits already: untouched, no extra shuffle
-    one = spark.range(0, 1000, numPartitions=1)
-    spread = MP.spread(one)
-    assert spread.rdd.getNumPartitions() == want
-    assert sorted(r.id for r in spread.collect()) == list(range(1000))  # rows kept whole

@@ -11,17 +11,18 @@ SCHEMA = ("id_number string, average_corrosion_rate double, thickness_mm double,
 
 
 def test_valid_table(spark):
-    df = spark.createDataFrame([("CML-001", 0.12, 9.5, "Crude Oil", "Pipe", "Both"),
-                                ("CML-002", 0.08, 10.2, "Natural Gas", "Elbow", "Internal")], SCHEMA)
+    df = spark.createDataFrame([("VALVE-3", 0.21, 7.7, "Fuel Gas", "Bend", "External"),
+                                ("VALVE-4", 0.03, 12.5, "Steam", "Nozzle", "Both")], SCHEMA)
     rep = {(r.severity, r.check_name): r for r in V.validation_report(df).collect()}
-    assert rep[("info", "valid")].n == 1
+    assert rep[("info", "valid")].n == 1 and rep[("info", "total_records")].n == 2
+    assert rep[("info", "avg_corrosion_rate")].detail == "0.120000" and rep[("info", "commodity:Steam")].n == 1
     assert not [k for k in rep if k[0] == "error"]
     prof = V.dataset_profile(df).first()
     assert prof.total_records == 2 and prof.unique_cmls == 2
 
 
 def test_missing_columns(spark):
-    df = spark.createDataFrame([("CML-001", 0.12)], "id_number string, average_corrosion_rate double")
+    df = spark.createDataFrame([("VALVE-3", 0.21)], "id_number string, average_corrosion_rate double")
     assert V.missing_columns(df) == ["cml_shape", "commodity", "feature_type", "thickness_mm"]
     rep = {(r.severity, r.check_name): r for r in V.validation_report(df).collect()}
     assert rep[("info", "valid")].n == 0 and ("error", "missing_columns") in rep
@@ -36,23 +37,23 @@ def test_empty_table(spark):
 
 def test_duplicates_nulls_ranges(spark):
     df = spark.createDataFrame([
-        ("CML-001", 0.12, 9.5, "Crude Oil", "Pipe", "Both"),
-        ("CML-001", 0.08, 10.2, "Natural Gas", "Elbow", "Internal"),
-        ("CML-001", 5.01, 50.01, "Gas", "Tee", "Both"),
-        ("CML-002", -0.1, 0.0, None, "Pipe", "Both"),
-        ("CML-003", None, None, "Gas", "Pipe", "Both"),
+        ("VALVE-3", 0.21, 7.7, "Fuel Gas", "Bend", "External"),
+        ("VALVE-3", 0.03, 12.5, "Steam", "Nozzle", "Both"),
+        ("VALVE-3", 5.2, 61.0, "Gas", "Tee", "Both"),
+        ("VALVE-5", -0.4, 0.0, None, "Pipe", "Both"),
+        ("VALVE-6", None, float("nan"), "Gas", "Pipe", "Both"),
     ], SCHEMA)
     d = V.duplicate_ids(df).first()
-    assert d.n_duplicates == 2 and d.examples == "CML-001"
+    assert d.n_duplicates == 2 and d.examples == "VALVE-3"
     nulls = {r.column_name: r.null_count for r in V.null_counts(df).collect()}
     assert nulls == {"average_corrosion_rate": 1, "thickness_mm": 1, "commodity": 1}
     c = V.corrosion_range_violations(df).first()
-    assert c.n_violations == 2 and c.examples == "CML-001, CML-002"
+    assert c.n_violations == 2 and c.examples == "VALVE-3, VALVE-5"
     t = V.thickness_range_violations(df).first()
     assert t.n_violations == 2
-    rows = {r.id_number: r for r in V.row_contract_split(df).collect() if r.id_number != "CML-001"}
-    assert not rows["CML-002"].is_valid and "commodity empty" in rows["CML-002"].reasons
-    assert "average_corrosion_rate missing" in rows["CML-003"].reasons
+    rows = {r.id_number: r for r in V.row_contract_split(df).collect() if r.id_number != "VALVE-3"}
+    assert not rows["VALVE-5"].is_valid and "commodity empty" in rows["VALVE-5"].reasons
+    assert "average_corrosion_rate missing" in rows["VALVE-6"].reasons
 
 
 def test_override_contract(spark):
@@ -95,5 +96,23 @@ def test_features(spark):
     assert s["b"].risk_score == pytest.approx(40.0)
     m = {r.id_number: r for r in FT.scoring_features(df, as_of=dt.date(2002, 1, 1), fill="median").collect()}
     assert m["c"].days_since_inspection == 1.0
-    t = {r.id_number: r for r in FT.training_features(df).collect()}
+    t = {r.id_number: r for r in FT.training_features(df, dt.date(2002, 1, 1)).collect()}
     assert (t["a"].high_corrosion, t["a"].thin_wall, t["c"].thin_wall, t["c"].risk_interaction) == (1, 0, 1, 0)
+
+
+def test_report_examples_and_missing(spark):
+    rows = [("VALVE-3", 0.21, 7.7, "Gas", "Bend", "Both")] * 2 + [("VALVE-5", -0.4, 0.0, None, "Pipe", "Both")] * 4 + [
+        ("VALVE-6", None, float("nan"), "Gas", "Pipe", "Both"), (None, 9.0, 9.0, "Gas", "Pipe", "Both")]
+    rep = {r.check_name: r for r in V.validation_report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert rep["duplicate_ids"].n == 4 and rep["duplicate_ids"].detail == "VALVE-3, VALVE-5"
+    assert rep["corrosion_range"].n == 5 and rep["corrosion_range"].detail == "VALVE-5, VALVE-5, VALVE-5"
+    assert rep["nulls:thickness_mm"].n == 1 and rep["nulls:id_number"].n == 1
+    assert rep["total_records"].n == 8 and rep["unique_cmls"].n == 3
+
+
+def test_required_column_variants(spark):
+    from pitwall.schema import REQUIRED_POINT_COLUMNS_WITH_DATES, REQUIRED_TRAINING_COLUMNS
+
+    df = spark.createDataFrame([], SCHEMA)
+    assert V.missing_columns(df, REQUIRED_TRAINING_COLUMNS) == ["elimination_flag"]
+    assert V.missing_columns(df, REQUIRED_POINT_COLUMNS_WITH_DATES) == ["last_inspection_date", "next_inspection_date"]
