@@ -29,7 +29,8 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from ..scratch import shared_dir
+from .common import table
 
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -164,8 +165,7 @@ def _segments(batches, columns):
 def format_chats(turns: DataFrame) -> DataFrame:
     """A row for each turn: conv_id, turn, role, new_role, merged, inserted, cost, rendered."""
     spark = turns.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    shared_dir(spark)  # for checkpoint()
     columns = ["conv_id", "turn", "role", "text"]
     order = ["conv_id", "turn", "role", "_c_hash"]
     chats = turns.select(*columns, F.xxhash64("text").alias("_c_hash"))

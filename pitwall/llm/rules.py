@@ -152,11 +152,10 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     box = F.struct(*limits)
     own = wide.filter("level = 0").select("lang", "source", F.col("total").alias("n0"), box.alias("b0"))
     lang = wide.filter("level = 1").select(F.col("lang").alias("lang1"), F.col("total").alias("n1"), box.alias("b1"))
-    every = wide.filter("level = 2").select(box.alias("b2"))
+    every = wide.filter("level = 2").select(box).scalar()  # one row
     return (
         own.join(lang, own["lang"].eqNullSafe(lang["lang1"]), "left")
-        .join(F.broadcast(every), F.lit(True), "left")  # one row
-        .withColumn("b", F.when(F.col("n0") >= MIN_DOCS, F.col("b0")).when(F.col("n1") >= MIN_DOCS, F.col("b1")).otherwise(F.col("b2")))
+        .withColumn("b", F.when(F.col("n0") >= MIN_DOCS, F.col("b0")).when(F.col("n1") >= MIN_DOCS, F.col("b1")).otherwise(every))
         .select(F.col("lang").alias("_q_lang"), F.col("source").alias("_q_source"), "b.*")
     )
 
