@@ -46,14 +46,13 @@ def seeds(df: DataFrame) -> DataFrame:
     return inside.select("*", F.explode(hashes).alias("_d_h"))
 
 
-def _best(agree: Column) -> Column:
-    """(agreeing tokens, first token) of the best window in an array of 0 and 1."""
-    size = F.least(F.size(agree), F.lit(WINDOW))
+def _best(agree: Column, size: Column) -> Column:
+    """(agreeing tokens, first token) of the best window of ``size`` in an array of 0 and 1; null if it is shorter."""
     windows = F.transform(
         F.sequence(F.lit(1), F.size(agree) - size + 1),
         lambda i: F.struct(F.aggregate(F.slice(agree, i, size), F.lit(0), lambda a, b: a + b).alias("n"), (-i).alias("at")),
     )
-    return F.when(F.size(agree) >= SPAN, F.array_max(windows))
+    return F.when(F.size(agree) >= size, F.array_max(windows))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -76,11 +75,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     part, item = F.split("_d_part", " "), F.split("_d_item", " ")
     skip = F.greatest(-F.col("_d_at"), F.lit(0))  # item tokens before the document begins
     agree = F.zip_with(part, F.slice(item, skip + 1, F.size(part)), lambda a, b: F.when(a == b, 1).otherwise(0))
+    size = F.least(F.col("_d_n"), F.lit(WINDOW))
     checked = (
         aligned.join(texts, "item_id")
         .filter(F.size(item) == F.col("_d_n"))
         .select("doc_id", "_d_text", "item_id", (F.col("_d_at") + skip).alias("_d_at"), let(agree, lambda x: F.struct(
-            F.least(F.size(x), F.lit(WINDOW)).alias("size"), _best(x).alias("best"))).alias("_d_v"))
+            size.alias("size"), _best(x, size).alias("best"))).alias("_d_v"))
         .filter(100 * F.col("_d_v.best.n") >= MIN_SHARE * F.col("_d_v.size"))
     )
     best = F.max(F.struct("_d_v.best.n", (-(F.col("_d_at") - F.col("_d_v.best.at") - 1)).alias("at")))
@@ -114,8 +114,8 @@ WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents), i AS (SELECT ite
 dp AS (SELECT *, unnest(range(0, len(w))) AS p FROM d), ip AS (SELECT *, unnest(range(0, len(w))) AS p FROM i),
 ds AS ({_SEED.format('dp')}), si AS ({_SEED.format('ip')}),
 al AS (SELECT DISTINCT ds.id AS doc_id, si.id AS item_id, ds.p - si.p AS g, ds.w AS dw, si.w AS iw FROM ds JOIN si ON ds.k = si.k AND ds.h = si.h),
-ov AS (SELECT *, greatest(g, 0) AS f, least(len(dw), g + len(iw)) - greatest(g, 0) AS n FROM al),
-wi AS (SELECT *, least(n, {WINDOW}) AS size, unnest(range(0, CAST(n - least(n, {WINDOW}) + 1 AS BIGINT))) AS q FROM ov WHERE n >= {SPAN}),
+ov AS (SELECT *, greatest(g, 0) AS f, least(len(dw), g + len(iw)) - greatest(g, 0) AS n, least(len(iw), {WINDOW}) AS size FROM al),
+wi AS (SELECT *, unnest(range(0, CAST(n - size + 1 AS BIGINT))) AS q FROM ov WHERE n >= size),
 ma AS (SELECT doc_id, item_id, f + q AS start, size,
        len(list_filter(range(0, CAST(size AS BIGINT)), lambda j: dw[f + q + j + 1] = iw[f + q + j + 1 - g])) AS matched FROM wi),
 ok AS (SELECT * FROM ma WHERE 100 * matched >= {MIN_SHARE} * size)
