@@ -133,6 +133,7 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.rows, self.known = model, np.zeros((1 << 12, len(model.langs))), {}
+        self.letters = np.zeros(1 << 12, np.int64)  # of each known word; digits like ² aren't letters
 
     def _ids(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -140,7 +141,9 @@ class Labeller:
             i = known[w] = len(known)
             if i == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
             self.rows[i] = self.model.score(w)
+            self.letters[i] = len(w) if w.isalpha() else sum(map(str.isalpha, w))
         return np.fromiter((known[w] for w in words), np.int64, len(words))
 
     def block(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
@@ -150,12 +153,12 @@ class Labeller:
         words = [WORD.findall(t.lower()) for t in texts]
         n = np.array([len(w) for w in words], dtype=np.int64)
         ids = np.concatenate([self._ids(w) for w in words]) if len(words) else np.zeros(0, np.int64)
-        size = np.fromiter((len(x) for w in words for x in w), np.int64, len(ids))
+        size = self.letters[ids]
         starts = np.cumsum(n) - n
         labels = viterbi(self.rows, ids, starts, n)
         langs, out = self.model.langs, []
         for s, k in zip(starts.tolist(), n.tolist()):
-            if not k:
+            if not size[s : s + k].any():
                 out.append(("und", 0.0, []))
                 continue
             own = labels[s : s + k]

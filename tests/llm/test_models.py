@@ -89,10 +89,10 @@ def test_spans_of_mixed_texts_scripts_and_edge_rows(spark):
     ru = "быстрая лиса прыгает через ленивую собаку и потом спит "
     learn = [(i, t * 3, k) for i, (t, k) in enumerate([(en, "en"), (de, "de"), (ru, "ru")] * 5)] + [(90, "x", None), (91, None, "en")]
     model = langid.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
-    rows = [(1, en), (2, en + de + en), (3, ru), (4, None), (5, "12 + 3 !?"), (6, ""), (7, en + ru), (8, "日本語"), (1, en), (None, de), (9, de * 3000)]
+    rows = [(1, en), (2, en + de + en), (3, ru), (4, None), (5, "12 + 3 !?"), (6, ""), (7, en + ru), (8, "日本語"), (1, en), (None, de), (9, de * 3000), (10, "² ³ ½")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang_pred", F.lit(1))
     got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
-    assert [got[i]["lang_pred"] for i in (1, 3, 4, 5, 6, None, 9)] == ["en", "ru", "und", "und", "und", "de", "de"]
+    assert [got[i]["lang_pred"] for i in (1, 3, 4, 5, 6, None, 9, 10)] == ["en", "ru", "und", "und", "und", "de", "de", "und"]
     assert [s["lang"] for s in got[2]["spans"]] == ["en", "de", "en"] and [s["lang"] for s in got[7]["spans"]] == ["en", "ru"]
     assert sum(s["words"] for s in got[2]["spans"]) == len((en + de + en).split()) and got[4]["score"] == 0
     assert 0 < got[8]["score"] <= 1
