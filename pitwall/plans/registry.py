@@ -508,9 +508,8 @@ def q_synthetic_summary(spark, sf_dir):
 
 # -------------------------------------------------------------------- model
 
-# Settings of the recorded best model, and of the original's basic recipe.
+# Settings of the recorded best model (the basic recipe is the default of M.forest).
 FOREST = dict(num_trees=300, max_depth=10, min_instances=2)
-BASIC_FOREST = dict(num_trees=200, max_depth=30, min_instances=1)
 
 
 def labelled_points(spark, sf_dir):
@@ -620,13 +619,6 @@ def q_model_feature_importance(spark, sf_dir):
     return M.feature_importance(model, scored)
 
 
-@query("model_basic_forest")
-def q_model_basic_forest(spark, sf_dir):
-    """M4: the basic recipe, unweighted."""
-    return _once("basic", spark, sf_dir, lambda: M.train_and_evaluate(
-        _training_table(spark, sf_dir), balanced=False, **BASIC_FOREST)[2])
-
-
 @query("cross_validated_f1")
 def q_cross_validated_f1(spark, sf_dir):
     return _cross_validated(spark, sf_dir)
