@@ -20,9 +20,10 @@ same document, earlier start) goes.
    common prefixes of neighbours are computed, and runs of at least 100 bytes are
    equal strings, of which all but the first are marked.
    Equal strings begin equally far before their anchor, so an anchor with more
-   text than a block is sorted in slices of a few such distances.  Anchors with
-   more than ``HOT`` contexts aren't sorted in one task: their strings are
-   grouped by hash, with minima combined map-side.
+   than ``SPREAD`` contexts is dealt out, and one with more text than a block is
+   sorted, in slices of a few such distances.  Anchors with more than ``HOT``
+   contexts aren't sorted in one task: their strings are grouped by hash, with
+   minima combined map-side.
 4. The marks of each document are united and cut out of its text.
 
 Null texts count as empty ones.  Documents with equal ids are ordered by the
@@ -44,6 +45,7 @@ LENGTH = 100
 K = 32
 SPAN = LENGTH - K  # places of an anchor in a string: SPAN + 1
 HOT = 100_000
+SPREAD = 1_000
 SLICE = 8  # distances of an anchor that are sorted together, if it has much text
 BLOCK = 1 << 20  # bytes that are looked at or sorted at a time
 MARK = -(1 << 63)  # sign bit of a packed (from, to): a mark, not a context
@@ -327,9 +329,17 @@ def slices(texts: list[bytes], off: list[int]):
         yield [t[i : j + LENGTH] if j >= i else b"" for t, i, j in zip(texts, lo, hi)], np.array(lo, np.int64)
 
 
+def _mixed(h: int, k: int) -> int:
+    x = (h + (k + 1) * int(ODD[0])) & (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
+
+
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, rid, a, off, bytes) of ``wanted`` (h, rid, packed), cut from ``docs`` (rid, bytes); off is the anchor's place."""
-    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "packed")).alias("asked"))
+    """(h, rid, a, off, bytes) of ``wanted`` (h, rid, packed, spread), cut from ``docs`` (rid, bytes).
+
+    ``off`` is the anchor's place; contexts to ``spread`` come in slices, each with a hash of its own.
+    """
+    asked = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "packed", "spread")).alias("asked"))
     joined = docs.select("rid", "bytes").join(asked, "rid")
 
     def run(batches):
@@ -340,8 +350,12 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for r, text, asked in zip(b.column("rid").to_pylist(), b.column("bytes"), b.column("asked").to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 for x in asked:
-                    s, n = x["packed"] >> 32, x["packed"] >> 8 & 0xFF
-                    h.append(x["h"]), rid.append(r), at.append(s), off.append(x["packed"] & 0xFF), got.append(raw[s : s + n])
+                    s, n, o = x["packed"] >> 32, x["packed"] >> 8 & 0xFF, x["packed"] & 0xFF
+                    parts = [(x["h"], 0, raw[s : s + n])]
+                    if x["spread"]:
+                        parts = [(_mixed(x["h"], k), int(i[0]), t[0]) for k, (t, i) in enumerate(slices([raw[s : s + n]], [o])) if t[0]]
+                    for key, i, t in parts:
+                        h.append(key), rid.append(r), at.append(s + i), off.append(o - i), got.append(t)
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, pa.int64()) for c in (h, rid, at, off)], pa.array(got, pa.binary())], ["h", "rid", "a", "off", "bytes"]
             )
@@ -418,10 +432,13 @@ def marked(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("_x_rid").alias("rid"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     found = saved(repeats(anchor_rows(plain)), "repeats")
     open_ = found.filter("packed >= 0")
-    hot = saved(open_.groupBy("h").count().filter(F.col("count") > HOT).select("h"), "hot-anchors")
-    marks = found.filter("packed < 0").select("rid", "packed").union(sorted_marks(contexts(plain, open_.join(hot, "h", "left_anti"))))
-    if not hot.isEmpty():
-        marks = marks.union(hot_marks(contexts(plain, open_.join(hot, "h", "left_semi"))))
+    busy = saved(open_.groupBy("h").count().filter(F.col("count") > SPREAD), "busy-anchors")
+    sized = open_.join(busy, "h", "left").withColumn("spread", F.col("count").isNotNull())
+    cool = sized.filter(F.coalesce("count", F.lit(0)) <= HOT)
+    marks = found.filter("packed < 0").select("rid", "packed").union(sorted_marks(contexts(plain, cool)))
+    if not busy.filter(F.col("count") > HOT).isEmpty():
+        hot = sized.filter(F.col("count") > HOT).withColumn("spread", F.lit(False))
+        marks = marks.union(hot_marks(contexts(plain, hot)))
     cut = marks.groupBy("rid").agg(F.collect_list("packed").alias("_x_marks"))
     others = docs.withColumn("_x_null", F.col("text").isNull()).drop("text").withColumnRenamed("_x_rid", "rid")
     return plain.join(cut, "rid", "left").join(others, "rid")

@@ -25,9 +25,10 @@ def check(spark, docs, expected_order=None):
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("hot,block", [(100_000, 1 << 20), (1, 1000), (100_000, 1000)])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot, block):
+@pytest.mark.parametrize("hot,spread,block", [(100_000, 1000, 1 << 20), (1, 1, 1000), (100_000, 1000, 1000), (100_000, 2, 1000), (3, 2, 1 << 20)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot, spread, block):
     monkeypatch.setattr(X, "HOT", hot)
+    monkeypatch.setattr(X, "SPREAD", spread)
     monkeypatch.setattr(X, "BLOCK", block)
     check(spark, list(enumerate(corpus())))
 
