@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the folder set on the context.
 
-    Only a single-machine ``local[...]`` session in which neither is set gets a
+    Only a single-machine ``local`` session in which neither is set gets a
     folder of its own; any other master must name a shared one.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pitwall-")
     if not spark.sparkContext.getCheckpointDir():
