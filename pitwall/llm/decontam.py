@@ -4,15 +4,19 @@ Texts are lower-cased and cut into tokens (runs of letters and digits).  At
 every token a fixed mask of eight positions picks six of them, and their hash is
 joined with the same hashes of the benchmark.  The two masks were chosen so that
 any 13 aligned tokens with at most two substitutions contain an untouched mask
-(a test enumerates all cases).  Each hit gives an alignment of a document with
-an item, which is verified token by token: a leak is a window of 13 aligned
-tokens (the whole item if it has 8 to 12) of which at least ``MIN_SHARE`` agree.
+(a test enumerates all cases).  An item of 8 to 12 tokens has masks of its own
+over its whole length: it is cut into two parts more than it may have
+substitutions, so two parts are untouched, and every pair of parts is a mask.  An
+item of fewer tokens has one mask, all of it.  Each hit gives an alignment of a
+document with an item, which is verified token by token: a leak is a window of 13
+aligned tokens (the whole item if it has fewer) of which at least ``MIN_SHARE``
+agree, and all of them if the item has fewer than eight.
 
 The benchmark's hashes are broadcast if there are at most ``MAX_BROADCAST``;
 beyond that they are joined by a shuffle, whose hot keys AQE splits.
 
-Null and empty texts have no tokens and no leaks.  Items of fewer than eight
-tokens are too short to tell a leak from common speech and are not searched.
+Null and empty texts have no tokens and no leaks.  A document's masks for short
+items are only those of the lengths that the benchmark has.
 Repeated rows and ties give one row for an id and item; empty tables give an
 empty table.  Columns other than id and text are not read, and are passed
 through by ``drop_leaks``.
@@ -20,6 +24,8 @@ through by ``drop_leaks``.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,13 +43,34 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """Rows of ``df`` (with an array column _d_w) for each token and mask: _d_p, _d_h."""
+def short_masks(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of an item of ``n`` tokens, fewer than ``WINDOW``, from its first token on."""
+    if n < SPAN:
+        return (tuple(range(n)),)
+    parts = n * (100 - MIN_SHARE) // 100 + 2
+    cuts = [range(n * k // parts, n * (k + 1) // parts) for k in range(parts)]
+    return tuple((*x, *y) for x, y in itertools.combinations(cuts, 2))
+
+
+def seeds(df: DataFrame, short: list[int], items: bool = False) -> DataFrame:
+    """Rows of ``df`` (with an array column _d_w) for each token and mask: _d_p, _d_h.
+
+    ``short`` are the lengths below ``WINDOW`` that items have; of ``items``, each has the masks of its own length.
+    """
     # outer: an inner explode would have the tokens computed a second time for its filter
     at = df.select("*", F.posexplode_outer("_d_w").alias("_d_p", "_d_first"))
-    hashes = F.array(*[F.xxhash64(F.lit(k), *[F.get("_d_w", F.col("_d_p") + o) for o in m]) for k, m in enumerate(MASKS)])
-    inside = at.filter(F.col("_d_p") + SPAN <= F.size("_d_w")).drop("_d_first")
-    return inside.select("*", F.explode(hashes).alias("_d_h"))
+    size, p = F.size("_d_w"), F.col("_d_p")
+
+    def hashed(mask: tuple[int, ...], *tag: int) -> Column:
+        return F.xxhash64(*map(F.lit, tag), *[F.get("_d_w", p + o) for o in mask])
+
+    fits = (p + SPAN <= size) & (size >= WINDOW) if items else p + SPAN <= size
+    hashes = [F.when(fits, hashed(m, k)) for k, m in enumerate(MASKS)]
+    for n in short:
+        fits = (p == 0) & (size == n) if items else p + n <= size
+        hashes += [F.when(fits, hashed(m, k, n)) for k, m in enumerate(short_masks(n))]
+    inside = at.filter(p + min([SPAN, *short]) <= size).drop("_d_first")
+    return inside.select("*", F.explode(F.array(*hashes)).alias("_d_h")).filter("_d_h IS NOT NULL")
 
 
 def _best(agree: Column, size: Column) -> Column:
@@ -60,13 +87,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     ``start`` is the window's first token in the document, ``matched`` how many of its tokens agree.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("_d_w")).filter(F.size("_d_w") >= SPAN).distinct()
-    keys = seeds(items).select("item_id", F.col("_d_p").alias("_d_ip"), F.size("_d_w").alias("_d_n"), "_d_h", F.col("_d_w").alias("_d_item"))
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("_d_w")).filter(F.size("_d_w") > 0).distinct()
+    items = saved(items, "benchmark-items")
+    lengths = sorted(r["n"] for r in items.select(F.size("_d_w").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())
+    keys = seeds(items, lengths, items=True).select("item_id", F.col("_d_p").alias("_d_ip"), F.size("_d_w").alias("_d_n"), "_d_h", F.col("_d_w").alias("_d_item"))
     keys = saved(keys.withColumn("_d_item", F.array_join("_d_item", " ")).distinct(), "benchmark-seeds")
     short = maybe_broadcast(keys.select("item_id", "_d_ip", "_d_n", "_d_h"), MAX_BROADCAST)
     words = docs.select("doc_id", F.xxhash64("text").alias("_d_text"), tokens(F.col("text")).alias("_d_w"))
     diagonal = F.col("_d_p") - F.col("_d_ip")
-    hits = seeds(words).join(short, "_d_h").select(
+    hits = seeds(words, lengths).join(short, "_d_h").select(
         "doc_id", "_d_text", "item_id", "_d_n", diagonal.alias("_d_at"),
         F.array_join(F.slice("_d_w", F.greatest(diagonal, F.lit(0)) + 1, F.col("_d_n") + F.least(diagonal, F.lit(0))), " ").alias("_d_part"),
     )
@@ -81,7 +110,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .filter(F.size(item) == F.col("_d_n"))
         .select("doc_id", "_d_text", "item_id", (F.col("_d_at") + skip).alias("_d_at"), let(agree, lambda x: F.struct(
             size.alias("size"), _best(x, size).alias("best"))).alias("_d_v"))
-        .filter(100 * F.col("_d_v.best.n") >= MIN_SHARE * F.col("_d_v.size"))
+        .filter(100 * F.col("_d_v.best.n") >= F.when(F.col("_d_v.size") < SPAN, 100).otherwise(MIN_SHARE) * F.col("_d_v.size"))
     )
     best = F.max(F.struct("_d_v.best.n", (-(F.col("_d_at") - F.col("_d_v.best.at") - 1)).alias("at")))
     return checked.groupBy("doc_id", "_d_text", "item_id").agg(best.alias("b")).select(

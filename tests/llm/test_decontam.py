@@ -72,3 +72,27 @@ def test_empty_tables(spark):
     docs, items = frames(spark)
     assert D.leaks(docs.limit(0), items).collect() == [] and D.leaks(docs, items.limit(0)).collect() == []
     assert D.drop_leaks(docs, items.limit(0)).count() == len(DOCS)
+
+
+def test_short_masks_find_every_substitution_that_the_verifier_accepts():
+    for n in range(1, D.WINDOW):
+        errors = n * (100 - D.MIN_SHARE) // 100 if n >= D.SPAN else 0
+        for at in itertools.combinations(range(n), errors):
+            assert any(not set(m) & set(at) for m in D.short_masks(n)), (n, at)
+        assert all(0 <= o < n for m in D.short_masks(n) for o in m)
+
+
+def test_short_items_are_found_with_every_substitution(spark):
+    items = [(n, " ".join(f"t{n}x{i}" for i in range(n))) for n in range(1, 13)]
+    docs, want = [], set()
+    for n, text in items:
+        for k in range(4):
+            for at in itertools.combinations(range(n), k):
+                words = [f"zzz{i}" if i in at else w for i, w in enumerate(text.split())]
+                docs.append((len(docs), f"before it {' '.join(words)} after", "en", "a"))
+                if k == 0 or (n >= 8 and 100 * (n - k) >= D.MIN_SHARE * n):
+                    want.add((docs[-1][0], n, 2, n - k))
+    docs.append((len(docs), items[9][1][:-5], "en", "a"))  # the item doesn't end in it
+    assert set(map(tuple, found(spark, *frames(spark, docs, items)).collect())) == want
+    docs, items = frames(spark, [(1, "Was it him? Yes.", "en", "a"), (2, "yes it was", "en", "a")], [(1, "it was"), (2, "YES"), (3, "was it yes")])
+    assert sorted(map(tuple, found(spark, docs, items).collect())) == [(1, 2, 3, 1), (2, 1, 1, 2), (2, 2, 0, 1)]
