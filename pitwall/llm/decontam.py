@@ -13,7 +13,9 @@ aligned tokens (the whole item if it has fewer) of which at least ``MIN_SHARE``
 agree, and all of them if the item has fewer than eight.
 
 The benchmark's hashes are broadcast if there are at most ``MAX_BROADCAST``;
-beyond that they are joined by a shuffle, whose hot keys AQE splits.
+beyond that they are joined by a shuffle, whose hot keys AQE splits.  A
+document's rows in that join hold its key, a position and a hash; the alignments
+found, each once, are joined back to the documents by key for their tokens.
 
 Null and empty texts have no tokens and no leaks.  A document's masks for short
 items are only those of the lengths that the benchmark has.
@@ -82,6 +84,12 @@ def _best(agree: Column, size: Column) -> Column:
     return F.when(F.size(agree) >= size, F.array_max(windows))
 
 
+def alignments(words: DataFrame, keys: DataFrame, short: list[int]) -> DataFrame:
+    """(doc_id, _d_text, item_id, _d_n, _d_at): where documents' seeds meet an item's, each once."""
+    at = seeds(words, short).select("doc_id", "_d_text", "_d_p", "_d_h")
+    return at.join(keys, "_d_h").select("doc_id", "_d_text", "item_id", "_d_n", (F.col("_d_p") - F.col("_d_ip")).alias("_d_at")).distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, _d_text, item_id, start, matched): the best window of each document (id and text hash) and item.
 
@@ -94,12 +102,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     keys = saved(keys.withColumn("_d_item", F.array_join("_d_item", " ")).distinct(), "benchmark-seeds")
     short = maybe_broadcast(keys.select("item_id", "_d_ip", "_d_n", "_d_h"), MAX_BROADCAST)
     words = docs.select("doc_id", F.xxhash64("text").alias("_d_text"), tokens(F.col("text")).alias("_d_w"))
-    diagonal = F.col("_d_p") - F.col("_d_ip")
-    hits = seeds(words, lengths).join(short, "_d_h").select(
-        "doc_id", "_d_text", "item_id", "_d_n", diagonal.alias("_d_at"),
-        F.array_join(F.slice("_d_w", F.greatest(diagonal, F.lit(0)) + 1, F.col("_d_n") + F.least(diagonal, F.lit(0))), " ").alias("_d_part"),
+    found = maybe_broadcast(saved(alignments(words, short, lengths), "alignments"), MAX_BROADCAST)
+    found = found.withColumnsRenamed({"doc_id": "_d_id", "_d_text": "_d_th"})
+    at = F.col("_d_at")
+    aligned = words.join(found, words["doc_id"].eqNullSafe(found["_d_id"]) & (words["_d_text"] == found["_d_th"])).select(
+        "doc_id", "_d_text", "item_id", "_d_n", "_d_at",
+        F.array_join(F.slice("_d_w", F.greatest(at, F.lit(0)) + 1, F.col("_d_n") + F.least(at, F.lit(0))), " ").alias("_d_part"),
     )
-    aligned = hits.distinct()
     texts = maybe_broadcast(keys.select("item_id", F.col("_d_item")).distinct(), MAX_BROADCAST // 10)
     part, item = F.split("_d_part", " "), F.split("_d_item", " ")
     skip = F.greatest(-F.col("_d_at"), F.lit(0))  # item tokens before the document begins

@@ -12,7 +12,9 @@ shingles that stand in the window.  Windows without any template's shingle have
 containment zero and are not hashed.
 
 Templates are a small table; their shingles are broadcast if there are at most
-``MAX_BROADCAST``, else joined by a shuffle whose hot keys AQE splits.
+``MAX_BROADCAST``, else joined by a shuffle whose hot keys AQE splits.  A
+document's rows in that join hold its key, a position and a hash; the windows
+found, each once, are joined back to the documents by key for their words.
 
 Null and empty texts have no words and no licenses.  Templates of fewer than
 five words have no shingle and are not searched.  Repeated rows and ties give
@@ -80,19 +82,27 @@ def prepared(templates: DataFrame) -> DataFrame:
     return w.select("template_id", "license", size.alias("class"), let(F.col("_l_w"), _shingles).alias("shingles")).withColumn("bands", _bands(F.col("shingles")))
 
 
+def spots(text: DataFrame, marks: DataFrame) -> DataFrame:
+    """(doc_id, _l_text, class, _l_k): the windows in which a template's shingle stands, each once."""
+    # outer: an inner explode would have the words computed a second time for its filter
+    at = text.select("*", F.posexplode_outer("_l_w").alias("_l_p", "_l_first")).filter(F.col("_l_p") + SHINGLE <= F.size("_l_w"))
+    joined = [F.get("_l_w", F.col("_l_p") + k) for k in range(SHINGLE)]
+    hits = at.select("doc_id", "_l_text", "_l_p", F.xxhash64(F.concat_ws(" ", *joined)).alias("_l_h")).join(marks, "_l_h")
+    step, size = F.col("class") / 4, F.col("class") * 5 / 4
+    first = F.greatest(F.ceil((F.col("_l_p") + SHINGLE - size) / step), F.lit(0))
+    return hits.select("doc_id", "_l_text", "class", F.explode(F.sequence(first, F.floor(F.col("_l_p") / step))).alias("_l_k")).distinct()
+
+
 def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """(doc_id, license, matched, total, first_word): the best window of each document and license."""
     known = saved(prepared(templates), "licenses")
     marks = saved(known.select("class", F.explode("shingles").alias("s")).select("class", F.xxhash64("s").alias("_l_h")).distinct(), "license-shingles")
     text = docs.select("doc_id", F.xxhash64("text").alias("_l_text"), words(F.col("text")).alias("_l_w"))
-    # outer: an inner explode would have the words computed a second time for its filter
-    at = text.select("*", F.posexplode_outer("_l_w").alias("_l_p", "_l_first")).filter(F.col("_l_p") + SHINGLE <= F.size("_l_w"))
-    joined = [F.get("_l_w", F.col("_l_p") + k) for k in range(SHINGLE)]
-    hits = at.withColumn("_l_h", F.xxhash64(F.concat_ws(" ", *joined))).join(maybe_broadcast(marks, MAX_BROADCAST), "_l_h")
+    found = saved(spots(text, maybe_broadcast(marks, MAX_BROADCAST)), "license-windows")
+    found = maybe_broadcast(found, MAX_BROADCAST).withColumnsRenamed({"doc_id": "_l_id", "_l_text": "_l_th"})
     step, size = F.col("class") / 4, F.col("class") * 5 / 4
-    first = F.greatest(F.ceil((F.col("_l_p") + SHINGLE - size) / step), F.lit(0))
     windows = (
-        hits.select("doc_id", "_l_text", "class", "_l_w", F.explode(F.sequence(first, F.floor(F.col("_l_p") / step))).alias("_l_k"))
+        text.join(found, text["doc_id"].eqNullSafe(found["_l_id"]) & (text["_l_text"] == found["_l_th"]))
         .select("doc_id", "_l_text", "class", "_l_k", F.array_join(F.slice("_l_w", (F.col("_l_k") * step).cast("int") + 1, size.cast("int")), " ").alias("_l_part"))
         .distinct()
     )

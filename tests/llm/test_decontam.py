@@ -4,6 +4,7 @@ import brute
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from pitwall.llm import decontam as D
 
@@ -96,3 +97,22 @@ def test_short_items_are_found_with_every_substitution(spark):
     assert set(map(tuple, found(spark, *frames(spark, docs, items)).collect())) == want
     docs, items = frames(spark, [(1, "Was it him? Yes.", "en", "a"), (2, "yes it was", "en", "a")], [(1, "it was"), (2, "YES"), (3, "was it yes")])
     assert sorted(map(tuple, found(spark, docs, items).collect())) == [(1, 2, 3, 1), (2, 1, 1, 2), (2, 2, 0, 1)]
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_no_document_tokens_in_the_seed_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(D, "MAX_BROADCAST", limit)
+    want = brute.rows(found(spark, *frames(spark)))
+    wide, join = [], DataFrame.join
+
+    def spy(left, right, *args):
+        if "_d_h" in left.columns:
+            wide.extend(set(left.columns) - {"doc_id", "_d_text", "_d_p", "_d_h"})
+        return join(left, right, *args)
+
+    monkeypatch.setattr(DataFrame, "join", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert brute.rows(found(spark, *frames(spark))) == want and wide == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,6 +1,7 @@
 import brute
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from pitwall.llm import licenses as L
 
@@ -36,3 +37,21 @@ def test_own_templates_repeated_rows_extra_columns_and_empty_tables(spark):
     docs = frame(spark, [(1, "w alpha beta gamma delta epsilon zeta w")] * 2 + [(None, "alpha beta gamma delta epsilon zeta")]).withColumn("license", F.lit("z")).withColumn("class", F.lit(3))
     assert sorted(map(tuple, L.scan(docs, own).collect()), key=repr) == sorted([(1, "X", 2, 2, 0), (None, "X", 2, 2, 0)], key=repr)
     assert L.scan(docs.limit(0), own).collect() == [] and L.scan(docs, own.limit(0)).collect() == []
+
+
+def test_no_document_words_in_the_shingle_join(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_BROADCAST", 0)
+    want = brute.rows(L.scan(frame(spark), L.default_templates(spark)))
+    wide, join = [], DataFrame.join
+
+    def spy(left, right, *args):
+        if "_l_h" in left.columns:
+            wide.extend(set(left.columns) - {"doc_id", "_l_text", "_l_p", "_l_h"})
+        return join(left, right, *args)
+
+    monkeypatch.setattr(DataFrame, "join", spy)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert brute.rows(L.scan(frame(spark), L.default_templates(spark))) == want and wide == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
