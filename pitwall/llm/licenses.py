@@ -4,12 +4,13 @@ Texts are lower-cased and cut into words (runs of letters and digits) and
 five-word shingles.  Each template has a size class C, the power of two at or
 above its word count (so it has more than C/2 words).  Windows of a class are
 5C/4 words long and begin every C/4 words, so any passage of at most C words lies
-whole in one of them.  A window in which ``CONTAINED`` of a template's shingles
-stand has a Jaccard similarity of at least 0.29 to it; with ``BANDS`` bands of one
-minimum each the chance that no band collides is below 1 in 10,000.  Windows
-that collide with a template in a band are verified: the share of the template's
-shingles that stand in the window.  Windows without any template's shingle have
-containment zero and are not hashed.
+whole in one of them.  An exact join of the shingles comes first: windows without
+any template's shingle have containment zero and are not hashed.  The others get
+MinHash bands of one minimum each, in every class so many that a window in which
+``CONTAINED`` of a template's shingles stand collides with it but for a chance of
+``MISSED``; a five-word template, one shingle among a window's six (Jaccard
+similarity 1/6), takes 114.  Windows that collide with a template in a band are
+verified: the share of the template's shingles that stand in the window.
 
 Templates are a small table; their shingles are broadcast if there are at most
 ``MAX_BROADCAST``, else joined by a shuffle whose hot keys AQE splits.  A
@@ -24,6 +25,8 @@ tables give an empty table.  Columns other than id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ from .common import let, maybe_broadcast, saved, table
 
 SHINGLE = 5
 CONTAINED = 80  # per cent
-BANDS = 32
+MISSED = 1e-9
 MAX_BROADCAST = 200_000
 
 # Public license notices, by SPDX id.
@@ -68,18 +71,25 @@ def _shingles(w: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
 
 
-def _bands(shingles: Column) -> Column:
-    """The least hash of the shingles in each band."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(b, s))))
+def bands_for(size: int, n: int) -> int:
+    """Bands that a template of ``n`` shingles needs in the windows of class ``size``."""
+    inside = -(-n * CONTAINED // 100)
+    jaccard = inside / (size * 5 // 4 - (SHINGLE - 1) + n - inside)
+    return math.ceil(math.log(MISSED) / math.log1p(-jaccard))
+
+
+def _bands(shingles: Column, n: Column) -> Column:
+    """The least hash of the shingles in each of ``n`` bands."""
+    return F.transform(F.sequence(F.lit(1), n), lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(b, s))))
 
 
 def prepared(templates: DataFrame) -> DataFrame:
-    """(template_id, license, class, shingles, bands) of the templates that can be searched."""
+    """(template_id, license, class, shingles) of the templates that can be searched."""
     w = templates.select("template_id", "license", words(F.col("text")).alias("_l_w")).filter(F.size("_l_w") >= SHINGLE)
     size = F.lit(8)
     for c in (16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384):
         size = F.when(F.size("_l_w") > c // 2, F.lit(c)).otherwise(size)
-    return w.select("template_id", "license", size.alias("class"), let(F.col("_l_w"), _shingles).alias("shingles")).withColumn("bands", _bands(F.col("shingles")))
+    return w.select("template_id", "license", size.alias("class"), let(F.col("_l_w"), _shingles).alias("shingles"))
 
 
 def spots(text: DataFrame, marks: DataFrame) -> DataFrame:
@@ -106,9 +116,13 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
         .select("doc_id", "_l_text", "class", "_l_k", F.array_join(F.slice("_l_w", (F.col("_l_k") * step).cast("int") + 1, size.cast("int")), " ").alias("_l_part"))
         .distinct()
     )
+    least = known.groupBy("class").agg(F.min(F.size("shingles")).alias("n")).collect()  # a row per class
+    n_bands = F.lit(1)
+    for r in least:
+        n_bands = F.when(F.col("class") == r["class"], F.lit(bands_for(r["class"], r["n"]))).otherwise(n_bands)
     own = windows.select("doc_id", "_l_text", "class", (F.col("_l_k") * step).cast("long").alias("first_word"), let(F.split("_l_part", " "), _shingles).alias("_l_s"))
-    keys = own.withColumn("_l_b", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(BANDS)).alias("band"), _bands(F.col("_l_s")).alias("least"))))
-    bands = known.select("template_id", F.col("class").alias("_l_class"), F.posexplode("bands").alias("band", "least"))
+    keys = own.withColumn("_l_b", F.explode(F.arrays_zip(F.sequence(F.lit(1), n_bands).alias("band"), _bands(F.col("_l_s"), n_bands).alias("least"))))
+    bands = known.select("template_id", F.col("class").alias("_l_class"), F.posexplode(_bands(F.col("shingles"), n_bands)).alias("band", "least"))
     same = (F.col("class") == F.col("_l_class")) & (F.col("_l_b.band") == F.col("band") + 1) & (F.col("_l_b.least") == F.col("least"))
     met = keys.join(maybe_broadcast(bands, MAX_BROADCAST), same).select("doc_id", "_l_text", "first_word", "_l_s", "template_id").distinct()
     checked = met.join(maybe_broadcast(known.select("template_id", "license", "shingles"), MAX_BROADCAST // 20), "template_id").select(

@@ -55,3 +55,18 @@ def test_no_document_words_in_the_shingle_join(spark, monkeypatch):
         assert brute.rows(L.scan(frame(spark), L.default_templates(spark))) == want and wide == []
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bands_lose_no_short_template_at_the_start_of_a_text(spark):
+    n = 2000
+    own = spark.range(n).selectExpr("int(id) template_id", "concat('L', id) license", "concat_ws(' ', transform(sequence(1, 5), k -> concat('t', id, 'x', k))) text")
+    docs = own.selectExpr("bigint(template_id) doc_id", "concat(text, ' ', concat_ws(' ', transform(sequence(1, 10), k -> concat('f', template_id, 'x', k)))) text")
+    assert {tuple(r) for r in L.scan(docs, own).collect()} == {(i, f"L{i}", 1, 1, 0) for i in range(n)}
+
+
+def test_long_templates_of_every_class(spark):
+    sizes = [5, 8, 9, 16, 17, 33, 64, 65, 129, 257, 513, 1025, 2049, 4097, 8193]
+    own = [(i, f"L{n}", " ".join(f"w{n}x{k}" for k in range(n))) for i, n in enumerate(sizes)]
+    text = [(i, "before " * (3 * i) + t + " after" * 7) for i, _, t in own]
+    got = L.scan(frame(spark, text), spark.createDataFrame(own, "template_id int, license string, text string")).collect()
+    assert {(r["doc_id"], r["license"], r["matched"], r["total"]) for r in got} == {(i, f"L{n}", n - 4, n - 4) for i, n in enumerate(sizes)}
