@@ -526,12 +526,29 @@ def _training_table(spark, sf_dir):
 _TRAINED: dict = {}
 
 
+def _input_files(spark, sf_dir):
+    """(path, bytes, modification time) of the files that labelled points come from."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
 def _once(kind, spark, sf_dir, make):
-    """A fit's result, kept for the session: several queries report on the same model."""
-    key = (kind, spark.sparkContext.applicationId, sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = make()
-    return _TRAINED[key]
+    """A fit's result, kept for the session while its input files stay the same: several queries report on the same model."""
+    key, files = (kind, spark.sparkContext.applicationId, sf_dir), _input_files(spark, sf_dir)
+    if key not in _TRAINED or _TRAINED[key][0] != files:
+        _TRAINED[key] = files, make()
+    return _TRAINED[key][1]
+
+
+def forget_fits():
+    """The next query about a model fits it anew."""
+    _TRAINED.clear()
 
 
 def _trained(spark, sf_dir):

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from oracle import ORACLE_SQL
+from pitwall.plans import registry
 from pitwall.plans.registry import QUERIES
 from tools.compare import TABLES, _rows
 
@@ -111,3 +112,18 @@ def test_pass_counts(spark):
         assert plan("validation_report").count("Scan parquet") == 3  # counts, examples, distributions
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_kept_fit_goes_with_its_input_files_and_when_told(spark, tmp_path):
+    made = []
+    fit = lambda: registry._once("test", spark, str(tmp_path), lambda: made.append(1) or len(made))
+    spark.range(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert (fit(), fit()) == (1, 1)
+    spark.range(7).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert (fit(), fit()) == (2, 2)
+    kept = dict(registry._TRAINED)
+    try:
+        registry.forget_fits()
+        assert fit() == 3
+    finally:
+        registry._TRAINED.update({k: v for k, v in kept.items() if k[0] != "test"})
