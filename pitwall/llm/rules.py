@@ -6,7 +6,9 @@ that its own group's quantiles give.  The sketch is a histogram over integer
 buckets that keep ten leading bits (relative error below 1/512), so sketches
 merge by adding counts: Spark combines them map-side, a hot source is some
 thousand rows after the combine, and a group with too few documents takes the
-sum of its language's sketches, then that of all.
+sum of its language's sketches, then that of all.  The upper fence is the median,
+five times its distance from the 10 % quantile, and a constant slack (``RATIOS``):
+a ratio that is zero in most of a group's documents has the slack as its fence.
 
 Null or empty text: no words, so ``base_failed``.  Null ``lang`` or ``source``
 are groups of their own.  Repeated rows are judged (and counted) each for
