@@ -24,57 +24,83 @@ Defined results: null texts: no words; null languages: ``und``; empty texts and
 empty tables: no phrase; very long texts: whole; repeated rows count each; equal
 scores: the larger count first, then the phrase's UTF-8 bytes; other columns
 aren't read.  A word or pair that a third of all places hold is counted in each
-task before the shuffle; no task gets all triples of a word.
+task before the shuffle: its triples come to a group once for each block of text.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
 
-BLOCK = 16 << 20  # bytes of text that are counted at a time
+BLOCK = 16 << 20  # bytes of text that a task counts at a time
+BUCKET = 32 << 20  # bytes of text whose triples one group sums up, on average
+PACK = 1 << 16  # triples in a row
 SEGMENT = 1000  # nodes of a path that are kept in one row
-TRIPLE = ["w1", "w2", "w3"]
 _TABLE = bytes(
     10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )  # A-Z to a-z, tab to space, the ends of pieces to line feeds; no length changes
 
 
+def _summed(triples: np.ndarray, n: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of ``triples`` (word numbers below ``base``) in order, and the sums of their counts."""
+    pairs = triples[:, 0].astype(np.int64) * base + triples[:, 1]
+    if base >= 1 << 21:  # three numbers don't fit into one
+        pairs = np.unique(pairs, return_inverse=True)[1]
+    keys = pairs * base + triples[:, 2]
+    order = np.argsort(keys, kind="stable")
+    begins = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0]) if len(keys) else order
+    return triples[order[begins]], np.add.reduceat(n[order], begins) if len(keys) else n
+
+
 def _count(texts: list[bytes]):
-    """The triples of a block of texts with their counts: three arrays of words (null past a piece's end), one of counts."""
+    """Words of some texts, their triples as word numbers from 1 (0: past the piece's end) and the counts."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     raw = b"\n".join(texts).translate(_TABLE).replace(b"\n", b" \n ") + b" \n "
     coded = pc.split_pattern(pa.array([raw], pa.large_binary()).cast(pa.large_string()), " ").flatten().dictionary_encode()
     names = coded.dictionary
-    at = coded.indices.to_numpy().astype(np.int64)
+    at = coded.indices.to_numpy()
     at = at[at != names.index("").as_py()]
-    end = names.index("\n").as_py()
-    at = np.r_[np.where(at == end, 0, at + 1), 0, 0]  # 0: the end of a piece
-    first, second, third = at[:-2], at[1:-1], at[2:]
-    begins = first > 0
-    first, second = first[begins], second[begins]
-    third = np.where(second > 0, third[begins], 0)
-    base = len(names) + 1
-    pairs, which = first * base + second, None
-    if base >= 1 << 21:  # three numbers don't fit into one
-        pairs, which = np.unique(pairs, return_inverse=True)
-    keys, n = np.unique((pairs if which is None else which) * base + third, return_counts=True)
-    pair = keys // base if which is None else pairs[keys // base]
-    words = []
-    for k in (pair // base, pair % base, keys % base):
-        words.append(names.take(pa.array(k - 1, mask=k == 0)).cast(pa.string()))
-    return [*words, pa.array(n, pa.int64())]
-
-
-def edges(docs: DataFrame) -> DataFrame:
-    """(lang, w1, w2, w3, n): the counts of all triples, and of the short ones at the ends of pieces."""
+    at = np.r_[np.where(at == names.index("\n").as_py(), 0, at + 1), 0, 0]
+    triples = np.stack([at[:-2], at[1:-1], at[2:]], axis=1)
+    triples = triples[triples[:, 0] > 0]
+    triples[triples[:, 1] == 0, 2] = 0
+    return names, *_summed(triples, np.ones(len(triples), np.int64), len(names) + 1)
+
+
+def _packed(names, triples: np.ndarray, n: np.ndarray, buckets: int):
+    """(bucket, words, triples, counts) in rows of at most PACK triples; a node's triples have one bucket."""
+    hashed = np.array([0] + [zlib.crc32(w.encode()) for w in names.to_pylist()], np.uint64)
+    node = hashed[triples[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + hashed[triples[:, 1]]
+    node = (node ^ (node >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    bucket = ((node >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else [0]
+    for s, e in zip(edge[:-1], edge[1:]):
+        for k in range(s, e, PACK):
+            part = order[k : min(k + PACK, e)]
+            used, local = np.unique(np.r_[0, triples[part].ravel()], return_inverse=True)
+            yield int(bucket[part[0]]), names.take(used[1:] - 1), local[1:].astype(np.int32), n[part]
+
+
+def edges(docs: DataFrame, min_count: int) -> DataFrame:
+    """(lang, w1, w2, w3, n): triples of at least ``min_count``, pairs of at least that (w3 null), and parts of the
+    words' counts (w2 null).
+
+    Each task counts the triples of some megabytes of text; the counts of a node
+    (its first two words) are summed up in one group, among some 30 MB of text's.
+    """
+    given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.length("text") > 0)
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET))
 
-    def run(batches):
+    def count(batches):
         import pyarrow as pa
 
         def blocks():
@@ -89,28 +115,40 @@ def edges(docs: DataFrame) -> DataFrame:
                         held, size = {}, 0
             yield held
 
+        lists = lambda v, t: pa.array([v], pa.list_(t))
         for held in blocks():
             for lang in list(held):
-                cols = _count(held.pop(lang))
-                for k in range(0, len(cols[0]), 1 << 16):
-                    part = [c[k : k + (1 << 16)] for c in cols]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part[0]), pa.string()), *part], ["lang", *TRIPLE, "n"])
+                for bucket, used, local, n in _packed(*_count(held.pop(lang)), buckets):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang]), pa.array([bucket], pa.int64()), lists(used.cast(pa.string()), pa.string()), lists(local, pa.int32()), lists(n, pa.int64())],
+                        ["lang", "bucket", "words", "triples", "n"])
             pa.default_memory_pool().release_unused()
 
-    given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.length("text") > 0)
-    counted = given.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n long")
-    return counted.groupBy("lang", *TRIPLE).agg(F.sum("n").alias("n"))
-
-
-def pairs(edge_table: DataFrame) -> DataFrame:
-    """(lang, w1, w2, n): node flow plus the pieces that end there."""
-    return edge_table.filter("w2 is not null").groupBy("lang", "w1", "w2").agg(F.sum("n").alias("n"))
-
+    def merge(key, group):
+        import pyarrow as pa
 
-def words(edge_table: DataFrame, pair_table: DataFrame) -> DataFrame:
-    """(lang, w1, n): flow of the nodes that begin with the word plus the pieces that end there."""
-    ends = edge_table.filter("w2 is null").select("lang", "w1", "n")
-    return pair_table.select("lang", "w1", "n").union(ends).groupBy("lang", "w1").agg(F.sum("n").alias("n"))
+        col = lambda c: group.column(c).combine_chunks()
+        lists, flat = col("words"), col("triples")
+        coded = lists.flatten().dictionary_encode()
+        names, number = coded.dictionary, np.r_[0, coded.indices.to_numpy() + 1]
+        begin = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        local = flat.flatten().to_numpy()
+        shift = np.repeat(begin, np.diff(flat.offsets.to_numpy()))
+        triples = number[np.where(local > 0, local + shift, 0)].reshape(-1, 3)
+        triples, n = _summed(triples, col("n").flatten().to_numpy(), len(names) + 1)
+        new = np.diff(triples, axis=0, prepend=-1) != 0
+        parts = [(triples[often := (triples[:, 2] > 0) & (n >= min_count)], n[often])]
+        for width in (2, 1):  # the flow of nodes and words, with the short edges at the ends of pieces
+            at = np.flatnonzero(new[:, :width].any(axis=1))
+            grams, sums = triples[at] * (np.arange(3) < width), np.add.reduceat(n, at) if len(at) else n
+            use = (grams[:, 1] > 0) & (sums >= min_count) if width == 2 else np.ones(len(at), bool)
+            parts.append((grams[use], sums[use]))
+        grams, sums = (np.concatenate(x) for x in zip(*parts))
+        words = [names.take(pa.array(w - 1, mask=w == 0)) for w in grams.T]
+        return pa.table([pa.array([key[0].as_py()] * len(sums), pa.string()), *words, pa.array(sums, pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
+
+    packs = given.mapInArrow(count, "lang string, bucket long, words array<string>, triples array<int>, n array<long>")
+    return packs.groupBy("lang", "bucket").applyInArrow(merge, "lang string, w1 string, w2 string, w3 string, n long")
 
 
 def _positions(links: DataFrame) -> DataFrame:
@@ -138,24 +176,20 @@ def _positions(links: DataFrame) -> DataFrame:
     return finished
 
 
-def graph(edge_table: DataFrame, pair_table: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame]:
-    """The frequent graph, compacted: (paths, branches).
+def graph(arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph of ``arcs`` (lang, prior, node, n) and ``nodes`` (lang, node, n), compacted: (paths, branches).
 
     ``paths``: lang, head, part and ``nodes``, an array of (d, node, n, n_in) in
     order: pair, its count and that of the edge from the node before (null for
     a path's first).  Parts overlap by one node.  ``branches``: lang, node,
     next, n of the edges between paths.
     """
-    pair_of = lambda a, b: F.concat_ws(" ", a, b)
-    often = edge_table.filter(F.col("w3").isNotNull() & (F.col("n") >= min_count))
-    arcs = saved(often.select("lang", pair_of("w1", "w2").alias("prior"), pair_of("w2", "w3").alias("node"), "n"), "arcs")
     single = lambda c: arcs.groupBy("lang", c).count().filter("count = 1").drop("count")
     unary = arcs.filter("prior <> node").join(single("prior"), ["lang", "prior"]).join(single("node"), ["lang", "node"])
     links = saved(unary.select("lang", "node", "prior", "n"), "links")
     placed = saved(_positions(links.drop("n")), "placed")
     inside = links.join(placed, ["lang", "node"]).select("lang", "node", "head", "d", F.col("n").alias("n_in"))
     inside = saved(inside, "inside")
-    nodes = pair_table.filter(F.col("n") >= min_count).select("lang", pair_of("w1", "w2").alias("node"), "n")
     rows = nodes.join(inside, ["lang", "node"], "left").select(
         "lang", F.coalesce("head", "node").alias("head"), F.struct(F.coalesce("d", F.lit(0).cast("long")).alias("d"), "node", "n", "n_in").alias("v"))
     # a part's first node is also the last of the part before, so that each edge lies in one part
@@ -170,11 +204,13 @@ def graph(edge_table: DataFrame, pair_table: DataFrame, min_count: int) -> tuple
 
 def collocations(docs: DataFrame, min_count: int = 10, covered: int = 50, top: int | None = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best ``top`` phrases (None: all)."""
-    edge_table = saved(edges(docs), "edges")
-    pair_table = saved(pairs(edge_table), "pairs")
-    word_table = saved(words(edge_table, pair_table), "words")
+    counts = saved(edges(docs, min_count), "counts")
+    word_table = saved(counts.filter("w2 is null").groupBy("lang", "w1").agg(F.sum("n").alias("n")), "words")
     total = word_table.groupBy("lang").agg(F.sum("n").alias("n_all"))
-    paths, branches = graph(edge_table, pair_table, min_count)
+    pair_of = lambda a, b: F.concat_ws(" ", a, b)
+    arcs = counts.filter("w3 is not null").select("lang", pair_of("w1", "w2").alias("prior"), pair_of("w2", "w3").alias("node"), "n")
+    nodes = counts.filter("w2 is not null and w3 is null").select("lang", pair_of("w1", "w2").alias("node"), "n")
+    paths, branches = graph(arcs, nodes)
     paths = saved(paths, "paths")
 
     # triples inside paths: the neighbours hold the counts of their pairs
