@@ -1013,6 +1013,33 @@ select elimination_flag, n_class,
 from c
 """)
 
+# Rank-sum AUC: the positives' mid-ranks, instead of counts below each value.
+_q("model_metrics", LAB + """,
+s as (select elimination_flag as y, elimination_probability as p, cast(elimination_probability > 0.5::double as integer) as g
+      from lab),
+rk as (select y, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0::double as mid
+       from s where p is not null),
+t as (select sum(mid) filter (where y = 1) as ranks, cast(count(*) filter (where y = 1) as double) as n1,
+        cast(count(*) filter (where y = 0) as double) as n0 from rk)
+select R6[avg(cast(y = g as integer))] as test_accuracy,
+  (select R6[(ranks - n1 * (n1 + 1) / 2) / (n1 * n0)] from t) as roc_auc,
+  R6[2.0::double * sum(y * g) / (sum(y) + sum(g))] as f1_score
+from s where g is not null
+""")
+
+_q("bootstrap_class_weights", LAB + """,
+h as (select elimination_flag as label,
+        cast(('0x' || substr(md5(concat_ws(':', '42', id_number)), 1, 8)) as bigint) % 2147483647 as h from lab),
+x as (select tree, label, (h + (tree + 1) * 1640531527) % 2147483647 as x from h, range(300) t(tree)),
+u as (select tree, label, ((x * x % 2147483647) * (x * x % 2147483647) % 2147483647) * x % 2147483647 as u from x),
+c as (select tree, label, len(list_filter([790015083, 1580030167, 1975037709, 2106706890, 2139624185, 2146207644,
+        2147304887, 2147461637, 2147481230], lambda t: u >= t)) as c from u),
+per as (select tree, label, count(*) filter (where c > 0) as n_rows, sum(c) as drawn from c group by tree, label)
+select cast(tree as integer) as tree, label, n_rows, cast(drawn as bigint) as drawn,
+  R6[(sum(drawn) over (partition by tree)) / ((count(*) over (partition by tree)) * drawn)] as class_weight
+from per
+""")
+
 _q("additive_risk_labels", """,
 g1 as (select id_number, average_corrosion_rate as rate, thickness_mm as thick,
     coalesce(case when average_corrosion_rate <> 0 then (thickness_mm - 3.0::double) / average_corrosion_rate end,

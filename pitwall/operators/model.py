@@ -6,8 +6,9 @@
   order of md5 uniforms of the id; the rank is counted in 65,536 buckets per
   label, so no task ranks a whole label.
 * Class weights (M3): per-label counts (one row per class) broadcast back.
-* Forest and grid search (M4, M5): every fit is a distributed job; the
-  preprocessing is fitted, and its vectors are cached, once per fold.
+* Forest and grid search (M4, M5): Spark's forest up to depth 30, or
+  ``grove``'s fully grown one; the preprocessing is fitted, and its vectors are
+  cached, once per fold.
 * Reports (M7-M11) are aggregations over (label, prediction) pairs.
 """
 
@@ -19,7 +20,7 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import dbl, literal_rows, zero_filled_counts
 from ..scratch import shared_dir
+from . import grove
+from .metrics import binary_metrics
 from .synth import uniform
 
 LABEL = "elimination_flag"
@@ -129,7 +132,7 @@ def _fold_vectors(train: DataFrame, k: int, seed: int):
     try:
         for i in range(k):
             prep = Pipeline(stages=stages).fit(data.where(F.col("fold") != i))
-            vectors = prep.transform(data).select("fold", LABEL, "class_weight", "features").persist()
+            vectors = prep.transform(data).select("id_number", "fold", LABEL, "class_weight", "features").persist()
             try:
                 yield i, vectors.where(F.col("fold") != i), vectors.where(F.col("fold") == i)
             finally:
@@ -142,24 +145,57 @@ def positive_f1() -> MulticlassClassificationEvaluator:
     return MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
 
 
-def grid_search(train: DataFrame, k: int = 5, seed: int = 42, trees=(100, 200, 300), depths=(10, 20, 30), leaves=(1, 2),
-                weightings=("class_weight", "")) -> DataFrame:
-    """M5: mean positive-class F1 over k stratified folds of every setting, best first.
+def grid_search(train: DataFrame, k: int = 5, seed: int = 42, trees=(100, 200, 300), depths=(10, 20, None), splits=(2, 5),
+                leaves=(1, 2), weightings=("balanced", "balanced_subsample"), bound: int = grove.BOUND) -> DataFrame:
+    """M5: mean positive-class F1 over k stratified folds of every setting, best first (72 settings by default).
 
-    ``min_samples_split`` and ``balanced_subsample`` have no Spark equivalent
-    and are not in the grid; depth 30 stands in for unlimited depth.
+    Each fold needs a forest per (leaf, weighting) only, grown once at the
+    largest size: the settings that differ in trees, depth (None: unlimited) or
+    split threshold are read off it.  ``max_depth`` is null where unlimited;
+    ``f1`` holds the folds' scores.
     """
     spark = train.sparkSession
     shared_dir(spark)
-    grid = list(itertools.product(trees, depths, leaves, weightings))
-    scores: dict[tuple, list[float]] = {g: [] for g in grid}
-    for _, fit, held in _fold_vectors(train, k, seed):
-        for g in grid:
-            model = forest(g[0], g[1], g[2], g[3] or None, seed).fit(fit)
-            scores[g].append(float(positive_f1().evaluate(model.transform(held))))
-    rows = [(*g, sum(f) / k) for g, f in scores.items()]
-    return spark.createDataFrame(rows, "num_trees int, max_depth int, min_instances int, weighting string, cv_f1 double").orderBy(
-        F.col("cv_f1").desc(), "num_trees", "max_depth", "min_instances", "weighting")
+    fits = [grove.Fit(min_leaf=leaf, weighting=w) for leaf, w in itertools.product(leaves, weightings)]
+    nested = list(itertools.product(sorted(trees), depths, splits))
+    scores: dict[tuple, list[float]] = {}
+    for i, fit, held in _fold_vectors(train, k, seed):
+        rows = grove.rows_of(fit.union(held), F.col("fold") == i, seed=seed)
+        votes = grove.held_out_chances(rows, fits, sorted(trees), depths, splits, seed, bound)
+        guess = F.round("v", 9) > 0.5
+        cells = votes.select("fit", "y", F.posexplode("p").alias("setting", "v")).groupBy("fit", "setting").agg(
+            F.count_if((F.col("y") == 1) & guess).alias("hit"), F.count_if((F.col("y") == 1) | guess).alias("any"))
+        for c in cells.collect():  # a row per setting
+            key = (*nested[c.setting], fits[c.fit].min_leaf, fits[c.fit].weighting)
+            scores.setdefault(key, []).append(2 * c.hit / (c.hit + c.any) if c.any else 0.0)
+    rows = [(*key, f, sum(f) / k) for key, f in scores.items()]
+    return spark.createDataFrame(
+        rows, "num_trees int, max_depth int, min_split int, min_leaf int, weighting string, f1 array<double>, cv_f1 double").orderBy(
+        F.col("cv_f1").desc(), "num_trees", F.col("max_depth").asc_nulls_last(), "min_split", "min_leaf", "weighting")
+
+
+def _split_vectors(points: DataFrame, test_fraction: float, seed: int) -> DataFrame:
+    """Vectors of the points with ``is_train``, preprocessed by the training rows."""
+    data = split_flag(points, test_fraction, seed)
+    prep = Pipeline(stages=preprocessor(numeric_features(points))).fit(data.where(F.col("is_train")))
+    return prep.transform(data).select("id_number", LABEL, "is_train", "features")
+
+
+def basic_forest(points: DataFrame, num_trees: int = 200, test_fraction: float = 0.2, seed: int = 42, fit: grove.Fit = grove.Fit(),
+                 bound: int = grove.BOUND) -> DataFrame:
+    """M4: the basic recipe, trees of unlimited depth: (id_number, label, elimination_probability, prediction) of the test rows."""
+    rows = grove.rows_of(_split_vectors(points, test_fraction, seed), ~F.col("is_train"), seed=seed)
+    votes = grove.held_out_chances(rows, [fit], (num_trees,), (None,), (2,), seed, bound)
+    chance = F.round(F.col("p")[0], 9)
+    return votes.select(F.col("id").alias("id_number"), F.col("y").alias(LABEL), chance.alias("elimination_probability"),
+                        (chance > 0.5).cast("int").alias("prediction"))
+
+
+def basic_forest_trees(points: DataFrame, num_trees: int = 200, test_fraction: float = 0.2, seed: int = 42, fit: grove.Fit = grove.Fit(),
+                       bound: int = grove.BOUND) -> DataFrame:
+    """M4: the grown nodes of the basic recipe's trees (``grove.trees_of``)."""
+    rows = grove.rows_of(_split_vectors(points, test_fraction, seed).where("is_train"), F.lit(False), seed=seed)
+    return grove.trees_of(rows, fit, num_trees, seed, bound)
 
 
 def score_points(model: PipelineModel, df: DataFrame, threshold_col: str = "predicted_elimination_flag") -> DataFrame:
@@ -173,14 +209,7 @@ def score_points(model: PipelineModel, df: DataFrame, threshold_col: str = "pred
 
 def test_metrics(scored: DataFrame, label: str = LABEL) -> DataFrame:
     """M7: accuracy, ROC-AUC and positive-class F1 as one row."""
-    spark = scored.sparkSession
-    acc = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(scored)
-    f1 = MulticlassClassificationEvaluator(labelCol=label, metricName="fMeasureByLabel",
-                                           metricLabel=1.0).evaluate(scored)
-    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                        metricName="areaUnderROC", numBins=0).evaluate(scored)  # the whole curve
-    return spark.createDataFrame([(float(acc), float(auc), float(f1))], "test_accuracy double, roc_auc double, "
-                                                                        "f1_score double")
+    return binary_metrics(scored.withColumn("_p", vector_to_array("probability")[1]), label, "_p")
 
 
 def classification_report(pairs: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from ..operators import decide as D
 from ..operators import features as FT
 from ..operators import forecast as FC
+from ..operators import grove
 from ..operators import model as M
 from ..operators import overrides as O
 from ..operators import portfolio as PF
 from ..operators import report as P
 from ..operators import synth as G
 from ..operators import validate as V
+from ..operators.metrics import binary_metrics
 from ..schema import ForecastB, Validation
 from ..scratch import saved
 from ..sources import io as IO
@@ -508,6 +510,8 @@ def q_synthetic_summary(spark, sf_dir):
 
 # -------------------------------------------------------------------- model
 
+TREES = (100, 200, 300)  # forest sizes of the grid search
+
 # Settings of the recorded best model (the basic recipe is the default of M.forest).
 FOREST = dict(num_trees=300, max_depth=10, min_instances=2)
 
@@ -608,6 +612,47 @@ def q_confusion_matrix(spark, sf_dir):
     return M.confusion_matrix(_expert_pairs(spark, sf_dir))
 
 
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    """M7 of the mapped probability against the expert label."""
+    state = _state(spark, sf_dir).select("id_number", "sme_decision")
+    pairs = load_points(spark, sf_dir).join(state, "id_number").select(
+        F.when(F.col("sme_decision") == "ELIMINATE", 1).otherwise(0).alias(M.LABEL), "elimination_probability",
+        (F.col("elimination_probability") > 0.5).cast("int").alias("prediction"))
+    m = binary_metrics(pairs)
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query("bootstrap_class_weights")
+def q_bootstrap_class_weights(spark, sf_dir):
+    """Weights of ``balanced_subsample`` in each tree of the largest forest."""
+    w = grove.bootstrap_class_weights(labelled_points(spark, sf_dir), max(TREES))
+    return w.withColumn("class_weight", F.round("class_weight", 6))
+
+
+@query("basic_forest")
+def q_basic_forest(spark, sf_dir):
+    return M.basic_forest(_training_table(spark, sf_dir))
+
+
+@query("basic_forest_trees")
+def q_basic_forest_trees(spark, sf_dir):
+    """A row per tree: its size, depth and what its leaves hold."""
+    leaf = F.col("feature").isNull()
+    mixed = leaf & (F.col("w0") > 0) & (F.col("w1") > 0)
+    return M.basic_forest_trees(_training_table(spark, sf_dir)).groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.count_if(leaf).alias("n_leaves"), F.max("depth").alias("max_depth"),
+        F.count_if(mixed).alias("n_mixed_leaves"), F.sum(F.when(leaf, F.col("n_rows"))).alias("n_rows"))
+
+
+@query("grid_search")
+def q_grid_search(spark, sf_dir):
+    """The original's 72 settings, five folds of the training rows."""
+    table = _training_table(spark, sf_dir)
+    train = M.split_flag(table).where("is_train").drop("is_train")
+    return M.grid_search(train, trees=TREES)
+
+
 @query("model_train_evaluate")
 def q_model_train_evaluate(spark, sf_dir):
     return _trained(spark, sf_dir)[2]

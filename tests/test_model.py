@@ -75,8 +75,8 @@ def test_cross_validated_f1(table):
 
 
 def test_grid_search_small(table):
-    rows = M.grid_search(table, k=2, trees=(5,), depths=(3, 4), leaves=(1,), weightings=("class_weight", "")).collect()
-    assert len(rows) == 4 and all(0 <= r.cv_f1 <= 1 for r in rows)
+    rows = M.grid_search(table, k=2, trees=(5, 10), depths=(3, None), leaves=(1,), splits=(2, 9)).collect()
+    assert len(rows) == 16 and all(0 <= r.cv_f1 <= 1 and len(r.f1) == 2 for r in rows)
     assert [r.cv_f1 for r in rows] == sorted((r.cv_f1 for r in rows), reverse=True)
 
 
