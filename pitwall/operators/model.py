@@ -20,7 +20,6 @@ import json
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -141,10 +140,6 @@ def _fold_vectors(train: DataFrame, k: int, seed: int):
         data.unpersist()
 
 
-def positive_f1() -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(labelCol=LABEL, metricName="fMeasureByLabel", metricLabel=1.0)
-
-
 def grid_search(train: DataFrame, k: int = 5, seed: int = 42, trees=(100, 200, 300), depths=(10, 20, None), splits=(2, 5),
                 leaves=(1, 2), weightings=("balanced", "balanced_subsample"), bound: int = grove.BOUND) -> DataFrame:
     """M5: mean positive-class F1 over k stratified folds of every setting, best first (72 settings by default).
@@ -270,13 +265,18 @@ def confusion_matrix(pairs: DataFrame, label: str = LABEL, prediction: str = "pr
     return zero_filled_counts(keyed, dim, ["label", "prediction"], count_name="n")
 
 
-def cross_validated_f1(data: DataFrame, k: int = 5, seed: int = 42, **forest_args) -> DataFrame:
+def cross_validated_f1(data: DataFrame, k: int = 5, seed: int = 42, num_trees: int = 200, max_depth: int | None = None,
+                       min_instances: int = 1, weighting: str | None = "balanced", bound: int = grove.BOUND) -> DataFrame:
     """Positive-class F1 per stratified fold (weighted fit on the other folds), plus mean and population std."""
     spark = data.sparkSession
     shared_dir(spark)
-    forest_args.setdefault("weight_col", "class_weight")
-    rows = [(i, float(positive_f1().evaluate(forest(seed=seed, **forest_args).fit(fit).transform(held))))
-            for i, fit, held in _fold_vectors(data, k, seed)]
+    fit = grove.Fit(min_instances, weighting, max_depth)
+    rows = []
+    for i, rest, held in _fold_vectors(data, k, seed):
+        given = grove.rows_of(rest.union(held), F.col("fold") == i, seed=seed)
+        chance = grove.held_out_chances(given, [fit], (num_trees,), (None,), (2,), seed, bound)
+        f1 = binary_metrics(chance.select("y", F.col("p")[0].alias("v"), (F.round(F.col("p")[0], 9) > 0.5).cast("int").alias("g")), "y", "v", "g")
+        rows.append((i, f1.select("f1_score").first()[0]))
     scores = spark.createDataFrame(rows, "fold int, f1 double")
     every = Window.partitionBy()  # over the k rows
     return scores.withColumns({"cv_f1_mean": F.avg("f1").over(every), "cv_f1_std": F.stddev_pop("f1").over(every)})

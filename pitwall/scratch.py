@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []  # tables written by ``saved`` that haven't been released
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the folder set on the context.
@@ -28,5 +31,30 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/pitwall-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that ``saved`` has written (from the ``since``-th on); frames that read them are used up.
+
+    Returns how many.  Call it when the results that were built on them are
+    written or collected; ``scope`` does so at the end of a block.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_made) - since
+    while len(_made) > since:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return max(n, 0)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Release, at the end of the block, the tables that were written inside it."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        release(spark, since)
