@@ -1,9 +1,12 @@
 """Corpus pipeline: documents through five of the training-data operators.
 
 Each stage takes ``(spark, docs, sf_dir)``; ``run`` writes every stage's result
-to the shared folder and reads it back as the next one's ``docs``.  All stages
-but the last return the columns of documents.  When a stage begins, the scratch
-tables of the stage before go (its result is written by then).
+to the shared folder and reads it back as the next one's ``docs``, the last one's
+too; then the stage's scratch tables and its input go, so of a run only its
+result is left, which later runs don't touch.  All stages but the last return the
+columns of documents, whatever their names.  Null and empty texts have no words,
+so the first stage rejects them; a null id is an id of its own; an empty table
+passes through all stages and gives no pieces.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pitwall.llm import common, decontam, packing, rules, simhash, suffix
 ORACLE_SQL = None  # hashing, suffix sorting and token ids are beyond SQL; tests compare with brute force
 
 
-@common.stage
+@common.stage(first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules reject go."""
     return rules.filter_documents(docs)
@@ -31,9 +34,12 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @common.stage
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte strings are cut out; ``n_chars`` is counted anew where the text has changed."""
-    cut = suffix.without_repeats(docs.withColumn("_p_size", F.length("text")))
+    size = "_p_size"
+    while size in docs.columns:
+        size += "_"
+    cut = suffix.without_repeats(docs.withColumn(size, F.length("text")))
     if "n_chars" in docs.columns:
-        same = F.length("text").eqNullSafe(F.col("_p_size"))
+        same = F.length("text").eqNullSafe(F.col(size))
         kind = docs.schema["n_chars"].dataType
         cut = cut.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return cut.select(*docs.columns)
@@ -62,6 +68,9 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), f"after-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    scratch: list[str] = []
+    for name, stage in STAGES:
+        docs, path = common.written(stage(spark, docs, sf_dir), f"after-{name}")
+        common.drop(spark, [*common.take(), *scratch])
+        scratch = path
+    return docs

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import shared_dir
 
+MAX_BROADCAST_BYTES = 64 << 20  # of a table that is broadcast, by its files
+
 _stage: list[str] | None = None  # scratch tables of the pipeline stage that is being planned
-_done: list[str] = []  # of the stage before
+_done: list[str] = []  # of the stage before, of the same run
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -30,16 +32,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage(fn):
-    """A pipeline stage: when it is called, the result of the stage before is written, so its scratch tables go."""
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def stage(fn=None, *, first: bool = False):
+    """A pipeline stage: when it is called, the result of the stage before is written, so its scratch tables go.
+
+    The ``first`` stage begins a run: what it finds belongs to another run's result and stays.
+    """
+    if fn is None:
+        return functools.partial(stage, first=first)
 
     @functools.wraps(fn)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         global _stage
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        while _done:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_done.pop())
-            path.getFileSystem(conf).delete(path, True)
+        if first:
+            _done.clear()
+        drop(spark, _done)
         _stage = _done
         try:
             return fn(spark, docs, sf_dir)
@@ -49,6 +63,24 @@ def stage(fn):
     return run
 
 
+def take() -> list[str]:
+    """The scratch tables of the stage called last; the caller drops them."""
+    paths = list(_done)
+    _done.clear()
+    return paths
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """``saved``, and the path, for a caller that drops the table itself."""
+    global _stage
+    before, _stage = _stage, []
+    try:
+        out = saved(df, name)
+        return out, _stage
+    finally:
+        _stage = before
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,8 +91,9 @@ def let(value: Column, body) -> Column:
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only if the (saved, countable) table has at most ``max_rows`` rows.
+    """Hint a broadcast only if the (saved) table has at most ``max_rows`` rows and its files few bytes.
 
     Beyond that the join stays a shuffle join, whose hot keys AQE splits.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES and df.count() <= max_rows else df

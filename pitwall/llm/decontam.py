@@ -130,9 +130,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of ``benchmark``; nulls and clean texts stay."""
     found = leaks(docs, benchmark).select(F.col("doc_id").alias("_d_id"), F.col("_d_text").alias("_d_th")).distinct()
-    marked = docs.withColumn("_d_text", F.xxhash64("text"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("_d_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_d_row"))
     bad = marked["doc_id"].eqNullSafe(found["_d_id"]) & (marked["_d_text"] == found["_d_th"])
-    return marked.join(found, bad, "left_anti").select(*docs.columns)
+    return marked.join(found, bad, "left_anti").select("_d_row.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

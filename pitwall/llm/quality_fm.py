@@ -135,9 +135,14 @@ class Machine:
 
 
 def training_rows(docs: DataFrame, labelled: DataFrame, limit: int = MAX_TRAIN) -> tuple[list, np.ndarray]:
-    """Vectors and labels of the first ``limit`` labelled documents by hash of the id."""
+    """Vectors and labels of the first ``limit`` labelled documents by hash of the id.
+
+    Of rows that share an id the one with the least text counts (null first), so at most ``limit`` come to the driver.
+    """
     few = labelled.filter("label IS NOT NULL").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(few), "doc_id").drop("doc_id")  # at most ``limit`` rows
+    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(few), "doc_id")  # at most ``limit`` rows
+    first = F.min(F.struct("text", "n_chars")).alias("first")
+    rows = rows.groupBy("doc_id", "label").agg(first).select("label", "first.text", "first.n_chars")
 
     def run(batches):
         import pyarrow as pa
@@ -150,8 +155,11 @@ def training_rows(docs: DataFrame, labelled: DataFrame, limit: int = MAX_TRAIN)
                 ["label", "index", "value"],
             )
 
-    got = rows.mapInArrow(run, "label double, index array<int>, value array<float>").limit(2 * limit).toArrow()
-    made = [(np.array(i, np.int64), np.array(v, np.float64)) for i, v in zip(got.column("index").to_pylist(), got.column("value").to_pylist())]
+    got = rows.mapInArrow(run, "label double, index array<int>, value array<float>").toArrow().combine_chunks()
+    made = []
+    for k in range(len(got)):  # views of the Arrow columns, no Python lists
+        index, value = (got.column(c)[k].values.to_numpy() for c in ("index", "value"))
+        made.append((index.astype(np.int64), value.astype(np.float64)))
     order = sorted(range(len(made)), key=lambda k: (made[k][0].tolist(), made[k][1].tolist()))  # the same model in any row order
     return [made[k] for k in order], got.column("label").to_numpy()[order] if len(made) else np.zeros(0)
 

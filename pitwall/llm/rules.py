@@ -6,11 +6,18 @@ that its own group's quantiles give.  The sketch is a histogram over integer
 buckets that keep ten leading bits (relative error below 1/512), so sketches
 merge by adding counts: Spark combines them map-side, a hot source is some
 thousand rows after the combine, and a group with too few documents takes the
-sum of its language's sketches, then that of all.  The upper fence is the median,
-five times its distance from the 10 % quantile, and a constant slack (``RATIOS``):
-a ratio that is zero in most of a group's documents has the slack as its fence.
-
-Null or empty text: no words, so ``base_failed``.  Null ``lang`` or ``source``
+sum of its language's sketches, then that of all.
+
+The upper fence is the 90 % quantile and three times its distance from the
+median, or a quarter of the quantile if that is more.  Symbols, repeated lines and repeated words are zero in most documents,
+so there the sketch's part above zero counts too: its 90 % quantile and its
+distance from that part's median, at most the ratio's ceiling (``RATIOS``: where a
+part above zero is mostly junk, its quantiles alone would let the junk stay).  The
+larger of both holds, and a tenth of a per cent against rounding.  Short words
+have a lower fence, the median less five times its distance from the 90 % quantile.
+
+Null or empty text: no words, so ``base_failed``.  Very long texts are judged
+whole.  Null ``lang`` or ``source``
 are groups of their own.  Repeated rows are judged (and counted) each for
 itself.  An empty table gives an empty table.  Extra columns are passed through
 by ``filter_documents``; names starting with ``_q_`` are reserved.
@@ -27,17 +34,20 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PCT = 30
 MIN_DOCS = 100  # documents that a group's own sketch needs
-SPREADS = 5  # fence: median + SPREADS * (median - 10 % quantile) + slack
+SPREADS = 3  # upper fence: 90 % quantile + SPREADS * (90 % quantile - median)
+LEAST = 4  # that distance counts as a quarter of the 90 % quantile at least, where most documents are alike
+LOWER_SPREADS = 5  # lower fence: median - LOWER_SPREADS * (90 % quantile - median)
+SLACK = 10  # in 1/10,000
 MAX_BROADCAST_GROUPS = 100_000
 SPACES = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# ratio in 1/10,000: numerator, denominator, slack above the fence
+# ratio in 1/10,000: numerator, denominator, ceiling of the part above zero (0: not used)
 RATIOS = {
     "symbols": ("n_symbols", "word_chars", 500),
-    "upper": ("_q_upper", "word_chars", 3000),
+    "upper": ("_q_upper", "word_chars", 0),
     "dup_lines": ("n_dup_lines", "_q_lines", 5000),
     "repeats": ("n_repeat_words", "n_words", 2500),
-    "word_length": ("word_chars", "n_words", 30000),
+    "word_length": ("word_chars", "n_words", 0),
 }
 
 
@@ -136,15 +146,19 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     ranked = levels.withColumns({
         "upto": F.sum("n").over(cell.orderBy("bucket")),
         "total": F.sum("n").over(cell),
+        "zero": F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)).over(cell),
     })
     at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
+    above = lambda p: F.min(F.when(
+        (F.col("bucket") > 0) & (100 * (F.col("upto") - F.col("zero")) >= p * (F.col("total") - F.col("zero"))), F.col("bucket")))
     fences = ranked.groupBy("level", "lang", "source", "metric").agg(
-        F.first("total").alias("total"), at(10).alias("q10"), at(50).alias("q50"), at(90).alias("q90")
+        F.first("total").alias("total"), at(50).alias("q50"), at(90).alias("q90"), above(50).alias("z50"), above(90).alias("z90")
     )
-    slack = F.create_map(*[x for m, (_, _, s) in RATIOS.items() for x in (F.lit(m), F.lit(s))])[F.col("metric")]
+    ceiling = F.create_map(*[x for m, (_, _, c) in RATIOS.items() for x in (F.lit(m), F.lit(c))])[F.col("metric")]
+    part = F.least(F.coalesce(2 * F.col("z90") - F.col("z50"), F.lit(0)), ceiling)
     fences = fences.withColumns({
-        "hi": F.col("q50") + SPREADS * (F.col("q50") - F.col("q10")) + slack,
-        "lo": F.when(F.col("metric") == "word_length", F.col("q50") - SPREADS * (F.col("q90") - F.col("q50")) - slack).otherwise(-1),
+        "hi": F.greatest(F.col("q90") + F.greatest(SPREADS * (F.col("q90") - F.col("q50")), F.expr(f"q90 div {LEAST}")), part) + SLACK,
+        "lo": F.when(F.col("metric") == "word_length", F.col("q50") - LOWER_SPREADS * (F.col("q90") - F.col("q50")) - SLACK).otherwise(-1),
     })
     wide = fences.groupBy("level", "lang", "source").agg(
         F.first("total").alias("total"),
@@ -165,7 +179,8 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 def judge(counted: DataFrame) -> DataFrame:
     """``counted`` (a saved table with the counts) joined with its groups' thresholds."""
     limits = maybe_broadcast(saved(thresholds(sketches(counted)), "rule-limits"), MAX_BROADCAST_GROUPS)
-    beyond = [(_ratio(m) > F.col(f"_q_hi_{m}")) | (_ratio(m) < F.col(f"_q_lo_{m}")) for m in RATIOS]
+    # in buckets, as the fences are: a value equal to its group's quantile isn't beyond it
+    beyond = [(bucket(_ratio(m)) > F.col(f"_q_hi_{m}")) | (bucket(_ratio(m)) < F.col(f"_q_lo_{m}")) for m in RATIOS]
     any_beyond = beyond[0]
     for b in beyond[1:]:
         any_beyond = any_beyond | b
@@ -197,7 +212,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CASES = " UNION ALL ".join(
-    f"SELECT doc_id, lang, source, '{m}' AS metric, {s} AS slack, coalesce((10000 * {n}) // nullif({d}, 0), 0) AS v FROM counts"
+    f"SELECT doc_id, lang, source, '{m}' AS metric, {s} AS ceiling, coalesce((10000 * {n}) // nullif({d}, 0), 0) AS v FROM counts"
     for m, (n, d, s) in {m: (n.replace("_q_", "n_"), d.replace("_q_", "n_"), s) for m, (n, d, s) in RATIOS.items()}.items()
 )
 OP3_SQL = f"""
@@ -218,21 +233,26 @@ counts AS (SELECT t.doc_id, lang, source, len(w) AS n_words,
     FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
 vals AS ({_CASES}),
 b AS (SELECT *, greatest(length(bin(v)) - 10, 0) AS s FROM vals),
-cells AS (SELECT lang, source, metric, slack, (v >> s) << s AS bucket, count(*) AS n FROM b GROUP BY ALL),
-lv AS (SELECT 0 AS level, lang, source, metric, slack, bucket, sum(n) AS n FROM cells GROUP BY ALL
-       UNION ALL SELECT 1, lang, NULL, metric, slack, bucket, sum(n) FROM cells GROUP BY ALL
-       UNION ALL SELECT 2, NULL, NULL, metric, slack, bucket, sum(n) FROM cells GROUP BY ALL),
+cells AS (SELECT lang, source, metric, ceiling, (v >> s) << s AS bucket, count(*) AS n FROM b GROUP BY ALL),
+lv AS (SELECT 0 AS level, lang, source, metric, ceiling, bucket, sum(n) AS n FROM cells GROUP BY ALL
+       UNION ALL SELECT 1, lang, NULL, metric, ceiling, bucket, sum(n) FROM cells GROUP BY ALL
+       UNION ALL SELECT 2, NULL, NULL, metric, ceiling, bucket, sum(n) FROM cells GROUP BY ALL),
 rk AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
               sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM lv),
-q AS (SELECT level, lang, source, metric, slack, max(total) AS total,
-        min(bucket) FILTER (100 * upto >= 10 * total) AS q10, min(bucket) FILTER (100 * upto >= 50 * total) AS q50,
+-- the part above zero has sums of its own
+nz AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto,
+              sum(n) OVER (PARTITION BY level, lang, source, metric) AS total FROM lv WHERE bucket > 0),
+z AS (SELECT level, lang, source, metric, min(bucket) FILTER (100 * upto >= 50 * total) AS z50,
+        min(bucket) FILTER (100 * upto >= 90 * total) AS z90 FROM nz GROUP BY ALL),
+q AS (SELECT level, lang, source, metric, ceiling, max(total) AS total, min(bucket) FILTER (100 * upto >= 50 * total) AS q50,
         min(bucket) FILTER (100 * upto >= 90 * total) AS q90 FROM rk GROUP BY ALL),
-f AS (SELECT *, q50 + {SPREADS} * (q50 - q10) + slack AS hi,
-        CASE WHEN metric = 'word_length' THEN q50 - {SPREADS} * (q90 - q50) - slack ELSE -1 END AS lo FROM q),
+f AS (SELECT q.*, greatest(q90 + greatest({SPREADS} * (q90 - q50), q90 // {LEAST}), least(coalesce(z90 + (z90 - z50), 0), ceiling)) + {SLACK} AS hi,
+        CASE WHEN q.metric = 'word_length' THEN q50 - {LOWER_SPREADS} * (q90 - q50) - {SLACK} ELSE -1 END AS lo
+      FROM q LEFT JOIN z ON z.level = q.level AND z.lang IS NOT DISTINCT FROM q.lang AND z.source IS NOT DISTINCT FROM q.source AND z.metric = q.metric),
 judged AS (SELECT v.doc_id, bool_or(
-        v.v > CASE WHEN f0.total >= {MIN_DOCS} THEN f0.hi WHEN f1.total >= {MIN_DOCS} THEN f1.hi ELSE f2.hi END
-     OR v.v < CASE WHEN f0.total >= {MIN_DOCS} THEN f0.lo WHEN f1.total >= {MIN_DOCS} THEN f1.lo ELSE f2.lo END) AS beyond
-    FROM vals v
+        ((v.v >> v.s) << v.s) > CASE WHEN f0.total >= {MIN_DOCS} THEN f0.hi WHEN f1.total >= {MIN_DOCS} THEN f1.hi ELSE f2.hi END
+     OR ((v.v >> v.s) << v.s) < CASE WHEN f0.total >= {MIN_DOCS} THEN f0.lo WHEN f1.total >= {MIN_DOCS} THEN f1.lo ELSE f2.lo END) AS beyond
+    FROM b v
     JOIN f f0 ON f0.level = 0 AND f0.lang IS NOT DISTINCT FROM v.lang AND f0.source IS NOT DISTINCT FROM v.source AND f0.metric = v.metric
     JOIN f f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM v.lang AND f1.metric = v.metric
     JOIN f f2 ON f2.level = 2 AND f2.metric = v.metric GROUP BY v.doc_id)

@@ -233,11 +233,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
 
 def one_of_each(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component: that of the least id (ties: least text hash)."""
-    prints = saved(fingerprints(docs, size), "prints")
+    prints = saved(fingerprints(docs.select("doc_id", "text"), size), "prints")
     first = classes(prints, threshold).select("_s_first.*").distinct().toDF("_s_none", "_s_id", "_s_th")
-    marked = docs.withColumn("_s_text", F.xxhash64("text"))
+    marked = docs.select("doc_id", F.xxhash64("text").alias("_s_text"), F.struct(*[docs[c] for c in docs.columns]).alias("_s_row"))
     kept = marked.join(first, marked["doc_id"].eqNullSafe(first["_s_id"]) & (marked["_s_text"] == first["_s_th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_s_text"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "_s_text"]).select("_s_row.*")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

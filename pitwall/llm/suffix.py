@@ -38,6 +38,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import saved, table
 
@@ -414,9 +415,16 @@ def hot_marks(found: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- whole
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_x_rid``: a long, unique to the row, in the documents' order."""
-    n = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
-    if n["rows"] == n["ids"]:
+    """``docs`` with ``_x_rid``: a long, unique to the row, in the documents' order.
+
+    Unique integers serve as they are; any other ids (text, dates, repeated ones) are numbered in their order.
+    """
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        n = docs.agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("ids")).first()
+        unique = n["rows"] == n["ids"]
+    else:
+        unique = False
+    if unique:
         return docs.withColumn("_x_rid", F.col("doc_id").cast("long"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
     ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -99,3 +99,11 @@ def test_spans_of_mixed_texts_scripts_and_edge_rows(spark):
     none = langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
     assert langid.identify(docs.limit(0), model).collect() == []
+
+
+def test_rows_that_share_an_id_stay_within_the_limit(spark):
+    docs = spark.createDataFrame([(i % 300, f"text number {i}", 12) for i in range(3000)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(300)], "doc_id long, label double")
+    rows, y = quality_fm.training_rows(docs.repartition(5), labels, 200)
+    again, z = quality_fm.training_rows(docs.repartition(3), labels, 200)
+    assert len(rows) == len(y) == 200 and all((a[0] == b[0]).all() for a, b in zip(rows, again)) and (y == z).all()

@@ -54,16 +54,29 @@ def test_stages(spark):
     assert ran.agg(F.sum("length")).first()[0] == total
 
 
+def test_two_runs_in_a_session(spark):
+    one = corpus_pipeline.run(spark, SF)
+    first = sorted(map(tuple, one.collect()))
+    two = corpus_pipeline.run(spark, SF)
+    key = ("doc_id", "start", "length", "ids_crc32")
+    assert sorted(map(tuple, one.collect())) == first
+    assert sorted(map(tuple, two.select(*key).collect())) == sorted(map(tuple, one.select(*key).collect()))
+
+
 def test_stages_stand_nulls_repeats_extra_columns_and_empty_tables(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text + " more", None, None, None), (3, None, "en", "a", None), (4, "", None, "a", 0),
             (5, " ".join(f"other{i}" for i in range(90)), "de", None, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs = docs.withColumn("kept", F.lit("k")).withColumn("fingerprint", F.lit(1)).withColumn("rid", F.lit(2)).withColumn("start", F.lit(3))
+    reserved = ("_s_text", "_d_text", "_p_size", "_s_row", "_d_row", "_x_rid")
+    for k, c in enumerate(reserved):
+        docs = docs.withColumn(c, F.lit(f"own {k}"))
     for given in (docs, docs.limit(0)):
         out = given
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = common.saved(stage(spark, out, SF), f"edge-{name}")
             assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select(*reserved).collect()} <= {tuple(f"own {k}" for k in range(len(reserved)))}
         pieces = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
         assert {r["doc_id"] for r in pieces} == ({1, 5} if given is docs else set())

@@ -49,6 +49,25 @@ def test_clean_stay_and_junk_goes_per_group(spark):
     assert all(got[i] for i in range(110)) and not any(got[300 + i] for i in range(6)) and all(got[400 + i] for i in range(120))
 
 
+def test_fences_adapt_to_their_group(spark):
+    """Two groups whose fences differ for every ratio; what is usual in one is rejected in the other."""
+
+    def text(k, i, per_line, upper, symbol, again, size):
+        w = [f"{'W' if j % upper == 0 else 'w'}{'x' * size}{k}{i}n{j}{'#' if j % symbol == 0 else ''}" for j in range(60)]
+        lines = [" ".join(w[j : j + per_line]) for j in range(0, 60, per_line)]
+        return "\n".join(lines + lines[:again])
+
+    noisy = [(i, text("a", i, 4 + i % 2, 3, 4 + i % 9, i % 3, 4 + i % 5), "en", "noisy") for i in range(120)]
+    plain = [(500 + i, text("b", i, 6, 40, 50 + i % 9 if i % 4 == 0 else 99, int(i % 30 == 0), 2), "en", "plain") for i in range(120)]
+    odd = [(900, text("c", 1, 4, 3, 5, 3, 8), "en", "plain")]
+    counted = rules.with_counts(frame(spark, noisy + plain + odd))
+    limits = {r["_q_source"]: r.asDict() for r in rules.thresholds(rules.sketches(counted)).collect()}
+    for m in rules.RATIOS:
+        assert limits["noisy"][f"_q_hi_{m}"] != limits["plain"][f"_q_hi_{m}"], m
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(frame(spark, noisy + plain + odd)).collect()}
+    assert not got[900] and sum(got[i] for i in range(120)) >= 110 and sum(got[500 + i] for i in range(120)) >= 110
+
+
 def test_filter_passes_columns_through_and_empty_tables(spark):
     docs = frame(spark, ROWS).selectExpr("*", "doc_id AS n_words", "text AS kept", "1 AS bucket")
     out = rules.filter_documents(docs)

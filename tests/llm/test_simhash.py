@@ -76,3 +76,10 @@ def test_one_of_each(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(none).collect() == [] and S.one_of_each(none).collect() == []
+
+
+def test_text_ids_and_reserved_names(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([("b", text, "own"), ("a", text, "own"), ("c", "x " * 30_000, "own")], "doc_id string, text string, _s_text string")
+    assert sorted(map(tuple, S.one_of_each(docs).select("doc_id", "_s_text").collect())) == [("a", "own"), ("c", "own")]
+    assert {r.doc_id: r.component_id for r in S.near_duplicates(docs).collect()} == {"a": "a", "b": "a", "c": "c"}

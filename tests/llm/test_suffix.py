@@ -55,3 +55,11 @@ def test_texts_without_repeats(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert X.removed(none).collect() == [] and X.without_repeats(none).collect() == []
+
+
+def test_ids_of_any_type(spark):
+    text = "the very same passage, long enough to be a repeated string of a hundred bytes and more, word for word, twice over "
+    for ids in (["a", "b", "c"], ["a", "b", "b"], ["2024-01-01", None, "x"]):
+        docs = spark.createDataFrame(list(zip(ids, [text + "one", text + "two", "short"])), "doc_id string, text string")
+        got = sorted(map(tuple, X.removed(docs).select("n_removed", "n_bytes").collect()))
+        assert [r[0] > 0 for r in got].count(True) == 1 and len(got) == 3
