@@ -17,7 +17,12 @@ Templates are a small table; their shingles are broadcast if there are at most
 document's rows in that join hold its key, a position and a hash; the windows
 found, each once, are joined back to the documents by key for their words.
 
-Null and empty texts have no words and no licenses.  Templates of fewer than
+Licenses whose templates share half of their shingles (versions of one notice)
+are siblings: where the windows of two overlap, the one with the larger share of
+its template stays.
+
+Null and empty texts have no words and no licenses; very long texts and templates
+of any length are searched whole.  Templates of fewer than
 five words have no shingle and are not searched.  Repeated rows and ties give
 one row for an id and license (best containment, then first place); empty
 tables give an empty table.  Columns other than id and text are not read.
@@ -31,31 +36,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let, maybe_broadcast, saved, table
+from .license_texts import TEMPLATES
 
 SHINGLE = 5
 CONTAINED = 80  # per cent
 MISSED = 1e-9
 MAX_BROADCAST = 200_000
-
-# Public license notices, by SPDX id.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-            "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-                     "that the following conditions are met"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-                   "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-                "option) any later version."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
+SIBLING = 50  # per cent of the smaller template's shingles that siblings share
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
@@ -86,9 +73,7 @@ def _bands(shingles: Column, n: Column) -> Column:
 def prepared(templates: DataFrame) -> DataFrame:
     """(template_id, license, class, shingles) of the templates that can be searched."""
     w = templates.select("template_id", "license", words(F.col("text")).alias("_l_w")).filter(F.size("_l_w") >= SHINGLE)
-    size = F.lit(8)
-    for c in (16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384):
-        size = F.when(F.size("_l_w") > c // 2, F.lit(c)).otherwise(size)
+    size = F.greatest(F.lit(8), F.call_function("shiftleft", F.lit(1), F.length(F.bin(F.size("_l_w") - 1))))  # of any length
     return w.select("template_id", "license", size.alias("class"), let(F.col("_l_w"), _shingles).alias("shingles"))
 
 
@@ -125,17 +110,36 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     bands = known.select("template_id", F.col("class").alias("_l_class"), F.posexplode(_bands(F.col("shingles"), n_bands)).alias("band", "least"))
     same = (F.col("class") == F.col("_l_class")) & (F.col("_l_b.band") == F.col("band") + 1) & (F.col("_l_b.least") == F.col("least"))
     met = keys.join(maybe_broadcast(bands, MAX_BROADCAST), same).select("doc_id", "_l_text", "first_word", "_l_s", "template_id").distinct()
-    checked = met.join(maybe_broadcast(known.select("template_id", "license", "shingles"), MAX_BROADCAST // 20), "template_id").select(
-        "doc_id", "license", "first_word", F.size(F.array_intersect("_l_s", "shingles")).cast("long").alias("matched"), F.size("shingles").cast("long").alias("total")
+    checked = met.join(maybe_broadcast(known.select("template_id", "license", "class", "shingles"), MAX_BROADCAST // 20), "template_id").select(
+        "doc_id", "_l_text", "license", "class", "first_word", F.size(F.array_intersect("_l_s", "shingles")).cast("long").alias("matched"),
+        F.size("shingles").cast("long").alias("total")
+    )
+    best = F.max(F.struct((F.col("matched") / F.col("total")).alias("share"), "matched", "total", (-F.col("first_word")).alias("at"), "class"))
+    per_text = checked.filter(100 * F.col("matched") >= CONTAINED * F.col("total")).groupBy("doc_id", "_l_text", "license").agg(best.alias("b"))
+    hits = saved(per_text, "license-hits")
+    pairs = maybe_broadcast(saved(siblings(known), "license-siblings"), MAX_BROADCAST)
+    apart = F.abs(F.col("b.at") - F.col("o.at")) < F.greatest("b.class", "o.class") * 5 / 4
+    other = hits.select(F.col("doc_id").alias("_l_id"), F.col("_l_text").alias("_l_th"), F.col("license").alias("sibling"), F.col("b").alias("o"))
+    beaten = (
+        hits.join(pairs, "license").join(other, F.col("doc_id").eqNullSafe(F.col("_l_id")) & (F.col("_l_text") == F.col("_l_th")) & (pairs["sibling"] == other["sibling"]))
+        .filter((F.col("o.share") > F.col("b.share")) & apart).select(F.col("doc_id").alias("_l_id"), F.col("_l_text").alias("_l_th"), F.col("license").alias("_l_l")).distinct()
     )
-    best = F.max(F.struct((F.col("matched") / F.col("total")).alias("share"), "matched", "total", (-F.col("first_word")).alias("at")))
+    same = hits["doc_id"].eqNullSafe(beaten["_l_id"]) & (hits["_l_text"] == beaten["_l_th"]) & (hits["license"] == beaten["_l_l"])
     return (
-        checked.filter(100 * F.col("matched") >= CONTAINED * F.col("total"))
-        .groupBy("doc_id", "license").agg(best.alias("b"))
+        hits.join(beaten, same, "left_anti").groupBy("doc_id", "license").agg(F.max("b").alias("b"))
         .select("doc_id", "license", "b.matched", "b.total", (-F.col("b.at")).alias("first_word"))
     )
 
 
+def siblings(known: DataFrame) -> DataFrame:
+    """(license, sibling): licenses with templates that share ``SIBLING`` per cent of the smaller one's shingles."""
+    each = known.select("template_id", "license", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    other = each.toDF("t2", "sibling", "n2", "s")
+    shared = each.join(other, "s").filter("license <> sibling").groupBy("template_id", "t2", "license", "sibling").agg(
+        F.count("*").alias("shared"), F.first(F.least("n", "n2")).alias("least"))
+    return shared.filter(100 * F.col("shared") >= SIBLING * F.col("least")).select("license", "sibling").distinct()
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), default_templates(spark))
 
@@ -146,14 +150,18 @@ OP10_SQL = f"""
 WITH tpl AS (SELECT id, license, {_WORDS} AS w FROM (VALUES {_VALUES}) v(id, license, text)),
 ts AS (SELECT DISTINCT id, license, len(w) AS n, array_to_string(w[p:p + {SHINGLE - 1}], ' ') AS s
        FROM (SELECT *, unnest(range(1, len(w) - {SHINGLE - 2})) AS p FROM tpl WHERE len(w) >= {SHINGLE})),
-tc AS (SELECT *, CASE WHEN n <= 8 THEN 8 WHEN n <= 16 THEN 16 WHEN n <= 32 THEN 32 WHEN n <= 64 THEN 64 WHEN n <= 128 THEN 128 ELSE 256 END AS c,
-       count(*) OVER (PARTITION BY id) AS total FROM ts),
+tc AS (SELECT *, greatest(8, 1 << length(bin(n - 1))) AS c, count(*) OVER (PARTITION BY id) AS total FROM ts),
+sib AS (SELECT DISTINCT a.license, b.license AS sibling FROM tc a JOIN tc b ON a.s = b.s AND a.license <> b.license
+        GROUP BY a.id, b.id, a.license, b.license, a.total, b.total HAVING 100 * count(*) >= {SIBLING} * least(a.total, b.total)),
 ds AS (SELECT doc_id, p, array_to_string(w[p + 1:p + {SHINGLE}], ' ') AS s
        FROM (SELECT doc_id, w, unnest(range(0, len(w) - {SHINGLE - 1})) AS p FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) >= {SHINGLE})),
 hit AS (SELECT doc_id, p, id, license, c, total, ds.s, unnest(range(CAST(greatest(ceil((p + {SHINGLE} - 1.25 * c) / (c / 4.0)), 0) AS BIGINT), CAST(floor(p / (c / 4.0)) AS BIGINT) + 1)) AS k
         FROM ds JOIN tc ON ds.s = tc.s),
-win AS (SELECT doc_id, id, license, total, c // 4 * k AS first_word, count(DISTINCT s) AS matched FROM hit GROUP BY ALL),
-ok AS (SELECT * FROM win WHERE 100 * matched >= {CONTAINED} * total)
-SELECT doc_id, license, matched, total, first_word FROM
-  (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY matched / total DESC, matched DESC, total DESC, first_word) AS r FROM ok) WHERE r = 1
+win AS (SELECT doc_id, id, license, c, total, c // 4 * k AS first_word, count(DISTINCT s) AS matched FROM hit GROUP BY ALL),
+ok AS (SELECT * FROM win WHERE 100 * matched >= {CONTAINED} * total),
+best AS (SELECT *, matched / total AS share FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY matched / total DESC, matched DESC, total DESC, first_word, c DESC) AS r FROM ok) WHERE r = 1)
+SELECT doc_id, license, matched, total, first_word FROM best x WHERE NOT EXISTS (
+  SELECT 1 FROM sib JOIN best o ON o.license = sib.sibling WHERE sib.license = x.license AND o.doc_id = x.doc_id AND o.share > x.share
+    AND abs(o.first_word - x.first_word) < greatest(o.c, x.c) * 1.25)
 """

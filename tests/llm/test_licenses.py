@@ -5,7 +5,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from pitwall.llm import licenses as L
 
-MIT_LONG = L.TEMPLATES[5][1]
+MIT_LONG = next(t for i, t in L.TEMPLATES if i == "MIT" and 40 < len(t.split()) < 60)
 DOCS = [
     (1, "Some text.\nLicensed under the Apache License, Version 2.0.\nMore"), (2, "released UNDER the mit license"), (3, None), (4, ""),
     (5, "filler " * 9000 + MIT_LONG + " filler" * 500), (6, MIT_LONG.replace("restriction", "limits")), (7, " ".join(MIT_LONG.split()[:20])),
@@ -65,8 +65,28 @@ def test_bands_lose_no_short_template_at_the_start_of_a_text(spark):
 
 
 def test_long_templates_of_every_class(spark):
-    sizes = [5, 8, 9, 16, 17, 33, 64, 65, 129, 257, 513, 1025, 2049, 4097, 8193]
+    sizes = [5, 8, 9, 16, 17, 33, 64, 65, 129, 257, 513, 1025, 2049, 4097, 8193, 16385, 30000]
     own = [(i, f"L{n}", " ".join(f"w{n}x{k}" for k in range(n))) for i, n in enumerate(sizes)]
     text = [(i, "before " * (3 * i) + t + " after" * 7) for i, _, t in own]
     got = L.scan(frame(spark, text), spark.createDataFrame(own, "template_id int, license string, text string")).collect()
     assert {(r["doc_id"], r["license"], r["matched"], r["total"]) for r in got} == {(i, f"L{n}", n - 4, n - 4) for i, n in enumerate(sizes)}
+
+
+def test_siblings_are_told_apart(spark):
+    notice = "This work is licensed under the GNU General Public License, version {}."
+    bsd = {i: t for i, t in L.TEMPLATES if i.startswith("BSD-") and len(t) > 600}
+    rows = [(1, notice.format(2)), (2, notice.format(3)), (3, "text " * 30 + notice.format(2) + " words" * 60 + " " + notice.format(3)),
+            (4, "Licensed under CC BY 4.0."), (5, "Licensed under CC BY-SA 4.0."), (6, "Licensed under CC BY-NC 4.0."),
+            (7, bsd["BSD-2-Clause"]), (8, bsd["BSD-3-Clause"]), (9, next(t for i, t in L.TEMPLATES if i == "ISC"))]
+    got = {}
+    for r in L.scan(frame(spark, rows), L.default_templates(spark)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got[1] == {"GPL-2.0"} and got[2] == {"GPL-3.0"} and got[3] == {"GPL-2.0", "GPL-3.0"}
+    assert got[4] == {"CC-BY-4.0"} and got[5] == {"CC-BY-SA-4.0"} and got[6] == {"CC-BY-NC-4.0"}
+    assert got[7] == {"BSD-2-Clause"} and got[8] == {"BSD-3-Clause"} and got[9] == {"ISC"}
+
+
+def test_twenty_licenses_are_found_in_their_own_templates(spark):
+    rows = [(k, "Some words before. " + t + " And some words after it.") for k, (_, t) in enumerate(L.TEMPLATES)]
+    got = {(r["doc_id"], r["license"]) for r in L.scan(frame(spark, rows), L.default_templates(spark)).collect()}
+    assert len({i for i, _ in L.TEMPLATES}) >= 20 and {(k, i) for k, (i, _) in enumerate(L.TEMPLATES)} <= got
