@@ -1122,7 +1122,7 @@ r as (select id_number, nullif(concat_ws('; ',
 select id_number, reasons is null as is_valid, reasons from r
 """)
 
-_q("override_contract_split_varied", """,
+_VARIED = """,
 v as (
   select case when l_orderkey % 37 <> 0 then id_number end as id_number,
     case when l_orderkey % 41 = 0 then 'MAYBE' when l_orderkey % 43 = 0 then null
@@ -1133,7 +1133,9 @@ v as (
     case when l_partkey % 5 <> 0 then cast(l_orderkey % 130 - 10 as double) / 100.0::double end as original_probability
   from (select r.*, li.l_orderkey from raw r join (select distinct l_orderkey,
           'PT-' || cast(l_orderkey as varchar) || '-' || cast(l_linenumber as varchar) as k from lineitem) li on li.k = r.id_number)
-  where l_returnflag = 'R'),
+  where l_returnflag = 'R')"""
+
+_q("override_contract_split_varied", _VARIED + """,
 r as (select *, nullif(concat_ws('; ',
     case when id_number is null then 'id_number missing' end,
     case when coalesce(not regexp_full_match(sme_decision, '(KEEP|ELIMINATE)'), true) then 'sme_decision invalid' end,
@@ -1144,6 +1146,42 @@ r as (select *, nullif(concat_ws('; ',
 select id_number, sme_decision, override_date, reasons is null as is_valid, reasons from r
 """)
 
+_RULES_SQL = [  # contract, rule, column, severity, table, condition
+    *[("points", f"{c} missing", c, "error", "s", f"{c} is null") for c in ("id_number", "average_corrosion_rate", "thickness_mm")],
+    ("points", "average_corrosion_rate low", "average_corrosion_rate", "error", "s", "average_corrosion_rate < 0"),
+    ("points", "average_corrosion_rate high", "average_corrosion_rate", "error", "s", "average_corrosion_rate > 5"),
+    ("points", "thickness_mm low", "thickness_mm", "error", "s", "thickness_mm <= 0"),
+    ("points", "thickness_mm high", "thickness_mm", "error", "s", "thickness_mm > 50"),
+    ("points", "commodity empty", "commodity", "error", "s", "commodity is null or commodity = ''"),
+    ("points", "feature_type unknown", "feature_type", "warning", "s", "coalesce(feature_type, '') not in ('Pipe', 'Elbow', 'Tee', "
+     "'Reducer', 'Flange', 'Nozzle', 'Header', 'Bend', 'Weld')"),
+    ("points", "cml_shape unknown", "cml_shape", "warning", "s", "coalesce(cml_shape, '') not in ('Internal', 'External', 'Both')"),
+    ("points", "last_inspection_date malformed", "last_inspection_date", "warning", "s",
+     "last_inspection_date is not null and not regexp_full_match(last_inspection_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}')"),
+    ("overrides", "id_number missing", "id_number", "error", "v", "id_number is null"),
+    ("overrides", "sme_decision invalid", "sme_decision", "error", "v", "sme_decision is null or sme_decision not in ('KEEP', 'ELIMINATE')"),
+    ("overrides", "reason too short", "reason", "error", "v", "reason is null or length(reason) < 10"),
+    ("overrides", "sme_name missing", "sme_name", "error", "v", "sme_name is null"),
+    ("overrides", "original_probability low", "original_probability", "error", "v", "original_probability < 0"),
+    ("overrides", "original_probability high", "original_probability", "error", "v", "original_probability > 1"),
+    *[(k, f"{c} present", c, "error", "s", "true" if c == "elimination_flag" else "false") for k, names in (
+        ("points", "id_number average_corrosion_rate thickness_mm commodity feature_type cml_shape"),
+        ("training", "id_number average_corrosion_rate thickness_mm commodity feature_type cml_shape elimination_flag last_inspection_date"),
+        ("forecast", "id_number average_corrosion_rate thickness_mm commodity feature_type")) for c in names.split()],
+]
+_q("contract_report", _VARIED + """,
+n as (select *, cast(('0x' || substr(md5(id_number), 1, 8)) as bigint) as n from points),
+s as (select id_number, commodity, feature_type,
+    average_corrosion_rate + case when n % 11 = 0 then 5.0::double when n % 13 = 0 then -1.0::double else 0.0::double end
+      as average_corrosion_rate,
+    thickness_mm * case when n % 17 = 0 then 0.0::double when n % 19 = 0 then 9.0::double else 1.0::double end as thickness_mm,
+    case when n % 23 = 0 then 'Spiral' else cml_shape end as cml_shape,
+    case when n % 29 = 0 then 'soon' else cast(last_inspection_date as varchar) end as last_inspection_date from n)
+""" + " union all ".join(
+    f"select '{k}' as contract, '{r}' as rule, '{c}' as column_name, '{sev}' as severity, "
+    f"count(*) as n_violations, min(id_number) as example from {t} where {cond}" for k, r, c, sev, t, cond in _RULES_SQL))
+
+
 _q("row_contract_split_narrow", """,
 r as (select id_number, nullif(""" + _POINT_REASONS.replace("> 5.0", "> 0.2").replace("> 50.0", "> 9.0") + """, '') as reasons
       from points)

@@ -312,19 +312,33 @@ def feature_importance(model: PipelineModel, scored: DataFrame, top: int = 10) -
 
 def save_model(model: PipelineModel, model_dir: str, metrics: dict, feature_names: list[str],
                timestamp: str | None = None) -> str:
-    """Timestamped copy, a 'latest' copy, and a metadata JSON record."""
+    """An immutable version with its metadata record, then the pointer that ``load_model`` follows for 'latest'.
+
+    A crash before the pointer is replaced leaves the model before as the latest.
+    """
+    from ..sources import catalogue
+
     ts = timestamp or _dt.datetime.now().strftime("%Y%m%d_%H%M%S")
-    path = f"{model_dir.rstrip('/')}/model_{ts}"
+    base = model_dir.rstrip("/")
+    path = catalogue.version_path(base, f"model_{ts}")
     model.write().overwrite().save(path)
-    model.write().overwrite().save(f"{model_dir.rstrip('/')}/latest")
     meta = {"timestamp": ts, "feature_names": feature_names, "metrics": metrics, "model_path": path}
     spark = _active_spark()
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{model_dir.rstrip('/')}/model_metadata_{ts}")
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/model_metadata_{ts}")
+    catalogue.point(spark, base, f"model_{ts}")
     return path
 
 
 def load_model(path: str) -> PipelineModel:
+    """The model of a version's path, or ``<model_dir>/latest``: the committed one."""
+    from ..sources import catalogue
+
+    base, _, name = path.rstrip("/").rpartition("/")
+    if name == "latest":
+        version = catalogue.current(_active_spark(), base)
+        if version is None:
+            raise FileNotFoundError(f"no model is committed in {base}")
+        path = catalogue.version_path(base, version)
     return PipelineModel.load(path)
 
 

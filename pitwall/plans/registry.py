@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import contracts
 from ..operators import decide as D
 from ..operators import features as FT
 from ..operators import forecast as FC
@@ -239,6 +240,25 @@ def q_row_contract_split(spark, sf_dir):
     return V.row_contract_split(load_points(spark, sf_dir)).select("id_number", "is_valid", "reasons")
 
 
+def _spoilt_points(spark, sf_dir):
+    """Points with some values outside the contract, for some ids: rates and thicknesses shifted, shapes and dates spoilt."""
+    n = F.conv(F.substring(F.md5("id_number"), 1, 8), 16, 10).cast("long")
+    return load_points(spark, sf_dir).withColumns({
+        "average_corrosion_rate": F.col("average_corrosion_rate") + F.when(n % 11 == 0, 5.0).when(n % 13 == 0, -1.0).otherwise(0.0),
+        "thickness_mm": F.col("thickness_mm") * F.when(n % 17 == 0, 0.0).when(n % 19 == 0, 9.0).otherwise(1.0),
+        "cml_shape": F.when(n % 23 == 0, "Spiral").otherwise(F.col("cml_shape")),
+        "last_inspection_date": F.when(n % 29 == 0, "soon").otherwise(F.col("last_inspection_date").cast("string")),
+    })
+
+
+@query("contract_report")
+def q_contract_report(spark, sf_dir):
+    """Every contract of the rule table: points with spoilt values (one pass for three contracts) and the varied override log."""
+    rules = contracts.default_rules(spark)
+    points = contracts.contract_report(_spoilt_points(spark, sf_dir), rules, "points", "training", "forecast")
+    return points.union(contracts.contract_report(varied_override_log(load_raw(spark, sf_dir)), rules, "overrides"))
+
+
 @query("override_contract_split")
 def q_override_contract_split(spark, sf_dir):
     return V.override_contract_split(load_override_log(spark, sf_dir)).select(
