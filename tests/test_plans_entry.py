@@ -12,7 +12,8 @@ from pitwall.plans.registry import QUERIES
 from tools.compare import TABLES, _rows
 
 SF = "/root/testdata/sf0.001"
-ML = {n for n in QUERIES if n.startswith("model_")} | {"cross_validated_f1"}
+ML = {n for n in QUERIES if n.startswith("model_") and n != "model_metrics"} | {
+    "cross_validated_f1", "basic_forest", "basic_forest_trees", "grid_search"}
 
 
 def _plan(df):
