@@ -1169,6 +1169,12 @@ _RULES_SQL = [  # contract, rule, column, severity, table, condition
         ("training", "id_number average_corrosion_rate thickness_mm commodity feature_type cml_shape elimination_flag last_inspection_date"),
         ("forecast", "id_number average_corrosion_rate thickness_mm commodity feature_type")) for c in names.split()],
 ]
+_q("forecast_risk_by_profile", " " + " union all ".join(
+    f"select 'p{k:02d}' as profile, risk_level, count(*) as n_points, R6[avg(remaining_life_years)] as avg_remaining_life_years, "
+    f"max(recommended_inspection_frequency_months) as max_interval_months from (with "
+    + _FB.format(minimum=2.0 + k / 10, sf=1.0 + k % 4 / 4, lo=6 + k, hi=60 + 2 * k, **_FB_R).lstrip(",\n") + " select * from fb) group by risk_level"
+    for k in range(20)))
+
 _q("contract_report", _VARIED + """,
 n as (select *, cast(('0x' || substr(md5(id_number), 1, 8)) as bigint) as n from points),
 s as (select id_number, commodity, feature_type,

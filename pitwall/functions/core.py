@@ -20,9 +20,9 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def dbl(x: float) -> Column:
-    """A double literal (never a decimal literal)."""
-    return F.lit(float(x)).cast("double")
+def dbl(x: float | Column) -> Column:
+    """A double literal (never a decimal literal), or a column as double."""
+    return (x if isinstance(x, Column) else F.lit(float(x))).cast("double")
 
 
 def null_double() -> Column:

@@ -8,6 +8,7 @@ are single aggregations with partial (map-side) combine; top-k uses
 from __future__ import annotations
 
 import datetime as _dt
+from dataclasses import fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,42 @@ def forecast_b(df: DataFrame, *, as_of: _dt.date, profile: ForecastB = ForecastB
     return out.withColumns(named).drop("_life", "_months", "_thick")
 
 
+MAX_PROFILES = 1_000
+
+
+def profile_table(spark, profiles: list[tuple[str, ForecastB]]) -> DataFrame:
+    """Named profiles as a table: ``profile`` and a column for each parameter."""
+    kinds = {int: "long", float: "double"}
+    names = [f.name for f in fields(ForecastB)]
+    ddl = ", ".join(["profile string", *[f"{n} {kinds[type(getattr(ForecastB(), n))]}" for n in names]])
+    kind = {n: type(getattr(ForecastB(), n)) for n in names}
+    return spark.createDataFrame([(name, *[kind[n](getattr(p, n)) for n in names]) for name, p in profiles], ddl)
+
+
+def forecast_profiles(df: DataFrame, profiles: DataFrame, *, as_of: _dt.date, **columns) -> DataFrame:
+    """The forecast of every row under every profile of a table, keyed by ``profile``, in one pass over ``df``.
+
+    The table (``profile_table``) has at most ``MAX_PROFILES`` rows and travels as
+    a literal; the rules read a row's parameters from it.  Null parameters give
+    null results; no profiles give no rows.  A column ``profile`` of ``df`` is
+    replaced.
+    """
+    found = profiles.limit(MAX_PROFILES + 1).collect()
+    if len(found) > MAX_PROFILES:
+        raise ValueError(f"at most {MAX_PROFILES} profiles")
+    kinds = dict(profiles.dtypes)
+    each = F.array(*[F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in profiles.columns]) for r in found])
+    df = df.drop("profile")
+    if not found:
+        return forecast_b(df.limit(0), as_of=as_of, **columns).withColumn("profile", F.lit(None).cast("string"))
+    name = "_profile"
+    while name in df.columns:
+        name += "_"
+    rows = df.withColumn(name, F.explode(each))
+    own = ForecastB(**{f.name: F.col(f"`{name}`.{f.name}") for f in fields(ForecastB)})
+    return forecast_b(rows, as_of=as_of, profile=own, **columns).withColumn("profile", F.col(f"`{name}`.profile")).drop(name)
+
+
 def risk_summary(fc: DataFrame, source: str = "forecast") -> DataFrame:
     """Points, mean / min life per risk level (the flagship query)."""
     life = output_column(fc, "remaining_life_years", source)

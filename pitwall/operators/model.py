@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import dbl, literal_rows, zero_filled_counts
-from ..scratch import shared_dir
+from ..scratch import saved, shared_dir
 from . import grove
 from .metrics import binary_metrics
 from .synth import uniform
@@ -363,7 +363,7 @@ def train_and_evaluate(points: DataFrame, test_fraction: float = 0.2, seed: int
     data = data.persist()
     try:
         model = build_pipeline(points, **forest_args).fit(data.where(F.col("is_train")))
-        scored = model.transform(data.where(~F.col("is_train")))
+        scored = saved(model.transform(data.where(~F.col("is_train"))), "held-out")  # every report reads it
         metrics = test_metrics(scored)
     finally:
         data.unpersist()

@@ -115,7 +115,15 @@ def apply_state_batch(batch: DataFrame, batch_id: int, target: str, buckets: int
     commit.
     """
     spark = batch.sparkSession
-    batch = batch.withColumn("bucket", F.pmod(F.xxhash64("id_number"), F.lit(buckets)).cast("int"))
+    # used three times below; kept, so that the stateful aggregation runs once
+    batch = batch.withColumn("bucket", F.pmod(F.xxhash64("id_number"), F.lit(buckets)).cast("int")).persist()
+    try:
+        _rewrite(spark, batch, batch_id, target)
+    finally:
+        batch.unpersist()
+
+
+def _rewrite(spark: SparkSession, batch: DataFrame, batch_id: int, target: str) -> None:
     touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
     before = _current(spark, target, below=batch_id)
     paths = [before[b][0][1] for b in touched if b in before]

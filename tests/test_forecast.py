@@ -190,3 +190,26 @@ def test_nan_gives_no_forecast(spark):
         assert r.remaining_life_years is None and r.risk_level is None and r.recommended_inspection_frequency_months is None
     assert FC.forecast_a(df, as_of=AS_OF).count() == 0
     assert {r.reject_reason for r in FC.forecast_a_rejects(df).collect()} == {"thickness missing", "corrosion rate missing"}
+
+
+def test_many_profiles_in_one_pass_equal_each_by_itself(spark):
+    import datetime as dt
+
+    from pitwall.operators import forecast as FC
+    from pitwall.schema import ForecastB
+
+    day = dt.date(2002, 1, 1)
+    rows = [(f"p{i}", t, r, None if i % 3 else dt.date(2001, 5, 1 + i), "old", 7) for i, (t, r) in enumerate(
+        [(8.0, 0.1), (2.5, 0.2), (5.0, 0.0), (None, 0.1), (9.0, None), (float("nan"), 0.3), (6.3, 0.26), (12.0, 0.04)])]
+    df = spark.createDataFrame(rows, "id_number string, thickness_mm double, average_corrosion_rate double, last_inspection_date date, profile string, _profile int")
+    named = [("default", ForecastB()), ("strict", ForecastB(minimum_thickness=4, safety_factor=3.0, min_interval_months=3, fast_factor=0.5)),
+             ("lax", ForecastB(life_cap=80.0, critical_life=0.5, high_rate=0.5, month_days_num=30, month_days_den=1))]
+    out = FC.forecast_profiles(df, FC.profile_table(spark, named), as_of=day)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and set(out.columns) >= {"profile", "_profile"}
+    for name, p in named:
+        alone = FC.forecast_b(df.drop("profile"), as_of=day, profile=p)
+        got = out.where(out.profile == name).drop("profile").select(*alone.columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr)
+    none = FC.profile_table(spark, named).limit(0)
+    assert FC.forecast_profiles(df, none, as_of=day).collect() == [] and FC.forecast_profiles(df.limit(0), FC.profile_table(spark, named), as_of=day).collect() == []
