@@ -142,21 +142,21 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "item_id", (-F.col("b.at")).alias("start"), "b.matched")
 
 
-_SEED = " UNION ALL ".join(
-    f"SELECT id, w, p, {k} AS k, concat_ws(' ', {', '.join(f'w[p + {o + 1}]' for o in m)}) AS h FROM {{0}} WHERE p + {SPAN} <= len(w)"
-    for k, m in enumerate(MASKS)
-)
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+# Without seeds: an accepted window of eight tokens or more holds three agreeing tokens in a row (13 tokens with two
+# substitutions have a run of four), so shared runs of three give every alignment; shorter items agree from their first token on.
 OP6_SQL = f"""
-WITH d AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents), i AS (SELECT item_id AS id, {_TOKENS} AS w FROM benchmark),
+WITH d AS (SELECT DISTINCT doc_id AS id, {_TOKENS} AS w FROM documents), i AS (SELECT DISTINCT item_id AS id, {_TOKENS} AS w FROM benchmark),
 dp AS (SELECT *, unnest(range(0, len(w))) AS p FROM d), ip AS (SELECT *, unnest(range(0, len(w))) AS p FROM i),
-ds AS ({_SEED.format('dp')}), si AS ({_SEED.format('ip')}),
-al AS (SELECT DISTINCT ds.id AS doc_id, si.id AS item_id, ds.p - si.p AS g, ds.w AS dw, si.w AS iw FROM ds JOIN si ON ds.k = si.k AND ds.h = si.h),
+runs AS (SELECT id, w, p, concat_ws(' ', w[p + 1], w[p + 2], w[p + 3]) AS h FROM ip WHERE len(w) >= {SPAN} AND p + 3 <= len(w)),
+al AS (SELECT DISTINCT dp.id AS doc_id, runs.id AS item_id, dp.p - runs.p AS g, dp.w AS dw, runs.w AS iw
+       FROM dp JOIN runs ON concat_ws(' ', dp.w[dp.p + 1], dp.w[dp.p + 2], dp.w[dp.p + 3]) = runs.h WHERE dp.p + 3 <= len(dp.w)
+       UNION SELECT dp.id, ip.id, dp.p, dp.w, ip.w FROM dp JOIN ip ON dp.w[dp.p + 1] = ip.w[1] WHERE ip.p = 0 AND len(ip.w) < {SPAN}),
 ov AS (SELECT *, greatest(g, 0) AS f, least(len(dw), g + len(iw)) - greatest(g, 0) AS n, least(len(iw), {WINDOW}) AS size FROM al),
 wi AS (SELECT *, unnest(range(0, CAST(n - size + 1 AS BIGINT))) AS q FROM ov WHERE n >= size),
 ma AS (SELECT doc_id, item_id, f + q AS start, size,
        len(list_filter(range(0, CAST(size AS BIGINT)), lambda j: dw[f + q + j + 1] = iw[f + q + j + 1 - g])) AS matched FROM wi),
-ok AS (SELECT * FROM ma WHERE 100 * matched >= {MIN_SHARE} * size)
+ok AS (SELECT * FROM ma WHERE 100 * matched >= CASE WHEN size < {SPAN} THEN 100 ELSE {MIN_SHARE} END * size)
 SELECT doc_id, item_id, start, matched FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS r FROM ok) WHERE r = 1
 """
