@@ -19,7 +19,8 @@ Null and unknown roles fit any output role at cost 1.  Null and empty texts are
 empty turns.  Turns with equal numbers are ordered by role and text hash, and
 repeated rows are turns of their own.  Null conversation ids form one
 conversation, null turn numbers come first.  An empty table gives an empty
-table; columns other than conv_id, turn, role and text are not read.
+table; very long texts pass whole; columns other than conv_id, turn, role and
+text are not read.
 """
 
 from __future__ import annotations

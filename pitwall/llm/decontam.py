@@ -20,8 +20,8 @@ found, each once, are joined back to the documents by key for their tokens.
 Null and empty texts have no tokens and no leaks.  A document's masks for short
 items are only those of the lengths that the benchmark has.
 Repeated rows and ties give one row for an id and item; empty tables give an
-empty table.  Columns other than id and text are not read, and are passed
-through by ``drop_leaks``.
+empty table; very long texts are searched whole.  Columns other than id and text
+are not read, and are passed through by ``drop_leaks`` whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ a block of documents at a time, word by word across the block.
 
 Null texts and texts without a letter are ``und`` with score 0 and no spans.
 Ties go to the alphabetically first language.  Repeated rows get equal results;
-without labelled documents everything is ``und``; an empty table gives no rows.
+without labelled documents everything is ``und``; an empty table gives no rows;
+columns other than doc_id, text and (for training) lang are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ read in parallel.  ``part`` and ``before`` (ids before the document in its part)
 make a document's place known without reading other documents.
 
 Null texts count as empty ones (only the end id).  Equal ids are ordered by the
-hash of their text, null ids come first; an empty table gives no rows.
+hash of their text, null ids come first; an empty table gives no rows; very long
+texts are encoded whole; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

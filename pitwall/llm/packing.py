@@ -12,7 +12,9 @@ sequence of all can be short.
 A rest finds its place by its rank among the rests of its length: its rank in
 its task plus the count in earlier tasks, so no length, however frequent, is
 numbered in one task.  Null texts count as empty ones (one token, the end id).
-Repeated rows are packed each for itself; an empty table gives no pieces.
+Very long texts are cut into as many windows as they need.  Repeated rows are
+packed each for itself; an empty table gives no pieces; columns other than doc_id
+and text are not read.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ driver.  Scoring reads every whole text, partition by partition.
 
 Null and empty texts are scored by their structure bins alone; a null or wrong
 ``n_chars`` is a bin of its own or any other.  Repeated rows get equal scores.
-Without usable labels every score is one half.  Several labels of one id are
-each a training row; null labels are left out.
+Without usable labels every score is one half.  Different labels of one id are
+each a training row; null labels are left out.  Very long texts are scored whole;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ spanning forest), never all pairs.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Null
 ids never name a component unless all its ids are null.  Repeated rows give
-repeated rows; an empty table gives an empty table.
+repeated rows; an empty table gives an empty table; very long texts are hashed
+whole.  Ids may be of any type that has an order.  Other columns are not read, and
+are passed through by ``one_of_each`` whatever their names.
 """
 
 from __future__ import annotations

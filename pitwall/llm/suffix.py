@@ -28,7 +28,9 @@ same document, earlier start) goes.
 
 Null texts count as empty ones.  Documents with equal ids are ordered by the
 hash of their text, null ids come last; an empty table gives an empty table.
-Texts shorter than 100 bytes are never cut.
+Texts shorter than 100 bytes are never cut; very long ones are compared whole.
+Ids may be of any type that has an order.  Other columns are not read, and are
+passed through by ``without_repeats``.
 """
 
 from __future__ import annotations
