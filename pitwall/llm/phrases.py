@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-BLOCK = 16 << 20  # bytes of text that a task counts at a time
-BUCKET = 32 << 20  # bytes of text whose triples one group sums up, on average
+BLOCK = 8 << 20  # bytes of text that a task counts at a time
+BUCKET = 16 << 20  # bytes of text whose triples one group sums up, on average
 PACK = 1 << 16  # triples in a row
 SEGMENT = 1000  # nodes of a path that are kept in one row
 _TABLE = bytes(
@@ -94,7 +94,7 @@ def edges(docs: DataFrame, min_count: int) -> DataFrame:
     words' counts (w2 null).
 
     Each task counts the triples of some megabytes of text; the counts of a node
-    (its first two words) are summed up in one group, among some 30 MB of text's.
+    (its first two words) are summed up in one group, among some 15 MB of text's.
     """
     given = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.length("text") > 0)
     size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
