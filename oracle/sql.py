@@ -1244,3 +1244,13 @@ select count(*) as total_cmls,
   count(*) filter (where life < 3) as next_12_months, R6[avg(imonths)] as avg_interval_months
 from an
 """)
+
+
+# ------------------------------------------------- kept up in batches, merged from parts
+# Points whose latest reading deletes them are left out.
+for _name in ("risk_matrix", "life_histogram", "portfolio_health", "commodity_risk"):
+    ORACLE_SQL[f"incremental_{_name}"] = ORACLE_SQL[_name].replace("where rn = 1)", "where rn = 1 and l_returnflag <> 'A')", 1)
+
+ORACLE_SQL["merged_profile"] = ORACLE_SQL["dataset_profile"]
+ORACLE_SQL["merged_duplicate_ids"] = ORACLE_SQL["duplicate_ids"]
+ORACLE_SQL["merged_null_counts"] = ORACLE_SQL["null_counts"]

@@ -95,16 +95,20 @@ def risk_bands(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
 # ------------------------------------------------------------------ A1-A17
 
 
-def risk_matrix(df: DataFrame) -> DataFrame:
-    """A1: counts on thickness bin x corrosion bin, all 25 cells zero-filled."""
-    spark = _spark(df)
+def risk_matrix_dim(spark: SparkSession) -> DataFrame:
+    """The 25 cells of A1."""
     cells = [
         (ti, tl, ci, cl)
         for ti, (_a, _b, tl) in enumerate(THICKNESS_BINS, start=1)
         for ci, (_c, _d, cl) in enumerate(CORROSION_BINS, start=1)
     ]
-    dim = literal_rows(spark, cells, "thickness_order int, thickness_bin string, corrosion_order int, "
-                                     "corrosion_bin string")
+    return literal_rows(spark, cells, "thickness_order int, thickness_bin string, corrosion_order int, "
+                                      "corrosion_bin string")
+
+
+def risk_matrix(df: DataFrame) -> DataFrame:
+    """A1: counts on thickness bin x corrosion bin, all 25 cells zero-filled."""
+    dim = risk_matrix_dim(_spark(df))
     keyed = df.select(band(F.col(T_COL), THICKNESS_BINS).alias("thickness_bin"),
                       band(F.col(R_COL), CORROSION_BINS).alias("corrosion_bin"))
     return zero_filled_counts(keyed, dim, ["thickness_bin", "corrosion_bin"],
@@ -123,26 +127,31 @@ def risk_matrix_wide(df: DataFrame) -> DataFrame:
     )
 
 
+def histogram_dim(spark: SparkSession, p: Analytics) -> DataFrame:
+    """The bins of A2, the underflow bin first."""
+    n, width = p.histogram_bins, p.life_cap / p.histogram_bins
+    rows = [(-1, None, 0.0)] + [(i, i * width, (i + 1) * width) for i in range(n)]
+    return literal_rows(spark, rows, "bin_index int, bin_lo double, bin_hi double")
+
+
 def life_histogram(df: DataFrame, p: Analytics = Analytics()) -> DataFrame:
     """A2: fixed [0, 50] histogram of life (upper clip only), 20 bins, plus
     an underflow row (index -1) for negative lives; mean life on every row."""
-    spark = _spark(df)
     n = p.histogram_bins
     width = p.life_cap / n
     vals = normalise(df).select(analytics_life(df, None, p.life_cap, p).alias("x"))
-    rows = [(-1, None, 0.0)] + [(i, i * width, (i + 1) * width) for i in range(n)]
-    dim = literal_rows(spark, rows, "bin_index int, bin_lo double, bin_hi double")
+    dim = histogram_dim(_spark(df), p)
     # NULL lives fall in no bin (dropped); every other life lands in exactly
     # one bin, so the mean is total / count over the bins -- computed on the
     # 21 grouped rows, in the same pass as the counts.
-    keyed = vals.select(_bin_index(F.col("x"), width, n).alias("bin_index"), "x")
+    keyed = vals.select(bin_index(F.col("x"), width, n).alias("bin_index"), "x")
     bins = zero_filled_counts(keyed, dim, ["bin_index"], ["bin_lo", "bin_hi"], sums=("x",))
     everything = Window.partitionBy()  # over the 21 bin rows only
     mean = F.sum("sum_x").over(everything) / F.sum("n_points").over(everything)
     return bins.select("bin_index", "bin_lo", "bin_hi", "n_points", r6(mean).alias("mean_life"))
 
 
-def _bin_index(x, width: float, n: int):
+def bin_index(x, width: float, n: int):
     """Bin of x in [0, n*width]: the top edge joins the last bin; x < 0 -> -1."""
     return (F.when(x.isNull(), F.lit(None).cast("int")).when(x < 0, F.lit(-1))
             .otherwise(F.least(F.floor(x / dbl(width)), F.lit(n - 1)).cast("int")))

@@ -39,7 +39,11 @@ def duplicate_ids(df: DataFrame, p: Validation = Validation()) -> DataFrame:
     The per-id count is a partially aggregated groupBy, so a hot id costs one
     buffer per partition before the shuffle.
     """
-    counts = df.groupBy("id_number").agg(F.count(F.lit(1)).alias("c"))
+    return duplicates_of(df.groupBy("id_number").agg(F.count(F.lit(1)).alias("c")), p)
+
+
+def duplicates_of(counts: DataFrame, p: Validation = Validation()) -> DataFrame:
+    """V3 from ``counts``: a row per id with its occurrences ``c``."""
     dups = counts.where(F.col("c") > 1)
     ex = _examples(dups.select("id_number"), p.duplicate_examples)
     total = counts.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"))

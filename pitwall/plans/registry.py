@@ -24,10 +24,12 @@ from ..operators import report as P
 from ..operators import synth as G
 from ..operators import validate as V
 from ..operators.metrics import binary_metrics
-from ..schema import ForecastB, Validation
-from ..scratch import saved
+from ..schema import REQUIRED_POINT_COLUMNS, ForecastB, Validation
+from ..scratch import folder, saved
 from ..sources import io as IO
+from ..sources import profiles
 from ..sources.mapping import (
+    DEDUP_ORDER,
     load_override_log,
     load_points,
     load_raw,
@@ -36,6 +38,7 @@ from ..sources.mapping import (
     read_table,
     varied_override_log,
 )
+from ..streaming import cubes
 
 AS_OF = _dt.date(2002, 1, 1)  # the driver tables' ship dates end in 2001
 
@@ -198,9 +201,47 @@ def q_advanced_statistics_commodity_risk(spark, sf_dir):
     return PF.advanced_statistics(_pts(spark, sf_dir)).select(F.explode("commodity_risk").alias("c")).select("c.*")
 
 
+def _cube(spark, sf_dir):
+    """The cube after three batches of readings; an id's readings are spread over them, and some delete it."""
+    target = folder(spark, "cube")
+    raw = load_raw(spark, sf_dir).withColumn("removed", F.col("l_returnflag") == "A")
+    for i in range(3):
+        batch = raw.where(F.pmod(F.xxhash64("l_partkey"), F.lit(3)) == i)
+        cubes.apply_readings(batch, i, target, DEDUP_ORDER, newest=False, buckets=8)
+    return cubes.cube(spark, target)
+
+
+for _name, _fn in {
+    "incremental_risk_matrix": cubes.risk_matrix,
+    "incremental_life_histogram": cubes.life_histogram,
+    "incremental_portfolio_health": cubes.portfolio_health,
+    "incremental_commodity_risk": cubes.commodity_risk,
+}.items():
+    QUERIES[_name] = (lambda f: (lambda spark, sf_dir: f(_cube(spark, sf_dir))))(_fn)
+
+
 # ---------------------------------------------------------------- validation
 
 
+def _profiled(spark, sf_dir):
+    """Profiles of the raw readings, which arrive in two lots of files."""
+    lots, base = folder(spark, "profiled-files"), folder(spark, "profiles")
+    raw = load_raw(spark, sf_dir).select("l_orderkey", *REQUIRED_POINT_COLUMNS)
+    for i in range(2):
+        lot = raw.where(F.col("l_orderkey") % 2 == i).drop("l_orderkey")
+        lot.write.mode("append").parquet(lots)
+        profiles.refresh(spark, lots, base)
+    return base
+
+
+for _name, _fn in {
+    "merged_profile": profiles.dataset_profile,
+    "merged_duplicate_ids": profiles.duplicate_ids,
+    "merged_null_counts": profiles.null_counts,
+}.items():
+    QUERIES[_name] = (lambda f: (lambda spark, sf_dir: f(spark, _profiled(spark, sf_dir))))(_fn)
+
+
 @query("duplicate_ids")
 def q_duplicate_ids(spark, sf_dir):
     return V.duplicate_ids(load_raw(spark, sf_dir))

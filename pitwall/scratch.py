@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []  # tables written by ``saved`` that haven't been released
+_made: list[str] = []  # tables written by ``saved``, and folders, that haven't been released
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one; ``release`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/pitwall-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, executors may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/pitwall-{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

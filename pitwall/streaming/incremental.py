@@ -92,9 +92,14 @@ def _folders(spark: SparkSession, target: str, pattern: str) -> list[str]:
     return [str(f.getPath().toString()) for f in found or []]
 
 
+def version_numbers(spark: SparkSession, target: str) -> list[int]:
+    """The committed versions, ascending."""
+    return sorted(int(p.rpartition("=")[2]) for p in _folders(spark, target, "_committed/v=*"))
+
+
 def _current(spark: SparkSession, target: str, below: int | None = None) -> dict[int, list[tuple[int, str]]]:
     """bucket -> its committed (version, folder) pairs, newest first; at most a few per bucket."""
-    done = {int(p.rpartition("=")[2]) for p in _folders(spark, target, "_committed/v=*")}
+    done = set(version_numbers(spark, target))
     out: dict[int, list[tuple[int, str]]] = {}
     for p in _folders(spark, target, "v=*/bucket=*"):
         v, b = (int(x.rpartition("=")[2]) for x in p.rsplit("/", 2)[1:])
@@ -132,6 +137,11 @@ def _rewrite(spark: SparkSession, batch: DataFrame, batch_id: int, target: str)
         prev = spark.read.option("basePath", target).parquet(*paths).select(*batch.columns)
         merged = prev.join(batch.select("id_number"), "id_number", "left_anti").select(*batch.columns).unionByName(batch)
     merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target.rstrip('/')}/v={batch_id}")
+    commit(spark, target, batch_id)
+
+
+def commit(spark: SparkSession, target: str, batch_id: int) -> None:
+    """Mark version ``batch_id`` as committed, then delete what is older than a bucket's two newest versions."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     mark = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/_committed/v={batch_id}")
     fs = mark.getFileSystem(conf)
