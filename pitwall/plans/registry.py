@@ -202,12 +202,12 @@ def q_advanced_statistics_commodity_risk(spark, sf_dir):
 
 
 def _cube(spark, sf_dir):
-    """The cube after three batches of readings; an id's readings are spread over them, and some delete it."""
+    """The cube after two batches of readings; an id's readings are spread over them, and some delete it."""
     target = folder(spark, "cube")
     raw = load_raw(spark, sf_dir).withColumn("removed", F.col("l_returnflag") == "A")
-    for i in range(3):
-        batch = raw.where(F.pmod(F.xxhash64("l_partkey"), F.lit(3)) == i)
-        cubes.apply_readings(batch, i, target, DEDUP_ORDER, newest=False, buckets=8)
+    for i in range(2):
+        batch = raw.where(F.pmod(F.xxhash64("l_partkey"), F.lit(2)) == i)
+        cubes.apply_readings(batch, i, target, DEDUP_ORDER, newest=False, buckets=4)
     return cubes.cube(spark, target)
 
 

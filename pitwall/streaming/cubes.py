@@ -68,25 +68,14 @@ def apply_readings(batch: DataFrame, batch_id: int, target: str, version: Sequen
         batch = batch.withColumn("removed", F.lit(False))
     batch = PF.normalise(batch.where(F.col("id_number").isNotNull())).withColumn("removed", F.coalesce("removed", F.lit(False)))
     fresh = batch.select("id_number", F.pmod(F.xxhash64("id_number"), F.lit(buckets)).cast("int").alias("bucket"),
-                         F.struct(*fields).alias("reading"), F.lit(True).alias("fresh"))
-    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    kept = _current(spark, states, below=batch_id)
-    paths = [kept[b][0][1] for b in touched if b in kept]
-    both = fresh
-    if paths:
-        old = spark.read.option("basePath", states).parquet(*paths)
-        both = old.select("id_number", "bucket", "reading", F.lit(False).alias("fresh")).unionByName(fresh)
-    best = F.max if newest else F.min
-    # combined before the shuffle, so a point with very many readings costs a row per task
-    merged = both.groupBy("bucket", "id_number").agg(
-        best("reading").alias("reading"), best(F.when(~F.col("fresh"), F.col("reading"))).alias("before"))
-    changed = ~F.col("reading").eqNullSafe(F.col("before"))
-    merged = merged.select("bucket", "id_number", "reading", changed.alias("changed"),
-                           F.when(changed, F.col("before")).alias("before"))
+                         F.struct(*fields).alias("reading"), F.lit(True).alias("fresh")).persist()  # used twice
+    try:
+        merged = _write_state(spark, fresh, batch_id, states, newest)
+    finally:
+        fresh.unpersist()
     here = f"{states}/v={batch_id}"
-    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(here)
     # the delta is read off the written version: nothing of the batch is computed again
-    delta = (spark.read.schema(merged.schema).parquet(here).where("changed")
+    delta = (spark.read.schema(merged).parquet(here).where("changed")
              .select(F.explode(F.array(F.struct(F.col("reading").alias("r"), F.lit(1).alias("sign")),
                                        F.struct(F.col("before").alias("r"), F.lit(-1).alias("sign")))).alias("d"))
              .select("d.r.*", "d.sign").where(~F.col("removed")))  # no reading before: all NULL, left out too
@@ -103,6 +92,26 @@ def apply_readings(batch: DataFrame, batch_id: int, target: str, version: Sequen
         gone.getFileSystem(conf).delete(gone, True)
 
 
+def _write_state(spark: SparkSession, fresh: DataFrame, batch_id: int, states: str, newest: bool):
+    """Write the touched buckets with the batch merged in; returns the schema."""
+    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    kept = _current(spark, states, below=batch_id)
+    paths = [kept[b][0][1] for b in touched if b in kept]
+    both = fresh
+    if paths:
+        old = spark.read.option("basePath", states).parquet(*paths)
+        both = old.select("id_number", "bucket", "reading", F.lit(False).alias("fresh")).unionByName(fresh)
+    best = F.max if newest else F.min
+    # combined before the shuffle, so a point with very many readings costs a row per task
+    merged = both.groupBy("bucket", "id_number").agg(
+        best("reading").alias("reading"), best(F.when(~F.col("fresh"), F.col("reading"))).alias("before"))
+    changed = ~F.col("reading").eqNullSafe(F.col("before"))
+    merged = merged.select("bucket", "id_number", "reading", changed.alias("changed"),
+                           F.when(changed, F.col("before")).alias("before"))
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/v={batch_id}")
+    return merged.schema
+
+
 def _cube_paths(spark: SparkSession, root: str, below: int | None = None) -> list[str]:
     """Committed cubes, newest first."""
     number = lambda path: int(path.rpartition("=")[2])
