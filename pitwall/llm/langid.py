@@ -2,14 +2,15 @@
 
 A word (a run of letters) is scored for each learned language by its hashed
 character trigrams.  The script of its first letter narrows the candidates to
-the languages that were seen in that script.  The labels of a text's words are
+the languages that were seen in that script; the others can't label the word.  The labels of a text's words are
 the Viterbi path under a penalty for every switch of language, so a text of
 several languages becomes a few spans; the language with the most letters is the
 text's, and its share of the letters the score.
 
 The model (log frequencies, ``BUCKETS`` numbers a language) is counted on about
 ``PER_LANG`` labelled documents of each language, chosen by hash of the id, and
-sent to the tasks.  Prediction reads every whole text: the path is computed for
+sent to the tasks; it learns the ``MAX_LANGS`` languages with the most documents (ties:
+the alphabetically first), so it is bounded however many values ``lang`` has.  Prediction reads every whole text: the path is computed for
 a block of documents at a time, word by word across the block.
 
 Null texts and texts without a letter are ``und`` with score 0 and no spans.
@@ -32,13 +33,15 @@ from .common import table
 
 BUCKETS = 1 << 13
 PER_LANG = 1500
+MAX_LANGS = 256  # 17 MB of numbers
 SWITCH = 8.0
 WEIGHT = 0.5  # overlapping trigrams count about half
-NARROWED = -40.0  # a language that was not seen in the word's script
+NARROWED = -np.inf  # a language that was not seen in the word's script
 MIN_SHARE = 0.01  # of a language's words that a script needs
 FOLDS, OUT = 3, 1
 BLOCK_WORDS = 2_000_000
 MAX_WORDS = 300_000  # scored words that a worker keeps
+MANY = 16  # languages; with more of them blocks and kept words get fewer
 WORD = re.compile(r"[^\W\d_]+")
 # Unicode ranges: first code point and script; what lies before the next begins there
 SCRIPTS = (
@@ -84,12 +87,11 @@ def counts(docs: DataFrame) -> DataFrame:
 class Model:
     """Languages (sorted) and their log frequencies; at most BUCKETS numbers a language."""
 
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.langs = sorted({r[0] for r in rows})
-        at = {x: i for i, x in enumerate(self.langs)}
-        seen = np.zeros((BUCKETS + len(_NAMES), len(self.langs)))
-        for lang, key, n in rows:
-            seen[key, at[lang]] = n
+    def __init__(self, langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray):
+        """``lang``, ``key``, ``n``: counts of a key, with the language's place in ``langs``."""
+        self.langs = langs
+        seen = np.zeros((BUCKETS + len(_NAMES), len(langs)))
+        seen[key, lang] = n
         freq = seen[:BUCKETS] + 0.5
         self.logs = WEIGHT * np.log(freq / freq.sum(axis=0))
         scripts = seen[BUCKETS:]
@@ -135,6 +137,7 @@ class Labeller:
     def __init__(self, model: Model):
         self.model, self.rows, self.known = model, np.zeros((1 << 12, len(model.langs))), {}
         self.letters = np.zeros(1 << 12, np.int64)  # of each known word; digits like ² aren't letters
+        self.fewer = max(1, len(model.langs) // MANY)
 
     def _ids(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -149,7 +152,7 @@ class Labeller:
 
     def block(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
         """(language, score, spans) of each text; a span is (language, first word, words)."""
-        if len(self.known) > MAX_WORDS:
+        if len(self.known) > MAX_WORDS // self.fewer:
             self.known.clear()
         words = [WORD.findall(t.lower()) for t in texts]
         n = np.array([len(w) for w in words], dtype=np.int64)
@@ -172,14 +175,23 @@ class Labeller:
         return out
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """A model of about ``per_lang`` rows of each language of ``docs`` (doc_id, text, lang), by hash of the id."""
+def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model:
+    """A model of about ``per_lang`` rows of each of ``max_langs`` languages of ``docs`` (doc_id, text, lang), by hash of the id."""
+    import pyarrow as pa
+
     usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    # a row a language
-    share = usable.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang"), F.least(F.lit(1.0), per_lang / F.col("rows")).alias("share"))
+    share = usable.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_langs)
+    share = share.select(F.col("lang"), F.least(F.lit(1.0), per_lang / F.col("rows")).alias("share"))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    few = usable.join(F.broadcast(share), "lang").filter(hashed < F.col("share"))
-    return Model([tuple(r) for r in counts(few).collect()])
+    few = usable.join(F.broadcast(share), "lang").filter(hashed < F.col("share"))  # at most ``max_langs`` rows
+    got = counts(few).toArrow().combine_chunks()
+    values = got.column("lang").unique().to_pylist()
+    langs = sorted(values)
+    place = np.array([langs.index(x) for x in values], np.int64)
+    at = np.zeros(0, np.int64)
+    if len(got):
+        at = place[pa.concat_arrays(got.column("lang").chunks).dictionary_encode().indices.to_numpy()]
+    return Model(langs, at, got.column("key").to_numpy(), got.column("n").to_numpy())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,7 +207,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             got, i = [], 0
             while i < len(texts):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 4 * BLOCK_WORDS):
+                while j < len(texts) and (j == i or size + len(texts[j]) <= 4 * BLOCK_WORDS // labeller.fewer):
                     size += len(texts[j])
                     j += 1
                 got += labeller.block(texts[i:j]) if model.langs else [("und", 0.0, [])] * (j - i)

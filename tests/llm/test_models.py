@@ -62,7 +62,71 @@ def test_quality_edge_rows(spark):
     assert quality_fm.score(docs.limit(0), model).collect() == []
 
 
+def test_scores_equal_all_pairs(spark):
+    """Whole texts, scored by the sum over all pairs of features."""
+    docs = docs_frame(spark)
+    model = quality_fm.train(docs, spark.createDataFrame([(1, 1.0), (4, 0.0), (2, 0.0), (6, 1.0)], "doc_id long, label double"))
+    rng = np.random.default_rng(2)
+    model.w0, model.w, model.v = 0.2, rng.normal(0, 0.3, model.w.shape), rng.normal(0, 0.3, model.v.shape)
+    want = []
+    for r in docs.collect():
+        index, value = quality_fm.features(r["text"], r["n_chars"], {})
+        pairs = sum(model.v[i] @ model.v[j] * x * y for (i, x), (j, y) in itertools.combinations(zip(index, value), 2))
+        want.append((str(r["doc_id"]), 1 / (1 + np.exp(-(model.w0 + model.w[index] @ value + pairs)))))
+    got = sorted((str(i), s) for i, s in map(tuple, quality_fm.score(docs, model).collect()))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(want)], abs=1e-6)
+
+
 # ---------------------------------------------------------------- languages
+def _labelled_by_brute_force(learn, text, langs):
+    """(language, score) of a text: counts in plain dictionaries, then every labelling of its words."""
+    words_of = lambda t: langid.WORD.findall(t.lower())
+    seen = {k: [w for _, t, x in learn if x == k for w in words_of(t)] for k in langs}
+    logs, scripts = {}, {}
+    for k in langs:
+        n = {}
+        for g in itertools.chain.from_iterable(langid.grams(w) for w in seen[k]):
+            n[g] = n.get(g, 0) + 1
+        total = sum(n.values()) + 0.5 * langid.BUCKETS
+        logs[k] = lambda g, n=n, total=total: langid.WEIGHT * np.log((n.get(g, 0) + 0.5) / total)
+        scripts[k] = {s for s in map(langid.script, seen[k]) if sum(langid.script(w) == s for w in seen[k]) >= langid.MIN_SHARE * len(seen[k])}
+    words = words_of(text)
+    if not words:
+        return "und", 0.0
+    may = [[k for k in langs if langid.script(w) in scripts[k]] or langs for w in words]
+
+    def value(path):
+        return sum(sum(map(logs[k], langid.grams(w))) for w, k in zip(words, path)) - langid.SWITCH * sum(a != b for a, b in zip(path, path[1:]))
+
+    best = max(itertools.product(*may), key=value)
+    letters = {k: sum(len(w) for w, x in zip(words, best) if x == k) for k in langs}
+    top = max(langs, key=lambda k: letters[k])
+    return top, letters[top] / sum(letters.values())
+
+
+def test_whole_query_equals_brute_force(spark):
+    learn = [(1, "the water flows under the old bridge", "en"), (2, "der schnelle fuchs springt über den hund", "de"), (3, "быстрая лиса прыгает", "ru"),
+             (4, "the quick brown fox jumps", "en"), (5, "und dann schläft er ein", "de")]
+    texts = ["the old fox", "der alte fuchs", "лиса under the bridge", "the dog schläft dann", "быстрая собака прыгает", "", "12 !", None,
+             "den hund лиса the water", "xyz qqq", "ελληνικά the"]
+    model = langid.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        want = _labelled_by_brute_force(learn, texts[r["doc_id"]] or "", ["de", "en", "ru"])
+        assert (r["lang_pred"], r["score"]) == (want[0], pytest.approx(want[1])), texts[r["doc_id"]]
+
+
+def test_very_many_language_values(spark):
+    """The model keeps to its bound; the languages with the most documents are learned."""
+    few = spark.range(1000).selectExpr("id AS doc_id", "concat('word', id, ' text') AS text", "concat('x', id) AS lang")
+    more = spark.range(1000, 1020).selectExpr("id AS doc_id", "if(id % 2 = 0, 'the water flows', 'der hund schläft') AS text", "if(id % 2 = 0, 'en', 'zz') AS lang")
+    model = langid.train(few.unionByName(more))
+    assert len(model.langs) == langid.MAX_LANGS and {"en", "zz"} <= set(model.langs)
+    got = langid.identify(spark.createDataFrame([(1, "the water"), (2, "der hund schläft"), (3, "word7 text " * 5000)], "doc_id long, text string"), model)
+    assert [r["lang_pred"] for r in got.orderBy("doc_id").collect()][:2] == ["en", "zz"]
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(3)
     scores = rng.normal(0, 3, (12, 3))
