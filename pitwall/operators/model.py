@@ -362,7 +362,8 @@ def train_and_evaluate(points: DataFrame, test_fraction: float = 0.2, seed: int
         forest_args.setdefault("weight_col", "class_weight")
     data = data.persist()
     try:
-        model = build_pipeline(points, **forest_args).fit(data.where(F.col("is_train")))
+        # the copy has no training summary: that holds the session, which can't be sent to tasks once a frame was observed
+        model = build_pipeline(points, **forest_args).fit(data.where(F.col("is_train"))).copy()
         scored = saved(model.transform(data.where(~F.col("is_train"))), "held-out")  # every report reads it
         metrics = test_metrics(scored)
     finally:

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pitwall.operators import features as FT
@@ -43,6 +44,7 @@ def test_split_folds_weights(table):
 
 
 def test_train_score_save_load(spark, table, scratch):
+    spark.range(3).observe(Observation("rows"), F.count("id")).collect()  # as publishing does
     model, scored, metrics = M.train_and_evaluate(table, **SMALL)
     m = metrics.first()
     assert 0 <= m.test_accuracy <= 1 and 0 <= m.roc_auc <= 1 and 0 <= m.f1_score <= 1
