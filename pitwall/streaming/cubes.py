@@ -40,7 +40,7 @@ from ..schema import (
     THICKNESS_BINS,
     Analytics,
 )
-from .incremental import BUCKETS, _current, _folders, commit, version_numbers
+from .incremental import BUCKETS, _current, _folders, by_bucket, commit, version_numbers
 
 KEYS = ("commodity", "feature_type", "thickness_bin", "corrosion_bin", "bin_index", "risk_band", "bucket")
 READING = (PF.R_COL, PF.T_COL, "commodity", "feature_type")
@@ -57,9 +57,9 @@ def apply_readings(batch: DataFrame, batch_id: int, target: str, version: Sequen
 
     ``version`` names the columns that order the readings of a point (the largest
     wins, the smallest if not ``newest``; equal versions are ordered by the
-    reading itself).  An optional boolean ``removed`` marks deletions.  Choose
-    ``buckets`` so that one bucket of points fits a task; it must not change
-    for a target.  Batch ids must grow.
+    reading itself).  An optional boolean ``removed`` marks deletions.  A bucket
+    of points is what a batch rewrites at least; ``buckets`` must not change for
+    a target.  Batch ids must grow.
     """
     spark = batch.sparkSession
     root, states = target.rstrip("/"), f"{target.rstrip('/')}/state"
@@ -108,7 +108,7 @@ def _write_state(spark: SparkSession, fresh: DataFrame, batch_id: int, states: s
     changed = ~F.col("reading").eqNullSafe(F.col("before"))
     merged = merged.select("bucket", "id_number", "reading", changed.alias("changed"),
                            F.when(changed, F.col("before")).alias("before"))
-    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/v={batch_id}")
+    by_bucket(merged).write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/v={batch_id}")
     return merged.schema
 
 

@@ -136,10 +136,18 @@ def _rewrite(spark: SparkSession, batch: DataFrame, batch_id: int, target: str)
     if paths:
         prev = spark.read.option("basePath", target).parquet(*paths).select(*batch.columns)
         merged = prev.join(batch.select("id_number"), "id_number", "left_anti").select(*batch.columns).unionByName(batch)
-    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target.rstrip('/')}/v={batch_id}")
+    by_bucket(merged).write.mode("overwrite").partitionBy("bucket").parquet(f"{target.rstrip('/')}/v={batch_id}")
     commit(spark, target, batch_id)
 
 
+def by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket together, but a large bucket shared out over tasks of the session's advisory partition size.
+
+    Without adaptive execution (a stream's batches, unless it is switched on) a bucket is one task.
+    """
+    return rows.hint("rebalance", "bucket")
+
+
 def commit(spark: SparkSession, target: str, batch_id: int) -> None:
     """Mark version ``batch_id`` as committed, then delete what is older than a bucket's two newest versions."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -1,5 +1,6 @@
 """Cubes kept up by signed deltas equal the full recomputation."""
 
+import glob
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitwall.operators import portfolio as PF
 from pitwall.streaming import cubes as C
+from pitwall.streaming import incremental as S
 
 SCHEMA = ("id_number string, seq int, removed boolean, average_corrosion_rate double, thickness_mm double, "
           "commodity string, feature_type string")
@@ -88,6 +90,24 @@ def test_a_batch_that_fails_before_its_marker_changes_nothing(spark, scratch, mo
     assert C.report_metrics(C.cube(spark, target)).first().total_assets == 2
 
 
+def test_a_large_bucket_is_written_by_many_tasks(spark, scratch):
+    ids = spark.range(40_000).selectExpr("concat('id-', id) id_number", "1 seq", "false removed", "id / 1e5 average_corrosion_rate",
+                                         "3.0 + id % 70 thickness_mm", "'Gas' commodity", "'Pipe' feature_type").repartition(8)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        C.apply_readings(ids, 0, f"{scratch}/cube", ["seq"], buckets=1)
+        S.apply_state_batch(ids.select("id_number", "seq"), 0, f"{scratch}/state", buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")  # as in the session's settings
+    assert C.points(spark, f"{scratch}/cube").count() == 40_000 and C.report_metrics(C.cube(spark, f"{scratch}/cube")).first().total_assets == 40_000
+    assert S.latest_state(spark, f"{scratch}/state").count() == 40_000
+    for files in ("cube/state", "state"):
+        assert len(glob.glob(f"{scratch}/{files}/v=0/bucket=0/*.parquet")) > 3
+
+
 def test_nothing_committed(spark, scratch):
     with pytest.raises(FileNotFoundError):
         C.cube(spark, f"{scratch}/none")
