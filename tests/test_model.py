@@ -71,6 +71,13 @@ def test_reports_from_pairs(spark):
     assert cm == {(0, 0): 2, (0, 1): 1, (1, 0): 1, (1, 1): 1}
 
 
+def test_the_fit_checkpoints_nothing_and_has_few_parts(spark):
+    assert not M.forest().getCacheNodeIds()
+    most = max(M.FIT_PARTS, spark.sparkContext.defaultParallelism)
+    assert M.fitting_rows(spark.range(0, 500, 1, 3 * most)).rdd.getNumPartitions() <= most
+    assert M.fitting_rows(spark.range(0, 500, 1, 5)).rdd.getNumPartitions() == 5
+
+
 def test_cross_validated_f1(table):
     cv = M.cross_validated_f1(table, k=3, **SMALL).collect()
     assert len(cv) == 3 and all(0 <= r.f1 <= 1 for r in cv)
