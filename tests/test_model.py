@@ -78,6 +78,37 @@ def test_the_fit_checkpoints_nothing_and_has_few_parts(spark):
     assert M.fitting_rows(spark.range(0, 500, 1, 5)).rdd.getNumPartitions() == 5
 
 
+def test_a_large_fit_keeps_the_draws_of_few_trees(spark, table, scratch, monkeypatch):
+    monkeypatch.setattr(M, "TREES_AT_ONCE", 4)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = table.withColumn("thickness_mm", counted("thickness_mm"))
+    model, scored, metrics = M.train_and_evaluate(rows, whole=1000, **SMALL)
+    assert seen.value == table.count()  # the points are computed once
+    forests = [s for s in model.stages if hasattr(s, "getNumTrees")]
+    assert [f.getNumTrees for f in forests] == [4, 3, 3]
+    trees = [t for f in forests for t in f.trees]
+    assert len({t.toDebugString.partition("\n")[2] for t in trees}) == 10
+    for r in scored.limit(20).collect():  # as one forest of the ten trees
+        p = sum(t.predictProbability(r.features).toArray() for t in trees) / 10
+        assert r.probability.toArray() == pytest.approx(p) and r.rawPrediction.toArray() == pytest.approx(10 * p)
+        assert r.prediction == p.argmax()
+    assert set(scored.columns) == set(M.train_and_evaluate(table, **SMALL)[1].columns)
+    assert 0.5 < metrics.first().roc_auc <= 1
+    mean = sum(t.featureImportances.toArray() for t in trees) / 10
+    top = M.feature_importance(model, scored, 3).collect()
+    assert [r.importance for r in top] == pytest.approx(sorted(mean, reverse=True)[:3])
+    again = M.load_model(M.save_model(model, f"{scratch}/batches", {}, M.numeric_features(table), timestamp="1"))
+    chances = lambda m: [r[2] for r in M.score_points(m, table.limit(20)).select(
+        "id_number", "predicted_elimination_flag", "elimination_probability").orderBy("id_number").collect()]
+    assert chances(model) == chances(again)
+
+
 def test_cross_validated_f1(table):
     cv = M.cross_validated_f1(table, k=3, **SMALL).collect()
     assert len(cv) == 3 and all(0 <= r.f1 <= 1 for r in cv)
