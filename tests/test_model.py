@@ -1,4 +1,6 @@
 import datetime as dt
+import gc
+import time
 
 import pytest
 from pyspark.sql import Observation
@@ -109,6 +111,29 @@ def test_a_large_fit_keeps_the_draws_of_few_trees(spark, table, scratch, monkeyp
     assert chances(model) == chances(again)
 
 
+def _shuffle_files(spark):
+    gc.collect()
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files) if f.getName().startswith("shuffle_")}
+
+
+def test_a_large_fit_leaves_no_shuffles_of_a_batch(spark, table, monkeypatch):
+    monkeypatch.setattr(M, "TREES_AT_ONCE", 4)
+    drop, left = M.drop_shuffles, []
+
+    def watched(session):
+        before = _shuffle_files(session)
+        drop(session)
+        until = time.time() + 20
+        while before and before <= _shuffle_files(session) and time.time() < until:  # Spark's cleaner is a thread of its own
+            time.sleep(0.1)
+        left.append(len(before - _shuffle_files(session)))
+
+    monkeypatch.setattr(M, "drop_shuffles", watched)
+    M.train_and_evaluate(table, whole=1000, **SMALL)
+    assert len(left) == 4 and all(left[1:])  # after the points and each of three batches
+
+
 def test_cross_validated_f1(table):
     cv = M.cross_validated_f1(table, k=3, **SMALL).collect()
     assert len(cv) == 3 and all(0 <= r.f1 <= 1 for r in cv)

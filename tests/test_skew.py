@@ -36,6 +36,24 @@ def test_hot_id_dedup_exact(spark):
     assert "WindowGroupLimit" in pts._jdf.queryExecution().toString()
 
 
+def test_readings_are_derived_after_the_dedup(spark, scratch):
+    nulls = [F.when(F.col("l_linenumber") != 3, F.col(c)).alias(c) if c in ("l_orderkey", "l_partkey", "l_tax") else c for c in MP.LINEITEM_COLUMNS]
+    _lineitem(spark).select(*nulls).write.parquet(f"{scratch}/lineitem.parquet")
+    got, want = MP.load_points(spark, scratch), MP.dedup_points(MP.load_raw(spark, scratch))
+    assert got.dtypes == want.dtypes and got.count() == want.count() > 1000
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS commodity") < plan.index("Window")  # above the window, so not in its shuffle
+    state = O.current_overrides(MP.override_log(MP.load_raw(spark, scratch)))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # the ids are dealt out once for the dedup and the join
+        joined = got.join(state, "id_number")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert joined.count("Exchange hashpartitioning") == 2
+
+
 def test_hot_id_override_state(spark):
     log = MP.override_log(MP.raw_points(_lineitem(spark)))
     state = O.current_overrides(log)
