@@ -40,7 +40,7 @@ from ..schema import (
     THICKNESS_BINS,
     Analytics,
 )
-from .incremental import BUCKETS, _current, _folders, by_bucket, commit, version_numbers
+from .incremental import BUCKETS, _current, _folders, bucket_counts, by_bucket, commit, sized, version_numbers
 
 KEYS = ("commodity", "feature_type", "thickness_bin", "corrosion_bin", "bin_index", "risk_band", "bucket")
 READING = (PF.R_COL, PF.T_COL, "commodity", "feature_type")
@@ -68,11 +68,13 @@ def apply_readings(batch: DataFrame, batch_id: int, target: str, version: Sequen
         batch = batch.withColumn("removed", F.lit(False))
     batch = PF.normalise(batch.where(F.col("id_number").isNotNull())).withColumn("removed", F.coalesce("removed", F.lit(False)))
     fresh = batch.select("id_number", F.pmod(F.xxhash64("id_number"), F.lit(buckets)).cast("int").alias("bucket"),
-                         F.struct(*fields).alias("reading"), F.lit(True).alias("fresh")).persist()  # used twice
-    try:
-        merged = _write_state(spark, fresh, batch_id, states, newest)
-    finally:
-        fresh.unpersist()
+                         F.struct(*fields).alias("reading"), F.lit(True).alias("fresh"))
+    with sized(spark, read=_rows_to_split(fresh)):
+        fresh.persist()  # used several times
+        try:
+            merged = _write_state(spark, fresh, batch_id, states, newest)
+        finally:
+            fresh.unpersist()
     here = f"{states}/v={batch_id}"
     # the delta is read off the written version: nothing of the batch is computed again
     delta = (spark.read.schema(merged).parquet(here).where("changed")
@@ -92,14 +94,22 @@ def apply_readings(batch: DataFrame, batch_id: int, target: str, version: Sequen
         gone.getFileSystem(conf).delete(gone, True)
 
 
+def _rows_to_split(rows: DataFrame) -> int:
+    """The rows that there would be if each part held as many as the largest does."""
+    parts = rows.groupBy(F.spark_partition_id().alias("part")).count()
+    largest, n = parts.agg(F.max("count"), F.count("part")).first()
+    return (largest or 0) * n
+
+
 def _write_state(spark: SparkSession, fresh: DataFrame, batch_id: int, states: str, newest: bool):
     """Write the touched buckets with the batch merged in; returns the schema."""
-    touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    counts = bucket_counts(fresh)
     kept = _current(spark, states, below=batch_id)
-    paths = [kept[b][0][1] for b in touched if b in kept]
+    paths = [kept[b][0][1] for b in counts if b in kept]
     both = fresh
     if paths:
         old = spark.read.option("basePath", states).parquet(*paths)
+        counts = bucket_counts(old, counts)
         both = old.select("id_number", "bucket", "reading", F.lit(False).alias("fresh")).unionByName(fresh)
     best = F.max if newest else F.min
     # combined before the shuffle, so a point with very many readings costs a row per task
@@ -108,7 +118,9 @@ def _write_state(spark: SparkSession, fresh: DataFrame, batch_id: int, states: s
     changed = ~F.col("reading").eqNullSafe(F.col("before"))
     merged = merged.select("bucket", "id_number", "reading", changed.alias("changed"),
                            F.when(changed, F.col("before")).alias("before"))
-    by_bucket(merged).write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/v={batch_id}")
+    rows = sum(counts.values())
+    with sized(spark, read=rows, shuffled=rows):
+        by_bucket(merged, counts).write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/v={batch_id}")
     return merged.schema
 
 

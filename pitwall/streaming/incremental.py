@@ -16,7 +16,9 @@ session's setting is read, never replaced.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as _dt
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,7 @@ def current_override_state(log_stream: DataFrame) -> DataFrame:
 
 
 BUCKETS = 64
+TASK_ROWS = 500_000  # rows that a task reads, merges or writes, roughly: what it sorts doesn't grow with the table
 
 
 def _folders(spark: SparkSession, target: str, pattern: str) -> list[str]:
@@ -129,23 +132,61 @@ def apply_state_batch(batch: DataFrame, batch_id: int, target: str, buckets: int
 
 
 def _rewrite(spark: SparkSession, batch: DataFrame, batch_id: int, target: str) -> None:
-    touched = [r[0] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    counts = bucket_counts(batch)
     before = _current(spark, target, below=batch_id)
-    paths = [before[b][0][1] for b in touched if b in before]
+    paths = [before[b][0][1] for b in counts if b in before]
     merged = batch
     if paths:
         prev = spark.read.option("basePath", target).parquet(*paths).select(*batch.columns)
         merged = prev.join(batch.select("id_number"), "id_number", "left_anti").select(*batch.columns).unionByName(batch)
-    by_bucket(merged).write.mode("overwrite").partitionBy("bucket").parquet(f"{target.rstrip('/')}/v={batch_id}")
+        counts = bucket_counts(prev, counts)
+    with sized(spark, shuffled=sum(counts.values())):
+        by_bucket(merged, counts).write.mode("overwrite").partitionBy("bucket").parquet(f"{target.rstrip('/')}/v={batch_id}")
     commit(spark, target, batch_id)
 
 
-def by_bucket(rows: DataFrame) -> DataFrame:
-    """Rows of a bucket together, but a large bucket shared out over tasks of the session's advisory partition size.
+def bucket_counts(rows: DataFrame, more: dict[int, int] | None = None) -> dict[int, int]:
+    """Rows of each bucket (at most ``buckets`` numbers), added to ``more``."""
+    out = dict(more or {})
+    for bucket, n in rows.groupBy("bucket").count().collect():
+        out[bucket] = out.get(bucket, 0) + n
+    return out
 
-    Without adaptive execution (a stream's batches, unless it is switched on) a bucket is one task.
+
+@contextlib.contextmanager
+def sized(spark: SparkSession, read: int = 0, shuffled: int = 0):
+    """Inside the block, so many rows are read from files, or shuffled, in parts of some ``TASK_ROWS`` rows.
+
+    Raises the session's numbers of parts, which are put back afterwards; never lowers them.
+    """
+    wanted = {"spark.sql.files.minPartitionNum": (read, spark.sparkContext.defaultParallelism),
+              "spark.sql.shuffle.partitions": (shuffled, 200)}
+    before = {}
+    try:
+        for key, (rows, default) in wanted.items():
+            now, parts = spark.conf.get(key, None), math.ceil(rows / TASK_ROWS)
+            if int(now or default) < parts:
+                before[key] = now
+                spark.conf.set(key, str(parts))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def by_bucket(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Rows of a bucket together, but a bucket of more than ``TASK_ROWS`` rows shared out by id over several tasks.
+
+    ``counts`` gives each bucket's rows, or more.  Up to ``TASK_ROWS`` rows in all, adaptive execution shares
+    buckets out by the session's advisory partition size.
     """
-    return rows.hint("rebalance", "bucket")
+    if sum(counts.values()) <= TASK_ROWS:
+        return rows.hint("rebalance", "bucket")
+    shares = [math.ceil(counts.get(b, 0) / TASK_ROWS) for b in range(max(counts) + 1)]
+    first = [sum(shares[:b]) for b in range(len(shares))]
+    of = lambda numbers: F.get(F.array(*[F.lit(n) for n in numbers]), F.col("bucket"))
+    # another hash than the bucket's, so that its ids spread over all shares
+    return rows.repartitionById(sum(shares), of(first) + F.pmod(F.hash("id_number"), of(shares)))
 
 
 def commit(spark: SparkSession, target: str, batch_id: int) -> None:

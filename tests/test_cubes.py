@@ -1,5 +1,6 @@
 """Cubes kept up by signed deltas equal the full recomputation."""
 
+import contextlib
 import glob
 import random
 
@@ -108,6 +109,69 @@ def test_a_large_bucket_is_written_by_many_tasks(spark, scratch):
         assert len(glob.glob(f"{scratch}/{files}/v=0/bucket=0/*.parquet")) > 3
 
 
+@contextlib.contextmanager
+def _conf(spark, **settings):
+    """Session settings (dots as ``__``) inside the block."""
+    settings = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+        assert {k: spark.conf.get(k) for k in settings} == settings  # nothing is left changed
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _many(spark, n, seq=1):
+    return spark.range(n).selectExpr("concat('id-', id) id_number", f"{seq} seq", "false removed", "id / 1e5 average_corrosion_rate",
+                                     "3.0 + id % 70 thickness_mm", "'Gas' commodity", "'Pipe' feature_type")
+
+
+def _largest(rows):
+    return rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_a_large_bucket_is_shared_out_without_adaptive_execution(spark, scratch, monkeypatch):
+    monkeypatch.setattr(S, "TASK_ROWS", 4_000, raising=False)
+    ids = _many(spark, 40_000)
+    with _conf(spark, spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="2"):
+        C.apply_readings(ids, 0, f"{scratch}/cube", ["seq"], buckets=2)
+        S.apply_state_batch(ids.select("id_number", "seq"), 0, f"{scratch}/state", buckets=2)
+        S.apply_state_batch(_many(spark, 30_000, 2).select("id_number", "seq"), 1, f"{scratch}/state", buckets=2)
+    for files, v, state in (("cube/state", 0, C.points(spark, f"{scratch}/cube")), ("state", 1, S.latest_state(spark, f"{scratch}/state"))):
+        assert state.count() == state.select("id_number").distinct().count() == 40_000
+        for b in range(2):
+            parts = glob.glob(f"{scratch}/{files}/v={v}/bucket={b}/*.parquet")
+            assert len(parts) >= 5 and max(spark.read.parquet(x).count() for x in parts) <= 6_000
+    assert C.report_metrics(C.cube(spark, f"{scratch}/cube")).first().total_assets == 40_000
+    assert S.latest_state(spark, f"{scratch}/state").where("seq = 2").count() == 30_000
+
+
+def test_tasks_hold_few_rows_whatever_the_sessions_numbers_of_parts(spark, scratch, monkeypatch):
+    monkeypatch.setattr(S, "TASK_ROWS", 4_000, raising=False)
+    _many(spark, 40_000).repartition(20).write.parquet(f"{scratch}/one")
+    _many(spark, 30_000, 2).repartition(20).write.parquet(f"{scratch}/two")
+    merged, write = [], C.by_bucket
+
+    def seen(rows, *args):
+        merged.append(_largest(rows))
+        return write(rows, *args)
+
+    read, state = [], C._write_state
+    monkeypatch.setattr(C, "by_bucket", seen)
+    monkeypatch.setattr(C, "_write_state", lambda spark, fresh, *args: read.append(_largest(fresh)) or state(spark, fresh, *args))
+    with _conf(spark, spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="2", spark__sql__files__minPartitionNum="1",
+               spark__sql__files__openCostInBytes="1"):
+        for i, name in enumerate(("one", "two")):
+            C.apply_readings(spark.read.parquet(f"{scratch}/{name}"), i, f"{scratch}/cube", ["seq"], buckets=2)
+    assert max(read) <= 8_000 and max(merged) <= 6_000
+    points = C.points(spark, f"{scratch}/cube")
+    assert sorted(map(tuple, points.groupBy("seq").count().collect())) == [(1, 10_000), (2, 30_000)]
+    assert C.report_metrics(C.cube(spark, f"{scratch}/cube")).first().total_assets == 40_000
+
+
 def test_nothing_committed(spark, scratch):
     with pytest.raises(FileNotFoundError):
         C.cube(spark, f"{scratch}/none")
