@@ -1,5 +1,6 @@
 import datetime as dt
 import gc
+import threading
 import time
 
 import pytest
@@ -134,6 +135,53 @@ def test_a_large_fit_leaves_no_shuffles_of_a_batch(spark, table, monkeypatch):
     assert len(left) == 4 and all(left[1:])  # after the points and each of three batches
 
 
+def test_shuffles_that_are_held_a_moment_longer_are_dropped(spark):
+    before = _shuffle_files(spark)
+    held = [spark.range(0, 1000, 1, 4).groupBy((F.col("id") % 7).alias("k")).count().rdd._jrdd]
+    held[0].count()
+    mine = _shuffle_files(spark) - before
+    assert mine
+    threading.Timer(0.15, held.clear).start()
+    M.drop_shuffles(spark)
+    until = time.time() + 10  # no garbage is collected any more; the cleaner is a thread of its own
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    while mine & files() and time.time() < until:
+        time.sleep(0.1)
+    assert not mine & files()
+
+
+def test_the_fit_has_as_many_parts_as_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert M.fitting_rows(spark.range(0, 500, 1, 24 + cores)).rdd.getNumPartitions() == max(8, cores)
+
+
+def _times_read(spark, make):
+    """Times that each row of a table is computed while ``make`` works on it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = make(lambda t: t.withColumn("thickness_mm", counted("thickness_mm")))
+    return seen.value / rows
+
+
+def test_grown_forests_read_their_points_once(spark, table):
+    def split(count):
+        M._split_vectors(count(table), 0.2, 42).collect()
+        return table.count()
+
+    def folds(count):
+        for _ in M._fold_vectors(count(table), 2, 42):
+            pass
+        return table.count()
+
+    assert _times_read(spark, split) == 1 and _times_read(spark, folds) == 1
+
+
 def test_cross_validated_f1(table):
     cv = M.cross_validated_f1(table, k=3, **SMALL).collect()
     assert len(cv) == 3 and all(0 <= r.f1 <= 1 for r in cv)
